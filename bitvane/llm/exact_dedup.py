@@ -15,15 +15,12 @@ rows that repeat both text and id form part of the group, and one of them stays;
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, materialize, table, text_or_empty
+from . import _bloom
+from ._spark import materialize, table, text_or_empty
 
-#: Bits in the bitmaps that bitmap_construct_agg makes.
-BLOCK_BITS = 32768
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,33 +29,6 @@ def digest(text: str = "text") -> Column:
     return F.sha2(F.translate(text_or_empty(text), UPPER, LOWER).cast("binary"), 256)
 
 
-def filter_blocks(rows: int, bits_per_row: int, max_filter_bytes: int) -> int:
-    """Blocks of the filter: a power of two, and never more bytes than may be broadcast."""
-    wanted = max(1, math.ceil(rows * bits_per_row / BLOCK_BITS))
-    most = max(1, max_filter_bytes // (BLOCK_BITS // 8))
-    return min(1 << (wanted - 1).bit_length(), 1 << (most.bit_length() - 1))
-
-
-def _positions(h: Column, probes: int) -> list[Column]:
-    """Bit positions in a block: 15 bits of the hash for each probe, above the block's bits."""
-    other = F.xxhash64(h, F.lit(7))
-    return [F.shiftrightunsigned(other, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(probes)]
-
-
-def repeated_filter(df: DataFrame, h: Column, blocks: int, probes: int) -> DataFrame:
-    """(block, bits): the cells that at least two rows hit. At most blocks rows of 4 KB."""
-    keyed = df.select(F.pmod(h, F.lit(blocks)).alias("block"), h.alias("h"))
-    cells = keyed.select("block", F.explode(F.array(*_positions(F.col("h"), probes))).alias("cell"))
-    # several probes of one row may meet in one cell: harmless, it only raises the alarm more often
-    twice = cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
-    return twice.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits"))
-
-
-def _hit(bits: Column, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def flag_candidates(
     df: DataFrame, text: str = "text", bits_per_row: int = 16, probes: int = 3, max_filter_bytes: int = 256 << 20
 ) -> tuple[DataFrame, str]:
@@ -67,17 +37,9 @@ def flag_candidates(
     Every row with a copy is flagged. Beyond max_filter_bytes the filter stops growing, which
     flags more rows without copies and changes no result.
     """
-    h_name, block, pos, flag, bits = fresh(df, "h", "block", "pos", "maybe_repeated", "bits")
     h = F.xxhash64(F.lower(text_or_empty(text)))
-    blocks = filter_blocks(df.count(), bits_per_row, max_filter_bytes)
-    bloom = repeated_filter(df, h, blocks, probes).select(F.col("block").alias(block), F.col("bits").alias(bits))
-    keyed = df.withColumn(h_name, h)
-    keyed = keyed.withColumn(block, F.pmod(F.col(h_name), F.lit(blocks))).withColumn(pos, F.array(*_positions(F.col(h_name), probes)))
-    probed = keyed.join(F.broadcast(bloom), block, "left")  # bounded by max_filter_bytes
-    all_hit = F.lit(True)
-    for i in range(probes):
-        all_hit = all_hit & _hit(F.col(bits), F.col(pos)[i])
-    return probed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(bits).isNotNull() & F.coalesce(all_hit, F.lit(False))).alias(flag)), flag
+    blocks = _bloom.block_count(df.count(), bits_per_row, max_filter_bytes)
+    return _bloom.flag(df, h, _bloom.build(df, h, blocks, probes, least_hits=2), blocks, probes)
 
 
 def verdicts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **filter_options) -> DataFrame:

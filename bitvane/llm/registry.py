@@ -1,8 +1,8 @@
 """Queries of the training-data operators and of the pipeline, and their SQL where there is any."""
 
-from . import exact_dedup
+from . import exact_dedup, lang_id, near_dedup, toxicity
 
-_MODULES = (exact_dedup,)
+_MODULES = (toxicity, lang_id, exact_dedup, near_dedup)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
