@@ -1,8 +1,14 @@
 """Queries of the training-data operators and of the pipeline, and their SQL where there is any."""
 
-from . import exact_dedup, lang_id, near_dedup, toxicity
+import corpus_pipeline
 
-_MODULES = (toxicity, lang_id, exact_dedup, near_dedup)
+from . import byte_bpe, exact_dedup, fingerprint, html_text, lang_id, near_dedup, packing, token_counts, toxicity, warc
+
+_MODULES = (toxicity, packing, html_text, lang_id, exact_dedup, fingerprint, warc, byte_bpe, near_dedup, token_counts)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
