@@ -1,4 +1,508 @@
-"""The retrieval queries by name, and the SQL that gives the same rows."""
+"""The retrieval queries by name, over the whole `embeddings` table, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Query sets are the rows whose id is divisible by 50, against all rows. The SQL never packs bits: it
+counts sign disagreements, so it checks the codes as well as what is done with them.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes as C
+from ..functions import sql as SQL
+from ..operators import bands, evaluate, filters, graph, integrity
+from ..operators import search as S
+from ..operators.index import VectorIndex
+from ..operators.rotation import RotationEstimator, RotationModel, quantization_error
+from ..sources import datasources, formats
+from ..streaming import changes
+from .planner import IndexConfig, clamp_kef, scan_limit
+
+DIM = 64
+EF = 100
+WORDS = C.word_names(DIM)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _queries(v: DataFrame) -> DataFrame:
+    return v.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "embedding")
+
+
+def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    return v, S.encode(v, DIM), _queries(v)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared checkpoint folder, or in a temporary one where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="bitvane-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root}/bitvane/{tag}-{uuid.uuid4().hex}"
+
+
+def _index(spark: SparkSession, sf_dir: str, tag: str, room: int = 0) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors in a new folder."""
+    v = _vectors(spark, sf_dir)
+    top = v.agg(F.max("id")).first()[0]
+    index = VectorIndex.create(spark, scratch(spark, tag), IndexConfig(DIM), (top if top is not None else 0) + 1 + room)
+    return index.insert(v)[1], v
+
+
+# -- projections and scores over pairs ----------------------------------------------------------
+
+
+def quantize_bits(spark, sf_dir):
+    _, codes, _ = _all(spark, sf_dir)
+    bits = F.reverse(F.lpad(F.bin("w0"), 64, "0"))
+    return codes.select("id", F.bit_count("w0").cast("int").alias("ones"), bits.alias("bits"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    v, codes, q = _all(spark, sf_dir)
+    qc = C.with_code(q.select("qid", F.col("embedding").alias("q")), DIM, "q", "q_w")
+    return v.join(codes, "id").crossJoin(F.broadcast(qc))  # the stated query set
+
+
+def hamming_pairs(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    qc = C.with_code(q.select("qid", F.col("embedding").alias("q")), DIM, "q", "q_w").drop("q")
+    return codes.crossJoin(F.broadcast(qc)).select("qid", "id", C.hamming_words([F.col("w0")], [F.col("q_w0")]).alias("distance"))
+
+
+def approx_cosine(spark, sf_dir):
+    return hamming_pairs(spark, sf_dir).select("qid", "id", F.round(C.approx_cosine(F.col("distance"), DIM), 6).alias("approx"))
+
+
+def cosine_pairs(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    pairs = v.crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q"))))
+    return pairs.select("qid", "id", C.ranked_score(C.cosine(F.col("q"), F.col("embedding"))).alias("score"))
+
+
+def asym_score(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    pairs = codes.crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q"))))
+    return pairs.select("qid", "id", C.ranked_score(C.asymmetric_words(F.col("q"), [F.col("w0")], DIM)).alias("score"))
+
+
+# -- searches -----------------------------------------------------------------------------------
+
+
+def _first_query(q: DataFrame) -> list[float]:
+    found = q.orderBy("qid").limit(1).collect()
+    return list(found[0]["embedding"]) if found else []
+
+
+def hamming_topk(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return S.hamming_top(codes, _first_query(q), 10).select("rank", "id", "distance")
+
+
+def single_reranked(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return S.reranked(codes, _first_query(q), 10, EF).select("rank", "id", "score")
+
+
+def single_exact_reranked(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.exact_reranked(codes, v, _first_query(q), 10, EF).select("rank", "id", "score")
+
+
+def hamming_topk_batch(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return S.search(codes, q, DIM, 10)
+
+
+def hamming_topk_blocks(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return S.search_blocks(codes, q, DIM, 10)
+
+
+def cosine_topk(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    return S.cosine_top(v, q, 10)
+
+
+def search_reranked(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return S.search_reranked(codes, q, DIM, 10, EF)
+
+
+def search_exact_reranked(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search_exact_reranked(codes, v, q, DIM, 10, EF)
+
+
+def knn_join_labels(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    hits = S.search(codes, q, DIM, 10)
+    labels = v.select("id", "label")
+    own = labels.select(F.col("id").alias("qid"), F.col("label").alias("own"))
+    joined = hits.join(labels, "id").join(own, "qid")
+    return joined.groupBy("qid").agg(F.sum(F.when(F.col("label") == F.col("own"), 1).otherwise(0)).cast("int").alias("agree"))
+
+
+def bands_search(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return bands.within(codes, q, DIM, 15, bands=8)
+
+
+def bands_topk(spark, sf_dir):
+    _, codes, q = _all(spark, sf_dir)
+    return bands.search_bands_exact(codes, q, DIM, 10, 15, bands=8).select("qid", "rank", "id", "distance")
+
+
+# -- filters, deletion, lifecycle -----------------------------------------------------------------
+
+
+def filtered_topk_allow(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search(codes, q, DIM, 10, allow=v.where("label = 3").select("id"))
+
+
+def filtered_topk_predicate(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    return S.search(C.with_code(v, DIM).drop("embedding"), q, DIM, 10, predicate=F.col("label").isin(1, 2))
+
+
+def filtered_topk_sparse(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search(codes, q, DIM, 10, allow=v.where("id % 17 = 4").select("id"))
+
+
+def filtered_topk_empty(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search(codes, q, DIM, 10, allow=v.where("label < 0").select("id"))
+
+
+def deleted_topk(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search(codes, q, DIM, 10, tombstones=v.where("id % 7 = 0").select("id"))
+
+
+def filter_and_delete(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    return S.search_reranked(codes, q, DIM, 10, EF, allow=v.where("label in (3, 4)").select("id"), tombstones=v.where("id % 7 = 0").select("id"))
+
+
+def allow_count(spark, sf_dir):
+    v, _, _ = _all(spark, sf_dir)
+    allow = v.where("label = 3").select("id")
+    top = v.agg(F.max("id")).first()[0]
+    n = filters.allow_count(allow, top + 1)
+    return spark.createDataFrame([(n,)], "allowed bigint")
+
+
+def delete_restore(spark, sf_dir):
+    index, v = _index(spark, sf_dir, "restore")
+    gone = v.where("id % 7 = 0").select("id")
+    _, index = index.remove(gone)
+    _, index = index.restore(gone.where("id % 2 = 0"))
+    return index.search(_queries(v), 10)
+
+
+def reinsert_topk(spark, sf_dir):
+    """Every seventh id gets the negated vector of its own slot."""
+    index, v = _index(spark, sf_dir, "reinsert")
+    gone = v.where("id % 7 = 0")
+    _, index = index.remove(gone.select("id"))
+    _, index = index.reinsert(v.where("id % 7 in (0, 1)").select("id", F.transform("embedding", lambda x: -x).alias("embedding")))
+    return index.search(_queries(v), 10)
+
+
+def grow_topk(spark, sf_dir):
+    """The table twice: its rows again under ids beyond the first ones."""
+    index, v = _index(spark, sf_dir, "grow")
+    n = index.manifest.capacity
+    _, index = index.grow(2 * n)
+    _, index = index.insert(v.select((F.col("id") + n).alias("id"), "embedding"))
+    return index.search(_queries(v), 10)
+
+
+def index_counts(spark, sf_dir):
+    index, v = _index(spark, sf_dir, "counts")
+    _, index = index.insert(v)  # all refused
+    _, index = index.remove(v.where("id % 7 = 0").select("id"))
+    return index.counts().select("size", "deleted_count", "live_size")
+
+
+def change_stream(spark, sf_dir):
+    """The table as a stream of inserts, and then of removals, followed by an index."""
+    v = _vectors(spark, sf_dir)
+    n = v.agg(F.max("id")).first()[0] + 1
+    path, feed = scratch(spark, "stream"), scratch(spark, "feed")
+    VectorIndex.create(spark, path, IndexConfig(DIM), n)
+    v.select(F.lit("insert").alias("op"), "id", "embedding").write.parquet(f"{feed}/in")
+    stream = lambda: spark.readStream.schema(changes.CHANGE).parquet(f"{feed}/*")
+    changes.follow(stream(), path, f"{path}/checkpoint").awaitTermination()
+    v.where("id % 7 = 0").select(F.lit("remove").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding")).write.parquet(f"{feed}/out")
+    changes.follow(stream(), path, f"{path}/checkpoint").awaitTermination()
+    return VectorIndex.open(spark, path).search(_queries(v), 10)
+
+
+# -- evaluation -----------------------------------------------------------------------------------
+
+
+def recall_by_ef(spark, sf_dir):
+    v, codes, q = _all(spark, sf_dir)
+    truth = S.cosine_top(v, q, 10)
+    parts = [evaluate.recall(S.search_exact_reranked(codes, v, q, DIM, 10, ef), truth, 10).select(F.lit(ef).alias("ef"), "hits", F.round("recall", 6).alias("recall")) for ef in (10, 50, 100, 200)]
+    return S._union(parts)
+
+
+def cosine_corr_mae(spark, sf_dir):
+    h = F.col("distance")
+    pairs = _pairs(spark, sf_dir).select(C.hamming_words([F.col("w0")], [F.col("q_w0")]).alias("distance"), C.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    both = pairs.select("score", C.approx_cosine(h, DIM).alias("approx"))
+    r, e = evaluate.correlation(both, "score", "approx"), evaluate.mean_absolute_error(both, "score", "approx")
+    return r.crossJoin(e).select(F.round("pearson", 6).alias("pearson"), F.round("mae", 6).alias("mae"))  # of one row each
+
+
+def quantization_error_identity(spark, sf_dir):
+    return _vectors(spark, sf_dir).agg(F.round(quantization_error(F.col("embedding")), 6).alias("error"))
+
+
+def clamp_cases(spark, sf_dir):
+    rows = [(k, ef, limit, *clamp_kef(k, ef, limit)) for k, ef, limit in _CLAMPED]
+    return spark.createDataFrame(rows, "k int, ef int, ef_limit int, k_used int, ef_used int")
+
+
+_CLAMPED = [(10, 5, 256), (10, 100, 256), (300, 10, 256), (10, 1000, 256), (0, 0, 256), (256, 256, 256), (10, 100, 200)]
+
+
+def scan_limits(spark, sf_dir):
+    n = _vectors(spark, sf_dir).count()
+    return spark.createDataFrame([(ef, scan_limit(ef, n)) for ef in (10, 25, 50, 100, 200)], "ef int, scan_limit bigint")
+
+
+# -- rotation, graph, files ------------------------------------------------------------------------
+
+
+def itq_rotate_topk(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    model = RotationEstimator(iterations=10).fit(v, DIM)
+    codes = model.rotate_quantize(v).select("id", *WORDS)
+    turned = model.rotate(q).select("qid", F.col("rotated").alias("embedding"))
+    return S.search_exact_reranked(codes, v, q, DIM, 10, EF, code_queries=turned)
+
+
+def rotation_keeps_cosine(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    model = RotationEstimator(iterations=5).fit(v, DIM)
+    rv = model.rotate(v).select("id", F.col("rotated").alias("r"))
+    rq = F.broadcast(model.rotate(q).select("qid", F.col("rotated").alias("rq"), F.col("embedding").alias("q")))
+    pairs = rv.join(v, "id").crossJoin(rq)
+    off = F.abs(C.cosine(F.col("q"), F.col("embedding")) - C.cosine(F.col("rq"), F.col("r")))
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), (F.max(off) < 1e-4).alias("kept"))
+
+
+def rotation_file(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    model = RotationEstimator(iterations=3).fit(v, DIM)
+    datasources.register(spark)
+    raw = formats.rotation_bytes(model.matrix)
+    path = tempfile.mkdtemp(prefix="bitvane-") + "/rotation"
+    with open(path, "wb") as f:
+        f.write(raw)
+    back = spark.read.format("rotation").load(path).orderBy("row").collect()
+    same = [list(r["coeffs"]) for r in back] == [[float(x) for x in r] for r in model.matrix]
+    return spark.createDataFrame([(len(back), same)], "row_count int, same boolean")
+
+
+def _graph(spark, sf_dir, shards: int = 2):
+    v, codes, q = _all(spark, sf_dir)
+    config = IndexConfig(DIM, shards=shards)
+    nodes, edges = graph.build_graph(codes, config)
+    path = scratch(spark, "graph")
+    nodes.write.parquet(f"{path}/nodes")
+    edges.write.parquet(f"{path}/edges")
+    return codes, q, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), config
+
+
+def graph_search(spark, sf_dir):
+    codes, q, nodes, edges, config = _graph(spark, sf_dir)
+    return graph.search_graph(codes, nodes, edges, q, config, EF).where("rank <= 10").select("qid", "rank", "id", "distance")
+
+
+def graph_filtered(spark, sf_dir):
+    """By the planner: so small an allow-set is scanned, and the answer exact."""
+    codes, q, nodes, edges, config = _graph(spark, sf_dir)
+    v = _vectors(spark, sf_dir)
+    allow = v.where("label = 3").select("id")
+    if filters.choose_pool(allow, EF, v.count(), config, True) is filters.Pool.GRAPH:
+        return graph.search_graph(codes, nodes, edges, q, config, EF, allow).where("rank <= 10").select("qid", "rank", "id", "distance")
+    return S.search(codes, q, DIM, 10, allow=allow)
+
+
+def integrity_violations(spark, sf_dir):
+    codes, _, nodes, edges, config = _graph(spark, sf_dir)
+    return integrity.violations(nodes, edges, codes, config)
+
+
+def graph_levels(spark, sf_dir):
+    _, _, nodes, _, _ = _graph(spark, sf_dir)
+    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def graph_memory(spark, sf_dir):
+    _, _, nodes, edges, config = _graph(spark, sf_dir)
+    return graph.memory_bytes(nodes, edges, config)
+
+
+def graph_file(spark, sf_dir):
+    """A graph written as a file and read again has the same links."""
+    _, _, nodes, edges, config = _graph(spark, sf_dir, shards=1)
+    datasources.register(spark)
+    path = tempfile.mkdtemp(prefix="bitvane-") + "/graph"
+    n = nodes.count()
+    datasources.write_graph(path, nodes, edges, config, n)
+    again_nodes, again_edges = datasources.read_graph(spark, path, dim=DIM, capacity=n, m=config.m)
+    lost = nodes.exceptAll(again_nodes).count() + edges.exceptAll(again_edges).count() + again_edges.exceptAll(edges).count()
+    return spark.createDataFrame([(n, lost)], "nodes bigint, differences bigint")
+
+
+def codes_file(spark, sf_dir):
+    """Codes written as a file and read again: their ones, from the file's bytes."""
+    _, codes, _ = _all(spark, sf_dir)
+    datasources.register(spark)
+    path = tempfile.mkdtemp(prefix="bitvane-") + "/codes"
+    datasources.write_codes(codes, path, DIM)
+    back = datasources.binary_to_codes(spark.read.format("signcodes").load(path), DIM)
+    return back.select("id", F.bit_count("w0").cast("int").alias("ones"))
+
+
+# -- SQL functions ---------------------------------------------------------------------------------
+
+
+def sql_functions(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    SQL.register(spark)
+    v.createOrReplaceTempView("vs_vectors")
+    q.createOrReplaceTempView("vs_queries")
+    return spark.sql(
+        """
+        WITH x AS (SELECT id, embedding, vs_quantize(embedding) AS code FROM vs_vectors),
+             y AS (SELECT qid, embedding AS q, vs_quantize(embedding) AS q_code FROM vs_queries)
+        SELECT /*+ BROADCAST(y) */ qid, id, vs_hamming(code, q_code) AS distance,
+               round(vs_cosine(q, embedding), 6) AS score, round(vs_asym_score(q, code), 6) AS asym
+        FROM x CROSS JOIN y
+        """
+    )
+
+
+def knn_udtf(spark, sf_dir):
+    v, _, _ = _all(spark, sf_dir)
+    SQL.register(spark, table=v)
+    v.createOrReplaceTempView("vs_vectors")
+    return spark.sql("SELECT t.rank, t.id, t.score FROM (SELECT embedding FROM vs_vectors WHERE id = 0) q, LATERAL knn(q.embedding, 10, 100) t")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        search_exact_reranked, quantize_bits, hamming_pairs, approx_cosine, cosine_pairs, asym_score, hamming_topk, single_reranked, single_exact_reranked,
+        hamming_topk_batch, hamming_topk_blocks, cosine_topk, search_reranked, knn_join_labels, bands_search, bands_topk,
+        filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
+        delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
+        clamp_cases, scan_limits, itq_rotate_topk, rotation_keeps_cosine, rotation_file, graph_search, graph_filtered, integrity_violations,
+        graph_levels, graph_memory, graph_file, codes_file, sql_functions, knn_udtf,
+    )
+}
+
+# -- the same in SQL -------------------------------------------------------------------------------
+
+_Q = "q AS (SELECT vec_id AS qid, embedding AS q, label AS own FROM embeddings WHERE vec_id % 50 = 0)"
+_DISTANCE = "CAST(list_sum(list_transform(list_zip(q.q, v.embedding), lambda t: CAST((t[1] > 0) <> (t[2] > 0) AS INT))) AS INT)"
+_COSINE = "round(list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6)"
+_ASYM = "round(list_sum(list_transform(list_zip(q.q, v.embedding), lambda t: CASE WHEN t[2] > 0 THEN CAST(t[1] AS DOUBLE) ELSE -CAST(t[1] AS DOUBLE) END)), 6)"
+
+
+def _top(rows: str, k: int = 10, order: str = "distance, id") -> str:
+    return f"SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}) AS INT) AS rank FROM ({rows}) QUALIFY rank <= {k}"
+
+
+def _near(where: str = "TRUE", table: str = "embeddings") -> str:
+    return f"SELECT q.qid, v.vec_id AS id, {_DISTANCE} AS distance FROM q, {table} v WHERE {where}"
+
+
+def _hamming_sql(where: str = "TRUE", k: int = 10, table: str = "embeddings", more: str = "") -> str:
+    return f"WITH {_Q}{more} SELECT qid, rank, id, distance FROM ({_top(_near(where, table), k)})"
+
+
+def _reranked_sql(score: str, where: str = "TRUE", ef: int = EF, queries: str = "TRUE") -> str:
+    pool = _top(_near(f"({where}) AND {queries}"), ef)
+    scored = f"SELECT p.qid, p.id, {score} AS score FROM pool p JOIN q ON p.qid = q.qid JOIN embeddings v ON p.id = v.vec_id"
+    return f"WITH {_Q}, pool AS ({pool}) SELECT qid, rank, id, score FROM ({_top(scored, 10, 'score DESC, id')})"
+
+
+_FIRST = "q.qid = (SELECT min(qid) FROM q)"
+_TRUTH = _top(f"SELECT q.qid, v.vec_id AS id, {_COSINE} AS score FROM q, embeddings v", 10, "score DESC, id")
+_RECALL = f"""
+WITH {_Q}, e AS (SELECT unnest([10, 50, 100, 200]) AS ef), pool AS ({_top(_near(), 200)}), truth AS ({_TRUTH}),
+scored AS (SELECT e.ef, p.qid, p.id, {_COSINE} AS score FROM e JOIN pool p ON p.rank <= e.ef JOIN q ON p.qid = q.qid JOIN embeddings v ON p.id = v.vec_id),
+found AS (SELECT *, row_number() OVER (PARTITION BY ef, qid ORDER BY score DESC, id) AS r FROM scored QUALIFY r <= 10)
+SELECT CAST(ef AS INT) AS ef, count(truth.id) AS hits, round(count(truth.id) / ((SELECT count(*) FROM q) * 10.0), 6) AS recall
+FROM found LEFT JOIN truth ON found.qid = truth.qid AND found.id = truth.id GROUP BY ef
+"""
+_ONES = "CAST(list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INT))) AS INT)"
+_REPLACED = "(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings)"
+_DOUBLED = "(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings), embedding FROM embeddings)"
+
+ORACLE_SQL = {
+    "quantize_bits": f"SELECT vec_id AS id, {_ONES} AS ones, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM embeddings",
+    "hamming_pairs": f"WITH {_Q} {_near()}",
+    "approx_cosine": f"WITH {_Q} SELECT qid, id, round(cos(pi() * distance / {DIM}), 6) AS approx FROM ({_near()})",
+    "cosine_pairs": f"WITH {_Q} SELECT q.qid, v.vec_id AS id, {_COSINE} AS score FROM q, embeddings v",
+    "asym_score": f"WITH {_Q} SELECT q.qid, v.vec_id AS id, {_ASYM} AS score FROM q, embeddings v",
+    "hamming_topk": f"WITH {_Q} SELECT rank, id, distance FROM ({_top(_near(_FIRST))})",
+    "single_reranked": f"SELECT rank, id, score FROM ({_reranked_sql(_ASYM, queries=_FIRST)})",
+    "single_exact_reranked": f"SELECT rank, id, score FROM ({_reranked_sql(_COSINE, queries=_FIRST)})",
+    "knn_udtf": f"SELECT rank, id, score FROM ({_reranked_sql(_COSINE, queries='q.qid = 0')})",
+    "hamming_topk_batch": _hamming_sql(),
+    "hamming_topk_blocks": _hamming_sql(),
+    "bands_topk": _hamming_sql(),
+    "bands_search": f"WITH {_Q} SELECT * FROM ({_near()}) WHERE distance <= 15",
+    "cosine_topk": f"WITH {_Q} SELECT qid, rank, id, score FROM ({_TRUTH})",
+    "search_reranked": _reranked_sql(_ASYM),
+    "search_exact_reranked": _reranked_sql(_COSINE),
+    "knn_join_labels": f"WITH {_Q} SELECT t.qid, CAST(sum(CAST(v.label = q.own AS INT)) AS INT) AS agree FROM ({_top(_near())}) t JOIN embeddings v ON t.id = v.vec_id JOIN q ON t.qid = q.qid GROUP BY t.qid",
+    "filtered_topk_allow": _hamming_sql("v.label = 3"),
+    "graph_filtered": _hamming_sql("v.label = 3"),
+    "filtered_topk_predicate": _hamming_sql("v.label IN (1, 2)"),
+    "filtered_topk_sparse": _hamming_sql("v.vec_id % 17 = 4"),
+    "filtered_topk_empty": _hamming_sql("v.label < 0"),
+    "deleted_topk": _hamming_sql("v.vec_id % 7 <> 0"),
+    "change_stream": _hamming_sql("v.vec_id % 7 <> 0"),
+    "filter_and_delete": _reranked_sql(_ASYM, "v.label IN (3, 4) AND v.vec_id % 7 <> 0"),
+    "delete_restore": _hamming_sql("v.vec_id % 7 <> 0 OR v.vec_id % 2 = 0"),
+    "reinsert_topk": _hamming_sql(table=_REPLACED),
+    "grow_topk": _hamming_sql(table=_DOUBLED),
+    "allow_count": "SELECT count(*) AS allowed FROM embeddings WHERE label = 3",
+    "index_counts": "SELECT count(*) AS size, count(*) FILTER (vec_id % 7 = 0) AS deleted_count, count(*) FILTER (vec_id % 7 <> 0) AS live_size FROM embeddings",
+    "recall_by_ef": _RECALL,
+    "cosine_corr_mae": f"WITH {_Q}, p AS (SELECT list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s, cos(pi() * {_DISTANCE} / {DIM}) AS a FROM q, embeddings v) SELECT round(corr(s, a), 6) AS pearson, round(avg(abs(s - a)), 6) AS mae FROM p",
+    "quantization_error_identity": "SELECT round(avg(list_avg(list_transform(embedding, lambda x: power((CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) - CAST(x AS DOUBLE), 2)))), 6) AS error FROM embeddings",
+    "clamp_cases": "SELECT k, ef, ef_limit, least(k, ef_limit) AS k_used, least(greatest(ef, least(k, ef_limit)), ef_limit) AS ef_used FROM (VALUES "
+    + ", ".join(f"(CAST({a} AS INT), CAST({b} AS INT), CAST({c} AS INT))" for a, b, c in _CLAMPED)
+    + ") t(k, ef, ef_limit)",
+    "scan_limits": "SELECT CAST(ef AS INT) AS ef, greatest(16 * ef, (SELECT count(*) FROM embeddings) // 8) AS scan_limit FROM (SELECT unnest([10, 25, 50, 100, 200]) AS ef)",
+    "rotation_keeps_cosine": "SELECT count(*) * (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS pairs, TRUE AS kept FROM embeddings",
+    "rotation_file": f"SELECT CAST({DIM} AS INT) AS row_count, TRUE AS same",
+    "integrity_violations": "SELECT '' AS rule, CAST(0 AS BIGINT) AS id WHERE FALSE",
+    "graph_file": "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS differences FROM embeddings",
+    "codes_file": f"SELECT vec_id AS id, {_ONES} AS ones FROM embeddings",
+    "sql_functions": f"WITH {_Q} SELECT q.qid, v.vec_id AS id, {_DISTANCE} AS distance, {_COSINE} AS score, {_ASYM} AS asym FROM q, embeddings v",
+}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "RotationModel", "scratch"]
