@@ -9,6 +9,7 @@ compared. The k nearest are complete where the k-th is within the radius.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from .search import eligible
 
+#: Values that one band of a query may be widened to.
+MAX_PROBES = 5000
+
 
 def band_bits(dim: int, bands: int) -> list[tuple[int, int, int]]:
     """(word, first bit, bits) of each band: none crosses a word, none is wider than 32 bits."""
@@ -39,7 +43,9 @@ def _value(words: list[Column], band: tuple[int, int, int]) -> Column:
 
 
 def _masks(size: int, radius: int) -> list[int]:
-    """All differences of up to radius bits."""
+    """All differences of up to radius bits; refused where they are too many to join on."""
+    if sum(comb(size, r) for r in range(min(radius, size) + 1)) > MAX_PROBES:
+        raise ValueError(f"bands of {size} bits need more than {MAX_PROBES} probes for {radius} differing bits: use more bands or a smaller radius")
     return [sum(1 << b for b in chosen) for r in range(min(radius, size) + 1) for chosen in combinations(range(size), r)]
 
 

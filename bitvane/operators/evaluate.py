@@ -22,8 +22,9 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Pearson's r of two columns, 0 where one doesn't vary."""
-    r = F.corr(a, b)
-    return df.agg(F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias("pearson"))
+    # corr() itself divides by zero in ANSI mode
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return df.agg(F.coalesce(r, F.lit(0.0)).alias("pearson"))
 
 
 def mean_absolute_error(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -234,7 +234,9 @@ def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries:
                 out += [(int(qid), key, d) for d, key in g.search(code, ef, admitted)]
         return pd.DataFrame(out, columns=["qid", "id", "distance"])
 
-    found = left.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(run, "qid bigint, id bigint, distance int")
+    # new names for the columns: both tables may come from one build, unwritten
+    links = edges.select(F.col("shard").alias("of"), "src", "layer", "pos", "dst")
+    found = left.groupBy("shard").cogroup(links.groupBy("of")).applyInPandas(run, "qid bigint, id bigint, distance int")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= ef)
 
