@@ -9,8 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,15 +41,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/bitvane/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_quietly_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again.
 
     The files outlive the loss of any executor, and go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bitvane/{tag}-{uuid.uuid4().hex}"
+    bound_batches(spark)
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    atexit.register(_quietly_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,16 +8,19 @@ same on every machine and in every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text that are hashed at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,6 +91,14 @@ def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, int, Block]]:
         size += length
     if at < len(texts):
         yield at, len(texts), Block(texts[at:])
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory: a worker that waits for its next task shares the executor's limit with others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def shingles(block: Block, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize, table, text_or_empty
 from ._tokens import WordTokenizer
+from ._words import give_back
 
 #: A piece of the plan: items of class cls and ranks lo..hi-1. kind "fill": item lo + r is placed in
 #: sequence first + r // each at offset + (r % each) * the class's length. kind "cut": the first
@@ -230,12 +231,14 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFram
                 whole.append([_crc(ids[i : i + window]) for i in range(0, full, window)])
                 rest.append(_held(ids[full:]))
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "doc_tokens": n, "whole": whole, "rest": rest})
+        tokenizer.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInPandas(run, f"doc_id {kind}, doc_tokens bigint, whole array<bigint>, rest binary")
 
 
-def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, run_rows: int = 20_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, run_rows: int = 8_000) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Items are ranked in runs of about run_rows documents, dealt by a hash of the row's number.
@@ -290,7 +293,7 @@ def _running(by_run: DataFrame, block: int = 1000) -> DataFrame:
     """(run, runs_before): the sum of wholes over all earlier runs, by blocks of runs and then over the blocks."""
     blocked = by_run.withColumn("block", (F.col("run") / block).cast("int"))
     sums = blocked.groupBy("block").agg(F.sum("wholes").alias("sum"))
-    # runs / block rows: a thousandth of a 20,000th of the documents
+    # runs / block rows: one for each eight million documents
     earlier = sums.select("block", F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("blocks_before"))
     within = Window.partitionBy("block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     return blocked.withColumn("own", F.coalesce(F.sum("wholes").over(within), F.lit(0))).join(earlier, "block").select("run", (F.col("own") + F.col("blocks_before")).alias("runs_before"))
