@@ -50,7 +50,8 @@ def verdicts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **filter
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     each = narrow.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # written, so that both sides of the join are plain exchanges and a hot text's ids can be split over tasks
+    groups = materialize(each.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "op5-groups")
     decided = each.join(groups, "text_sha256").select(
         "doc_id",
         "keep_id",
