@@ -1,10 +1,11 @@
 """Language ID by mixture inference.
 
-Each learned language has a table of hashed byte n-grams (orders one to four, interpolated) that
-gives every word of a text a likelihood. A text is a mixture of languages over its words:
+Each learned language has a table of hashed byte n-grams (at each byte of a word, the four bytes up
+to it, fewer at its start; smoothed towards all languages together) that gives every word of a
+text a likelihood. A text is a mixture of languages over its words:
 expectation-maximisation estimates the proportions, for nested sets of languages, largest share
-first. The set whose log likelihood, less a penalty of log(words) a language, is best is the
-text's language set; the prediction is its largest member, and the score that member's share.
+first. The set whose log likelihood, less a multiple of log(words) for each further language, is
+best is the text's language set; the prediction is its largest member, and the score that member's share.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing was
 learned; rows whose lang is null teach nothing; repeated rows get the same answer; ties go to the
@@ -180,7 +181,7 @@ def identify(docs: DataFrame, model: MixtureModel, text: str = "text", lang_col:
     return (out.withColumn(set_col, F.col(f"{got}.shares")) if set_col else out).drop(got)
 
 
-def keep_identified(docs: DataFrame, model: MixtureModel, text: str = "text", least_share: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: MixtureModel, text: str = "text", least_share: float = 0.4) -> DataFrame:
     """The rows of docs in one learned language for at least that share, with the columns of docs."""
     lang, share = fresh(docs, "lang", "share")
     found = identify(docs, model, text, lang, share, None)

@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import materialize, shared_folder, table
+from ._spark import materialize, scratch_path, table
 
 GROUP = ("source", "lang", "tokenizer_version")
 ENTRY = "doc_id bigint, source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint"
@@ -162,7 +162,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     makers = {"byte_bpe_50k": BpeCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)}
-    ledger = Ledger(spark, f"{shared_folder(spark)}/bitvane/op10-{uuid.uuid4().hex}")
+    ledger = Ledger(spark, scratch_path(spark, "op10"))
     ledger.insert("0001-ingest", docs, makers)
     ledger.delete("0002-quality", table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"))
     new = collapsed()

@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which half or more is in one learned language; texts without letters go."""
+    """Rows of which two fifths or more are in one learned language; other mixtures and texts without letters go."""
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
