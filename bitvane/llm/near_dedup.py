@@ -214,9 +214,11 @@ def _residual(bucketed: DataFrame, compared: DataFrame, comp: DataFrame) -> Data
     """
     known = compared.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("far"))
     rows = bucketed.where("rep <> pivot").join(known, ["pivot", "rep"]).join(comp, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    rows = materialize(rows, "op9-distances")
     each = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("own"))
     buckets = each.groupBy("bucket").agg(F.max_by("class", F.struct("own", "class")).alias("most"), F.sum("own").alias("n"), F.max("own").alias("top"))
-    buckets = buckets.where("n > top").select("bucket", "most", "n", (F.col("n") - F.col("top")).alias("out"))
+    # written too: the join is then of plain exchanges, and a hot bucket can be split over tasks
+    buckets = materialize(buckets.where("n > top").select("bucket", "most", "n", (F.col("n") - F.col("top")).alias("out")), "op9-open")
     return rows.join(buckets, "bucket").select("bucket", "rep", "class", (F.col("class") == F.col("most")).alias("main"), "far", "n", "out")
 
 
@@ -283,7 +285,8 @@ def _grouped(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
     groups = materialize(groups.withColumn("rep", F.monotonically_increasing_id()), "op9-groups")
     signed = groups.select("rep", F.explode("bands").alias("bucket"))
     shared = signed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    bucketed = materialize(signed.join(shared, "bucket"), "op9-buckets")
+    # written, so that both sides of the join are plain exchanges and a hot bucket can be split over tasks
+    bucketed = materialize(signed.join(materialize(shared, "op9-shared"), "bucket"), "op9-buckets")
 
     looked_at = groups.join(bucketed.select("rep").distinct(), "rep").select("rep", "key", "doc_id")
     looked_at = materialize(looked_at, "op9-candidates")
@@ -336,7 +339,7 @@ def near_dedup(
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     members, groups = _grouped(docs, threshold, width, bands, rows, block_rows)
     shared = groups.where("class_size > 1")
-    ids = materialize(members.join(shared.select("key"), "key").select("doc_id").distinct(), "op9-shared")
+    ids = materialize(members.join(shared.select("key"), "key").select("doc_id").distinct(), "op9-doubtful")
     blocks_ = _bloom.block_count(ids.count(), 16, MAX_FILTER_BYTES)
     h = F.xxhash64(F.col(f"`{doc_id}`"))
     flagged, maybe = _bloom.flag(df, h, _bloom.build(ids, F.xxhash64("doc_id"), blocks_), blocks_)
