@@ -193,7 +193,18 @@ def _matrix(part: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarra
 
 
 def build_graph(codes: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of codes (id, w0..). One pass: each shard gives its rows of both tables, tagged."""
+    """(nodes, edges) of codes (id, w0..). Each is computed when it is read: to build once, write build_rows() and split that."""
+    return split_rows(build_rows(codes, config))
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of what build_rows() gives."""
+    nodes = rows.where("layer < 0").select("shard", "id", "level", F.lit(False).alias("deleted"))
+    return nodes, rows.where("layer >= 0").select("shard", F.col("id").alias("src"), "layer", "pos", "dst")
+
+
+def build_rows(codes: DataFrame, config: IndexConfig) -> DataFrame:
+    """One pass over codes (id, w0..): each shard gives its rows of both tables, nodes with layer -1."""
     names = C.word_names(config.dim)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -206,9 +217,9 @@ def build_graph(codes: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataF
         edges["level"] = -1
         return pd.concat([nodes, edges[nodes.columns]], ignore_index=True)
 
-    rows = _sharded(codes.select("id", *names), config.shards).groupBy("shard").applyInPandas(run, "shard int, id bigint, level int, layer int, pos int, dst bigint")
-    nodes = rows.where("layer < 0").select("shard", "id", "level", F.lit(False).alias("deleted"))
-    return nodes, rows.where("layer >= 0").select("shard", F.col("id").alias("src"), "layer", "pos", "dst")
+    # a number of partitions that was asked for is kept, so small shards still build side by side
+    dealt = _sharded(codes.select("id", *names), config.shards).repartition(config.shards, "shard")
+    return dealt.groupBy("shard").applyInPandas(run, "shard int, id bigint, level int, layer int, pos int, dst bigint")
 
 
 def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None) -> DataFrame:
@@ -236,6 +247,7 @@ def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries:
 
     # new names for the columns: both tables may come from one build, unwritten
     links = edges.select(F.col("shard").alias("of"), "src", "layer", "pos", "dst")
+    left, links = left.repartition(config.shards, "shard"), links.repartition(config.shards, "of")
     found = left.groupBy("shard").cogroup(links.groupBy("of")).applyInPandas(run, "qid bigint, id bigint, distance int")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= ef)

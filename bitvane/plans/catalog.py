@@ -134,6 +134,11 @@ def cosine_topk(spark, sf_dir):
     return S.cosine_top(v, q, 10)
 
 
+def cosine_topk_blocks(spark, sf_dir):
+    v, _, q = _all(spark, sf_dir)
+    return S.cosine_top(v, q, 10, method="blocks")
+
+
 def search_reranked(spark, sf_dir):
     _, codes, q = _all(spark, sf_dir)
     return S.search_reranked(codes, q, DIM, 10, EF)
@@ -256,7 +261,7 @@ def change_stream(spark, sf_dir):
 
 def recall_by_ef(spark, sf_dir):
     v, codes, q = _all(spark, sf_dir)
-    truth = S.cosine_top(v, q, 10)
+    truth = S.cosine_top(v, q, 10, method="blocks")
     parts = [evaluate.recall(S.search_exact_reranked(codes, v, q, DIM, 10, ef), truth, 10).select(F.lit(ef).alias("ef"), "hits", F.round("recall", 6).alias("recall")) for ef in (10, 50, 100, 200)]
     return S._union(parts)
 
@@ -320,14 +325,12 @@ def rotation_file(spark, sf_dir):
     return spark.createDataFrame([(len(back), same)], "row_count int, same boolean")
 
 
-def _graph(spark, sf_dir, shards: int = 2):
+def _graph(spark, sf_dir, shards: int = 8):
     v, codes, q = _all(spark, sf_dir)
     config = IndexConfig(DIM, shards=shards)
-    nodes, edges = graph.build_graph(codes, config)
     path = scratch(spark, "graph")
-    nodes.write.parquet(f"{path}/nodes")
-    edges.write.parquet(f"{path}/edges")
-    return codes, q, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), config
+    graph.build_rows(codes, config).write.parquet(path)
+    return codes, q, *graph.split_rows(spark.read.parquet(path)), config
 
 
 def graph_search(spark, sf_dir):
@@ -412,7 +415,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_exact_reranked, quantize_bits, hamming_pairs, approx_cosine, cosine_pairs, asym_score, hamming_topk, single_reranked, single_exact_reranked,
-        hamming_topk_batch, hamming_topk_blocks, cosine_topk, search_reranked, knn_join_labels, bands_search, bands_topk,
+        hamming_topk_batch, hamming_topk_blocks, cosine_topk, cosine_topk_blocks, search_reranked, knn_join_labels, bands_search, bands_topk,
         filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
         delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
         clamp_cases, scan_limits, itq_rotate_topk, rotation_keeps_cosine, rotation_file, graph_search, graph_filtered, integrity_violations,
@@ -474,6 +477,7 @@ ORACLE_SQL = {
     "bands_topk": _hamming_sql(),
     "bands_search": f"WITH {_Q} SELECT * FROM ({_near()}) WHERE distance <= 15",
     "cosine_topk": f"WITH {_Q} SELECT qid, rank, id, score FROM ({_TRUTH})",
+    "cosine_topk_blocks": f"WITH {_Q} SELECT qid, rank, id, score FROM ({_TRUTH})",
     "search_reranked": _reranked_sql(_ASYM),
     "search_exact_reranked": _reranked_sql(_COSINE),
     "knn_join_labels": f"WITH {_Q} SELECT t.qid, CAST(sum(CAST(v.label = q.own AS INT)) AS INT) AS agree FROM ({_top(_near())}) t JOIN embeddings v ON t.id = v.vec_id JOIN q ON t.qid = q.qid GROUP BY t.qid",
