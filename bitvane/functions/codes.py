@@ -128,9 +128,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_by_norms(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    """The same with the lengths given: worth it where a row meets many others."""
-    both = norm_a * norm_b
-    return F.when(both == 0, F.lit(0.0)).otherwise(_dot(a, b) / F.when(both == 0, F.lit(1.0)).otherwise(both))
+    """The same with the lengths given: worth it where a row meets many others.
+
+    Written so that each argument is evaluated once: higher-order functions are not shared between
+    the branches of a CASE.
+    """
+    return F.coalesce(F.try_divide(_dot(a, b), norm_a * norm_b), F.lit(0.0))
 
 
 def asymmetric(query: Column, vector: Column) -> Column:
@@ -156,7 +159,7 @@ def _under(word: Column):
 
 def ranked_score(score: Column, digits: int = 6) -> Column:
     """A score as rows are ranked by: rounded, with NaN below all others."""
-    return F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(F.round(score, digits))
+    return F.round(F.nanvl(score, F.lit(float("-inf"))), digits)
 
 
 # -- the same in numpy, for workers ------------------------------------------------------------

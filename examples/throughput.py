@@ -17,7 +17,7 @@ from bitvane.operators import search as S
 
 
 def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) -> None:
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     folder = tempfile.mkdtemp(prefix="bitvane-throughput-")
     evaluate.clustered(spark, n + queries, dim, 1000, seed=1, partitions=16).write.parquet(f"{folder}/vectors")
