@@ -4,9 +4,13 @@ Markup is stripped into lines, one for each block of the page; containers that h
 by their kind or name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) leave blank lines behind. Text lengths are summed over sliding windows of
 lines. Where the sums rise from nothing is a surge point, where they fall to nothing a dive point;
-the text between the two is a run. Runs inside an article or main element are the main text. A
-page without such an element keeps the runs whose highest window sum reaches half of the page's
-highest, unless they are mostly link text.
+the text between the two is a run. Runs inside an article or main element are the main text.
+
+On a page without such an element, runs that only a dropped container parts are one text where the
+line before it and the line after it lie in the same div, or one in a div that holds the other's.
+Texts from the first with a dense window (40 characters outside links in 3 lines, whatever the rest
+of the page holds) to the last are kept, and so are those before them that have a heading; what
+is mostly link text is not. A page without dense text keeps all but the link text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by a line feed.
@@ -20,9 +24,10 @@ clash with the output are replaced by it.
 from __future__ import annotations
 
 import html as html_entities
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -60,14 +65,28 @@ DROPPED_NAMES = frozenset(
     "pagination pager toolbar footer masthead topbar copyright disclaimer comment comments commentlist disqus respond replies reply "
     "discussion responses complementary contentinfo search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PREFIXES_THAT_TELL_OF_THE_REST = frozenset("has with without no not is".split())
 
 
+@dataclass
+class Div:
+    """A div by the numbers of the first and the last div in it, itself counted, in the page's order."""
+
+    first: int = 0
+    last: float = math.inf
+
+    def holds(self, other: Div) -> bool:
+        return self.first <= other.first <= self.last
+
+
 @dataclass
 class Line:
     text: str
     inside: bool  # an article or main element
     links: int  # characters of it in links
+    div: Div = field(default_factory=Div)  # the innermost; the page itself is number 0
+    heading: bool = False
 
 
 def _dropped(name: str, attributes: str, inside: bool) -> bool:
@@ -97,15 +116,17 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
     out: list[Line | None] = []
     text: list[str] = []
     links = [0]
-    stack: list[tuple[str, bool, bool]] = []  # (element, dropped, inside)
-    dropped = inside = False
+    stack: list[tuple[str, bool, bool, Div]] = []  # (element, and what held outside it: dropped, inside, div)
+    dropped = inside = heading = False
+    div = Div()
+    divs = 0
     in_link = 0
 
     def end_line() -> None:
         if text:
             got = " ".join(html_entities.unescape("".join(text)).split())
             if got:
-                out.append(Line(got, inside, links[0]))
+                out.append(Line(got, inside, links[0], div, heading))
             text.clear()
         links[0] = 0
 
@@ -134,10 +155,11 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
             in_link = 0 if closing else 1
         if name in BLOCKS:
             end_line()
+            heading = not closing and name in HEADINGS
         if name not in CONTAINERS or attributes.endswith("/"):
             continue
         if not closing:
-            stack.append((name, dropped, inside))
+            stack.append((name, dropped, inside, div))
             now_inside = inside or name in ("article", "main")
             if not dropped and not all_text and _dropped(name, attributes, inside):
                 if name in ("span", "button"):
@@ -147,6 +169,9 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
                     out.extend([None] * window)
                 dropped = True
             inside = now_inside
+            if name == "div":
+                divs += 1
+                div = Div(divs)
             if len(stack) > 4096:  # nesting beyond any page: forget the outermost
                 del stack[0]
             continue
@@ -154,7 +179,11 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
             if stack[depth][0] == name:
                 if name in BLOCKS:
                     end_line()
-                _, dropped, inside = stack[depth]
+                for _, _, _, outer in reversed(stack[depth:]):
+                    if outer is not div:
+                        div.last = divs
+                        div = outer
+                _, dropped, inside, _ = stack[depth]
                 del stack[depth:]
                 break
     if at < len(page):
@@ -180,23 +209,47 @@ def runs(lines: list[Line | None], window: int = 3) -> list[tuple[int, int, int]
     return out
 
 
-def main_text(page: str | None, window: int = 3, share_of_peak: float = 0.5, most_links: float = 0.5) -> str:
+def main_text(page: str | None, window: int = 3, dense: int = 40, most_links: float = 0.5) -> str:
     if not page:
         return ""
     lines = lines_of(page, window)
     if any(x and x.inside for x in lines):
         lines = [x if x and x.inside else None for x in lines]
-        kept = runs(lines, window)
+        kept = [x for surge, dive, _ in runs(lines, window) for x in lines[surge:dive] if x]
     else:
-        found = runs(lines, window)
-        peak = max((top for _, _, top in found), default=0)
-        kept = [r for r in found if r[2] >= share_of_peak * peak and _links(lines[r[0] : r[1]]) <= most_links]
-    return "\n".join(x.text for surge, dive, _ in kept for x in lines[surge:dive] if x)
+        found = texts([[x for x in lines[surge:dive] if x] for surge, dive, _ in runs(lines, window)], most_links)
+        found = [x for x in found if _links(x) <= most_links]
+        has = [i for i, x in enumerate(found) if _peak(x, window) >= dense]
+        if has:
+            found = [x for i, x in enumerate(found) if i <= has[-1] and (i >= has[0] or any(line.heading for line in x))]
+        kept = [line for x in found for line in x]
+    return "\n".join(x.text for x in kept)
+
+
+def texts(parts: list[list[Line]], most_links: float = 0.5) -> list[list[Line]]:
+    """Runs, joined where the text goes on in the same div; one of links only in the very same."""
+    out: list[list[Line]] = []
+    linked = False
+    for part in parts:
+        before, linked = linked, _links(part) > most_links
+        if out:
+            a, b = out[-1][-1].div, part[0].div
+            if a is b and a.first or not (before or linked) and (a.holds(b) or b.holds(a)):
+                out[-1].extend(part)
+                continue
+        out.append(list(part))
+    return out
+
+
+def _peak(lines: list[Line], window: int) -> int:
+    """The highest window sum of characters outside links."""
+    sizes = [max(len(x.text) - x.links, 0) for x in lines]
+    return max(sum(sizes[i : i + window]) for i in range(len(sizes)))
 
 
-def _links(lines: list[Line | None]) -> float:
-    total = sum(len(x.text) for x in lines if x)
-    return sum(x.links for x in lines if x) / total if total else 0.0
+def _links(lines: list[Line]) -> float:
+    total = sum(len(x.text) for x in lines)
+    return sum(x.links for x in lines) / total if total else 0.0
 
 
 def plain_text(page: str | None) -> str:

@@ -219,6 +219,30 @@ def test_main_text_without_an_article():
     assert got.count("\n") == 1 and "Buy" not in got and "One" not in got and "link" not in got
 
 
+ADVERT = "<div class=ad>Buy</div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><h1>T</h1>{'<p>' + 'a' * 600 + '</p>'}<p>{'b' * 600}</p><p>{'c' * 600}</p>{ADVERT}<p>{'d' * 200}</p></div>", ["T", "a" * 600, "b" * 600, "c" * 600, "d" * 200]),
+        (f"<div><h1>T</h1><p>Lead.</p>{ADVERT}<p>{'a' * 600}</p>{ADVERT}<p>End.</p></div>", ["T", "Lead.", "a" * 600, "End."]),
+        (f"<h1>T</h1>{ADVERT}<div><p>{'a' * 600}</p></div>{ADVERT}<p>End.</p>", ["T", "a" * 600, "End."]),
+        (f"<div><h1>T</h1></div>{ADVERT}<div><p>{'a' * 600}</p></div>", ["T", "a" * 600]),
+        (f"<div>{'a' * 100}</div>{ADVERT}<div>{'b' * 90000}</div>{ADVERT}<div>Mid.</div>{ADVERT}<div>{'c' * 100}</div>", ["a" * 100, "b" * 90000, "Mid.", "c" * 100]),
+        (f"<div><section>{'a' * 600}</section>{ADVERT}<ul><li>One<li>Two</ul></div>", ["a" * 600, "One", "Two"]),
+    ],
+)
+def test_main_text_goes_on_after_an_advert(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_main_text_is_from_the_first_surge_to_the_last_dive():
+    text = "<p>" + "Words of the text. " * 9 + "</p>"
+    page = f"<div>Site name</div>{ADVERT}<div>{text}</div>{ADVERT}<div><a href=x>{'One more link. ' * 9}</a></div>{ADVERT}<div>{text}</div>{ADVERT}<div>All rights kept</div>"
+    assert html_text.main_text(page).split("\n") == [("Words of the text. " * 9).strip()] * 2
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p class='", "<!--", "<script>", "</p></div>", "<article>", "&", "&#x110000;", "<a " * 2000, "<div>" * 6000, "<p>'" * 500])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str) and isinstance(html_text.plain_text(page), str)
