@@ -16,8 +16,9 @@ Character references are decoded, white space inside a block becomes one space,
 and joined by a line feed.
 
 Defined results: null or empty html, and html without such text, give the empty string; text
-outside all markup is a run like any other; tags that are never closed end with their parent, an
-unterminated tag at the end of the page is dropped; repeated rows give the same text. Columns that
+outside all markup is a run like any other; tags that are never closed end with their parent, a list
+item or table cell with the next one of its list or table at the latest; svg and math that close
+themselves are empty; an unterminated tag at the end of the page is dropped; repeated rows give the same text. Columns that
 clash with the output are replaced by it.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import html as html_entities
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +40,8 @@ from ._spark import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe|object|math|select|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"'/]++|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(script|style|noscript|template|textarea|title|svg|iframe|object|math|select|canvas|audio|video)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
@@ -55,6 +58,8 @@ BLOCKS = frozenset(
 )
 #: Of these, the ones whose nesting matters here.
 CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header li main menu nav ol section span table td ul".split())
+#: The parts of a table that end an open cell.
+CELL_ENDS = frozenset("caption tbody td tfoot th thead tr".split())
 #: Containers without article text, by element.
 DROPPED = frozenset("nav footer aside form menu head button dialog fieldset".split())
 #: Containers without article text, by a part of their class, id or role.
@@ -117,6 +122,8 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
     text: list[str] = []
     links = [0]
     stack: list[tuple[str, bool, bool, Div]] = []  # (element, and what held outside it: dropped, inside, div)
+    ends: list[tuple[int, int]] = [(-1, -1)]  # under each depth: of the item, and of the cell, that the next one ends
+    opened: dict[str, int] = defaultdict(int)  # how often an element is on the stack
     dropped = inside = heading = False
     div = Div()
     divs = 0
@@ -130,6 +137,16 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
             text.clear()
         links[0] = 0
 
+    def close(depth: int) -> None:
+        nonlocal dropped, inside, div
+        for name, _, _, outer in reversed(stack[depth:]):
+            opened[name] -= 1
+            if outer is not div:
+                div.last = divs
+                div = outer
+        _, dropped, inside, _ = stack[depth]
+        del stack[depth:], ends[depth + 1 :]
+
     def say(s: str) -> None:
         if not dropped and s:
             text.append(s)
@@ -156,9 +173,19 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
         if name in BLOCKS:
             end_line()
             heading = not closing and name in HEADINGS
+        item, cell = ends[-1]
+        if name == "li" and not closing and item >= 0:
+            close(item)
+        elif name in CELL_ENDS and cell >= 0 and not (closing and name in ("td", "th", "caption")):
+            close(cell)
         if name not in CONTAINERS or attributes.endswith("/"):
             continue
         if not closing:
+            item, cell = ends[-1]
+            item = len(stack) if name == "li" else item if name in ("div", "span") else -1
+            cell = len(stack) if name == "td" else -1 if name == "table" else cell
+            ends.append((item, cell))
+            opened[name] += 1
             stack.append((name, dropped, inside, div))
             now_inside = inside or name in ("article", "main")
             if not dropped and not all_text and _dropped(name, attributes, inside):
@@ -172,19 +199,14 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
             if name == "div":
                 divs += 1
                 div = Div(divs)
-            if len(stack) > 4096:  # nesting beyond any page: forget the outermost
-                del stack[0]
+            continue
+        if not opened[name]:
             continue
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] == name:
                 if name in BLOCKS:
                     end_line()
-                for _, _, _, outer in reversed(stack[depth:]):
-                    if outer is not div:
-                        div.last = divs
-                        div = outer
-                _, dropped, inside, _ = stack[depth]
-                del stack[depth:]
+                close(depth)
                 break
     if at < len(page):
         say(page[at:])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -243,6 +244,29 @@ def test_main_text_is_from_the_first_surge_to_the_last_dive():
     assert html_text.main_text(page).split("\n") == [("Words of the text. " * 9).strip()] * 2
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<nav><ul>" + "<li><a href=x>Menu</a>" * 5000 + "</ul></nav><article><p>Text.</p></article>", "Text."),
+        ("<aside>" + "<div>" * 5000 + "</div>" * 5000 + "</aside><p>Text.", "Text."),
+        ("<aside>" + "<section>x" * 5000 + "</aside><p>Text.", "Text."),
+        ("<article><table>" + "<tr><td>Cell." * 5000 + "</table></article><div>Outside.</div>", "\n".join(["Cell."] * 5000)),
+        ("<article><ul><li class=ad>Buy<li>One<ul><li>Two<li class=promo>Buy</ul><li>Three</ul>", "One\nTwo\nThree"),
+        ("<article><table><tr><td class=ad>Buy<td>One<tr><td class=ad><nav>Buy<tr><th>Two<td class=ad>Buy<table><td>Buy</table>Buy</tr><caption>Three</table>", "One\nTwo\nThree"),
+        ("<article><p>One <svg class='a>b' d=\"/>\" /> two <math/>three.</p><svg><path d=''/></svg><p>Four.</p></article>", "One two three.\nFour."),
+        ("<article><video-player src=x></video-player><p>Text.</p></article>", "Text."),
+    ],
+)
+def test_main_text_after_what_is_not_closed(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_ends_of_what_is_not_open_take_no_time_of_their_own():
+    start = time.process_time()
+    assert html_text.main_text("<div>" * 40000 + "<li></li></span>" * 40000 + "Text.") == "Text."
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p class='", "<!--", "<script>", "</p></div>", "<article>", "&", "&#x110000;", "<a " * 2000, "<div>" * 6000, "<p>'" * 500])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str) and isinstance(html_text.plain_text(page), str)
