@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page; containers that h
 by their kind or name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) leave blank lines behind. Text lengths are summed over sliding windows of
 lines. Where the sums rise from nothing is a surge point, where they fall to nothing a dive point;
-the text between the two is a run. Runs inside an article or main element are the main text.
+the text between the two is a run. Inside an article or main element every run is main text, so that
+there tags and names alone decide.
 
 On a page without such an element, runs that only a dropped container parts are one text where the
 line before it and the line after it lie in the same div, or one in a div that holds the other's.
