@@ -134,6 +134,21 @@ def test_cut_is_the_best():
     assert 3 < toxicity.ConvClassifier._cut(a, y, 0) < 10
 
 
+def test_every_language_with_examples_of_both_kinds_has_its_own_threshold(monkeypatch):
+    model = toxicity.ConvClassifier(buckets_log2=8)
+    model.langs = ["a", "b", "c", "d"]
+    lang = np.repeat([0, 1, 2], [60, 14, 5])
+    y = np.concatenate((np.arange(60) % 2, np.arange(14) % 2, np.zeros(5)))
+    logit = np.where(y > 0, 1.0, -1.0) + np.array([0, 4, 0])[lang]
+    texts = [str(i) for i in range(len(y))]
+    monkeypatch.setattr(model, "_forward", lambda block: logit)
+    monkeypatch.setattr(model, "_lang_of", lambda block: lang)
+    model._calibrate(toxicity.Sample(texts, y), np.arange(len(y)), y)
+    general, own = model._cut(logit, y, 0.0), model._cut(logit[60:74], y[60:74], 0.0)
+    assert own == 4 and abs(general) < 1
+    assert np.allclose(model.thresholds, [(30 * model._cut(logit[:60], y[:60], 0.0) + 20 * general) / 50, (7 * own + 20 * general) / 27, general, general])
+
+
 # -- language ---------------------------------------------------------------------------------------
 
 
