@@ -4,7 +4,7 @@ Each learned language has a table of hashed byte n-grams (at each byte of a word
 to it, fewer at its start; smoothed towards all languages together) that gives every word of a
 text a likelihood. A text is a mixture of languages over its words:
 expectation-maximisation estimates the proportions, for nested sets of languages, largest share
-first. The set whose log likelihood, less a multiple of log(words) for each further language, is
+first, of any size that could still be best. The set whose log likelihood, less a multiple of log(words) for each further language, is
 best is the text's language set; the prediction is its largest member, and the score that member's share.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing was
@@ -30,9 +30,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 class MixtureModel:
-    def __init__(self, orders: int = 4, buckets_log2: int = 16, rounds: int = 8, most_langs: int = 3, penalty: float = 3.0, sharpness: float = 1.0):
+    def __init__(self, orders: int = 4, buckets_log2: int = 16, rounds: int = 8, penalty: float = 3.0, sharpness: float = 1.0):
         self.orders, self.buckets, self.rounds = orders, 1 << buckets_log2, rounds
-        self.most_langs, self.penalty, self.sharpness = most_langs, penalty, sharpness
+        self.penalty, self.sharpness = penalty, sharpness
         self.langs: list[str] = []
         self.logs = np.zeros((self.buckets, 0), np.float32)
 
@@ -104,20 +104,28 @@ class MixtureModel:
         counts = block.counts[has]
         starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
         text = np.repeat(np.arange(len(has)), counts)
-        full, _ = self._em(like, text, starts, counts, np.ones((len(has), len(self.langs))))
+        full, whole = self._em(like, text, starts, counts, np.ones((len(has), len(self.langs))))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-        best, won = np.full(len(has), -np.inf), np.zeros_like(full)
-        for k in range(1, min(self.most_langs, len(self.langs)) + 1):
-            allowed = (rank < k).astype(np.float64)
-            if k == 1:
-                own = np.argmax(full, axis=1)
-                ll = np.add.reduceat(np.log(like[np.arange(len(text)), own[text]] + 1e-30).astype(np.float64), starts)
-                share = allowed
+        own = np.argmax(full, axis=1)
+        best = np.add.reduceat(np.log(like[np.arange(len(text)), own[text]] + 1e-30).astype(np.float64), starts)
+        won = (rank < 1).astype(np.float64)
+        for k in range(2, len(self.langs) + 1):
+            cost = self.penalty * (k - 1) * np.log(counts + 1)
+            go = np.flatnonzero(-cost > best)  # no word is likelier than 1, so no larger set can be worth more than that
+            if not len(go):
+                break
+            if k == len(self.langs):
+                share, ll = full[go], whole[go]
+            elif len(go) == len(has):
+                share, ll = self._em(like, text, starts, counts, (rank < k).astype(np.float64))
             else:
-                share, ll = self._em(like, text, starts, counts, allowed)
-            worth = ll - self.penalty * (k - 1) * np.log(counts + 1)
-            better = worth > best
-            best[better], won[better] = worth[better], share[better]
+                n, some = counts[go], np.zeros(len(has), bool)
+                some[go] = True
+                first = np.concatenate(([0], np.cumsum(n)))[:-1]
+                share, ll = self._em(like[some[text]], np.repeat(np.arange(len(go)), n), first, n, (rank[go] < k).astype(np.float64))
+            worth = ll - cost[go]
+            better = worth > best[go]
+            best[go[better]], won[go[better]] = worth[better], share[better]
         out[has] = won
         return out
 

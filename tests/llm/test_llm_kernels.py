@@ -165,6 +165,20 @@ def test_language_of_words_and_mixtures():
     assert lang_id.MixtureModel().predict(["words"])[0] == ["und"]
 
 
+def test_a_text_in_more_than_three_languages_has_them_all():
+    rng = random.Random(5)
+    vocabularies = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(200)] for letters in ("abcd", "efgh", "ijkl", "mnop", "qrst")]
+    say = lambda k, n: [rng.choice(vocabularies[k]) for _ in range(n)]
+    model = lang_id.MixtureModel().fit([" ".join(say(k, 60)) for k in range(5) for _ in range(30)], [f"l{k}" for k in range(5) for _ in range(30)])
+    four = " ".join(say(0, 70) + say(1, 50) + say(2, 40) + say(3, 40))
+    five = " ".join(say(0, 60) + say(1, 40) + say(2, 40) + say(3, 30) + say(4, 30))
+    langs, scores, sets = model.predict([four, "", five, " ".join(say(4, 50))])
+    assert langs == ["l0", "und", "l0", "l4"]
+    for got, want in ((sets[0], [0.35, 0.25, 0.2, 0.2]), (sets[2], [0.3, 0.2, 0.2, 0.15, 0.15]), (sets[3], [0, 0, 0, 0, 1])):
+        assert all(abs(got.get(f"l{k}", 0) - share) < 0.03 for k, share in enumerate(want))
+    assert scores[0] < 0.4 and scores[2] < 0.4
+
+
 # -- packing ----------------------------------------------------------------------------------------
 
 
