@@ -15,7 +15,9 @@ each tokenizer version.
 Defined results: null text has no tokens and no characters; null sources and languages are groups
 of their own; null ids are documents like others, but no delete or revision reaches them; an id
 that is inserted twice counts twice, and a delete takes away all it has; deleting or revising an
-unknown id changes nothing; an id revised twice in a batch takes the longest revision.
+unknown id changes nothing. A revision takes the place of one row of its id, and where old texts are
+given, of one with its old text; the other rows stay. Of more revisions than there are rows to
+replace, the longest count.
 An empty ledger has no totals.
 """
 
@@ -27,13 +29,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialize, scratch_path, table
 
 GROUP = ("source", "lang", "tokenizer_version")
-ENTRY = "doc_id bigint, source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint"
+ENTRY = "doc_id bigint, text_hash bigint, source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint"
 DELTA = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint"
 #: Makes the counts of some texts.
 Counter = Callable[[Sequence[str]], Sequence[int]]
@@ -53,8 +55,15 @@ class BpeCounter:
         return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
 
 
-def counted(docs: DataFrame, makers: dict[str, Callable[[], Counter]]) -> DataFrame:
-    """Entries of docs (doc_id, source, lang, text), one for each tokenizer version, with docs = 1 and the text's hash."""
+def _hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def counted(docs: DataFrame, makers: dict[str, Callable[[], Counter]], old: str | None = None) -> DataFrame:
+    """Entries of docs (doc_id, source, lang, text), one for each tokenizer version, with docs = 1 and the text's hash.
+
+    was is the hash of the column old, the text that is replaced, or 0 without it.
+    """
     held = docs.sparkSession.sparkContext.broadcast(makers)  # the vocabularies
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +71,7 @@ def counted(docs: DataFrame, makers: dict[str, Callable[[], Counter]]) -> DataFr
         for batch in batches:
             texts = batch["text"].tolist()
             for version, count in counters.items():
-                out = batch[["doc_id", "source", "lang", "text_hash"]].copy()
+                out = batch[["doc_id", "source", "lang", "text_hash", "was"]].copy()
                 out["tokenizer_version"] = version
                 out["docs"] = 1
                 out["tokens"] = list(count(texts))
@@ -71,11 +80,12 @@ def counted(docs: DataFrame, makers: dict[str, Callable[[], Counter]]) -> DataFr
 
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
-    return docs.select(ids, "source", "lang", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInPandas(run, f"{ENTRY}, text_hash bigint")
+    was = _hash(old) if old else F.lit(0).cast("bigint")
+    return docs.select(ids, "source", "lang", text.alias("text"), _hash("text").alias("text_hash"), was.alias("was")).mapInPandas(run, f"{ENTRY}, was bigint")
 
 
 def _signed(entries: DataFrame, sign: int) -> DataFrame:
-    return entries.select("doc_id", *GROUP, *[(F.col(c) * sign).alias(c) for c in ("docs", "tokens", "chars")])
+    return entries.select("doc_id", "text_hash", *GROUP, *[(F.col(c) * sign).alias(c) for c in ("docs", "tokens", "chars")])
 
 
 class Ledger:
@@ -102,32 +112,42 @@ class Ledger:
         return sums.where("docs <> 0 or tokens <> 0 or chars <> 0")
 
     def state(self) -> DataFrame:
-        """What each document adds to the totals now, an entry for each group it is in."""
-        sums = self._read("entries", ENTRY).where("doc_id is not null").groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")])
+        """What each document adds to the totals now, an entry for each text and group it has."""
+        sums = self._read("entries", ENTRY).where("doc_id is not null").groupBy("doc_id", "text_hash", *GROUP).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")])
         return sums.where("docs <> 0")
 
     # -- writing -----------------------------------------------------------------------------
 
     def insert(self, batch_id: str, docs: DataFrame, makers: dict[str, Callable[[], Counter]]) -> bool:
-        return self._commit(batch_id, lambda: counted(docs, makers).drop("text_hash"))
+        return self._commit(batch_id, lambda: counted(docs, makers).drop("was"))
 
     def delete(self, batch_id: str, ids: DataFrame) -> bool:
         """Take away all that the ids (doc_id) count for."""
         gone = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
         return self._commit(batch_id, lambda: _signed(self.state().join(gone, "doc_id", "left_semi"), -1))
 
-    def revise(self, batch_id: str, docs: DataFrame, makers: dict[str, Callable[[], Counter]]) -> bool:
-        """Replace what known documents count for by new texts, sources and languages."""
+    def revise(self, batch_id: str, docs: DataFrame, makers: dict[str, Callable[[], Counter]], old: str | None = None) -> bool:
+        """Replace what rows of known documents count for by new texts, sources and languages.
+
+        A row of docs replaces one row of its id, one whose text is that of the column old if it is given.
+        """
+        key = ("doc_id", "was")
 
         def entries() -> DataFrame:
             # texts are counted where they are read; only counts are shuffled
-            all_ = counted(docs.where("doc_id is not null"), makers)
-            numbers = F.struct("chars", "text_hash", "tokens", "source", "lang", "docs")
-            new = all_.groupBy("doc_id", "tokenizer_version").agg(F.max(numbers).alias("new")).select("doc_id", "tokenizer_version", "new.*")
-            known = self.state()
-            new = new.join(known.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *GROUP, "docs", "tokens", "chars")
+            known = self.state().withColumn("was", F.col("text_hash") if old else F.lit(0).cast("bigint"))
+            has = known.groupBy(*key, "tokenizer_version").agg(F.sum("docs").alias("n")).groupBy(*key).agg(F.max("n").alias("n"))
+            longest = Window.partitionBy(*key, "tokenizer_version").orderBy(*[F.desc(c) for c in ("chars", "text_hash", "tokens", "source", "lang")])
+            new = counted(docs.where("doc_id is not null"), makers, old).withColumn("place", F.row_number().over(longest))
+            new = new.join(has, list(key)).where("place <= n").drop("n")
             new = materialize(new, "op10-revised")
-            return _signed(known.join(new.select("doc_id").distinct(), "doc_id", "left_semi"), -1).unionByName(new)
+            many = new.groupBy(*key).agg(F.max("place").alias("many"))
+            ahead = Window.partitionBy(*key, "tokenizer_version").orderBy("source", "lang", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+            gone = known.join(many, list(key)).withColumn("ahead", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))
+            gone = gone.withColumn("some", F.least("docs", F.col("many") - F.col("ahead"))).where("some > 0")
+            # an entry's rows have one text, so each has an equal part of its counts
+            gone = gone.withColumns({"tokens": F.expr("tokens div docs * some"), "chars": F.expr("chars div docs * some"), "docs": F.col("some")})
+            return _signed(gone, -1).unionByName(new.drop("was", "place"))
 
         return self._commit(batch_id, entries)
 
@@ -166,7 +186,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.insert("0001-ingest", docs, makers)
     ledger.delete("0002-quality", table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"))
     new = collapsed()
-    ledger.revise("0003-spaces", docs.where(new != F.coalesce("text", F.lit(""))).withColumn("text", new), makers)
+    ledger.revise("0003-spaces", docs.where(new != F.coalesce("text", F.lit(""))).withColumns({"old": F.col("text"), "text": new}), makers, "old")
     ledger.insert("0001-ingest", docs, makers)
     return ledger.totals()
 

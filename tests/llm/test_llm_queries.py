@@ -313,6 +313,31 @@ def test_op10_ledger(spark, odd, none, tmp_path):
     assert ledger.batches() == ["a", "b", "c", "d", "e"]
 
 
+def test_op10_revises_row_by_row(spark, tmp_path):
+    ledger = token_counts.Ledger(spark, f"{shared_folder(spark)}/ledger-{tmp_path.name}")
+    schema = "doc_id bigint, text string, lang string, source string"
+    rows = [(1, "a  b", "en", "s"), (1, "longer text", "en", "s"), (2, "x", "en", "s"), (2, "x", "de", "s"), (3, "c  d", "en", "s"), (3, "c  d", "en", "s"), (4, None, "en", "s")]
+    docs = spark.createDataFrame(rows, schema)
+    ledger.insert("a", docs, {"v1": Letters()})
+    spaces = docs.where("doc_id in (1, 3) and text like '%  %'").selectExpr("doc_id", "text as old", "replace(text, '  ', ' ') as text", "lang", "source")
+    ledger.revise("b", spaces.union(spaces.where("doc_id = 3").limit(1)), {"v1": Letters()}, "old")
+    assert totals(ledger) == {("s", "en", "v1"): (6, 3 + 11 + 1 + 3 + 3, 21), ("s", "de", "v1"): (1, 1, 1)}
+    ledger.revise("c", spark.createDataFrame([(2, "xyz", "fr", "s"), (1, "12345", "fr", "s")], schema), {"v1": Letters()})
+    end = totals(ledger)
+    assert sum(v[0] for v in end.values()) == 7 and end["s", "fr", "v1"] == (2, 8, 8)
+    ledger.delete("d", docs.where("doc_id < 4").select("doc_id"))
+    assert totals(ledger) == {("s", "en", "v1"): (1, 0, 0)}
+
+
+def test_op10_query_on_repeated_ids(spark, tmp_path):
+    at = f"{shared_folder(spark)}/tables-{tmp_path.name}"
+    rows = [(1, "a  b", "en", "s"), (1, "one more text", "en", "s"), (2, "x", "en", "s"), (2, "x", "en", "s"), (3, "gone", "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(3, 0)], "doc_id bigint, quality int").write.parquet(f"{at}/labels.parquet")
+    (got,) = registry.QUERIES["op10_token_counts"](spark, at).collect()
+    assert (got["docs"], got["chars"]) == (4, 3 + 13 + 1 + 1)
+
+
 def test_op10_query(spark, docs, sf_dir):
     got = registry.QUERIES["op10_token_counts"](spark, sf_dir).collect()
     library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
