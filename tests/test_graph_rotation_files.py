@@ -254,3 +254,10 @@ def test_mutants_are_refused_or_valid(kind):
             assert residual(found) < 1e-2
         else:
             assert found.total_bytes == len(m)
+
+
+def test_graph_search_on_the_whole_table_recalls_the_exact_scan(spark, sf_dir):
+    from bitvane.plans import catalog
+
+    got, want = ({(r["qid"], r["id"]) for r in catalog.QUERIES[name](spark, sf_dir).collect()} for name in ("graph_search", "hamming_topk_batch"))
+    assert want and len(got & want) >= 0.9 * len(want)
