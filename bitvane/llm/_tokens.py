@@ -2,14 +2,19 @@
 
 Texts in Latin-1 take the short way: the tokenizer's splitting pattern, written out for Latin-1, cuts
 the lower-cased text, and each distinct piece goes to the tokenizer's model once and is
-remembered. Normalisation changes nothing else in Latin-1. Whether the short way gives the
-tokenizer's own ids is tried on some texts when it is loaded. Other texts are cut at spaces and
+remembered. Normalisation changes nothing else in Latin-1. Other texts are cut at spaces and
 line feeds, across which that tokenizer never looks, and each distinct run goes to the whole
 tokenizer. What is remembered is bounded, in two generations.
+
+Both ways are taken only for a tokenizer whose file states the settings that they are written for.
+Texts that hold a special token's string, and all texts of any other tokenizer, go to the library
+as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Sequence
 
@@ -20,7 +25,15 @@ _SPLIT = re.compile(r"[ \n]+")
 # Latin-1's letters (lower case), digits and other numbers, and white space.
 _LETTERS, _NUMBERS, _SPACES = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_TRIED = ("", " A  word,Words I'll\n", "thESHEREanerlying aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\u00c9t\u00e9 Stra\u00dfe \u00d1and\u00fa\u00ff", "".join(map(chr, range(1, 256))), "<|endoftext|> x's 12\u00b23 a\u0085b\u00a0c\x1cd")
+# The settings that the short ways are written for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _loaded: dict[str, WordTokenizer] = {}
 
 
@@ -32,21 +45,35 @@ def _visible_bytes() -> dict[str, str]:
     return str.maketrans({chr(c): "".join(of[b] for b in chr(c).encode()) for c in range(256)})
 
 
+def _as_written(settings: dict) -> bool:
+    """Whether a tokenizer's file has the settings that the short ways stand for."""
+    model, added = settings["model"], settings["added_tokens"]
+    plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"] and not any(c.isspace() for c in t["content"]) for t in added)
+    whole = model["type"] == "BPE" and not model.get("dropout") and model.get("unk_token") is None and not model.get("continuing_subword_prefix")
+    cut = settings["truncation"] is None and settings["padding"] is None and settings["post_processor"] is None
+    return plain and whole and cut and settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER
+
+
 class WordTokenizer:
-    def __init__(self, path: str, most: int = 250_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    """Made from the text of a tokenizer's file, so that only the driver needs the file."""
+
+    def __init__(self, text: str, most: int = 250_000):
+        self.tokenizer = Tokenizer.from_str(text)
         self.model, self.visible, self.most = self.tokenizer.model, _visible_bytes(), most
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # young and old
         self.runs: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.short_way = [self._short(t) for t in _TRIED] == self._whole(_TRIED)
+        settings = json.loads(text)
+        self.short_way = _as_written(settings)
+        special = [re.escape(t["content"]) for t in settings["added_tokens"]]
+        self.special = re.compile("|".join(special)) if special else None
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        """One for each path and process."""
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+    def of(cls, text: str) -> WordTokenizer:
+        """One for each tokenizer and process."""
+        key = hashlib.sha256(text.encode()).hexdigest()
+        if key not in _loaded:
+            _loaded[key] = cls(text)
+        return _loaded[key]
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(got.ids, np.uint32).tobytes() for got in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
@@ -93,14 +120,15 @@ class WordTokenizer:
         """Let go of what is remembered: a worker that waits shares the executor's limit with others."""
         self.pieces, self.runs = ({}, {}), ({}, {})
 
+    def _ids(self, text: str) -> bytes:
+        if not self.short_way or self.special is not None and self.special.search(text):
+            return self._whole([text])[0]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._long(text)
+        return self._short(text)
+
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Each text's ids, uint32."""
-        out = []
-        for text in texts:
-            try:
-                text.encode("latin-1")
-                short = self.short_way
-            except UnicodeEncodeError:
-                short = False
-            out.append(np.frombuffer(self._short(text) if short else self._long(text), np.uint32))
-        return out
+        return [np.frombuffer(self._ids(text), np.uint32) for text in texts]

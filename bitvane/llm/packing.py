@@ -13,11 +13,14 @@ its other part, shorter, is an item of a new class. What is left at the end, les
 is cut into sequences whose lengths are powers of two, which take no padding.
 
 The plan, a bounded table of patterns, is carried out by rank: an item's rank among those of its
-length, by id, decides pattern and place. Ranks come from counts by (length, run of ids), so a
-length that a third of all documents share is ranked in as many tasks as there are runs.
-
-Defined results: null text is empty, which is the end id alone; rows that repeat are packed each;
-null ids come first. No rows, no pieces. Extra columns play no part.
+length, by task and then by place in the task's input, decides pattern and place. A task counts its
+documents of each length as it tokenizes them, and adds those of the tasks before it, so documents
+aren't shuffled to be ranked, and a length that a third of all documents share is no one task's.
+
+Defined results: null text is empty, which is the end id alone; a special token's string in a text
+is that token, as the tokenizers library has it; a very long text is tokenized as a whole by one
+task and cut into whole windows and one item; rows that repeat, and null ids, are packed each; ties
+of length go by place. No rows, no pieces. Extra columns, of whatever name, play no part.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,55 +221,58 @@ def _let_go(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
 
 
-def _tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame:
-    """(doc_id, doc_tokens, whole: the crc32 of each whole window, rest: the ids that remain)."""
+def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+    """(doc_id, doc_tokens, whole: the crc32 of each whole window, rest: the ids that remain, left: how many,
+    part: the task, rank: the documents of that task before it with as many left, before: the whole windows
+    of that task before it). The input's rows are counted as they come, so ranking needs no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(tokenizer)  # one file's text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer.of(path)
+        tokenizer, part = WordTokenizer.of(held.value), TaskContext.get().partitionId()
+        seen, windows = [0] * window, 0
         for batch in batches:
-            n, whole, rest = [], [], []
+            n, whole, rest, lefts, ranks, before = [], [], [], [], [], []
             for ids in tokenizer.ids(batch["text"].tolist()):
                 ids = np.append(ids, np.uint32(end_id))
-                full = len(ids) // window * window
+                left = len(ids) % window
+                full = len(ids) - left
                 n.append(len(ids))
                 whole.append([_crc(ids[i : i + window]) for i in range(0, full, window)])
                 rest.append(_held(ids[full:]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "doc_tokens": n, "whole": whole, "rest": rest})
+                lefts.append(left)
+                ranks.append(seen[left])
+                before.append(windows)
+                seen[left] += 1
+                windows += full // window
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "doc_tokens": n, "whole": whole, "rest": rest, "left": lefts, "part": part, "rank": ranks, "before": before})
         tokenizer.forget()
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, doc_tokens bigint, whole array<bigint>, rest binary")
+    return docs.mapInPandas(run, f"doc_id {kind}, doc_tokens bigint, whole array<bigint>, rest binary, left int, part int, rank bigint, before bigint")
 
 
-def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, run_rows: int = 8_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Items are ranked in runs of about run_rows documents, dealt by a hash of the row's number.
+    tokenizer_path is a file of the driver's. Documents are read once and their ids written; what is
+    shuffled are counts by task and length, and, where those are too many to broadcast, the ids once.
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
-    tokens = _tokenized(docs, tokenizer_path, end_id, window).withColumn("row", F.monotonically_increasing_id())
-    tokens = materialize(tokens, "op2-tokens")  # from here on a row's number stays
-    runs = max(1, -(-tokens.count() // run_rows))
-    run, left = F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int"), (F.col("doc_tokens") % window).cast("int")
-    keyed = tokens.withColumn("run", run).withColumn("left", left).withColumn("wholes", F.size("whole"))
-    counted = materialize(keyed.groupBy("left", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("wholes").alias("wholes")), "op2-counts")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokens = materialize(_tokenized(docs, f.read(), end_id, window), "op2-tokens")  # from here on ranks stay
+    counted = materialize(tokens.groupBy("left", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("whole")).alias("wholes")), "op2-counts")
     totals = {r["left"]: r["n"] for r in counted.groupBy("left").agg(F.sum("n").alias("n")).collect()}  # at most window rows
     plan = make_plan({x: n for x, n in totals.items() if x}, window)
 
-    # ranks: within (run, length) by id, after the items of that length in earlier runs
-    earlier = Window.partitionBy("left").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.select("left", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
-    first = first.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("left", "n"))).alias("ranks_before"))  # at most window entries
-    starts = first.join(_running(counted.groupBy("run").agg(F.sum("wholes").alias("wholes"))), "run")
-    own = Window.partitionBy("run", "left").orderBy("doc_id", "row")
-    inside = Window.partitionBy("run").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    # both windows and the join use the one exchange by run
-    ranked = keyed.repartition("run").withColumn("rank", F.row_number().over(own) - 1).withColumn("before", F.coalesce(F.sum("wholes").over(inside), F.lit(0)))
-    placed = ranked.join(starts, "run").select(
+    # an item's rank: after the items of its length in earlier tasks
+    earlier = Window.partitionBy("left").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("left", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ranks_before"))
+    starts = first.join(_running(counted.groupBy("part").agg(F.sum("wholes").alias("wholes"))), "part")
+    placed = tokens.join(starts, ["part", "left"]).select(
         *("doc_id", "doc_tokens", "whole", "rest", "left"),
-        (F.col("rank") + F.element_at("ranks_before", F.col("left"))).alias("rank"),
-        (F.col("before") + F.col("runs_before") + plan.sequences).alias("whole_from"),
+        (F.col("rank") + F.col("ranks_before")).alias("rank"),
+        (F.col("before") + F.col("parts_before") + plan.sequences).alias("whole_from"),
     )
     held = df.sparkSession.sparkContext.broadcast(plan)  # patterns over at most window lengths
 
@@ -289,14 +296,14 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     return placed.mapInPandas(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
-def _running(by_run: DataFrame, block: int = 1000) -> DataFrame:
-    """(run, runs_before): the sum of wholes over all earlier runs, by blocks of runs and then over the blocks."""
-    blocked = by_run.withColumn("block", (F.col("run") / block).cast("int"))
+def _running(by_part: DataFrame, block: int = 1000) -> DataFrame:
+    """(part, parts_before): the sum of wholes over all earlier tasks, by blocks of tasks and then over the blocks."""
+    blocked = by_part.withColumn("block", (F.col("part") / block).cast("int"))
     sums = blocked.groupBy("block").agg(F.sum("wholes").alias("sum"))
-    # runs / block rows: one for each eight million documents
+    # one row for each thousand tasks
     earlier = sums.select("block", F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("blocks_before"))
-    within = Window.partitionBy("block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    return blocked.withColumn("own", F.coalesce(F.sum("wholes").over(within), F.lit(0))).join(earlier, "block").select("run", (F.col("own") + F.col("blocks_before")).alias("runs_before"))
+    within = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return blocked.withColumn("own", F.coalesce(F.sum("wholes").over(within), F.lit(0))).join(earlier, "block").select("part", (F.col("own") + F.col("blocks_before")).alias("parts_before"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
