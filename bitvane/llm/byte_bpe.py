@@ -6,15 +6,18 @@ themselves and joined. A join re-encodes a window around the boundary, made of t
 the left half and the first of the right, and grows the window until the tokens outside it
 provably stay: until each token pair at the window's edges encodes to itself. A sequence all of
 whose neighbouring pairs encode to themselves is the encoding of the whole, so the join is exact,
-and windows stay small. Decoding maps ids to bytes and concatenates up the same tree.
+and windows stay small. Decoding halves the ids likewise, maps short runs of them to bytes and
+concatenates up that tree.
 
 A text is split by the tokenizer's pattern; each match is encoded by itself, which makes joins at
 matches trivial (there, concatenation is the product). Distinct matches are remembered, in two
 generations of bounded size.
 
 Defined results: null text counts as empty, which has no ids; lone surrogates cannot occur in a
-column; repeated rows are encoded alike; ids that are not in the vocabulary raise KeyError in
-decode(). Columns that clash with the output are replaced by it.
+column; a very long text, or a match without end, is encoded as a whole in one task, its match by
+halves; repeated rows are encoded alike; of equal ranks of pairs the leftmost is merged first; ids
+that are not in the vocabulary raise KeyError in decode(). No rows, no rows. Columns that clash with
+the output are replaced by it; others pass.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from ._spark import table, text_or_empty
 
 #: Bytes up to which a string is encoded by merging alone.
-LEAF = 24
+LEAF = 12
+#: Tokens up to which ids are decoded by mapping alone.
+DECODED_LEAF = 512
 _NONE = 1 << 40
 
 
@@ -166,22 +172,40 @@ class ByteBpe:
         return out
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        """Concatenate up the tree: the tokens' bytes are the leaves, and the product is exact in any order."""
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        """Concatenate up the tree: a leaf is the bytes of some tokens, a node its two halves' bytes."""
+        if len(ids) <= DECODED_LEAF:
+            of = self.bytes_of
+            return b"".join([of[i] for i in ids])
+        mid = len(ids) // 2
+        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ranks and pattern, with a digest that tells them from any others."""
+
+    ranks: dict[bytes, int]
+    pattern: str
+    key: str
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int], pattern: str) -> Vocabulary:
+        found = hashlib.sha256(pattern.encode() + b"\0")
+        for token, rank in sorted(ranks.items()):
+            found.update(b"%d %d " % (rank, len(token)) + token)
+        return cls(ranks, pattern, found.hexdigest())
 
 
 class Coder:
-    """A ByteBpe for each process, made from broadcast ranks."""
+    """A ByteBpe for each process and vocabulary, made from a broadcast one."""
 
-    made: dict[int, ByteBpe] = {}
+    made: dict[str, ByteBpe] = {}
 
     @classmethod
-    def of(cls, ranks, pattern: str) -> ByteBpe:
-        key = hash((pattern, len(ranks.value)))
-        if key not in cls.made:
-            cls.made[key] = ByteBpe(ranks.value, pattern)
-        return cls.made[key]
+    def of(cls, vocabulary: Vocabulary) -> ByteBpe:
+        if vocabulary.key not in cls.made:
+            cls.made[vocabulary.key] = ByteBpe(vocabulary.ranks, vocabulary.pattern)
+        return cls.made[vocabulary.key]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -192,11 +216,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the ids of each text, array<int>."""
-    held = df.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary
+    held = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks, pattern))  # one vocabulary
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder.of(held, pattern)
+        coder = Coder.of(held.value)
         for texts in batches:
             yield pd.Series([np.array(coder.encode(t or ""), np.int32) for t in texts], dtype=object)
 
@@ -205,11 +229,11 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "t
 
 def decoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """df with the bytes that each array of ids stands for; null ids count as none."""
-    held = df.sparkSession.sparkContext.broadcast(ranks)
+    held = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks, pattern))
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder.of(held, pattern)
+        coder = Coder.of(held.value)
         for arrays in batches:
             yield pd.Series([coder.decode([] if a is None else a.tolist()) for a in arrays], dtype=object)
 
@@ -218,11 +242,11 @@ def decoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "id
 
 def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids and bytes stay in the task."""
-    held = df.sparkSession.sparkContext.broadcast(ranks)
+    held = df.sparkSession.sparkContext.broadcast(Vocabulary.of(ranks, pattern))
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder.of(held, pattern)
+        coder = Coder.of(held.value)
         numbers = [str(i) for i in range(max(coder.bytes_of, default=0) + 1)]
         for batch in batches:
             rows = []
