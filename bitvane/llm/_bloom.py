@@ -26,18 +26,37 @@ def _cells(h: Column, probes: int) -> Column:
     return F.array(*[F.shiftrightunsigned(other, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(probes)])
 
 
-def build(df: DataFrame, h: Column, blocks: int, probes: int = 3, least_hits: int = 1) -> DataFrame:
-    """(block, bits): the cells that at least so many rows of df hit; at most blocks rows of 4 KB.
+def build(df: DataFrame, h: Column, blocks: int, probes: int = 3) -> DataFrame:
+    """(block, bits): the filter of df's hashes, at most blocks rows of 4 KB.
 
-    Several probes of one row may meet in one cell: that only raises the alarm more often.
+    Each task sends one bitmap a block, which are merged by or.
     """
     keyed = df.select(F.pmod(h, F.lit(blocks)).alias("block"), h.alias("h"))
     cells = keyed.select("block", F.explode(_cells(F.col("h"), probes)).alias("cell"))
-    if least_hits > 1:
-        cells = cells.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least_hits)
     return cells.groupBy("block").agg(F.bitmap_construct_agg("cell").alias("bits"))
 
 
+def repeated(df: DataFrame, h: Column, cells_log2: int = 44) -> DataFrame:
+    """(cell) of a one-probe filter of 2**cells_log2 bits that two rows or more of df hit.
+
+    So large a filter is sparse, so it is held as its cells and not as bitmaps: a task's share is at most one
+    number a row, copies within the task are merged before the shuffle, and bitmaps of the same filter
+    would be as large for each task as for the whole table.
+    """
+    cell = _cell(h, cells_log2).alias("cell")
+    return df.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("cell")
+
+
+def _cell(h: Column, cells_log2: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - cells_log2)
+
+
+def flag_repeats(df: DataFrame, h: Column, again: DataFrame, bits_per_cell: int, probes: int, max_bytes: int, cells_log2: int = 44) -> tuple[DataFrame, str]:
+    """df with a boolean column, whose name is returned too: whether h's cell may be one of again, written repeated() of df."""
+    blocks = block_count(again.count(), bits_per_cell, max_bytes)
+    return flag(df, _cell(h, cells_log2), build(again, F.col("cell"), blocks, probes), blocks, probes)
+
+
 def _hit(bits: Column, at: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1

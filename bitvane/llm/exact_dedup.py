@@ -1,16 +1,21 @@
 """Exact deduplication by two Bloom passes, in DataFrame functions alone.
 
-Pass one hashes every text into a blocked Bloom filter with counted cells and keeps the cells
-that were hit twice or more, packed as one 4 KB bitmap a block. Pass two probes that filter:
-a row with a cell that was hit once has no copy and passes straight through. Only the rest,
-real copies and the filter's false alarms, are shuffled, as (digest, id, count) and combined
-before the shuffle, so a hot text costs each task one row.
+Pass one enters the hash of every text in a one-probe Bloom filter of 2**44 bits and finds the cells
+that are hit again. So large a filter is sparse: it is held as the numbers of its cells, merged in
+each task before they are dealt, 8 bytes a text and no text. Pass two probes a dense Bloom filter of
+the repeated cells, whose size goes with the repeats and not with the table, and which is
+broadcast. A row that misses it has no copy and passes straight through. Only the rest, copies and a
+few false alarms, are shuffled, as (digest, id, count) and combined before the shuffle, so a hot text
+costs each task one row.
 
 Texts are equal when identical after lower-casing A-Z. The filter's hash is of the text in full
 lower case, which equal texts share too, so it never misses a copy; the digest decides.
 
-Defined results: null text counts as empty; a null id is never kept in preference to another id;
-rows that repeat both text and id form part of the group, and one of them stays; no rows, no rows.
+Defined results: null text counts as empty, so null and empty texts are copies of each other; a null
+id is never kept in preference to another id; rows that repeat both text and id form part of the
+group, and one of them stays; a tie of ids is of such rows, which differ in other columns at most;
+very long texts are hashed whole; no rows, no rows. Other columns pass with exact_dedup() and play no
+part in verdicts(), whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +39,12 @@ def flag_candidates(
 ) -> tuple[DataFrame, str]:
     """df with a boolean column, whose name is returned too: whether the row may have a copy.
 
-    Every row with a copy is flagged. Beyond max_filter_bytes the filter stops growing, which
-    flags more rows without copies and changes no result.
+    Every row with a copy is flagged. The filter has bits_per_row bits for each text that repeats;
+    beyond max_filter_bytes it stops growing, which flags more rows without copies and changes no result.
     """
     h = F.xxhash64(F.lower(text_or_empty(text)))
-    blocks = _bloom.block_count(df.count(), bits_per_row, max_filter_bytes)
-    return _bloom.flag(df, h, _bloom.build(df, h, blocks, probes, least_hits=2), blocks, probes)
+    again = materialize(_bloom.repeated(df, h), "op5-repeated")
+    return _bloom.flag_repeats(df, h, again, bits_per_row, probes, max_filter_bytes)
 
 
 def verdicts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **filter_options) -> DataFrame:
