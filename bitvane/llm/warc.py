@@ -5,15 +5,20 @@ named headers in order. For each response, derive() gives a metadata record (a J
 source's WARC and HTTP headers, status, digests, title and links) and a conversion record (the
 page's text, UTF-8). Both carry WARC-Refers-To the response, WARC-Refers-To-Target-URI and -Date,
 its target URI, the digests of their own block, and the source's payload digest; the metadata also
-names the conversion that was made. Ids are UUIDs of the source id and the kind, so a rerun after
-the loss of an executor makes the same records.
+names the conversion that was made. A response's id is a UUID of its page's id, URL, date and payload
+digest, a derivative's of its source's id and its kind: so a rerun after the loss of an executor
+makes the same records, and another crawl of a page makes others.
 
 The work is a map over records: no shuffle, and one record in memory at a time beside its batch.
+Files are decompressed a gzip member, and parsed a record, at a time.
 
 Defined results: a null or empty page gives a response with an empty payload, and derivatives with
-an empty text; a null URL gives records without target URI; records of other types, and responses
-that aren't HTTP, give no conversion but do give metadata; repeated rows give repeated records.
-Malformed records raise ValueError when parsed. Extra columns of the pages play no part.
+an empty text; a null URL gives records without target URI; control characters in a URL are percent-encoded,
+and a header that holds a line's end is refused with ValueError; records of other types, and responses
+that aren't HTTP, give no conversion but do give metadata; rows that repeat in all of id, URL and
+page give records that repeat, ids too; a very long page is one record, held whole by one task. No
+rows, no records. Malformed records raise ValueError when parsed. Extra columns of the pages, of whatever
+name, play no part.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +43,9 @@ VERSION = "WARC/1.1"
 _SPACE = uuid.UUID("5d3c4d5e-3b0a-5c57-9f2e-8a1f0c6b7d42")
 _HEADER_COLUMN = "array<struct<name string, value string>>"
 RECORD = f"page_id bigint, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, headers {_HEADER_COLUMN}, block binary"
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+#: Records and bytes that are handed on at once.
+BATCH_RECORDS, BATCH_BYTES = 1000, 32 << 20
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
@@ -98,8 +107,10 @@ def _decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
 def response_of(page_id: int | None, url: str | None, html: str | None, date: str) -> dict:
     """The response record of a fetched page."""
     payload = (html or "").encode("utf-8", "replace")
-    rid = record_id("response", page_id, url)
-    return record("response", rid, http_response(payload), "application/http; msgtype=response", url, date, WARC_Payload_Digest=digest(payload))
+    uri = None if url is None else _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    of = digest(payload)
+    rid = record_id("response", "" if page_id is None else page_id, "null" if uri is None else f"uri {uri}", date, of)
+    return record("response", rid, http_response(payload), "application/http; msgtype=response", uri, date, WARC_Payload_Digest=of)
 
 
 def derivatives(source: dict) -> list[dict]:
@@ -161,41 +172,101 @@ def _frame(ids: pd.Series, rows: list[dict], of) -> pd.DataFrame:
 
 def to_bytes(headers: list[dict], block: bytes, compress: bool = False) -> bytes:
     """A record as it stands in a file; compressed, as a gzip member of its own."""
+    for h in headers:
+        if any(c in part for part in (h["name"], h["value"]) for c in "\r\n") or not h["name"] or ":" in h["name"]:
+            raise ValueError(f"a header that isn't one line: {h['name']!r}")
     head = "".join(f"{h['name']}: {h['value']}\r\n" for h in headers)
     raw = f"{VERSION}\r\n{head}\r\n".encode() + bytes(block) + b"\r\n\r\n"
     return gzip.compress(raw, mtime=0) if compress else raw
 
 
-def parse(raw: bytes) -> Iterator[dict]:
-    """The records of a file's bytes, plain or of gzip members."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file, plain or of gzip members, some at a time."""
+    view = memoryview(raw)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), step):
+            yield bytes(view[at : at + step])
+        return
     at = 0
-    while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8").split("\r\n") if end >= 0 else [""]
+    while at < len(view):
+        member, given = zlib.decompressobj(31), view[at : at + step]
+        at += len(given)
+        while not member.eof:
+            out = member.decompress(given, step)
+            if out:
+                yield out
+            given = member.unconsumed_tail
+            if not member.eof and not given and not out:
+                given = view[at : at + step]
+                at += len(given)
+                if not given:
+                    raise ValueError("the last gzip member is cut off")
+        at -= len(member.unused_data)
+
+
+def parse(raw: bytes) -> Iterator[dict]:
+    """The records of a file's bytes, plain or of gzip members; one is held at a time."""
+    chunks, held, passed = _inflated(raw), bytearray(), 0
+
+    def more() -> bool:
+        found = next(chunks, None)
+        if found is not None:
+            held.extend(found)
+        return found is not None
+
+    while held or more():
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                break
+        lines = held[:end].decode("utf-8").split("\r\n") if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = [{"name": k.strip(), "value": v.strip()} for k, v in (line.split(":", 1) for line in lines[1:])]
+            raise ValueError(f"no WARC record at byte {passed}")
+        headers: list[dict] = []
+        for line in lines[1:]:
+            if line[:1] in (" ", "\t") and headers:  # a folded line belongs to the one before
+                headers[-1]["value"] += " " + line.strip()
+                continue
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"no header in the record at byte {passed}: {line[:80]!r}")
+            headers.append({"name": name.strip(), "value": value.strip()})
         of = {h["name"].lower(): h["value"] for h in headers}
-        size = int(of.get("content-length", -1))
-        if size < 0 or end + 4 + size > len(raw):
-            raise ValueError(f"the record at byte {at} is cut off")
-        block = raw[end + 4 : end + 4 + size]
+        told = of.get("content-length", "")
+        last = end + 8 + int(told) if told.isascii() and told.isdigit() else -1
+        while 0 <= last and len(held) < last - 4 and more():
+            pass
+        if last < 0 or len(held) < last - 4:
+            raise ValueError(f"the record at byte {passed} is cut off")
+        block = bytes(held[end + 4 : last - 4])
         yield {
             "warc_type": of.get("warc-type"), "record_id": of.get("warc-record-id"), "refers_to": of.get("warc-refers-to"), "target_uri": of.get("warc-target-uri"),
             "warc_date": of.get("warc-date"), "content_type": of.get("content-type"), "headers": headers, "block": block,
         }
-        at = end + 4 + size + 4
+        while len(held) < last and more():
+            pass
+        del held[:last]
+        passed += last
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, which must each fit a task's memory; page_id is null."""
+    """The records of WARC files, each below 2 GB as it is stored; page_id is null.
+
+    A task holds a file as stored, and of what is decompressed one batch of records.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for raw in batch["content"]:
-                rows = list(parse(bytes(raw)))
+                rows, size = [], 0
+                for found in parse(bytes(raw)):
+                    rows.append(found)
+                    size += len(found["block"])
+                    if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                        yield _frame(pd.Series([None], dtype="object"), rows, [0] * len(rows))
+                        rows, size = [], 0
                 yield _frame(pd.Series([None], dtype="object"), rows, [0] * len(rows))
 
     return files.mapInPandas(run, RECORD)
