@@ -218,15 +218,29 @@ def test_plan_places_every_item_once_without_padding(window, counts):
 
 def test_word_tokenizer_equals_the_library():
     path = P.path("word_bpe_49k.json")
-    mine, whole = WordTokenizer(path, most=200), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    mine, whole = WordTokenizer(open(path, encoding="utf-8").read(), most=200), Tokenizer.from_file(path)
     assert mine.short_way
     rng = random.Random(2)
     alphabet = " \n\t\x1cabcDEFéÉßİΣς'sst.,!?<|endoftext|>0123²½\u0085 語😀​ſKÅﬁ'll'd\x00"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["".join(chr(rng.randint(0, 255)) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    special = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "a <|endoftext|> b", "<|endoftext|>" * 3, " x<|startoftext|>é ", "語<|endoftext|>", "<|endoftext|", "<|endoftext |>"]
+    texts += special + ["".join(rng.choice([*special, *alphabet]) for _ in range(rng.randint(1, 30))) for _ in range(500)]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in mine.ids(texts)] == want
+    assert mine.ids(["a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
+
+
+def test_any_other_tokenizer_is_the_library():
+    import json
+
+    text = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}):
+        other = json.dumps({**json.loads(text), **change})
+        mine, whole = WordTokenizer(other), Tokenizer.from_str(other)
+        texts = ["Some Words here\nand there", "", "été <|endoftext|> x", "語 1234"]
+        assert not mine.short_way
+        assert [x.tolist() for x in mine.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # -- HTML -------------------------------------------------------------------------------------------
@@ -386,6 +400,41 @@ def test_long_runs_and_joins(coder):
     assert mine._merged_by_heap(raw) == whole
 
 
+def test_windows_grow_across_the_halves():
+    """A vocabulary in which a token at the end of the left half depends on letters far into the right one."""
+    ranks = {bytes([b]): 1000 + b for b in range(256)}
+    for i, pair in enumerate([b"ab", b"abab", b"ba", b"aa", b"bb", b"aab", b"abba", b"baab", b"aaaa", b"bbbb", b"abababab"]):
+        ranks[pair] = i
+    mine, library = byte_bpe.ByteBpe(ranks, r"[\s\S]+"), tiktoken.Encoding("w", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng, moved = random.Random(3), 0
+    for n in (9, 17, 40, 130, 600):
+        for _ in range(60):
+            text = "".join(rng.choice("ab") for _ in range(n))
+            assert mine.encode(text) == library.encode_ordinary(text)
+            raw, mid = text.encode(), n // 2
+            left, right = mine.merged(raw[:mid]), mine.merged(raw[mid:])
+            joined = mine.join(left, right)
+            assert joined == mine.merged(raw) and mine.decode(joined) == raw
+            moved += joined != left + right
+    assert moved > 100  # most boundaries needed a window
+
+
+def test_two_vocabularies_of_one_size_have_two_coders():
+    base = {bytes([b]): 256 + b for b in range(256)}
+    one, two = ({**base, **dict(zip(tokens, range(3)))} for tokens in ([b"ab", b"bc", b"cd"], [b"bc", b"ab", b"cd"]))
+    a, b = (byte_bpe.Coder.of(byte_bpe.Vocabulary.of(r, r"\w+")) for r in (one, two))
+    assert a.encode("abcd") == [one[b"ab"], one[b"cd"]] and b.encode("abcd") == [two[b"a"], two[b"bc"], two[b"d"]]
+    assert byte_bpe.Coder.of(byte_bpe.Vocabulary.of(dict(reversed(one.items())), r"\w+")) is a
+
+
+def test_decoding_halves_long_ids(coder):
+    mine, _ = coder
+    ids = [random.Random(6).randrange(50_000) for _ in range(5 * byte_bpe.DECODED_LEAF + 3)]
+    assert mine.decode(ids) == b"".join(mine.bytes_of[i] for i in ids) and mine.decode([]) == b""
+    with pytest.raises(KeyError):
+        mine.decode([1 << 40])
+
+
 # -- near duplicates --------------------------------------------------------------------------------------
 
 
@@ -454,6 +503,38 @@ def test_records_round_trip():
         list(warc.parse(warc.to_bytes(source["headers"], source["block"])[:-60]))
 
 
+def test_response_ids_tell_pages_dates_and_contents_apart():
+    of = lambda *a: warc.response_of(*a)["record_id"]
+    one = of(None, None, "<p>a", "2026-01-01T00:00:00Z")
+    ids = [one, of(None, None, "<p>b", "2026-01-01T00:00:00Z"), of(None, None, "<p>a", "2026-01-02T00:00:00Z"), of(1, None, "<p>a", "2026-01-01T00:00:00Z"), of(None, "null", "<p>a", "2026-01-01T00:00:00Z"), of(None, "", "<p>a", "2026-01-01T00:00:00Z")]
+    assert len(set(ids)) == len(ids) and one == of(None, None, "<p>a", "2026-01-01T00:00:00Z")
+
+
+def test_headers_cannot_be_forged():
+    source = warc.response_of(1, "http://e.org/\r\nWARC-Type: resource\r\n\r\n", "x", "2026-01-01T00:00:00Z")
+    for made in (source, *warc.derivatives(source)):
+        (back,) = warc.parse(warc.to_bytes(made["headers"], made["block"]))
+        assert back["warc_type"] == made["warc_type"] and back["headers"] == made["headers"] and "%0D%0A" in back["target_uri"]
+    for name, value in (("A", "b\r\nC: d"), ("A\nB", "c"), ("A", "b\n"), ("", "x"), ("A: b", "c")):
+        with pytest.raises(ValueError):
+            warc.to_bytes([{"name": name, "value": value}], b"")
+
+
+def test_parsing_a_member_and_a_chunk_at_a_time():
+    import gzip
+
+    rng = random.Random(8)
+    made = [warc.record("resource", f"<urn:{i}>", rng.randbytes(rng.choice([0, 5, 3000, 2_500_000])), "application/octet-stream", None, None) for i in range(12)]
+    plain = b"".join(warc.to_bytes(r["headers"], r["block"]) for r in made)
+    members = b"".join(warc.to_bytes(r["headers"], r["block"], True) for r in made)
+    for raw in (plain, members, gzip.compress(plain), gzip.compress(plain[:1000]) + gzip.compress(plain[1000:])):
+        assert [(b["record_id"], b["block"]) for b in warc.parse(raw)] == [(r["record_id"], r["block"]) for r in made]
+    for raw in (members[:-9], plain[:-50], gzip.compress(plain)[:-2000], b"WARC/1.1\r\nno header\r\n\r\n", b"WARC/1.1\r\nContent-Length: -4\r\n\r\n\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(raw))
+    assert list(warc.parse(b"")) == []
+
+
 def test_odd_records():
     empty = warc.response_of(None, None, None, "2026-01-01T00:00:00Z")
     conversion, metadata = warc.derivatives(empty)

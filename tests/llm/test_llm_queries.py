@@ -157,16 +157,18 @@ def packed(df, by_text):
     return cover
 
 
-def test_op2_places_every_id_once(docs, texts, odd, none):
+def test_op2_places_every_id_once(spark, docs, texts, odd, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
     want = {d: ids(x) for d, x in texts.items()}
-    assert packed(packing.pack(docs, path, run_rows=50), want) == {d: len(x) for d, x in want.items()}
+    assert packed(packing.pack(docs.repartition(5), path), want) == {d: len(x) for d, x in want.items()}
     rows = [(r[0], ids(r[1])) for r in ODD]
     cover = packed(packing.pack(odd, path), rows)
     assert sum(cover.values()) == sum(len(x) for _, x in rows)
+    special = {1: "a <|endoftext|> b", 2: "<|startoftext|>", 3: "<|endoftext|>" * 3000, 4: "plain"}
+    df = spark.createDataFrame(list(special.items()), "doc_id bigint, text string")
+    assert packed(packing.pack(df, path), {d: ids(x) for d, x in special.items()}) == {d: len(ids(x)) for d, x in special.items()}
     assert packing.pack(none, path).count() == 0
 
 
