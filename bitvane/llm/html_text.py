@@ -1,32 +1,39 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page; containers that hold no article text
-by their kind or name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) leave blank lines behind. Text lengths are summed over sliding windows of
-lines. Where the sums rise from nothing is a surge point, where they fall to nothing a dive point;
-the text between the two is a run. Inside an article or main element every run is main text, so that
-there tags and names alone decide.
-
-On a page without such an element, runs that only a dropped container parts are one text where the
-line before it and the line after it lie in the same div, or one in a div that holds the other's.
-Texts from the first with a dense window (40 characters outside links in 3 lines, whatever the rest
-of the page holds) to the last are kept, and so are those before them that have a heading; what
-is mostly link text is not. A page without dense text keeps all but the link text.
-
-Character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined by a line feed.
-
-Defined results: null or empty html, and html without such text, give the empty string; text
+Markup is stripped into lines, one for each block of the page. A line weighs what it has of text
+outside links, up to 240 characters, and weights are summed over sliding windows of lines; between
+containers that don't hold one another lie blank lines. Where the sums rise from nothing is a surge
+point, where they fall to nothing a dive point, and the text between the two is a run. A run is dense
+if a window of it reaches the threshold, a share of the page's typical sum (the mean of the sums, each
+weighted by itself). Kept is the text from the first dense run's surge to the last one's dive, but
+for runs of links; a run before that has the page's only heading; and runs that go on in containers of
+the same element and class.
+
+Elements and names weigh in, and decide nothing by themselves:
+
+* Containers of a kind or name that holds no article text (menus, page headers, footers, sidebars,
+  notices, adverts, forms, reader comments) weigh a fiftieth, or a quarter where the name only has
+  such a word in it. Each is taken out of its parent's lines and judged as a distribution of its own, against
+  the page's threshold: long prose under a chance word stays. A wrapper around the page's article, a form around most of
+  the page, and a container of nearly all its text, count as any other container.
+* Where article and main elements have a tenth of the page's text or more, text in one weighs four times as
+  much and text outside a twenty-fifth. Where they have less, they are teasers, and count for nothing.
+
+Scripts, styles and the like hold no lines. Character references are decoded, white space inside a
+block becomes one space, blocks are trimmed and joined by a line feed.
+
+Defined results: null or empty html, and html without text outside links, give the empty string; text
 outside all markup is a run like any other; tags that are never closed end with their parent, a list
 item or table cell with the next one of its list or table at the latest; svg and math that close
-themselves are empty; an unterminated tag at the end of the page is dropped; repeated rows give the same text. Columns that
-clash with the output are replaced by it.
+themselves are empty; an unterminated tag at the end of the page is dropped; a very long page, or one
+nested deeply, is read whole, by one task; repeated rows give the same text; equal sums are both
+dense. No rows, no rows. Columns that clash with the output are replaced by it; others pass.
 """
 
 from __future__ import annotations
 
 import html as html_entities
-import math
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -47,8 +54,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until-found))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements that begin and end a line.
@@ -71,18 +78,48 @@ DROPPED_NAMES = frozenset(
     "pagination pager toolbar footer masthead topbar copyright disclaimer comment comments commentlist disqus respond replies reply "
     "discussion responses complementary contentinfo search".split()
 )
+#: Of these, the ones of readers' talk; a container of it is no wrapper of the page's article.
+TALK = frozenset("comment comments commentlist disqus respond replies reply discussion responses".split())
+#: Those that tell even of a few words inside a line.
+ADVERTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted".split())
+#: Parts of names that say where or how, and not what.
+STRUCTURE = frozenset(
+    "area bar block body bottom box button buttons c col column component container content desktop div el fixed global group holder id inner item items js large layout "
+    "left link links list mobile module outer panel primary right row secondary section site slot small sticky text the thread top unit widget widgets wp wrap wrapper zone".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_PREFIXES_THAT_TELL_OF_THE_REST = frozenset("has with without no not is".split())
+_THE_REST_IS_OF_ANOTHER = frozenset("has with without no not is".split())
 
+#: Weights of containers that hold no article text, by element or name, and by a name that has such a word in it.
+SURELY, MAYBE = 0.02, 0.25
+#: Characters of a line that count at most; weights in and out of an article, where there is one.
+LINE_CHARS, INSIDE, OUTSIDE = 240, 4.0, 0.04
+#: What link text weighs in an article, and which share of it makes a run one of links.
+LINK, MOST_LINKS = 0.03, 0.5
+#: The threshold, as a share of the typical sum: with an article, and without.
+DENSE_INSIDE, DENSE = 0.05, 0.15
+#: The share of the text in article and main elements from which on they count.
+LEAST_INSIDE = 0.1
 
-@dataclass
-class Div:
-    """A div by the numbers of the first and the last div in it, itself counted, in the page's order."""
 
-    first: int = 0
-    last: float = math.inf
+@dataclass(slots=True, eq=False)
+class Box:
+    """A container, with the numbers of itself and of the last one in it."""
 
-    def holds(self, other: Div) -> bool:
+    first: int = 0
+    last: float = 0
+    up: Box | None = None
+    name: str = ""
+    shape: str = ""  # element and classes, where it has classes
+    inside: bool = False  # of an article or main element, or one
+    weight: float = 1.0
+    talk: bool = False
+    hard: bool = True  # whether blank lines lie between it and the next
+    chars: int = 0  # outside links, and outside containers that weigh less
+    prose: int = 0  # lines of 80 such characters or more
+    title: bool = False  # an h1 is in it
+
+    def holds(self, other: Box) -> bool:
         return self.first <= other.first <= self.last
 
 
@@ -91,65 +128,99 @@ class Line:
     text: str
     inside: bool  # an article or main element
     links: int  # characters of it in links
-    div: Div = field(default_factory=Div)  # the innermost; the page itself is number 0
+    box: Box = field(default_factory=Box)
     heading: bool = False
-
-
-def _dropped(name: str, attributes: str, inside: bool) -> bool:
-    if name in DROPPED or name == "header" and not inside:
-        return True
-    if name in ("html", "body", "main", "article"):
-        return False
+    weight: float = -1.0
+    block: int = -1  # parts of one block, of which an advert in a sentence is one, have the same number
+
+    def __post_init__(self):
+        if self.weight < 0:
+            self.weight = float(len(self.text))
+
+
+def _named(word: str, inside: bool) -> tuple[float, bool]:
+    """(weight, whether it is readers' talk) of a container by one word of its class, id or role."""
+    parts = [p.lower() for p in _PART.findall(word)]
+    parts = list(itertools.takewhile(lambda p: p not in _THE_REST_IS_OF_ANOTHER, parts))
+    if not parts or DROPPED_NAMES.isdisjoint(parts) and "header" not in parts:
+        return 1.0, False
+    what = [p for p in parts if p not in STRUCTURE and not p.isdigit()]
+    if what == ["header"] and not inside:
+        return SURELY, False
+    if what and what[-1] in DROPPED_NAMES:
+        return SURELY, what[-1] in TALK
+    return (MAYBE, False) if not DROPPED_NAMES.isdisjoint(what) else (1.0, False)
+
+
+def _hint(name: str, attributes: str, inside: bool) -> tuple[float, bool, str]:
+    """(weight, whether it is readers' talk, shape) of a container."""
+    weight, talk, shape = (SURELY if name in DROPPED or name == "header" and not inside else 1.0), False, ""
     if not attributes or attributes.isspace():
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        for word in (m[2] or m[3] or m[4] or "").split():
-            parts = [p.lower() for p in _PART.findall(word)]
-            if parts and parts[0] not in _PREFIXES_THAT_TELL_OF_THE_REST and not DROPPED_NAMES.isdisjoint(parts):
-                return True
-            if parts == ["header"] and not inside:
-                return True
-    return False
-
-
-def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line | None]:
-    """The page's lines in order; None for blank ones, of which a dropped container leaves a window.
-
-    all_text keeps what would be dropped, but for scripts, styles and the like.
-    """
-    out: list[Line | None] = []
+        return weight, talk, shape
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "class" and value.strip():
+            shape = f"{name} {' '.join(sorted(value.split()))}"
+        if name in ("html", "body", "main"):
+            continue
+        if key == "hidden" and value.lower() not in ("false", "until-found") or key == "aria-hidden" and value.lower() == "true" or key == "style" and _UNSEEN.search(value):
+            weight = SURELY
+        elif key in ("class", "id", "role"):
+            for word in value.split():
+                w, t = _named(word, inside)
+                if name in ("span", "article") and w < 1 and not t and ADVERTS.isdisjoint(p.lower() for p in _PART.findall(word)):
+                    continue  # a span of a sentence, or an article about it
+                if name == "span" and t:
+                    continue
+                weight, talk = min(weight, w), talk or t
+    return weight, talk, shape
+
+
+def lines_of(page: str) -> tuple[list[Line], list[Box]]:
+    """The page's lines, and its containers, both in order."""
+    out: list[Line] = []
+    boxes = [Box(title=False)]
     text: list[str] = []
     links = [0]
-    stack: list[tuple[str, bool, bool, Div]] = []  # (element, and what held outside it: dropped, inside, div)
+    stack: list[tuple[str, Box]] = []  # (element, the container that it is in)
     ends: list[tuple[int, int]] = [(-1, -1)]  # under each depth: of the item, and of the cell, that the next one ends
     opened: dict[str, int] = defaultdict(int)  # how often an element is on the stack
-    dropped = inside = heading = False
-    div = Div()
-    divs = 0
-    in_link = 0
+    box = boxes[0]
+    block: Box | None = None  # of a paragraph that weighs less by its name
+    heading = ""
+    in_link = number = 0
 
-    def end_line() -> None:
+    def end_line(part: bool = False) -> None:
+        nonlocal block, number
         if text:
             got = " ".join(html_entities.unescape("".join(text)).split())
             if got:
-                out.append(Line(got, inside, links[0], div, heading))
+                own = block or box
+                out.append(Line(got, own.inside, min(links[0], len(got)), own, bool(heading), block=number))
+                if heading == "h1":
+                    own.title = True
             text.clear()
         links[0] = 0
+        if not part:
+            number, block = number + 1, None
+
+    def open_box(name: str, attributes: str) -> Box:
+        weight, talk, shape = _hint(name, attributes, box.inside)
+        inside = box.inside or name in ("article", "main")
+        hard = name in ("div", "article", "main", "body") or name == "section" and box.name in ("", "body", "main", "html")
+        boxes.append(Box(len(boxes), len(boxes), box, name, shape, inside, weight, talk, hard))
+        return boxes[-1]
 
     def close(depth: int) -> None:
-        nonlocal dropped, inside, div
-        for name, _, _, outer in reversed(stack[depth:]):
+        nonlocal box
+        for name, outer in reversed(stack[depth:]):
             opened[name] -= 1
-            if outer is not div:
-                div.last = divs
-                div = outer
-        _, dropped, inside, _ = stack[depth]
+            box.last = len(boxes) - 1
+            box = outer
         del stack[depth:], ends[depth + 1 :]
 
     def say(s: str) -> None:
-        if not dropped and s:
+        if s:
             text.append(s)
             if in_link:
                 links[0] += len(s)
@@ -173,111 +244,219 @@ def lines_of(page: str, window: int = 3, all_text: bool = False) -> list[Line |
             in_link = 0 if closing else 1
         if name in BLOCKS:
             end_line()
-            heading = not closing and name in HEADINGS
+            heading = name if not closing and name in HEADINGS else ""
         item, cell = ends[-1]
         if name == "li" and not closing and item >= 0:
             close(item)
         elif name in CELL_ENDS and cell >= 0 and not (closing and name in ("td", "th", "caption")):
             close(cell)
         if name not in CONTAINERS or attributes.endswith("/"):
+            if name in BLOCKS and not closing and attributes and not attributes.isspace() and _hint(name, attributes, box.inside)[0] < 1:
+                block = open_box(name, attributes)
             continue
         if not closing:
             item, cell = ends[-1]
             item = len(stack) if name == "li" else item if name in ("div", "span") else -1
             cell = len(stack) if name == "td" else -1 if name == "table" else cell
+            if name in ("span", "button"):
+                plain = _hint(name, attributes, box.inside)[0] == 1
+                if plain and not opened[name]:
+                    continue
+                end_line(part=True)
             ends.append((item, cell))
             opened[name] += 1
-            stack.append((name, dropped, inside, div))
-            now_inside = inside or name in ("article", "main")
-            if not dropped and not all_text and _dropped(name, attributes, inside):
-                if name in ("span", "button"):
-                    say(" ")
-                else:
-                    end_line()
-                    out.extend([None] * window)
-                dropped = True
-            inside = now_inside
-            if name == "div":
-                divs += 1
-                div = Div(divs)
+            stack.append((name, box))
+            box = open_box(name, attributes)
             continue
         if not opened[name]:
             continue
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] == name:
-                if name in BLOCKS:
-                    end_line()
+                end_line(part=name in ("span", "button"))
                 close(depth)
                 break
     if at < len(page):
         say(page[at:])
     end_line()
+    for outer in (box, *(b for _, b in stack)):
+        outer.last = len(boxes) - 1
+    return out, boxes
+
+
+def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
+    """Settle what containers and lines weigh; whether the page has an article."""
+    for line in lines:
+        chars = max(len(line.text) - line.links, 0)
+        line.box.chars += chars
+        line.box.prose += chars >= 80
+    for b in reversed(boxes[1:]):
+        b.up.title = b.up.title or b.title
+        if b.weight == 1:
+            b.up.chars += b.chars
+            b.up.prose += b.prose
+    root = boxes[0]
+
+    def over(b: Box) -> Iterator[Box]:
+        while b.up is not None:
+            b = b.up
+            yield b
+
+    article = None
+    for b in sorted((b for b in boxes if b.name in ("article", "main") and b.weight == 1 and b.chars), key=lambda b: -b.chars):
+        if any(o.talk for o in over(b)):
+            continue
+        if all(o.weight == 1 for o in over(b)) or 2 * b.chars >= root.chars + b.chars:
+            article = b
+            break
+    within = sum(max(len(x.text) - x.links, 0) for x in lines if x.box.inside and not x.box.talk)
+    if article is not None and within < LEAST_INSIDE * root.chars:
+        article = None
+    for b in boxes:
+        if b.weight == 1 or b.talk:
+            continue
+        most = b.chars / (root.chars + b.chars) if b.chars else 0.0
+        if article is not None:
+            around = b.holds(article) or article.holds(b) and most >= 0.85 and b.prose >= 3
+        elif b.name == "form":
+            around = most >= 0.6
+        else:
+            around = b.name not in DROPPED and b.name != "header" and (most >= 0.5 and b.title or most >= 0.85 and b.prose >= 3)
+        if around:
+            b.weight = 1.0
+    for line in lines:
+        chars, inside = max(len(line.text) - line.links, 0), line.box.inside
+        if article is not None and inside:
+            chars += LINK * line.links
+            chars *= INSIDE if line.box.weight == 1 and all(o.weight == 1 for o in over(line.box)) else 1.0
+        line.weight = min(float(chars), LINE_CHARS) * (OUTSIDE if article is not None and not inside else 1.0)
+    return article is not None
+
+
+def _parts(lines: list[Line], boxes: list[Box]) -> tuple[list[Line], list[list[Line]]]:
+    """(the lines of no container that weighs less; those of each that does, weighed)."""
+    factor, of = {}, {}
+    for b in boxes:
+        outer = factor.get(id(b.up), 1.0)
+        factor[id(b)] = outer * b.weight
+        of[id(b)] = b.first if b.weight < 1 else of.get(id(b.up), -1)
+    rest: list[Line] = []
+    apart: dict[int, list[Line]] = defaultdict(list)
+    for line in lines:
+        line.weight *= factor[id(line.box)]
+        key = of[id(line.box)]
+        (rest if key < 0 else apart[key]).append(line)
+    return rest, list(apart.values())
+
+
+def _hard(box: Box) -> Box:
+    while not box.hard and box.up is not None:
+        box = box.up
+    return box
+
+
+def _of_links(lines: list[Line]) -> bool:
+    return sum(x.links for x in lines) > MOST_LINKS * sum(len(x.text) for x in lines)
+
+
+def blanked(lines: list[Line], window: int) -> list[Line | None]:
+    """The lines, with a window of blanks where text doesn't go on in the same container.
+
+    It goes on in one that holds the other, but there not from or to link text.
+    """
+    stretches: list[tuple[Box, list[Line]]] = []
+    for line in lines:
+        own = _hard(line.box)
+        if stretches and stretches[-1][0] is own:
+            stretches[-1][1].append(line)
+        else:
+            stretches.append((own, [line]))
+    out: list[Line | None] = []
+    before: tuple[Box, bool] | None = None
+    for own, part in stretches:
+        linked = _of_links(part)
+        if before is not None and (before[1] or linked or not (before[0].holds(own) or own.holds(before[0]))):
+            out.extend([None] * window)
+        out.extend(part)
+        before = own, linked
     return out
 
 
-def runs(lines: list[Line | None], window: int = 3) -> list[tuple[int, int, int]]:
+def runs(lines: list[Line | None], window: int = 3) -> list[tuple[int, int, float]]:
     """(surge, dive, highest window sum) of each run of lines: sums over windows that start at each line.
 
     A run begins where text follows a blank, and ends where a whole window holds none.
     """
-    sizes = np.array([len(x.text) if x else 0 for x in lines], np.int64)
-    if not sizes.any():
+    there = np.array([x is not None for x in lines], np.int64)
+    if not there.any():
         return []
-    sums = np.convolve(sizes, np.ones(window, np.int64))[window - 1 :]  # of lines i .. i + window - 1
-    full = (sums > 0).astype(np.int8)
-    edge = np.diff(np.concatenate(([0], full, [0])))
-    out = []
-    for surge, dive in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        out.append((int(surge), int(dive), int(sums[surge:dive].max())))
-    return out
+    # lines that weigh nothing are there still
+    weights = np.array([x.weight if x else 0.0 for x in lines])
+    full = (_sums(there, window) > 0).astype(np.int8)
+    sums, edge = _sums(weights, window), np.diff(np.concatenate(([0], full, [0])))
+    return [(int(a), int(b), float(sums[a:b].max())) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+
 
+def _sums(weights: np.ndarray, window: int) -> np.ndarray:
+    """Of lines i .. i + window - 1, for each i."""
+    return np.convolve(weights, np.ones(window, weights.dtype))[window - 1 :]
 
-def main_text(page: str | None, window: int = 3, dense: int = 40, most_links: float = 0.5) -> str:
+
+def threshold_of(lines: list[Line | None], share: float, window: int) -> float:
+    """A share of the typical window sum."""
+    sums = _sums(np.array([x.weight if x else 0.0 for x in lines] or [0.0]), window)
+    total = sums.sum()
+    return share * float((sums**2).sum() / total) if total > 0 else 0.0
+
+
+def main_text(page: str | None, window: int = 3) -> str:
     if not page:
         return ""
-    lines = lines_of(page, window)
-    if any(x and x.inside for x in lines):
-        lines = [x if x and x.inside else None for x in lines]
-        kept = [x for surge, dive, _ in runs(lines, window) for x in lines[surge:dive] if x]
-    else:
-        found = texts([[x for x in lines[surge:dive] if x] for surge, dive, _ in runs(lines, window)], most_links)
-        found = [x for x in found if _links(x) <= most_links]
-        has = [i for i, x in enumerate(found) if _peak(x, window) >= dense]
-        if has:
-            found = [x for i, x in enumerate(found) if i <= has[-1] and (i >= has[0] or any(line.heading for line in x))]
-        kept = [line for x in found for line in x]
-    return "\n".join(x.text for x in kept)
-
-
-def texts(parts: list[list[Line]], most_links: float = 0.5) -> list[list[Line]]:
-    """Runs, joined where the text goes on in the same div; one of links only in the very same."""
-    out: list[list[Line]] = []
-    linked = False
-    for part in parts:
-        before, linked = linked, _links(part) > most_links
-        if out:
-            a, b = out[-1][-1].div, part[0].div
-            if a is b and a.first or not (before or linked) and (a.holds(b) or b.holds(a)):
-                out[-1].extend(part)
-                continue
-        out.append(list(part))
-    return out
+    lines, boxes = lines_of(page)
+    anchored = _weigh(lines, boxes)
+    rest, apart = _parts(lines, boxes)
+    blocks = blanked(rest, window)
+    least = threshold_of(blocks, DENSE_INSIDE if anchored else DENSE, window)
+    kept: list[Line] = []
+    if least > 0:
+        found = [([x for x in blocks[surge:dive] if x], peak >= least) for surge, dive, peak in runs(blocks, window)]
+        dense = [i for i, (_, is_dense) in enumerate(found) if is_dense]
+        keep = set(dense)
+        for i in range(dense[0], dense[-1]):
+            part = found[i][0]
+            if not _of_links(part) and (not anchored or part[0].inside):
+                keep.add(i)
+        for step, edge in ((-1, dense[0]), (1, dense[-1])):
+            # paragraphs in containers of their own, alike
+            at = edge + step
+            while 0 <= at < len(found) and _alike(found[at][0], found[at - step][0]):
+                keep.add(at)
+                at += step
+        if not any(line.heading for line in found[dense[0]][0]):
+            titled = [i for i in range(dense[0]) if any(line.heading for line in found[i][0]) and not _of_links(found[i][0])]
+            keep.update(titled[-1:])
+        kept = [line for i in sorted(keep) for line in found[i][0]]
+    for part in apart:
+        if least <= 0:
+            continue
+        sums = _sums(np.array([line.weight for line in part]), window)
+        if sums.max() >= least:
+            kept += part
+    order = {id(line): i for i, line in enumerate(lines)}
+    return _joined(sorted(kept, key=lambda line: order[id(line)]))
 
 
-def _peak(lines: list[Line], window: int) -> int:
-    """The highest window sum of characters outside links."""
-    sizes = [max(len(x.text) - x.links, 0) for x in lines]
-    return max(sum(sizes[i : i + window]) for i in range(len(sizes)))
+def _joined(lines: list[Line]) -> str:
+    return "\n".join(" ".join(line.text for line in block) for _, block in itertools.groupby(lines, key=lambda line: line.block))
 
 
-def _links(lines: list[Line]) -> float:
-    total = sum(len(x.text) for x in lines)
-    return sum(x.links for x in lines) / total if total else 0.0
+def _alike(a: list[Line], b: list[Line]) -> bool:
+    one, two = _hard(a[0].box), _hard(b[0].box)
+    return bool(one.shape) and one.shape == two.shape and one.up is two.up and not _of_links(a)
 
 
 def plain_text(page: str | None) -> str:
     """All text that a reader sees, a line for each block."""
-    return "\n".join(x.text for x in lines_of(page or "", all_text=True) if x)
+    return _joined(lines_of(page or "")[0])
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -315,6 +315,100 @@ def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str) and isinstance(html_text.plain_text(page), str)
 
 
+# Pages marked by hand. Text(n) is prose of n sentences; what is expected is what a reader would call the article.
+def prose(n, k=0):
+    return " ".join(f"Sentence number {i + k} of this story tells a little more than the one before it." for i in range(n))
+
+
+LINKS = "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(8))
+A, B, D, E = prose(3), prose(4, 10), prose(2, 20), "The end."
+MARKED = [
+    # containers without names: density, links and place alone
+    (f"<body><div>Site name</div><div><h1>Title</h1><p>{A}<p>{B}</div><div>All rights kept</div></body>", ["Title", A, B]),
+    (f"<body><div><ul>{LINKS}</ul></div><div><p>{A}</p><p>{B}</p></div><div><ul>{LINKS}</ul></div></body>", [A, B]),
+    (f"<body><div>Log in</div><div>Help</div><div><p>{A}</p></div><div><p>{B}</p></div><div>Imprint</div></body>", [A, B]),
+    (f"<body><div><a href=/>Home</a> | <a href=/n>News</a> | <a href=/s>Sport</a></div><div><p>{A}<p>{D}</div></body>", [A, D]),
+    (f"<body><div><div><div><p>{A}</p><p>{B}</p><p>{E}</p></div></div></div><div>Powered by us</div></body>", [A, B, E]),
+    (f"<body><div>We use your data, see here.</div><div><h2>Title</h2><div>{A}</div><div>{B}</div></div></body>", ["Title", A, B]),
+    (f"<body><div><h1>Title</h1></div><div>By A. Writer</div><div><p>{A}</p><p>{B}</p></div><div>Share</div></body>", ["Title", A, B]),
+    (f"<body><table><tr><td><a href=1>One</a><br><a href=2>Two</a><td><p>{A}<p>{B}</table></body>", ["One Two", A, B]),
+    (f"<body><div>{A}<br><br>{B}<br><br>{E}</div><div>1 2 3 next</div></body>", [f"{A} {B} {E}"]),
+    (f"<body><div class=para>{A}</div><div class=para>Short.</div><div class=para>{B}</div><div class=para>{E}</div><div class=end>Site map</div></body>", [A, "Short.", B, E]),
+    (f"<body><div class=para>Once.</div><div class=para>{A}</div><div class=para>{E}</div><div>Site map</div></body>", ["Once.", A, E]),
+    (f"<body><section>Our shop</section><section><h1>Title</h1><p>{A}</p><p>{B}</p></section><section>Call us</section></body>", ["Title", A, B]),
+    (f"<body><div><p>{A}</p></div><div><ul>{LINKS}</ul></div><div><p>{B}</p></div></body>", [A, B]),
+    (f"<body><div><p>{A}</p><ul><li>First point</li><li>Second point</li></ul><p>{B}</p></div><div><ul>{LINKS}</ul></div></body>", [A, "First point", "Second point", B]),
+    (f"<p>{A}</p><p>Short.</p><p>{B}</p>", [A, "Short.", B]),
+    (f"{A}", [A]),
+    (f"<div><p>Tiny text.</p></div>", ["Tiny text."]),
+    (f"<body><div><blockquote>{D}</blockquote><p>{A}</p></div><div>(c) us</div></body>", [D, A]),
+    (f"<body><div><pre>code  one\ncode two</pre><p>{A}</p><pre>{B}</pre></div></body>", ["code one code two", A, B]),
+    # names of containers to leave out
+    (f"<body><div id=top-nav>{D}</div><div><p>{A}</p></div><div class='site-footer'>{D}</div></body>", [A]),
+    (f"<body><div class='col-md-8'><p>{A}</p><div class='ad-slot'>{D}</div><p>{B}</p><div class=related>{LINKS}</div><p>{E}</p></div></body>", [A, B, E]),
+    (f"<body><div><p>{A}</p></div><div id=comments><div class='comment-body'><p>{B}</p><p>{B}</p></div></div></body>", [A]),
+    (f"<body><div><p>{A}</p><ol class='comment-list'>{('<li class=comment><p>' + B) * 6}</ol></div></body>", [A]),
+    (f"<body><div class='cookie-consent'><p>{B}</p></div><div><h1>T</h1><p>{A}</p></div><aside><p>{B}</p></aside></body>", ["T", A]),
+    (f"<body><div><p>{A}</p><p class=advert>{D}</p><p>{B} <span class=ad>Buy now</span> So it went.</p></div></body>", [A, f"{B} So it went."]),
+    (f"<body><header><h1>Site</h1><p>{D}</p></header><div><h2>T</h2><p>{A}</p></div><footer><p>{D}</p></footer></body>", ["T", A]),
+    (f"<body><div role=navigation>{D}</div><div role=main><p>{A}</p></div><div role=complementary>{D}</div></body>", [A]),
+    (f"<body><div><form><label>Your mail</label><input><button>Send</button></form><p>{A}</p><p>{B}</p></div></body>", [A, B]),
+    (f"<body><div class=newsletter><p>{D}</p></div><div><p>{A}</p></div><div class='social share-bar'>{D}</div></body>", [A]),
+    # names that mean no harm
+    (f"<body><form id=aspnet><div>Site</div><div><h1>T</h1><p>{A}</p><p>{B}</p></div><div>Imprint</div></form></body>", ["T", A, B]),
+    (f"<body><div id=content-sidebar-wrap><div><h1>T</h1><p>{A}</p><p>{B}</p></div><div class=sidebar><p>{D}</p></div></div></body>", ["T", A, B]),
+    (f"<body><div class=social-history><h1>T</h1><p>{A}</p><p>{B}</p></div></body>", ["T", A, B]),
+    (f"<body><div><p>{A}</p><div class=menu-engineering><p>{B}</p></div><p>{D}</p></div></body>", [A, B, D]),
+    (f"<body class='has-sidebar no-comments'><div style='overflow: hidden'><p>{A}</p><p>{B}</p></div></body>", [A, B]),
+    (f"<body><div class=overflow-hidden><p>{A}</p></div><div hidden><p>{B}</p></div><div style='display:none'>{B}</div></body>", [A]),
+    (f"<body><div data-title='hidden gems' data-class='sidebar'><p>{A}</p></div></body>", [A]),
+    (f"<body><div><p>{A}</p><p>See <span class=comment>this</span> too.</p></div></body>", [A, "See this too."]),
+]
+
+
+@pytest.mark.parametrize("page, want", MARKED)
+def test_main_text_of_marked_pages_without_an_article(page, want):
+    assert "<article" not in page and "<main" not in page
+    assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # a teaser in an article element, and the text elsewhere
+        (f"<body><div><h1>T</h1><p>{A}</p><p>{B}</p><p>{A}</p></div><div><article>Read also.</article></div></body>", ["T", A, B, A]),
+        (f"<body><div><h1>T</h1><p>{A}</p><p>{B}</p><p>{D}</p></div><aside><article><h3>Card</h3><p>{D}</p></article></aside></body>", ["T", A, B, D]),
+        # text outside, and boxes of links inside, under no name
+        (f"<body><div>{D}</div><article><h1>T</h1><p>{A}</p><p>{B}</p></article><div>{D}</div></body>", ["T", A, B]),
+        (f"<body><article><h1>T</h1><p>{A}</p><div class=x1><ul>{LINKS}</ul></div><p>{B}</p></article></body>", ["T", A, B]),
+        (f"<body><article><div><h1>T</h1></div><div><p>{A}</p></div><div><p>{E}</p></div></article><div>Imprint</div></body>", ["T", A, E]),
+        # wrappers, forms and hidden words around an article
+        (f"<body><div id=content-sidebar-wrap><article><p>{A}</p></article><div class=sidebar>{D}</div></div></body>", [A]),
+        (f"<body><form><nav>{LINKS}</nav><article><p>{A}</p></article></form></body>", [A]),
+        (f"<article><div style='overflow: hidden'><p>{A}</p></div><div class=social-history><p>{B}</p></div></article>", [A, B]),
+        (f"<article class=post-with-comments><p>{A}</p><section id=comments><article class=comment><p>{B}</p><p>{B}</p></article></section></article>", [A]),
+        (f"<nav>{'<div>' * 5000}x{'</div>' * 5000}</nav><article><p>{A}</p></article>", [A]),
+        (f"<main><div class=sidebar-layout><p>{A}</p><p>{B}</p><p>{D}</p></div></main>", [A, B, D]),
+        ("<body><nav>Menu</nav><article><h1>T</h1><p>A.</p><p>B.</p></article><footer>" + prose(3) + "</footer></body>", ["T", "A.", "B."]),
+    ],
+)
+def test_main_text_where_an_article_is_one_more_hint(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_density_decides(monkeypatch):
+    """With every run as dense as any other, most of the marked pages come out wrong."""
+    monkeypatch.setattr(html_text, "threshold_of", lambda *_: 1e-9)
+    assert sum(html_text.main_text(page).split("\n") != want for page, want in MARKED) >= 15
+
+
+def test_a_very_long_page():
+    page = "<body><div>Site</div><div>" + f"<p>{A}</p>" * 30_000 + "</div><div>Imprint</div></body>"
+    start = time.process_time()
+    assert html_text.main_text(page) == "\n".join([A] * 30_000)
+    assert time.process_time() - start < 20
+
+
 def test_text_alone_and_runs():
     assert html_text.main_text("just text &lt;here&gt;") == "just text <here>"
     line = lambda n: html_text.Line("x" * n, False, 0)
