@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -54,26 +55,41 @@ def _as_written(settings: dict) -> bool:
     return plain and whole and cut and settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER
 
 
-class WordTokenizer:
-    """Made from the text of a tokenizer's file, so that only the driver needs the file."""
+@dataclass(frozen=True)
+class TokenizerFile:
+    """The text of a tokenizer's file and what it says of the ways to take: read on the driver, sent to the workers."""
+
+    text: str
+    short_way: bool
+    special: tuple[str, ...]
+    key: str
+
+    @classmethod
+    def of(cls, text: str) -> TokenizerFile:
+        settings = json.loads(text)
+        return cls(text, _as_written(settings), tuple(t["content"] for t in settings["added_tokens"]), hashlib.sha256(text.encode()).hexdigest())
 
-    def __init__(self, text: str, most: int = 250_000):
-        self.tokenizer = Tokenizer.from_str(text)
+    @classmethod
+    def read(cls, path: str) -> TokenizerFile:
+        with open(path, encoding="utf-8") as f:
+            return cls.of(f.read())
+
+
+class WordTokenizer:
+    def __init__(self, file: TokenizerFile, most: int = 250_000):
+        self.tokenizer = Tokenizer.from_str(file.text)
         self.model, self.visible, self.most = self.tokenizer.model, _visible_bytes(), most
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # young and old
         self.runs: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        settings = json.loads(text)
-        self.short_way = _as_written(settings)
-        special = [re.escape(t["content"]) for t in settings["added_tokens"]]
-        self.special = re.compile("|".join(special)) if special else None
+        self.short_way = file.short_way
+        self.special = re.compile("|".join(map(re.escape, file.special))) if file.special else None
 
     @classmethod
-    def of(cls, text: str) -> WordTokenizer:
+    def of(cls, file: TokenizerFile) -> WordTokenizer:
         """One for each tokenizer and process."""
-        key = hashlib.sha256(text.encode()).hexdigest()
-        if key not in _loaded:
-            _loaded[key] = cls(text)
-        return _loaded[key]
+        if file.key not in _loaded:
+            _loaded[file.key] = cls(file)
+        return _loaded[file.key]
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(got.ids, np.uint32).tobytes() for got in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialize, table, text_or_empty
-from ._tokens import WordTokenizer
+from ._tokens import TokenizerFile, WordTokenizer
 from ._words import give_back
 
 #: A piece of the plan: items of class cls and ranks lo..hi-1. kind "fill": item lo + r is placed in
@@ -221,11 +221,11 @@ def _let_go(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1)
 
 
-def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+def _tokenized(docs: DataFrame, file: TokenizerFile, end_id: int, window: int) -> DataFrame:
     """(doc_id, doc_tokens, whole: the crc32 of each whole window, rest: the ids that remain, left: how many,
     part: the task, rank: the documents of that task before it with as many left, before: the whole windows
     of that task before it). The input's rows are counted as they come, so ranking needs no shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(tokenizer)  # one file's text
+    held = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, part = WordTokenizer.of(held.value), TaskContext.get().partitionId()
@@ -259,8 +259,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
     shuffled are counts by task and length, and, where those are too many to broadcast, the ids once.
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(text).alias("text"))
-    with open(tokenizer_path, encoding="utf-8") as f:
-        tokens = materialize(_tokenized(docs, f.read(), end_id, window), "op2-tokens")  # from here on ranks stay
+    tokens = materialize(_tokenized(docs, TokenizerFile.read(tokenizer_path), end_id, window), "op2-tokens")  # from here on ranks stay
     counted = materialize(tokens.groupBy("left", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("whole")).alias("wholes")), "op2-counts")
     totals = {r["left"]: r["n"] for r in counted.groupBy("left").agg(F.sum("n").alias("n")).collect()}  # at most window rows
     plan = make_plan({x: n for x, n in totals.items() if x}, window)

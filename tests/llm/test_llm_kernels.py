@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from bitvane.llm import _words, byte_bpe, fingerprint, html_text, lang_id, near_dedup, packing, toxicity, warc
-from bitvane.llm._tokens import WordTokenizer
+from bitvane.llm._tokens import TokenizerFile, WordTokenizer
 from bitvane.llm._words import Block, blocks, shingles
 
 TEXTS = st.lists(st.text(alphabet=" abcXY.\n,éß語1_'", max_size=60), max_size=12)
@@ -218,7 +218,7 @@ def test_plan_places_every_item_once_without_padding(window, counts):
 
 def test_word_tokenizer_equals_the_library():
     path = P.path("word_bpe_49k.json")
-    mine, whole = WordTokenizer(open(path, encoding="utf-8").read(), most=200), Tokenizer.from_file(path)
+    mine, whole = WordTokenizer(TokenizerFile.read(path), most=200), Tokenizer.from_file(path)
     assert mine.short_way
     rng = random.Random(2)
     alphabet = " \n\t\x1cabcDEFéÉßİΣς'sst.,!?<|endoftext|>0123²½\u0085 語😀​ſKÅﬁ'll'd\x00"
@@ -237,7 +237,7 @@ def test_any_other_tokenizer_is_the_library():
     text = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
     for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}):
         other = json.dumps({**json.loads(text), **change})
-        mine, whole = WordTokenizer(other), Tokenizer.from_str(other)
+        mine, whole = WordTokenizer(TokenizerFile.of(other)), Tokenizer.from_str(other)
         texts = ["Some Words here\nand there", "", "été <|endoftext|> x", "語 1234"]
         assert not mine.short_way
         assert [x.tolist() for x in mine.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
