@@ -168,8 +168,12 @@ def ranked_score(score: Column, digits: int = 6) -> Column:
 def hamming_numpy(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """left rows x right rows distances of codes as pack_numpy() gives them."""
     out = np.zeros((len(left), len(right)), np.int32)
-    for w in range(left.shape[1]):
-        out += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
+    a, b = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    step = max(1, (1 << 18) // max(1, len(right)))  # what is counted at once stays near the processor
+    for at in range(0, len(left), step):
+        part = out[at : at + step]
+        for w in range(len(a)):
+            part += np.bitwise_count(a[w, at : at + step, None] ^ b[w])
     return out
 
 

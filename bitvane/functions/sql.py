@@ -2,81 +2,66 @@
 
     vs_quantize(embedding)            ARRAY<BIGINT>   the sign code
     vs_hamming(code, code)            INT             differing bits
-    vs_cosine(a, b)                   DOUBLE          float cosine
+    vs_cosine(a, b)                   DOUBLE          float cosine; 0 where either has no length
     vs_approx_cosine(distance, dim)   DOUBLE          the cosine a distance stands for
     vs_asym_score(query, code)        DOUBLE          asymmetric score of a code
     vs_rotate(embedding)              ARRAY<FLOAT>    by the model given to register()
     knn(query, k, ef)                 table           id, score, rank over the table given to register()
+
+All but vs_rotate are SQL functions: the optimiser puts their expressions in the place of the call, so
+they run in the JVM. knn is too: called laterally for a set of queries, it becomes one join of the
+distinct queries with the table, a pool of the ef nearest codes for each, and their k best cosines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..operators.rotation import RotationModel
 from . import codes as C
 
-#: What the table function holds in memory at most; larger tables are searched as DataFrames.
-MAX_TABLE_ROWS = 1_000_000
+_DOT = "aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (s, x) -> s + x)"
+_BIT = "CASE WHEN x > 0 AND NOT isnan(x) THEN shiftleft(1L, i) ELSE 0L END"
+
+SCALARS = {
+    "vs_quantize(v ARRAY<FLOAT>) RETURNS ARRAY<BIGINT>": f"""CASE WHEN size(v) = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE
+        transform(sequence(0, (size(v) - 1) div 64), w -> aggregate(transform(slice(v, CAST(w * 64 + 1 AS INT), 64), (x, i) -> {_BIT}), 0L, (a, b) -> a | b)) END""",
+    "vs_hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS INT": "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)",
+    "vs_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": f"coalesce(try_divide({_DOT.format(a='a', b='b')}, sqrt({_DOT.format(a='a', b='a')}) * sqrt({_DOT.format(a='b', b='b')})), CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 0.0D END)",
+    "vs_approx_cosine(distance INT, dim INT) RETURNS DOUBLE": "CASE WHEN dim = 0 THEN 1.0D ELSE cos(pi() * distance / dim) END",
+    "vs_asym_score(q ARRAY<FLOAT>, code ARRAY<BIGINT>) RETURNS DOUBLE": """aggregate(transform(q, (x, i) ->
+        CASE WHEN shiftrightunsigned(code[CAST(i div 64 AS INT)], i % 64) & 1 = 1 THEN CAST(x AS DOUBLE) ELSE -CAST(x AS DOUBLE) END), 0.0D, (s, x) -> s + x)""",
+}
+#: The table that knn() searches, as a view of the session.
+KNN_VIEW = "vs_knn_table"
+KNN = f"""CREATE OR REPLACE TEMPORARY FUNCTION knn(q ARRAY<FLOAT>, k INT, ef INT) RETURNS TABLE(id BIGINT, score DOUBLE, rank INT) RETURN
+    SELECT id, score, rank FROM (
+      SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+        SELECT id, round(nanvl(vs_cosine(knn.q, embedding), CAST('-infinity' AS DOUBLE)), 6) AS score FROM (
+          SELECT id, embedding, row_number() OVER (ORDER BY vs_hamming(code, vs_quantize(knn.q)), id) AS place FROM {KNN_VIEW})
+        WHERE place <= greatest(knn.k, knn.ef)))
+    WHERE rank <= knn.k"""
 
 
 def register(spark: SparkSession, rotation: RotationModel | None = None, table: DataFrame | None = None) -> None:
     """Register the functions; knn needs table (id, embedding), vs_rotate a model."""
-
-    @F.pandas_udf("array<bigint>")
-    def vs_quantize(v: pd.Series) -> pd.Series:
-        return pd.Series([C.pack_numpy(np.asarray(x, np.float32)[None])[0].view(np.int64) for x in v], dtype=object)
-
-    @F.pandas_udf("int")
-    def vs_hamming(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([int(np.bitwise_count(np.asarray(x).view(np.uint64) ^ np.asarray(y).view(np.uint64)).sum()) for x, y in zip(a, b)], dtype="int32")
-
-    @F.pandas_udf("double")
-    def vs_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(C.cosine_numpy(np.asarray(x)[None], np.asarray(y)[None])[0, 0]) for x, y in zip(a, b)])
-
-    @F.pandas_udf("double")
-    def vs_approx_cosine(h: pd.Series, dim: pd.Series) -> pd.Series:
-        return pd.Series(np.where(dim == 0, 1.0, np.cos(np.pi * h / dim.where(dim != 0, 1))))
-
-    @F.pandas_udf("double")
-    def vs_asym_score(q: pd.Series, code: pd.Series) -> pd.Series:
-        return pd.Series([float(C.asymmetric_numpy(C.asymmetric_table(np.asarray(x, np.float64)), np.asarray(c).view(np.uint64)[None])[0]) for x, c in zip(q, code)])
-
-    for f in (vs_quantize, vs_hamming, vs_cosine, vs_approx_cosine, vs_asym_score):
-        spark.udf.register(f.__name__, f)
+    for signature, body in SCALARS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
     if rotation is not None:
-        g = rotation.matrix
+        g = rotation.matrix.T.astype(np.float64)
+        dim = rotation.dim
 
         @F.pandas_udf("array<float>")
-        def vs_rotate(v: pd.Series) -> pd.Series:
-            return pd.Series([(np.asarray(x, np.float64) @ g.T.astype(np.float64)).astype(np.float32) for x in v], dtype=object)
+        def vs_rotate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for v in batches:
+                yield pd.Series(list((C.stacked(v, dim).astype(np.float64) @ g).astype(np.float32)), dtype=object)
 
         spark.udf.register("vs_rotate", vs_rotate)
     if table is not None:
-        _register_knn(spark, table)
-
-
-def _register_knn(spark: SparkSession, table: DataFrame) -> None:
-    rows = table.select("id", "embedding").limit(MAX_TABLE_ROWS + 1).collect()
-    if len(rows) > MAX_TABLE_ROWS:
-        raise ValueError(f"knn() holds at most {MAX_TABLE_ROWS} rows; use operators.search")
-    rows.sort(key=lambda r: r["id"])
-    held = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float32)))
-
-    @udtf(returnType="id bigint, score double, rank int")
-    class Knn:
-        def eval(self, query: list, k: int, ef: int):
-            ids, vectors = held.value
-            q = np.asarray(query, np.float32)[None]
-            d = C.hamming_numpy(C.pack_numpy(q), C.pack_numpy(vectors))[0]
-            pool = np.lexsort((ids, d))[: max(k, ef)]
-            score = np.round(np.where(np.isnan(s := C.cosine_numpy(q, vectors[pool])[0]), -np.inf, s), 6)
-            for rank, i in enumerate(np.lexsort((ids[pool], -score))[: max(0, k)], 1):
-                yield int(ids[pool[i]]), float(score[i]), rank
-
-    spark.udtf.register("knn", Knn)
+        table.selectExpr("id", "embedding", "vs_quantize(embedding) AS code").createOrReplaceTempView(KNN_VIEW)
+        spark.sql(KNN)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from .search import eligible
+from ..sources.scratch import materialize
+from .search import eligible, search
 
 #: Values that one band of a query may be widened to.
 MAX_PROBES = 5000
@@ -90,7 +91,8 @@ def search_bands_exact(codes: DataFrame, queries: DataFrame, dim: int, k: int, r
     step = step or len(band_bits(dim, bands))
     left, done = queries, None
     while True:
-        found = search_bands(codes, left, dim, k, radius, bands, **filters).persist()
+        # the hits of a round are read three times: a row a query and rank
+        found = materialize(search_bands(codes, left, dim, k, radius, bands, **filters), "bands")
         whole = radius >= dim
         part = (found if whole else found.where("complete")).drop("complete")
         done = part if done is None else done.unionByName(part)
@@ -100,7 +102,5 @@ def search_bands_exact(codes: DataFrame, queries: DataFrame, dim: int, k: int, r
         if left.isEmpty():
             return done
         if radius // len(band_bits(dim, bands)) >= 2:  # beyond this, wider probes cost more than a scan
-            from .search import search
-
             return done.unionByName(search(codes, left, dim, k, ef_limit=None, **filters))
         radius += step

@@ -1,19 +1,27 @@
 """A sharded navigable small-world graph over codes (HNSW, Malkov and Yashunin, arXiv:1603.09320).
 
-The graph is two tables, nodes (shard, id, level, deleted) and edges (shard, src, layer, pos, dst),
-and a one-row meta. Ids are dealt to shards by hash; a shard is an independent graph, built by one
-task in id order, so builds are parallel and repeatable. A query asks every shard for its ef
-nearest and merges them by (distance, id). The pool that a walk finds is approximate; operators.search
-defines the answer. Shards bound what a task holds: choose so many that one fits its memory.
+A graph is a table of shards, a row each: ids, codes, levels and, layer by layer, the nodes and a
+matrix of their links as bytes, which a task reads as arrays without a copy. Ids are dealt to shards
+by hash; a shard is an independent graph, built by one task, so builds are parallel and repeatable. A
+query asks every shard for its ef nearest and merges them by (distance, id). The pool that a walk
+finds is approximate; operators.search defines the answer. Shards bound what a task holds: choose so
+many that one fits its memory.
+
+Nothing is done node by node. Nodes are linked in batches, each at most as large as what is linked
+already: their candidates come from an exact scan of a small layer, and from a beam search of a large
+one, all of a batch at once; links are chosen, and chosen again where a node has too many, over
+whole matrices. A beam search walks for many queries side by side, a step of each at a time.
 
 Levels come from a hash of (id, seed), not from a stream of draws, so they do not depend on the
 order or the shard. Deleted nodes route but are not returned.
+
+nodes_of() and edges_of() give the graph as tables (shard, id, level, deleted) and (shard, src, layer,
+pos, dst), for files, checks and counts.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,10 +30,18 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..plans.planner import MAX_LEVEL, IndexConfig
+from . import search as S
 
-NODES = "shard int, id bigint, level int, deleted boolean"
-EDGES = "shard int, src bigint, layer int, pos int, dst bigint"
+SHARD = "shard int, n int, ids binary, codes binary, levels binary, nodes array<binary>, links array<binary>"
+POOL = "qid bigint, id bigint, distance int"
 U = np.uint64
+#: Nodes of a layer up to which candidates for links are found by an exact scan.
+SCANNED = 16_384
+#: The first batch of nodes that are linked, and the most at once.
+FIRST_BATCH, MOST_BATCH = 512, 16_384
+#: Marks of nodes that queries have met, which a walk holds at once: queries x nodes.
+WALK_MARKS = 64 << 20
+_NONE = np.iinfo(np.int64).max
 
 
 def levels(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
@@ -43,216 +59,500 @@ def capacity_of(layer: int, m: int) -> int:
 
 
 class ShardGraph:
-    """One shard's graph over positions 0..n-1 of its ids."""
+    """One shard's graph over positions 0..n-1 of its ids.
 
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, config: IndexConfig, node_levels: np.ndarray | None = None):
-        self.ids, self.codes, self.config = ids, codes, config
-        self.level = levels(ids, config.m, config.seed) if node_levels is None else node_levels
-        self.links: list[list[list[int]]] = [[[] for _ in range(int(top) + 1)] for top in self.level]
-        self.placed = np.zeros(len(ids), bool)
-        self.entry = -1
-        self.seen, self.epoch = np.zeros(len(ids), np.int64), 0
+    Layer l has nodes[l], the positions that reach it, ascending, and links[l], a row for each of
+    them: positions, nearest as they were chosen, then -1.
+    """
 
-    def far(self, code: np.ndarray, at) -> np.ndarray:
-        return np.bitwise_count(self.codes[at] ^ code).sum(axis=-1, dtype=np.int64)
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, config: IndexConfig, node_levels: np.ndarray | None = None):
+        self.config = config
+        self.ids, self.codes = np.asarray(ids, np.int64), np.ascontiguousarray(codes, U)
+        self.level = levels(self.ids, config.m, config.seed) if node_levels is None else np.asarray(node_levels, np.int32)
+        self.nodes: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []
+        self._rank()
+
+    def _rank(self) -> None:
+        self.by_rank = np.argsort(self.ids, kind="stable")
+        self.rank = np.empty(len(self.ids), np.int64)
+        self.rank[self.by_rank] = np.arange(len(self.ids))
+
+    @property
+    def entry(self) -> int:
+        """The position of the least id of the highest level; -1 for no nodes."""
+        if not len(self.ids):
+            return -1
+        top = np.flatnonzero(self.level == self.level.max())
+        return int(top[np.argmin(self.ids[top])])
+
+    # -- distances: a key is a distance and a node's rank by id, so keys order by (distance, id) ----
+
+    def far(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distances of codes (any shape, words last) to the nodes at positions of a shape that fits."""
+        return np.bitwise_count(self.codes[at] ^ codes).sum(axis=-1, dtype=np.int64)
+
+    def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.far(codes, at) << 32 | self.rank[at]
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return self.by_rank[keys & 0xFFFFFFFF]
+
+    def nearest(self, codes: np.ndarray, among: np.ndarray, ef: int) -> np.ndarray:
+        """queries x ef keys of the nearest of some positions, ascending, by an exact scan; _NONE where there are fewer."""
+        out = np.full((len(codes), ef), _NONE, np.int64)
+        step = max(1, 4_000_000 // max(1, len(among)))
+        words, rank = self.codes[among], self.rank[among]
+        for a in range(0, len(codes), step):
+            found = C.hamming_numpy(codes[a : a + step], words).astype(np.int64) << 32 | rank
+            if found.shape[1] > ef:
+                found = np.partition(found, ef - 1, axis=1)[:, :ef]
+            found.sort(axis=1)
+            out[a : a + step, : found.shape[1]] = found
+        return out
 
     # -- walking -----------------------------------------------------------------------------
 
-    def descend(self, code: np.ndarray, layer: int, at: int, d: int) -> tuple[int, int]:
-        """Step to a strictly nearer neighbour on the layer until there is none."""
-        while True:
-            near = self.links[at][layer]
-            if not near:
-                return at, d
-            found = self.far(code, near)
-            k = int(np.argmin(found))
-            if found[k] >= d:
-                return at, d
-            at, d = near[k], int(found[k])
-
-    def walk(self, code: np.ndarray, start: list[tuple[int, int]], ef: int, layer: int, admitted: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-        """Beam search: up to ef admitted (distance, id, position), nearest first."""
-        self.epoch += 1
-        open_, kept = [], []  # kept: negated, the worst on top
-        for d, at in start:
-            self.seen[at] = self.epoch
-            heapq.heappush(open_, (d, int(self.ids[at]), at))
-            if admitted is None or admitted[at]:
-                heapq.heappush(kept, (-d, -int(self.ids[at]), at))
-        while open_:
-            d, _, at = heapq.heappop(open_)
-            if len(kept) >= ef and d > -kept[0][0]:
-                break
-            near = [x for x in self.links[at][layer] if self.seen[x] != self.epoch]
-            if not near:
-                continue
-            self.seen[near] = self.epoch
-            for x, dx in zip(near, self.far(code, near).tolist()):
-                if len(kept) < ef or dx < -kept[0][0]:
-                    key = int(self.ids[x])
-                    heapq.heappush(open_, (dx, key, x))
-                    if admitted is None or admitted[x]:
-                        heapq.heappush(kept, (-dx, -key, x))
-                        if len(kept) > ef:
-                            heapq.heappop(kept)
-        return sorted((-d, -key, at) for d, key, at in kept)
-
-    def top_down(self, code: np.ndarray, to_layer: int) -> tuple[int, int]:
-        at, d = self.entry, int(self.far(code, self.entry))
-        for layer in range(int(self.level[at]), to_layer, -1):
-            at, d = self.descend(code, layer, at, d)
-        return at, d
+    def _near(self, layer: int, at: np.ndarray) -> np.ndarray:
+        return self.links[layer][at if layer == 0 and len(self.nodes[0]) == len(self.ids) else np.searchsorted(self.nodes[layer], at)]
+
+    def beams(self, codes: np.ndarray, start: np.ndarray, ef: int, layer: int) -> np.ndarray:
+        """queries x ef keys of the nodes found nearest on the layer, ascending, from one start for each query."""
+        n = len(self.ids)
+        block = max(1, WALK_MARKS // max(1, n))
+        parts = [self._beams(codes[a : a + block], start[a : a + block], ef, layer) for a in range(0, len(codes), block)]
+        return np.concatenate(parts) if parts else np.zeros((0, ef), np.int64)
+
+    def _beams(self, codes: np.ndarray, start: np.ndarray, ef: int, layer: int) -> np.ndarray:
+        count, n = len(codes), len(self.ids)
+        met = np.zeros(count * n, bool)
+        met[np.arange(count) * n + start] = True
+        # the lowest bit tells whether a node's links have been followed
+        beam = np.full((count, ef), _NONE, np.int64)
+        beam[:, 0] = self.keys(codes, start) << 1
+        live = np.arange(count)  # queries that still have nodes to follow
+        while len(live):
+            own = beam[live]
+            ahead = ((own & 1) == 0) & (own != _NONE - 1)
+            ahead &= np.cumsum(ahead, axis=1) <= 2
+            row, col = np.nonzero(ahead)
+            keep = np.zeros(len(live), bool)
+            keep[row] = True
+            beam[live[row], col] |= 1
+            from_ = self.at(own[row, col] >> 1)
+            near = self._near(layer, from_)
+            query = np.repeat(live[row], near.shape[1])
+            near = near.ravel()
+            real = near >= 0
+            flat = query[real] * n + near[real]
+            flat = np.sort(flat[~met[flat]])
+            flat = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
+            met[flat] = True
+            query, near = flat // n, flat % n
+            found = self.keys(codes[query], near) << 1
+            closer = found < beam[query, -1]
+            query, found = query[closer], found[closer]
+            live = live[keep]
+            if len(query):
+                # a row of new keys for each query that met any
+                some, first, many = np.unique(query, return_index=True, return_counts=True)
+                new = np.full((len(some), int(many.max())), _NONE, np.int64)
+                new[np.repeat(np.arange(len(some)), many), np.arange(len(query)) - np.repeat(first, many)] = found
+                both = np.concatenate((beam[some], new), axis=1)
+                both.sort(axis=1)
+                beam[some] = both[:, :ef]
+            own = beam[live]
+            live = live[(((own & 1) == 0) & (own != _NONE - 1)).any(axis=1)]
+        return np.where(beam == _NONE, _NONE, beam >> 1)
+
+    def top_down(self, codes: np.ndarray, to_layer: int) -> np.ndarray:
+        """For each query the position that a greedy walk from the entry ends at, above to_layer."""
+        at = np.full(len(codes), self.entry)
+        for layer in range(len(self.nodes) - 1, to_layer, -1):
+            at = self.at(self.beams(codes, at, 1, layer)[:, 0])
+        return at
+
+    def pools(self, codes: np.ndarray, ef: int, admitted: np.ndarray | None = None) -> np.ndarray:
+        """queries x ef keys of admitted nodes, ascending; _NONE where there are fewer.
+
+        The fewer are admitted, the wider the beam; where half of the shard would be met, the admitted
+        are scanned.
+        """
+        none = np.full((len(codes), ef), _NONE, np.int64)
+        if not len(self.ids) or ef < 1:
+            return none
+        wide, among = ef, None
+        if admitted is not None:
+            among = np.flatnonzero(admitted)
+            if not len(among):
+                return none
+            wide = ef if len(among) == len(self.ids) else int(np.ceil(ef * len(self.ids) / len(among) * 1.2)) + 8
+        if 2 * wide >= len(self.ids):
+            return self.nearest(codes, np.arange(len(self.ids)) if among is None else among, ef)
+        found = self.beams(codes, self.top_down(codes, 0), wide, 0)
+        if among is not None:
+            ok = found != _NONE
+            ok[ok] = admitted[self.at(found[ok])]
+            found = np.sort(np.where(ok, found, _NONE), axis=1)[:, :ef]
+            none[:, : found.shape[1]] = found
+            return none
+        return found
 
     def search(self, code: np.ndarray, ef: int, admitted: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Up to ef (distance, id), by (distance, id)."""
-        if self.entry < 0:
-            return []
-        at, d = self.top_down(code, 0)
-        return [(dist, key) for dist, key, _ in self.walk(code, [(d, at)], ef, 0, admitted)]
-
-    # -- building ----------------------------------------------------------------------------
-
-    def choose(self, found: list[tuple[int, int, int]], most: int) -> list[int]:
-        """Neighbours from candidates, nearest first: those no nearer to a chosen one than to the base, then the nearest of the others."""
-        chosen: list[int] = []
-        passed: list[int] = []
-        for d, _, at in found:
-            if len(chosen) >= most:
+        keys = self.pools(np.asarray(code, U)[None], ef, admitted)[0]
+        keys = keys[keys != _NONE]
+        return list(zip((keys >> 32).tolist(), self.ids[self.at(keys)].tolist()))
+
+    # -- linking -----------------------------------------------------------------------------
+
+    def choose(self, found: np.ndarray, most: int) -> np.ndarray:
+        """rows x most positions from rows of candidate keys, ascending by distance from the row's base.
+
+        Those no nearer to a chosen one than to the base, then the nearest of the others; -1 where there are fewer.
+        """
+        out = np.full((len(found), most), -1, np.int64)
+        for a in range(0, len(found), 512):
+            out[a : a + 512] = self._choose(found[a : a + 512], most)
+        return out
+
+    def _choose(self, found: np.ndarray, most: int) -> np.ndarray:
+        count, width = found.shape
+        chosen = np.full((count, most), -1, np.int64)
+        n = np.zeros(count, np.int64)
+        taken = np.zeros((count, width), bool)
+        for j in range(width):
+            open_ = np.flatnonzero((n < most) & (found[:, j] != _NONE))
+            if not len(open_):
                 break
-            if chosen and (self.far(self.codes[at], chosen) < d).any():
-                passed.append(at)
+            at = self.at(found[open_, j])
+            most_now = int(n[open_].max())
+            if most_now:
+                others = chosen[open_, :most_now]
+                gap = np.bitwise_count(self.codes[others] ^ self.codes[at][:, None]).sum(axis=-1, dtype=np.int64)
+                fine = ~((gap < (found[open_, j] >> 32)[:, None]) & (others >= 0)).any(axis=1)
             else:
-                chosen.append(at)
-        return chosen + passed[: most - len(chosen)]
-
-    def _connect(self, base: int, to: int, layer: int) -> None:
-        links, most = self.links[base][layer], capacity_of(layer, self.config.m)
-        if len(links) < most:
-            links.append(to)
+                fine = np.ones(len(open_), bool)
+            rows = open_[fine]
+            chosen[rows, n[rows]] = at[fine]
+            taken[rows, j] = True
+            n[rows] += 1
+        # fill up with the nearest of those passed over
+        rest = ~taken & (found != _NONE)
+        place = np.cumsum(rest, axis=1) - 1 + n[:, None]
+        row, col = np.nonzero(rest & (place < most))
+        chosen[row, place[row, col]] = self.at(found[row, col])
+        return chosen
+
+    def _link_layer(self, layer: int, new: np.ndarray) -> None:
+        """Link nodes into the layer, whose arrays have rows for them already; nodes that have links are there."""
+        ef, most = self.config.ef_construction, capacity_of(layer, self.config.m)
+        rows = np.searchsorted(self.nodes[layer], new)
+        placed = np.ones(len(self.nodes[layer]), bool)
+        placed[rows] = False
+        there = self.nodes[layer][placed]
+        codes = self.codes[new]
+        if len(there) + len(new) <= SCANNED or not len(there):
+            found = self.nearest(codes, np.concatenate((there, new)), ef + 1)
+        else:
+            found = self.beams(codes, self._start(codes, there), ef, layer)
+            found = np.concatenate((found, self.nearest(codes, new, ef + 1)), axis=1)
+            found.sort(axis=1)
+        itself = (found != _NONE) & ((found & 0xFFFFFFFF) == self.rank[new][:, None])
+        found = np.sort(np.where(itself, _NONE, found), axis=1)[:, :ef]
+        chosen = self.choose(found, most)
+        self.links[layer][rows] = chosen
+        # the other way: a node that has too many chooses again
+        row, col = np.nonzero(chosen >= 0)
+        target, source = chosen[row, col], new[row]
+        self._link_back(layer, target, source, most)
+
+    def _start(self, codes: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Linked nodes of a layer to begin at: the nearest of some."""
+        some = there[np.linspace(0, len(there) - 1, min(len(there), 256)).astype(np.int64)]
+        return self.at(self.nearest(codes, some, 1)[:, 0])
+
+    def _link_back(self, layer: int, target: np.ndarray, source: np.ndarray, most: int) -> None:
+        order = np.lexsort((source, target))
+        target, source = target[order], source[order]
+        hit, first, many = np.unique(target, return_index=True, return_counts=True)
+        rows = np.searchsorted(self.nodes[layer], hit)
+        have = self.links[layer][rows]
+        # pairs that are linked already are not added
+        dup = (have[np.repeat(np.arange(len(hit)), many)] == source[:, None]).any(axis=1)
+        target, source = target[~dup], source[~dup]
+        if not len(target):
             return
-        every = [*links, to]
-        found = sorted(zip(self.far(self.codes[base], every).tolist(), self.ids[every].tolist(), every))
-        self.links[base][layer] = self.choose(found, most)
-
-    def place(self, at: int) -> None:
-        top = int(self.level[at])
-        self.placed[at] = True
-        if self.entry < 0:
-            self.entry = at
-            return
-        code = self.codes[at]
-        entry_top = int(self.level[self.entry])
-        seed, d = self.top_down(code, min(top, entry_top))
-        start = [(d, seed)]
-        for layer in range(min(top, entry_top), -1, -1):
-            found = [f for f in self.walk(code, start, self.config.ef_construction, layer) if f[2] != at]
-            if not found:
-                continue
-            chosen = self.choose(found, self.config.m)
-            self.links[at][layer] = list(chosen)
-            for other in chosen:
-                self._connect(other, at, layer)
-            start = [(found[0][0], found[0][2])]
-        if top > entry_top:
-            self.entry = at
+        hit, first, many = np.unique(target, return_index=True, return_counts=True)
+        rows = np.searchsorted(self.nodes[layer], hit)
+        have = self.links[layer][rows]
+        held = (have >= 0).sum(axis=1)
+        within = np.arange(len(target)) - np.repeat(first, many)
+        of = np.repeat(np.arange(len(hit)), many)
+        roomy = (held + many <= most)[of]
+        have[of[roomy], held[of[roomy]] + within[roomy]] = source[roomy]
+        full = np.flatnonzero(held + many > most)
+        for a in range(0, len(full), 4096):
+            some = full[a : a + 4096]
+            base = self.codes[hit[some]]
+            wide = int(many[some].max())
+            extra = np.full((len(some), wide), -1, np.int64)
+            inside = np.isin(of, some)
+            extra[np.searchsorted(some, of[inside]), within[inside]] = source[inside]
+            every = np.concatenate((have[some], extra), axis=1)
+            keys = np.where(every >= 0, self.keys(base[:, None], np.maximum(every, 0)), _NONE)
+            keys.sort(axis=1)
+            have[some] = self.choose(keys[:, : 8 * most], most)
+        self.links[layer][rows] = have
+
+    def link(self, new: np.ndarray) -> ShardGraph:
+        """Link nodes, given by position, that have no links yet, layer by layer from the top."""
+        top = int(self.level.max(initial=-1))
+        for layer in range(top, -1, -1):
+            own = np.sort(new[self.level[new] >= layer])
+            while layer >= len(self.nodes):
+                self.nodes.append(np.zeros(0, np.int64))
+                self.links.append(np.zeros((0, capacity_of(len(self.links), self.config.m)), np.int64))
+            held = len(self.nodes[layer])
+            at = 0
+            while at < len(own):
+                batch = own[at : at + min(MOST_BATCH, max(FIRST_BATCH, held))]
+                every = np.concatenate((self.nodes[layer], batch))
+                order = np.argsort(every, kind="stable")
+                blank = np.full((len(batch), self.links[layer].shape[1]), -1, np.int64)
+                self.nodes[layer], self.links[layer] = every[order], np.concatenate((self.links[layer], blank))[order]
+                self._link_layer(layer, batch)
+                at += len(batch)
+                held += len(batch)
+        return self
 
     def build(self) -> ShardGraph:
-        for at in range(len(self.ids)):
-            self.place(at)
+        # in an order that a hash gives: ids may be sorted by what they stand for
+        order = np.argsort(_spread(self.ids), kind="stable")
+        at = 0
+        while at < len(order):
+            n = min(MOST_BATCH, max(FIRST_BATCH, at))
+            self.link(order[at : at + n])
+            at += n
         return self
 
-    # -- tables ------------------------------------------------------------------------------
+    def add(self, ids: np.ndarray, codes: np.ndarray) -> ShardGraph:
+        """Link further nodes into a built graph."""
+        old = len(self.ids)
+        self.ids, self.codes = np.concatenate((self.ids, ids)), np.concatenate((self.codes, codes))
+        self.level = np.concatenate((self.level, levels(np.asarray(ids, np.int64), self.config.m, self.config.seed)))
+        self._rank()
+        new = np.arange(old, len(self.ids))
+        at = 0
+        while at < len(new):
+            n = min(MOST_BATCH, max(FIRST_BATCH, old + at))
+            self.link(new[at : at + n])
+            at += n
+        return self
+
+    # -- rows and tables ----------------------------------------------------------------------
+
+    def to_row(self, shard: int) -> dict:
+        return {
+            "shard": shard, "n": len(self.ids), "ids": self.ids.astype("<i8").tobytes(), "codes": self.codes.astype("<u8").tobytes(), "levels": self.level.astype(np.uint8).tobytes(),
+            "nodes": [x.astype("<i4").tobytes() for x in self.nodes], "links": [x.astype("<i4").tobytes() for x in self.links],
+        }
+
+    @classmethod
+    def from_row(cls, row, config: IndexConfig) -> ShardGraph:
+        ids = np.frombuffer(row["ids"], "<i8")
+        codes = np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1) if len(ids) else np.zeros((0, C.word_count(config.dim)), U)
+        g = cls(ids, codes, config, np.frombuffer(row["levels"], np.uint8))
+        g.nodes = [np.frombuffer(x, "<i4").astype(np.int64) for x in row["nodes"]]
+        g.links = [np.frombuffer(x, "<i4").reshape(-1, capacity_of(layer, config.m)).astype(np.int64) for layer, x in enumerate(row["links"])]
+        return g
 
     @classmethod
     def from_tables(cls, ids: np.ndarray, codes: np.ndarray, node_levels: np.ndarray, edges: pd.DataFrame, config: IndexConfig) -> ShardGraph:
         g = cls(ids, codes, config, node_levels)
-        g.placed[:] = True
-        place = {int(x): i for i, x in enumerate(ids)}
-        for src, layer, dst in edges.sort_values(["src", "layer", "pos"])[["src", "layer", "dst"]].itertuples(index=False):
-            if src in place and dst in place:
-                g.links[place[src]][layer].append(place[dst])
-        if len(ids):
-            top = node_levels.max()
-            g.entry = int(min(np.flatnonzero(node_levels == top), key=lambda i: ids[i]))
+        order = g.by_rank
+        known = g.ids[order]
+
+        def place(column: str) -> tuple[np.ndarray, np.ndarray]:
+            values = edges[column].to_numpy(np.int64)
+            at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+            return (order[at], known[at] == values) if len(known) else (at, np.zeros(len(values), bool))
+
+        edges = edges.sort_values(["layer", "src", "pos"])
+        (src, has_src), (dst, has_dst) = place("src"), place("dst")
+        layer = edges["layer"].to_numpy(np.int64)
+        for k in range(int(node_levels.max(initial=-1)) + 1):
+            nodes = np.flatnonzero(g.level >= k)
+            links = np.full((len(nodes), capacity_of(k, config.m)), -1, np.int64)
+            own = has_src & has_dst & (layer == k)
+            row = np.searchsorted(nodes, src[own])
+            by = np.argsort(row, kind="stable")  # the rows' order is by src id, then by place
+            row, dst_own = row[by], dst[own][by]
+            links[row, np.arange(len(row)) - np.searchsorted(row, row)] = dst_own
+            g.nodes.append(nodes)
+            g.links.append(links)
         return g
 
+    def edge_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(src, layer, pos, dst) of all links, by ids."""
+        parts = []
+        for layer, (nodes, links) in enumerate(zip(self.nodes, self.links)):
+            row, pos = np.nonzero(links >= 0)
+            parts.append((self.ids[nodes[row]], np.full(len(row), layer), pos, self.ids[links[row, pos]]))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
+
     def edge_rows(self) -> list[tuple[int, int, int, int]]:
-        return [(int(self.ids[a]), layer, pos, int(self.ids[b])) for a in range(len(self.ids)) for layer, near in enumerate(self.links[a]) for pos, b in enumerate(near)]
+        return list(zip(*(x.tolist() for x in self.edge_table())))
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.int64).view(U) * U(0xD6E8FEB86659FD93)
+    return (h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15)
 
 
 # -- over DataFrames ---------------------------------------------------------------------------
 
 
-def _sharded(codes: DataFrame, shards: int) -> DataFrame:
+def sharded(codes: DataFrame, shards: int) -> DataFrame:
     return codes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
 
 def _matrix(part: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     part = part.sort_values("id")
-    return part["id"].to_numpy(np.int64), part[names].to_numpy(np.int64).view(U)
+    return part["id"].to_numpy(np.int64), part[names].to_numpy(np.int64).view(U).reshape(len(part), len(names))
 
 
-def build_graph(codes: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of codes (id, w0..). Each is computed when it is read: to build once, write build_rows() and split that."""
-    return split_rows(build_rows(codes, config))
+def build_shards(codes: DataFrame, config: IndexConfig) -> DataFrame:
+    """The shards' rows of codes (id, w0..). They are computed when they are read: write them."""
+    names = C.word_names(config.dim)
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        g = ShardGraph(*_matrix(part, names), config).build()
+        return pd.DataFrame([g.to_row(int(part["shard"].iloc[0]))])
 
-def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of what build_rows() gives."""
-    nodes = rows.where("layer < 0").select("shard", "id", "level", F.lit(False).alias("deleted"))
-    return nodes, rows.where("layer >= 0").select("shard", F.col("id").alias("src"), "layer", "pos", "dst")
+    # a number of partitions that was asked for is kept, so small shards still build side by side
+    dealt = sharded(codes.select("id", *names), config.shards).repartition(config.shards, "shard")
+    return dealt.groupBy("shard").applyInPandas(run, SHARD)
 
 
-def build_rows(codes: DataFrame, config: IndexConfig) -> DataFrame:
-    """One pass over codes (id, w0..): each shard gives its rows of both tables, nodes with layer -1."""
+def link_shards(shards: DataFrame, codes: DataFrame, config: IndexConfig) -> DataFrame:
+    """The rows of the shards that new codes (id, w0..) fall into, with those linked in; others are left out."""
     names = C.word_names(config.dim)
+    new = sharded(codes.select("id", *names), config.shards).withColumnRenamed("shard", "of")
+    touched = new.select(F.col("of").alias("shard")).distinct()
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(old: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         ids, words = _matrix(part, names)
-        g = ShardGraph(ids, words, config).build()
-        shard = int(part["shard"].iloc[0])
-        nodes = pd.DataFrame({"shard": shard, "id": ids, "level": g.level, "layer": -1, "pos": -1, "dst": -1})
-        edges = pd.DataFrame(g.edge_rows(), columns=["id", "layer", "pos", "dst"])
-        edges.insert(0, "shard", shard)
-        edges["level"] = -1
-        return pd.concat([nodes, edges[nodes.columns]], ignore_index=True)
+        if len(old):
+            return pd.DataFrame([ShardGraph.from_row(old.iloc[0], config).add(ids, words).to_row(int(old["shard"].iloc[0]))])
+        return pd.DataFrame([ShardGraph(ids, words, config).build().to_row(int(part["of"].iloc[0]))])
 
-    # a number of partitions that was asked for is kept, so small shards still build side by side
-    dealt = _sharded(codes.select("id", *names), config.shards).repartition(config.shards, "shard")
-    return dealt.groupBy("shard").applyInPandas(run, "shard int, id bigint, level int, layer int, pos int, dst bigint")
+    left = shards.join(F.broadcast(touched), "shard", "left_semi")  # at most a row a shard
+    return left.repartition(config.shards, "shard").groupBy("shard").cogroup(new.repartition(config.shards, "of").groupBy("of")).applyInPandas(run, SHARD)
 
 
-def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None) -> DataFrame:
-    """(qid, id, distance, rank): approximate pools of ef. queries (qid, embedding) are a bounded set, broadcast."""
+def pack_shards(codes: DataFrame, nodes: DataFrame, edges: DataFrame, config: IndexConfig) -> DataFrame:
+    """The shards' rows of a graph that is given as tables."""
     names = C.word_names(config.dim)
-    rows = queries.select("qid", "embedding").collect()  # the caller's query set; batches() of operators.search cuts larger ones
-    qids = np.array([r["qid"] for r in rows], np.int64)
-    qcodes = C.pack_numpy(np.array([r["embedding"] for r in rows], np.float32)) if rows else np.zeros((0, len(names)), U)
-    held = codes.sparkSession.sparkContext.broadcast((qids, qcodes))
-    left = nodes.join(codes.select("id", *names), "id").withColumn("admitted", ~F.col("deleted"))
-    if allow is not None:
-        marked = allow.select(F.col("id").cast("bigint").alias("id")).distinct().withColumn("allowed", F.lit(True))
-        left = left.join(marked, "id", "left").withColumn("admitted", F.col("admitted") & F.coalesce("allowed", F.lit(False)))
 
     def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(own):
-            own = own.sort_values("id")
-            ids, words = _matrix(own, names)
-            g = ShardGraph.from_tables(ids, words, own["level"].to_numpy(np.int32), links, config)
-            admitted = own["admitted"].to_numpy(bool)
-            for qid, code in zip(*held.value):
-                out += [(int(qid), key, d) for d, key in g.search(code, ef, admitted)]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
+        own = own.sort_values("id")
+        g = ShardGraph.from_tables(*_matrix(own, names), own["level"].to_numpy(np.int32), links, config)
+        return pd.DataFrame([g.to_row(int(own["shard"].iloc[0]))]) if len(own) else pd.DataFrame(columns=[c.split()[0] for c in SHARD.split(", ")])
 
+    left = nodes.select("shard", "id", "level").join(codes.select("id", *names), "id")
     # new names for the columns: both tables may come from one build, unwritten
     links = edges.select(F.col("shard").alias("of"), "src", "layer", "pos", "dst")
-    left, links = left.repartition(config.shards, "shard"), links.repartition(config.shards, "of")
-    found = left.groupBy("shard").cogroup(links.groupBy("of")).applyInPandas(run, "qid bigint, id bigint, distance int")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
+    return left.repartition(config.shards, "shard").groupBy("shard").cogroup(links.repartition(config.shards, "of").groupBy("of")).applyInPandas(run, SHARD)
+
+
+def nodes_of(shards: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """(shard, id, level, deleted)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, ids, at in batch[["shard", "ids", "levels"]].itertuples(index=False):
+                yield pd.DataFrame({"shard": shard, "id": np.frombuffer(ids, "<i8"), "level": np.frombuffer(at, np.uint8).astype(np.int32)})
+
+    nodes = shards.select("shard", "ids", "levels").mapInPandas(run, "shard int, id bigint, level int")
+    if tombstones is None:
+        return nodes.withColumn("deleted", F.lit(False))
+    gone = tombstones.select("id").distinct().withColumn("gone", F.lit(True))
+    return nodes.join(gone, "id", "left").select("shard", "id", "level", F.coalesce("gone", F.lit(False)).alias("deleted"))
+
+
+def edges_of(shards: DataFrame, config: IndexConfig) -> DataFrame:
+    """(shard, src, layer, pos, dst)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                src, layer, pos, dst = ShardGraph.from_row(row, config).edge_table()
+                yield pd.DataFrame({"shard": row["shard"], "src": src, "layer": layer.astype(np.int32), "pos": pos.astype(np.int32), "dst": dst})
+
+    return shards.mapInPandas(run, "shard int, src bigint, layer int, pos int, dst bigint")
+
+
+def build_graph(codes: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of codes (id, w0..). Each is computed when it is read: to build once, write build_shards()."""
+    shards = build_shards(codes, config)
+    return nodes_of(shards), edges_of(shards, config)
+
+
+def _by_shard(ids: DataFrame, shards: int, out: str) -> DataFrame:
+    """(shard, out): the ids of each shard, no more than the shard has if they are ids of its nodes."""
+    known = ids.select(F.col("id").cast("bigint").alias("id")).distinct()
+    return sharded(known, shards).groupBy("shard").agg(F.collect_list("id").alias(out))
+
+
+def search_shards(shards: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame:
+    """(qid, id, distance, rank): approximate pools of ef of queries (qid, embedding).
+
+    Queries go to the workers in parts of operators.search.MAX_QUERIES. Where there are fewer
+    shards than cores, several tasks read a shard and each walks for a share of the queries.
+    """
+    spark = shards.sparkSession
+    rows = shards
+    for ids, name in ((allow, "_allowed"), (tombstones, "_gone")):
+        rows = rows.join(_by_shard(ids, config.shards, name), "shard", "left") if ids is not None else rows.withColumn(name, F.lit(None).cast("array<bigint>"))
+    filtered = allow is not None
+    shares = max(1, spark.sparkContext.defaultParallelism // config.shards)
+    out = []
+    for part in S.batches(queries):
+        asked = part.select("qid", "embedding").collect()  # a bounded part of the query set
+        if not asked:
+            continue
+        qids = np.array([r["qid"] for r in asked], np.int64)
+        held = spark.sparkContext.broadcast((qids, C.pack_numpy(np.array([r["embedding"] for r in asked], np.float32))))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qids, codes = held.value
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    own = slice(int(row["_share"]), None, shares)
+                    g = ShardGraph.from_row(row, config)
+                    admitted = None
+                    if filtered or row["_gone"] is not None:
+                        admitted = np.isin(g.ids, np.asarray(row["_allowed"] if row["_allowed"] is not None else [], np.int64)) if filtered else np.ones(len(g.ids), bool)
+                        if row["_gone"] is not None:
+                            admitted &= ~np.isin(g.ids, np.asarray(row["_gone"], np.int64))
+                    keys = g.pools(codes[own], ef, admitted)
+                    real = keys != _NONE
+                    yield pd.DataFrame({"qid": np.repeat(qids[own], real.sum(axis=1)), "id": g.ids[g.at(keys[real])], "distance": (keys[real] >> 32).astype(np.int32)})
+
+        tasks = S._union([rows.withColumn("_share", F.lit(i)) for i in range(min(shares, len(qids)))])
+        out.append(tasks.mapInPandas(run, POOL))
+    if not out:
+        return S._empty(shards, f"{POOL}, rank int")
+    ranked = S._union(out).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")))
     return ranked.where(F.col("rank") <= ef)
 
 
+def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None) -> DataFrame:
+    """search_shards() of a graph that is given as tables; its deleted nodes are not returned."""
+    return search_shards(pack_shards(codes, nodes, edges, config), queries, config, ef, allow, nodes.where("deleted").select("id"))
+
+
 def neighbours(edges: DataFrame, src: int, layer: int) -> DataFrame:
     """(pos, dst) of a node's links on a layer."""
     return edges.where((F.col("src") == src) & (F.col("layer") == layer)).select("pos", "dst").orderBy("pos")
@@ -270,15 +570,15 @@ def entry_point(nodes: DataFrame) -> DataFrame:
 
 def rebuild_shards(nodes: DataFrame, edges: DataFrame, codes: DataFrame, changed: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the ids of changed got new codes: only their shards are built again."""
-    touched = _sharded(changed.select("id"), config.shards).select("shard").distinct()
-    again = _sharded(codes, config.shards).join(F.broadcast(touched), "shard", "left_semi").drop("shard")  # at most a row a shard
+    touched = sharded(changed.select("id"), config.shards).select("shard").distinct()
+    again = sharded(codes, config.shards).join(F.broadcast(touched), "shard", "left_semi").drop("shard")  # at most a row a shard
     new_nodes, new_edges = build_graph(again, config)
     deleted = nodes.where("deleted").select("id", F.lit(True).alias("was")).join(changed.select("id"), "id", "left_anti")
     new_nodes = new_nodes.drop("deleted").join(deleted, "id", "left").select("shard", "id", "level", F.coalesce("was", F.lit(False)).alias("deleted"))
     return nodes.join(F.broadcast(touched), "shard", "left_anti").unionByName(new_nodes), edges.join(F.broadcast(touched), "shard", "left_anti").unionByName(new_edges)
 
 
-def memory_bytes(nodes: DataFrame, edges: DataFrame, config: IndexConfig) -> DataFrame:
+def memory_bytes(nodes: DataFrame, edges: DataFrame | None, config: IndexConfig) -> DataFrame:
     """One row, bytes: link slots, counts and levels of the nodes, and a tombstone bit each."""
     slots = (2 * config.m + F.col("level") * config.m) * 4 + (F.col("level") + 1) * 4 + 1
     return nodes.agg((F.coalesce(F.sum(slots), F.lit(0)) + F.ceil(F.count(F.lit(1)) / 8)).cast("bigint").alias("bytes"))

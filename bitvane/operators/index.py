@@ -6,6 +6,12 @@ segment replaces an earlier one of the same id. Every mutation writes new tables
 and then creates the next manifest, which fails if another writer has created it: readers keep the
 version they opened, and a mutation happens whole or not at all.
 
+An index may have a graph, built by build_graph(): segments of shards, of which a later one takes the
+place of an earlier one of the same shard. Inserting links new ids into their shards, reinserting
+builds the shards of the replaced ids again, and deleted ids route but are not returned; the graph is
+published with the rows it goes with. Searches by method "auto" let the planner choose between the
+graph and the exact scan, by the size of the allow-set; "graph" and "scan" insist.
+
 Mutations return how many ids they accepted, by the same rules for each id: insert refuses ids out
 of range and ids that exist, deleted ones too; remove refuses absent and deleted ids; restore and
 reinsert take deleted ids only; grow refuses a smaller capacity. Rows whose id is null, or whose
@@ -19,11 +25,13 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..plans.planner import U32_MAX, IndexConfig
+from ..plans.planner import U32_MAX, IndexConfig, Pool, clamp_kef
+from . import filters, graph
 from . import search as S
 
 
@@ -34,14 +42,22 @@ class Manifest:
     capacity: int
     segments: tuple[str, ...]
     tombstones: str | None
+    graphs: tuple[str, ...] = ()
 
     def to_json(self) -> str:
-        return json.dumps(self.__dict__ | {"segments": list(self.segments)})
+        return json.dumps(self.__dict__ | {"segments": list(self.segments), "graphs": list(self.graphs)})
 
     @classmethod
     def from_json(cls, text: str) -> Manifest:
         found = json.loads(text)
-        return cls(**found | {"segments": tuple(found["segments"])})
+        return cls(**found | {"segments": tuple(found["segments"]), "graphs": tuple(found.get("graphs", ()))})
+
+    def folders(self) -> set[str]:
+        return {*self.segments, *self.graphs, *([self.tombstones] if self.tombstones else [])}
+
+
+class LostRace(Exception):
+    """Another writer published the version first; open the index again and repeat the change."""
 
 
 def accepted_rows(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +88,13 @@ class VectorIndex:
     @classmethod
     def _publish(cls, spark: SparkSession, path: str, manifest: Manifest) -> VectorIndex:
         jpath, fs = cls._fs(spark, path)
-        out = fs.create(jpath(f"{path}/manifest-{manifest.version:09d}.json"), False)  # fails if it is there
+        name = jpath(f"{path}/manifest-{manifest.version:09d}.json")
+        try:
+            out = fs.create(name, False)  # fails if it is there
+        except Py4JJavaError as e:
+            if fs.exists(name):
+                raise LostRace(f"version {manifest.version} of {path} exists") from e
+            raise
         try:
             out.write(bytearray(manifest.to_json().encode()))
         finally:
@@ -127,6 +149,26 @@ class VectorIndex:
             return self.spark.createDataFrame([], "id bigint")
         return self.spark.read.schema("id bigint").parquet(f"{self.path}/{self.manifest.tombstones}")
 
+    @property
+    def has_graph(self) -> bool:
+        return bool(self.manifest.graphs)
+
+    def shards(self) -> DataFrame:
+        """The graph's shards, a row each."""
+        out = self.spark.createDataFrame([], graph.SHARD)
+        for i, name in enumerate(self.manifest.graphs):
+            segment = self.spark.read.schema(graph.SHARD).parquet(f"{self.path}/{name}")
+            out = segment if i == 0 else out.join(F.broadcast(segment.select("shard")), "shard", "left_anti").unionByName(segment)  # a number a shard
+        return out
+
+    def nodes(self) -> DataFrame:
+        """(shard, id, level, deleted) of the graph."""
+        return graph.nodes_of(self.shards(), self.tombstones())
+
+    def edges(self) -> DataFrame:
+        """(shard, src, layer, pos, dst) of the graph."""
+        return graph.edges_of(self.shards(), self.config)
+
     def codes(self) -> DataFrame:
         return self.rows().drop("embedding")
 
@@ -165,7 +207,17 @@ class VectorIndex:
         new = self._clean(df).join(self.rows().select("id"), "id", "left_anti")
         name = self._write(C.with_code(new, self.config.dim), "added")
         n = self.spark.read.schema(self._schema).parquet(f"{self.path}/{name}").count()
-        return n, self._next(segments=(*self.manifest.segments, name)) if n else self
+        if not n:
+            return 0, self
+        changes = {"segments": (*self.manifest.segments, name)}
+        if self.has_graph:
+            new = self.spark.read.schema(self._schema).parquet(f"{self.path}/{name}").drop("embedding")
+            changes["graphs"] = (*self.manifest.graphs, self._write(graph.link_shards(self.shards(), new, self.config), "linked"))
+        return n, self._next(**changes)
+
+    def build_graph(self) -> VectorIndex:
+        """The index with a graph over all its rows; one that is there is built anew."""
+        return self._next(graphs=(self._write(graph.build_shards(self.codes(), self.config), "graph"),))
 
     def remove(self, ids: DataFrame) -> tuple[int, VectorIndex]:
         """Delete ids softly: they stay stored, and searches pass over them."""
@@ -191,7 +243,14 @@ class VectorIndex:
         if not n:
             return 0, self
         left = self._write(self.tombstones().join(taken.select("id"), "id", "left_anti"), "tombstones")
-        return n, self._next(segments=(*self.manifest.segments, name), tombstones=left)
+        changes = {"segments": (*self.manifest.segments, name), "tombstones": left}
+        if self.has_graph:
+            # from the rows as they are to be
+            after = VectorIndex(self.spark, self.path, replace(self.manifest, **changes))
+            touched = graph.sharded(taken.select("id"), self.config.shards).select("shard").distinct()
+            own = graph.sharded(after.codes(), self.config.shards).join(F.broadcast(touched), "shard", "left_semi").drop("shard")  # at most a row a shard
+            changes["graphs"] = (*self.manifest.graphs, self._write(graph.build_shards(own, self.config), "linked"))
+        return n, self._next(**changes)
 
     def grow(self, capacity: int) -> tuple[bool, VectorIndex]:
         """Admit ids up to capacity; a smaller one is refused, an equal one changes nothing."""
@@ -200,16 +259,56 @@ class VectorIndex:
         return True, self._next(capacity=capacity) if capacity > self.manifest.capacity else self
 
     def compact(self) -> VectorIndex:
-        """Rewrite the segments as one; answers stay the same."""
-        return self._next(segments=(self._write(self.rows(), "added"),))
+        """Rewrite the segments as one, of rows and of the graph; answers stay the same."""
+        graphs = (self._write(self.shards(), "graph"),) if len(self.manifest.graphs) > 1 else self.manifest.graphs
+        return self._next(segments=(self._write(self.rows(), "added"),), graphs=graphs)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete what none of the last keep versions names, lost writers' tables too; how many folders went.
+
+        For a time when no writer is at work: a table that is being written is named by no version yet.
+        """
+        jpath, fs = self._fs(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(jpath(self.path))]
+        versions = sorted(n for n in names if n.startswith("manifest-"))
+        old = versions[: max(0, len(versions) - max(1, keep))]
+        kept: set[str] = set()
+        for name in versions[len(old) :]:
+            kept |= self.open(self.spark, self.path, int(name[len("manifest-") : -len(".json")])).manifest.folders()
+        for name in old:
+            fs.delete(jpath(f"{self.path}/{name}"), False)
+        gone = [n for n in names if n.split("-")[0] in ("added", "replaced", "tombstones", "graph", "linked") and n not in kept]
+        for name in gone:
+            fs.delete(jpath(f"{self.path}/{name}"), True)
+        return len(gone)
 
     # -- searches over the live rows -----------------------------------------------------------
 
-    def search(self, queries: DataFrame, k: int, allow: DataFrame | None = None) -> DataFrame:
-        return S.search(self.codes(), queries, self.config.dim, k, ef_limit=self.config.ef_limit, allow=allow, tombstones=self.tombstones())
-
-    def search_reranked(self, queries: DataFrame, k: int, ef: int, allow: DataFrame | None = None) -> DataFrame:
-        return S.search_reranked(self.codes(), queries, self.config.dim, k, ef, self.config.ef_limit, allow=allow, tombstones=self.tombstones())
-
-    def search_exact_reranked(self, queries: DataFrame, k: int, ef: int, allow: DataFrame | None = None) -> DataFrame:
-        return S.search_exact_reranked(self.codes(), self.vectors(), queries, self.config.dim, k, ef, ef_limit=self.config.ef_limit, allow=allow, tombstones=self.tombstones())
+    def pool(self, queries: DataFrame, ef: int, allow: DataFrame | None = None, method: str = "auto") -> tuple[Pool, DataFrame]:
+        """(the access path, (qid, id, distance, rank)): pools of ef, exact by a scan, approximate by the graph."""
+        if method not in ("auto", "graph", "scan"):
+            raise ValueError(f"no method {method!r}")
+        if method == "graph" and not self.has_graph:
+            raise ValueError("the index has no graph; build_graph() makes one")
+        path = {"graph": Pool.GRAPH, "scan": Pool.SCAN}.get(method) or filters.choose_pool(allow, ef, self.manifest.capacity, self.config, self.has_graph)
+        gone = self.tombstones() if self.manifest.tombstones else None
+        if path is Pool.GRAPH:
+            return path, graph.search_shards(self.shards(), queries, self.config, ef, allow, gone)
+        return path, S.pool(self.codes(), queries, self.config.dim, ef, allow=allow, tombstones=gone)
+
+    def search(self, queries: DataFrame, k: int, allow: DataFrame | None = None, ef: int | None = None, method: str = "auto") -> DataFrame:
+        """(qid, rank, id, distance) of the k nearest codes; by the graph, of a pool of ef."""
+        k, ef = clamp_kef(k, ef or k, self.config.ef_limit)
+        if k < 1:
+            return S._empty(queries, S.HITS)
+        return self.pool(queries, ef, allow, method)[1].where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+
+    def search_reranked(self, queries: DataFrame, k: int, ef: int, allow: DataFrame | None = None, method: str = "auto") -> DataFrame:
+        k, ef = clamp_kef(k, ef, self.config.ef_limit)
+        found = self.pool(queries, ef, allow, method)[1] if k >= 1 else None
+        return S.search_reranked(self.codes(), queries, self.config.dim, k, ef, self.config.ef_limit, found=found)
+
+    def search_exact_reranked(self, queries: DataFrame, k: int, ef: int, allow: DataFrame | None = None, code_queries: DataFrame | None = None, method: str = "auto") -> DataFrame:
+        k, ef = clamp_kef(k, ef, self.config.ef_limit)
+        found = self.pool(code_queries if code_queries is not None else queries, ef, allow, method)[1] if k >= 1 else None
+        return S.search_exact_reranked(self.codes(), self.vectors(), queries, self.config.dim, k, ef, ef_limit=self.config.ef_limit, found=found)

@@ -6,11 +6,7 @@ counts sign disagreements, so it checks the codes as well as what is done with t
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +15,11 @@ from ..functions import sql as SQL
 from ..operators import bands, evaluate, filters, graph, integrity
 from ..operators import search as S
 from ..operators.index import VectorIndex
-from ..operators.rotation import RotationEstimator, RotationModel, quantization_error
+from ..operators.rotation import RotationEstimator, RotationModel, quantization_error, residual
 from ..sources import datasources, formats
+from ..sources.scratch import materialize, scratch_path
 from ..streaming import changes
-from .planner import IndexConfig, clamp_kef, scan_limit
+from .planner import MAX_LEVEL, IndexConfig, clamp_kef, scan_limit
 
 DIM = 64
 EF = 100
@@ -37,25 +34,27 @@ def _queries(v: DataFrame) -> DataFrame:
     return v.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "embedding")
 
 
-def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    v = _vectors(spark, sf_dir)
-    return v, S.encode(v, DIM), _queries(v)
+_ingested: dict[tuple[str, str], DataFrame] = {}
+
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, w0..): packed once for a session and table, as an ingest would, and read from there."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _ingested:
+        _ingested[key] = materialize(S.encode(_vectors(spark, sf_dir), DIM), "codes")
+    return _ingested[key]
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder's path in the shared checkpoint folder, or in a temporary one where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="bitvane-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root}/bitvane/{tag}-{uuid.uuid4().hex}"
+
+def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    v = _vectors(spark, sf_dir)
+    return v, _codes(spark, sf_dir), _queries(v)
 
 
 def _index(spark: SparkSession, sf_dir: str, tag: str, room: int = 0) -> tuple[VectorIndex, DataFrame]:
     """An index of all vectors in a new folder."""
     v = _vectors(spark, sf_dir)
     top = v.agg(F.max("id")).first()[0]
-    index = VectorIndex.create(spark, scratch(spark, tag), IndexConfig(DIM), (top if top is not None else 0) + 1 + room)
+    index = VectorIndex.create(spark, scratch_path(spark, tag), IndexConfig(DIM), (top if top is not None else 0) + 1 + room)
     return index.insert(v)[1], v
 
 
@@ -239,14 +238,14 @@ def index_counts(spark, sf_dir):
     index, v = _index(spark, sf_dir, "counts")
     _, index = index.insert(v)  # all refused
     _, index = index.remove(v.where("id % 7 = 0").select("id"))
-    return index.counts().select("size", "deleted_count", "live_size")
+    return index.counts().withColumn("dim", F.col("dim").cast("int")).withColumn("max_ef", F.col("max_ef").cast("int"))
 
 
 def change_stream(spark, sf_dir):
     """The table as a stream of inserts, and then of removals, followed by an index."""
     v = _vectors(spark, sf_dir)
     n = v.agg(F.max("id")).first()[0] + 1
-    path, feed = scratch(spark, "stream"), scratch(spark, "feed")
+    path, feed = scratch_path(spark, "stream"), scratch_path(spark, "feed")
     VectorIndex.create(spark, path, IndexConfig(DIM), n)
     v.select(F.lit("insert").alias("op"), "id", "embedding").write.parquet(f"{feed}/in")
     stream = lambda: spark.readStream.schema(changes.CHANGE).parquet(f"{feed}/*")
@@ -302,87 +301,229 @@ def itq_rotate_topk(spark, sf_dir):
     return S.search_exact_reranked(codes, v, q, DIM, 10, EF, code_queries=turned)
 
 
+def _turn() -> RotationModel:
+    """A known rotation: component i of the result is x[(5 * i + 3) % 64], with its sign turned where i is a multiple of 3."""
+    g = np.zeros((DIM, DIM), np.float32)
+    g[np.arange(DIM), (5 * np.arange(DIM) + 3) % DIM] = np.where(np.arange(DIM) % 3 == 0, -1.0, 1.0)
+    return RotationModel(g)
+
+
+def itq_training(spark, sf_dir):
+    """What training is measured by: the error before, that it falls with every round, and that the matrix is orthogonal."""
+    v = _vectors(spark, sf_dir)
+    model = RotationEstimator(iterations=10).fit(v, DIM)
+    improves = model.error_after < model.error_before and list(model.objective) == sorted(model.objective, reverse=True)
+    return spark.createDataFrame([(round(model.error_before, 6), bool(improves), bool(model.orthogonality < 1e-3))], "error_before double, improves boolean, orthogonal boolean")
+
+
+def rotate_bits(spark, sf_dir):
+    """The codes of vectors turned by a known rotation, in one trip to Python."""
+    codes = _turn().rotate_quantize(_vectors(spark, sf_dir))
+    return codes.select("id", F.reverse(F.lpad(F.bin("w0"), 64, "0")).alias("bits"))
+
+
+def rotate_sums(spark, sf_dir):
+    """Of the turned vectors: the components weighed by their place."""
+    turned = _turn().rotate(_vectors(spark, sf_dir))
+    weighed = F.aggregate(F.transform("rotated", lambda y, i: y.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return turned.select("id", F.round(weighed, 5).alias("weighed"))
+
+
 def rotation_keeps_cosine(spark, sf_dir):
+    """Mean cosine of each query to all rows, after a trained rotation of both."""
     v, _, q = _all(spark, sf_dir)
     model = RotationEstimator(iterations=5).fit(v, DIM)
     rv = model.rotate(v).select("id", F.col("rotated").alias("r"))
-    rq = F.broadcast(model.rotate(q).select("qid", F.col("rotated").alias("rq"), F.col("embedding").alias("q")))
-    pairs = rv.join(v, "id").crossJoin(rq)
-    off = F.abs(C.cosine(F.col("q"), F.col("embedding")) - C.cosine(F.col("rq"), F.col("r")))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), (F.max(off) < 1e-4).alias("kept"))
+    rq = F.broadcast(model.rotate(q).select("qid", F.col("rotated").alias("rq")))
+    return rv.crossJoin(rq).groupBy("qid").agg(F.round(F.avg(C.cosine(F.col("rq"), F.col("r"))), 4).alias("mean_cosine"))
+
+
+def residual_cases(spark, sf_dir):
+    """max |G'G - I| of a rotation stretched by known factors."""
+    rows = [(f, round(residual(_turn().matrix * np.float32(f)), 6)) for f in _STRETCHED]
+    return spark.createDataFrame([(float(f), r) for f, r in rows], "factor double, residual double")
+
+
+_STRETCHED = (1.0, 1.5, 0.5, 2.0, 0.0)
 
 
 def rotation_file(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    model = RotationEstimator(iterations=3).fit(v, DIM)
+    """A rotation's entries, from its file."""
     datasources.register(spark)
-    raw = formats.rotation_bytes(model.matrix)
-    path = tempfile.mkdtemp(prefix="bitvane-") + "/rotation"
-    with open(path, "wb") as f:
-        f.write(raw)
-    back = spark.read.format("rotation").load(path).orderBy("row").collect()
-    same = [list(r["coeffs"]) for r in back] == [[float(x) for x in r] for r in model.matrix]
-    return spark.createDataFrame([(len(back), same)], "row_count int, same boolean")
+    path = scratch_path(spark, "rotation")
+    datasources.write_rotation(path, _turn().matrix)
+    back = spark.read.format("rotation").option("dim", DIM).load(path)
+    return back.select("row", F.posexplode("coeffs").alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value")).where("value <> 0")
 
 
-def _graph(spark, sf_dir, shards: int = 8):
+def _graph(spark, sf_dir, shards: int = 8, **more):
     v, codes, q = _all(spark, sf_dir)
-    config = IndexConfig(DIM, shards=shards)
-    path = scratch(spark, "graph")
-    graph.build_rows(codes, config).write.parquet(path)
-    return codes, q, *graph.split_rows(spark.read.parquet(path)), config
+    config = IndexConfig(DIM, shards=shards, **more)
+    return codes, q, materialize(graph.build_shards(codes, config), "graph"), config
 
 
 def graph_search(spark, sf_dir):
-    codes, q, nodes, edges, config = _graph(spark, sf_dir)
-    return graph.search_graph(codes, nodes, edges, q, config, EF).where("rank <= 10").select("qid", "rank", "id", "distance")
+    codes, q, shards, config = _graph(spark, sf_dir)
+    return graph.search_shards(shards, q, config, EF).where("rank <= 10").select("qid", "rank", "id", "distance")
+
+
+def _graph_index(spark, sf_dir, tag: str, scan: int | None = None) -> tuple[VectorIndex, DataFrame]:
+    """An index with a graph of one shard, of which filters beyond scan rows are walked."""
+    v = _vectors(spark, sf_dir)
+    top = v.agg(F.max("id")).first()[0]
+    config = IndexConfig(DIM, filter_scan_limit=scan)
+    index = VectorIndex.create(spark, scratch_path(spark, tag), config, (top if top is not None else 0) + 1)
+    return index.insert(v)[1].build_graph(), v
 
 
 def graph_filtered(spark, sf_dir):
     """By the planner: so small an allow-set is scanned, and the answer exact."""
-    codes, q, nodes, edges, config = _graph(spark, sf_dir)
+    index, v = _graph_index(spark, sf_dir, "graph-filtered")
+    return index.search(_queries(v), 10, v.where("label = 3").select("id"), EF)
+
+
+def graph_recall(spark, sf_dir):
+    """Walks against exact searches of the same kind: the access path that was taken, hits asked for, and whether recall reaches 0.9.
+
+    plain, with nothing filtered; allowed, nine labels of ten, beyond the planner's limit for a scan; deleted, every
+    seventh id; and pools re-ranked by asymmetric score and by cosine.
+    """
+    index, v = _graph_index(spark, sf_dir, "graph-recall", scan=100)
+    q, allow = _queries(v), v.where("label <> 3").select("id")
+    _, gone = index.remove(v.where("id % 7 = 0").select("id"))
+    pairs = {
+        "plain": lambda m: (index.pool(q, EF, method=m)),
+        "allowed": lambda m: (index.pool(q, EF, allow, m)),
+        "deleted": lambda m: (gone.pool(q, EF, method=m)),
+        "allowed, deleted": lambda m: (gone.pool(q, EF, allow, m)),
+    }
+    rows = []
+    for kind, run in pairs.items():
+        (path, found), (_, truth) = run("auto"), run("scan")
+        rows.append(evaluate.recall(found, truth, 10).select(F.lit(kind).alias("kind"), F.lit(path.value).alias("path"), "queries", (F.col("recall") >= 0.9).alias("enough")))
+    for kind, run in (("asymmetric", index.search_reranked), ("cosine", index.search_exact_reranked)):
+        found = evaluate.recall(run(q, 10, EF), run(q, 10, EF, method="scan"), 10)
+        rows.append(found.select(F.lit(kind).alias("kind"), F.lit("graph").alias("path"), "queries", (F.col("recall") >= 0.9).alias("enough")))
+    return S._union(rows)
+
+
+def graph_lifecycle(spark, sf_dir):
+    """A graph that grows: half of the rows built, the others linked in; every seventh deleted, and every fourteenth replaced by its negative.
+
+    After each step: nodes, deleted ones, nodes that break an invariant, and whether walks find nine tenths of what a scan finds.
+    """
     v = _vectors(spark, sf_dir)
-    allow = v.where("label = 3").select("id")
-    if filters.choose_pool(allow, EF, v.count(), config, True) is filters.Pool.GRAPH:
-        return graph.search_graph(codes, nodes, edges, q, config, EF, allow).where("rank <= 10").select("qid", "rank", "id", "distance")
-    return S.search(codes, q, DIM, 10, allow=allow)
+    top = v.agg(F.max("id")).first()[0]
+    index = VectorIndex.create(spark, scratch_path(spark, "graph-lifecycle"), IndexConfig(DIM, shards=2), (top if top is not None else 0) + 1)
+    index = index.insert(v.where("id % 2 = 0"))[1].build_graph()
+    steps = [("built", index)]
+    index = index.insert(v)[1]
+    steps.append(("linked", index))
+    index = index.remove(v.where("id % 7 = 0").select("id"))[1]
+    steps.append(("removed", index))
+    index = index.reinsert(v.where("id % 14 = 0").select("id", F.transform("embedding", lambda x: -x).alias("embedding")))[1]
+    steps.append(("replaced", index))
+    steps.append(("compacted", index.compact()))
+    q, rows = _queries(v), []
+    for name, at in steps:
+        wrong = integrity.violations(at.nodes(), at.edges(), at.codes(), at.config, at.tombstones(), at.manifest.capacity).agg(F.count(F.lit(1)).alias("violations"))
+        counts = at.nodes().agg(F.count(F.lit(1)).alias("nodes"), F.count_if("deleted").alias("deleted"))
+        found = evaluate.recall(at.search(q, 10, ef=EF, method="graph"), at.search(q, 10, method="scan"), 10).select((F.col("recall") >= 0.9).alias("enough"))
+        rows.append(counts.crossJoin(wrong).crossJoin(found).select(F.lit(name).alias("step"), "nodes", "deleted", "violations", "enough"))  # of one row each
+    return S._union(rows)
 
 
 def integrity_violations(spark, sf_dir):
-    codes, _, nodes, edges, config = _graph(spark, sf_dir)
-    return integrity.violations(nodes, edges, codes, config)
+    """A graph broken in known places: how often each rule finds it, and the sum of the ids that it names."""
+    codes, _, shards, config = _graph(spark, sf_dir, shards=1)
+    nodes, edges = graph.nodes_of(shards), graph.edges_of(shards, config)
+    lost = F.col("id") % 50 == 7
+    ids = codes.select("id")
+    nodes = nodes.where(~lost).withColumn("level", F.when(F.col("id") % 70 == 5, 99).otherwise(F.col("level")))
+    nodes = nodes.unionByName(ids.where("id % 40 = 3").select(F.lit(0).alias("shard"), (F.col("id") + 1_000_000).alias("id"), F.lit(0).alias("level"), F.lit(False).alias("deleted")))
+    edges = edges.where("src % 50 <> 7 and dst % 50 <> 7")
+    wrong = lambda where, layer, dst, n=1: ids.where(where).select(F.lit(0).alias("shard"), F.col("id").alias("src"), F.lit(layer).alias("layer"), F.explode(F.sequence(F.lit(100), F.lit(99 + n))).alias("pos"), dst.cast("bigint").alias("dst"))
+    parts = [
+        wrong("id % 30 = 11", 3, F.col("id")),
+        wrong("id % 60 = 13", 3, F.col("id") + 2_000_000),
+        wrong("id % 50 = 2", 31, F.lit(1)),
+        wrong("id % 80 = 9", 0, F.lit(1), 2 * config.m + 1),
+    ]
+    edges = S._union([edges, *parts])
+    gone = ids.where("id % 90 = 4").select((F.col("id") + 5_000_000).alias("id"))
+    found = integrity.violations(nodes, edges, codes, config, gone).where("rule not in ('link above the target''s level', 'link above its own level') or id % 50 = 2")
+    # links to the lost and beside the broken levels depend on the graph: the rules that name them are asked of known places alone
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"))
+
+
+def graph_valid(spark, sf_dir):
+    """A graph as it is built breaks no rule; its layers' nodes, and links within capacity."""
+    codes, _, shards, config = _graph(spark, sf_dir)
+    nodes, edges = graph.nodes_of(shards), graph.edges_of(shards, config)
+    bad = integrity.violations(nodes, edges, codes, config).agg(F.count(F.lit(1)).alias("violations"))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(bad)  # of one row each
 
 
 def graph_levels(spark, sf_dir):
-    _, _, nodes, _, _ = _graph(spark, sf_dir)
-    return nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+    _, _, shards, _ = _graph(spark, sf_dir)
+    return graph.nodes_of(shards).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def graph_entry(spark, sf_dir):
+    """Of the nodes that live: the least id of the highest level."""
+    _, _, shards, _ = _graph(spark, sf_dir, shards=1)
+    return graph.entry_point(graph.nodes_of(shards).where("id % 7 <> 0")).select("id", "level")
 
 
 def graph_memory(spark, sf_dir):
-    _, _, nodes, edges, config = _graph(spark, sf_dir)
-    return graph.memory_bytes(nodes, edges, config)
+    _, _, shards, config = _graph(spark, sf_dir)
+    return graph.memory_bytes(graph.nodes_of(shards), None, config)
 
 
 def graph_file(spark, sf_dir):
-    """A graph written as a file and read again has the same links."""
-    _, _, nodes, edges, config = _graph(spark, sf_dir, shards=1)
+    """A graph written as a file and read again: its nodes by level, and links that differ."""
+    _, _, shards, config = _graph(spark, sf_dir, shards=1)
+    nodes, edges = graph.nodes_of(shards), graph.edges_of(shards, config)
     datasources.register(spark)
-    path = tempfile.mkdtemp(prefix="bitvane-") + "/graph"
+    path = scratch_path(spark, "graph-file")
     n = nodes.count()
     datasources.write_graph(path, nodes, edges, config, n)
     again_nodes, again_edges = datasources.read_graph(spark, path, dim=DIM, capacity=n, m=config.m)
-    lost = nodes.exceptAll(again_nodes).count() + edges.exceptAll(again_edges).count() + again_edges.exceptAll(edges).count()
-    return spark.createDataFrame([(n, lost)], "nodes bigint, differences bigint")
+    lost = edges.exceptAll(again_edges).unionByName(again_edges.exceptAll(edges)).agg(F.count(F.lit(1)).alias("differences"))
+    return again_nodes.groupBy("level").agg(F.count(F.lit(1)).alias("nodes")).crossJoin(lost)  # by one row
 
 
-def codes_file(spark, sf_dir):
-    """Codes written as a file and read again: their ones, from the file's bytes."""
+def _codes_file(spark, sf_dir) -> str:
     _, codes, _ = _all(spark, sf_dir)
     datasources.register(spark)
-    path = tempfile.mkdtemp(prefix="bitvane-") + "/codes"
+    path = scratch_path(spark, "codes-file")
     datasources.write_codes(codes, path, DIM)
-    back = datasources.binary_to_codes(spark.read.format("signcodes").load(path), DIM)
-    return back.select("id", F.bit_count("w0").cast("int").alias("ones"))
+    return path
+
+
+def codes_file(spark, sf_dir):
+    """Codes written as a file and read again: their bits, from the file's bytes."""
+    back = datasources.binary_to_codes(spark.read.format("signcodes").load(_codes_file(spark, sf_dir)), DIM)
+    return back.select("id", F.reverse(F.lpad(F.bin("w0"), 64, "0")).alias("bits"))
+
+
+def codes_header(spark, sf_dir):
+    """What a codes file's header says."""
+    head = datasources.CodesReader({"path": _codes_file(spark, sf_dir)}).header()
+    return spark.createDataFrame([(head.dim, head.count, head.record_bytes, head.total_bytes)], "dim bigint, records bigint, record_bytes bigint, total_bytes bigint")
+
+
+def vector_read(spark, sf_dir):
+    """Point reads of an index: the weighed components of some ids, and one that isn't there."""
+    index, v = _index(spark, sf_dir, "read")
+    some = v.where("id % 50 = 7").select("id").unionByName(spark.range(1).select(F.lit(10**9).cast("bigint").alias("id")))
+    weighed = F.aggregate(F.transform("embedding", lambda y, i: y.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return index.vector(some).select("id", F.round(weighed, 5).alias("weighed"))
+
+
+def deleted_flags(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return filters.is_deleted(v.select("id"), v.where("id % 7 = 0").select("id"))
 
 
 # -- SQL functions ---------------------------------------------------------------------------------
@@ -405,10 +546,11 @@ def sql_functions(spark, sf_dir):
 
 
 def knn_udtf(spark, sf_dir):
-    v, _, _ = _all(spark, sf_dir)
+    """The table function, called laterally for the whole query set."""
+    v, _, q = _all(spark, sf_dir)
     SQL.register(spark, table=v)
-    v.createOrReplaceTempView("vs_vectors")
-    return spark.sql("SELECT t.rank, t.id, t.score FROM (SELECT embedding FROM vs_vectors WHERE id = 0) q, LATERAL knn(q.embedding, 10, 100) t")
+    q.createOrReplaceTempView("vs_queries")
+    return spark.sql("SELECT q.qid, t.rank, t.id, t.score FROM vs_queries q, LATERAL knn(q.embedding, 10, 100) t")
 
 
 QUERIES = {
@@ -418,8 +560,9 @@ QUERIES = {
         hamming_topk_batch, hamming_topk_blocks, cosine_topk, cosine_topk_blocks, search_reranked, knn_join_labels, bands_search, bands_topk,
         filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
         delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
-        clamp_cases, scan_limits, itq_rotate_topk, rotation_keeps_cosine, rotation_file, graph_search, graph_filtered, integrity_violations,
-        graph_levels, graph_memory, graph_file, codes_file, sql_functions, knn_udtf,
+        clamp_cases, scan_limits, itq_rotate_topk, itq_training, rotate_bits, rotate_sums, rotation_keeps_cosine, residual_cases, rotation_file,
+        graph_search, graph_filtered, graph_recall, graph_lifecycle, graph_valid, integrity_violations, graph_levels, graph_entry, graph_memory, graph_file,
+        codes_file, codes_header, vector_read, deleted_flags, sql_functions, knn_udtf,
     )
 }
 
@@ -458,6 +601,23 @@ found AS (SELECT *, row_number() OVER (PARTITION BY ef, qid ORDER BY score DESC,
 SELECT CAST(ef AS INT) AS ef, count(truth.id) AS hits, round(count(truth.id) / ((SELECT count(*) FROM q) * 10.0), 6) AS recall
 FROM found LEFT JOIN truth ON found.qid = truth.qid AND found.id = truth.id GROUP BY ef
 """
+_BITS = "list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')"
+_TURNED = f"list_transform(range({DIM}), lambda i: (CASE WHEN i % 3 = 0 THEN -1 ELSE 1 END) * CAST(embedding[CAST((5 * i + 3) % {DIM} + 1 AS INT)] AS DOUBLE))"
+_WEIGHED = "round(list_sum(list_transform({0}, lambda y, i: CAST(y AS DOUBLE) * i)), 5)"
+_M = IndexConfig(DIM).m
+
+
+def _levels_sql(where: str = "TRUE") -> str:
+    """(id, level): floor(-ln(u) / ln(m)) of a hash of id and seed, in 128-bit integers cut to 64 bits."""
+    cut = lambda x: f"(({x}) & 18446744073709551615::UHUGEINT)"
+    h = cut(f"vec_id::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + {42 * 0xD1B54A32D192ED03 & (1 << 64) - 1}::UHUGEINT")
+    steps = [f"a AS (SELECT vec_id AS id, {h} AS h FROM embeddings WHERE {where})"]
+    for name, before, shift, factor in (("b", "a", 30, 0xBF58476D1CE4E5B9), ("c", "b", 27, 0x94D049BB133111EB), ("d", "c", 31, 1)):
+        steps.append(f"{name} AS (SELECT id, {cut(f'xor(h, h >> {shift}) * {factor}::UHUGEINT')} AS h FROM {before})")
+    u = "greatest(CAST(h >> 11 AS DOUBLE) * pow(2.0, -53), 1e-12)"
+    return f"WITH {', '.join(steps)} SELECT id, CAST(least(floor(-ln({u}) / ln({_M})), {MAX_LEVEL}) AS INT) AS level FROM d"
+
+
 _ONES = "CAST(list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INT))) AS INT)"
 _REPLACED = "(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings)"
 _DOUBLED = "(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings), embedding FROM embeddings)"
@@ -471,7 +631,7 @@ ORACLE_SQL = {
     "hamming_topk": f"WITH {_Q} SELECT rank, id, distance FROM ({_top(_near(_FIRST))})",
     "single_reranked": f"SELECT rank, id, score FROM ({_reranked_sql(_ASYM, queries=_FIRST)})",
     "single_exact_reranked": f"SELECT rank, id, score FROM ({_reranked_sql(_COSINE, queries=_FIRST)})",
-    "knn_udtf": f"SELECT rank, id, score FROM ({_reranked_sql(_COSINE, queries='q.qid = 0')})",
+    "knn_udtf": _reranked_sql(_COSINE),
     "hamming_topk_batch": _hamming_sql(),
     "hamming_topk_blocks": _hamming_sql(),
     "bands_topk": _hamming_sql(),
@@ -493,7 +653,7 @@ ORACLE_SQL = {
     "reinsert_topk": _hamming_sql(table=_REPLACED),
     "grow_topk": _hamming_sql(table=_DOUBLED),
     "allow_count": "SELECT count(*) AS allowed FROM embeddings WHERE label = 3",
-    "index_counts": "SELECT count(*) AS size, count(*) FILTER (vec_id % 7 = 0) AS deleted_count, count(*) FILTER (vec_id % 7 <> 0) AS live_size FROM embeddings",
+    "index_counts": "SELECT count(*) AS size, count(*) FILTER (vec_id % 7 = 0) AS deleted_count, count(*) FILTER (vec_id % 7 <> 0) AS live_size, max(vec_id) + 1 AS capacity, CAST(64 AS INT) AS dim, CAST(256 AS INT) AS max_ef FROM embeddings",
     "recall_by_ef": _RECALL,
     "cosine_corr_mae": f"WITH {_Q}, p AS (SELECT list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s, cos(pi() * {_DISTANCE} / {DIM}) AS a FROM q, embeddings v) SELECT round(corr(s, a), 6) AS pearson, round(avg(abs(s - a)), 6) AS mae FROM p",
     "quantization_error_identity": "SELECT round(avg(list_avg(list_transform(embedding, lambda x: power((CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) - CAST(x AS DOUBLE), 2)))), 6) AS error FROM embeddings",
@@ -501,12 +661,37 @@ ORACLE_SQL = {
     + ", ".join(f"(CAST({a} AS INT), CAST({b} AS INT), CAST({c} AS INT))" for a, b, c in _CLAMPED)
     + ") t(k, ef, ef_limit)",
     "scan_limits": "SELECT CAST(ef AS INT) AS ef, greatest(16 * ef, (SELECT count(*) FROM embeddings) // 8) AS scan_limit FROM (SELECT unnest([10, 25, 50, 100, 200]) AS ef)",
-    "rotation_keeps_cosine": "SELECT count(*) * (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS pairs, TRUE AS kept FROM embeddings",
-    "rotation_file": f"SELECT CAST({DIM} AS INT) AS row_count, TRUE AS same",
-    "integrity_violations": "SELECT '' AS rule, CAST(0 AS BIGINT) AS id WHERE FALSE",
-    "graph_file": "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS differences FROM embeddings",
-    "codes_file": f"SELECT vec_id AS id, {_ONES} AS ones FROM embeddings",
+    "rotation_keeps_cosine": f"WITH {_Q} SELECT q.qid, round(avg(list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 4) AS mean_cosine FROM q, embeddings v GROUP BY q.qid",
+    "itq_training": "SELECT round(avg(list_avg(list_transform(embedding, lambda x: power((CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) - CAST(x AS DOUBLE), 2)))), 6) AS error_before, TRUE AS improves, TRUE AS orthogonal FROM embeddings",
+    "rotate_bits": f"SELECT vec_id AS id, list_aggregate(list_transform({_TURNED}, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM embeddings",
+    "rotate_sums": f"SELECT vec_id AS id, {_WEIGHED.format(_TURNED)} AS weighed FROM embeddings",
+    "residual_cases": "SELECT CAST(f AS DOUBLE) AS factor, round(abs(f * f - 1.0), 6)::DOUBLE AS residual FROM (SELECT unnest([" + ", ".join(f"{f}::DOUBLE" for f in _STRETCHED) + "]) AS f)",
+    "rotation_file": f"SELECT CAST(i AS INT) AS row, CAST((5 * i + 3) % {DIM} AS INT) AS col, CASE WHEN i % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM range({DIM}) t(i)",
+    "graph_recall": "SELECT kind, 'graph' AS path, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, TRUE AS enough FROM (SELECT unnest(['plain', 'allowed', 'deleted', 'allowed, deleted', 'asymmetric', 'cosine']) AS kind)",
+    "graph_lifecycle": """WITH s AS (SELECT unnest(['built', 'linked', 'removed', 'replaced', 'compacted']) AS step)
+        SELECT step, CASE WHEN step = 'built' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) ELSE (SELECT count(*) FROM embeddings) END AS nodes,
+          CASE step WHEN 'removed' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0) WHEN 'replaced' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 14 <> 0)
+            WHEN 'compacted' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 14 <> 0) ELSE 0 END AS deleted,
+          CAST(0 AS BIGINT) AS violations, TRUE AS enough FROM s""",
+    "graph_valid": "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS violations FROM embeddings",
+    "integrity_violations": "SELECT rule, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, vec_id + {add} AS id FROM embeddings WHERE vec_id % {a} = {b}"
+        for rule, add, a, b in (
+            ("code without node", 0, 50, 7), ("node without code", 1_000_000, 40, 3), ("level out of range", 0, 70, 5), ("link to itself", 0, 30, 11), ("link to no node", 0, 60, 13),
+            ("link above the target''s level", 0, 50, 2), ("link above its own level", 0, 50, 2), ("too many links", 0, 80, 9), ("tombstone without node", 5_000_000, 90, 4),
+        )
+    )
+    + ") GROUP BY rule",
+    "graph_levels": f"SELECT level, count(*) AS nodes FROM ({_levels_sql()}) GROUP BY level",
+    "graph_entry": f"SELECT id, level FROM ({_levels_sql('vec_id % 7 <> 0')}) ORDER BY level DESC, id LIMIT 1",
+    "graph_memory": f"SELECT CAST(sum((2 * {_M} + level * {_M}) * 4 + (level + 1) * 4 + 1) + ceil(count(*) / 8) AS BIGINT) AS bytes FROM ({_levels_sql()})",
+    "graph_file": f"SELECT level, count(*) AS nodes, CAST(0 AS BIGINT) AS differences FROM ({_levels_sql()}) GROUP BY level",
+    "codes_file": f"SELECT vec_id AS id, {_BITS} AS bits FROM embeddings",
+    "codes_header": f"SELECT CAST({DIM} AS BIGINT) AS dim, count(*) AS records, CAST({DIM // 8} AS BIGINT) AS record_bytes, 64 + count(*) * {DIM // 8} AS total_bytes FROM embeddings",
+    "vector_read": f"SELECT vec_id AS id, {_WEIGHED.format('embedding')} AS weighed FROM embeddings WHERE vec_id % 50 = 7",
+    "deleted_flags": "SELECT vec_id AS id, vec_id % 7 = 0 AS deleted FROM embeddings",
     "sql_functions": f"WITH {_Q} SELECT q.qid, v.vec_id AS id, {_DISTANCE} AS distance, {_COSINE} AS score, {_ASYM} AS asym FROM q, embeddings v",
 }
 
-__all__ = ["ORACLE_SQL", "QUERIES", "RotationModel", "scratch"]
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from bitvane.operators.index import VectorIndex
-from bitvane.plans.planner import IndexConfig
+from bitvane.operators.index import LostRace, VectorIndex
+from bitvane.plans.planner import IndexConfig, Pool
 from bitvane.streaming import changes
 
 DIM = 32
@@ -97,10 +97,50 @@ def test_grow(spark, index):
 def test_two_writers_of_a_version(spark, index):
     _, made = index
     made.remove(ids(spark, 1))
-    with pytest.raises(Exception, match="exists"):
+    with pytest.raises(LostRace, match="exists"):
         made.remove(ids(spark, 2))
 
 
+def test_vacuum_keeps_what_the_last_versions_name(spark, index):
+    x, made = index
+    _, a = made.remove(ids(spark, 1))
+    with pytest.raises(LostRace):
+        made.remove(ids(spark, 2))  # its table stays behind
+    _, b = a.remove(ids(spark, 3))
+    assert b.vacuum(keep=2) == 1 and hits(a, spark, x[5:6]) == [(0, 1, 5, 0)]
+    assert b.vacuum() == 1 and b.vacuum() == 0
+    assert VectorIndex.open(spark, made.path).counts().first()["deleted_count"] == 2
+
+
+def test_graph_of_an_index(spark, tmp_path):
+    x = np.random.default_rng(6).standard_normal((600, 64)).astype(np.float32)
+    made = VectorIndex.create(spark, str(tmp_path / "g"), IndexConfig(64, shards=2, ef_construction=80, filter_scan_limit=50), 700)
+    with pytest.raises(ValueError):
+        made.search(vectors(spark, x[:1]).withColumnRenamed("id", "qid"), 1, method="graph")
+    n, made = made.insert(vectors(spark, x[:500]))
+    made = made.build_graph()
+    q = vectors(spark, x[:25]).withColumnRenamed("id", "qid").unionByName(vectors(spark, x[500:525], first=500).withColumnRenamed("id", "qid"))
+    found = lambda at, **more: {(r["qid"], r["id"]) for r in at.search(q, 5, ef=60, **more).collect()}
+    near = lambda a, b: len(a & b) >= 0.9 * len(b) > 0
+    _, made = made.insert(vectors(spark, x[500:], first=500))
+    assert made.manifest.graphs[1].startswith("linked") and made.nodes().count() == 600
+    assert near(found(made), found(made, method="scan"))
+    _, gone = made.remove(ids(spark, *range(0, 50)))
+    assert not {i for _, i in found(gone)} & set(range(50)) and near(found(gone), found(gone, method="scan"))
+    _, again = gone.reinsert(vectors(spark, -x[:5]))
+    walked = again.search(vectors(spark, -x[:5]).withColumnRenamed("id", "qid"), 1, ef=60, method="graph")
+    assert sorted((r["qid"], r["id"], r["distance"]) for r in walked.collect()) == [(i, i, 0) for i in range(5)]
+    allow = spark.range(100, 600)
+    assert again.pool(q, 60, allow)[0] is Pool.GRAPH and again.pool(q, 60, spark.range(40))[0] is Pool.SCAN
+    assert near(found(again, allow=allow), found(again, allow=allow, method="scan")) and min(i for _, i in found(again, allow=allow)) >= 100
+    packed = again.compact()
+    assert len(packed.manifest.graphs) == 1 and found(packed, method="graph") == found(again, method="graph")
+    for name in ("search_reranked", "search_exact_reranked"):
+        walk, scan = ({(r["qid"], r["id"]) for r in getattr(packed, name)(q, 5, 60, method=m).collect()} for m in ("graph", "scan"))
+        assert near(walk, scan)
+    assert VectorIndex.open(spark, packed.path).manifest == packed.manifest
+
+
 def test_change_stream(spark, tmp_path):
     x = np.random.default_rng(4).standard_normal((10, DIM)).astype(np.float32)
     path, feed = str(tmp_path / "i"), str(tmp_path / "feed")
