@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
+from ..sources import scratch
+from ..sources.scratch import scope, scratch_path, shared_folder
+
+__all__ = ["bound_batches", "fold", "fresh", "kept", "materialize", "scope", "scratch_path", "shared_folder", "table", "text_or_empty"]
+
+#: Rows and bytes that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS, unless they are smaller."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are smaller.
+
+    It is a setting of the session, so other queries of it have smaller batches too: the bound must
+    hold when a lazy result is written, which may be long after this.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,46 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="bitvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_folder(spark)}/bitvane/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_quietly_remove, spark, path)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-
-    The files outlive the loss of any executor, and go when the driver ends.
-    """
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """sources.scratch.materialize(), with batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return scratch.materialize(df, tag)
 
 
-def _quietly_remove(spark: SparkSession, path: str) -> None:
-    try:
-        _remove(spark, path)
-    except Exception:  # the JVM may be gone before this hook runs
-        return
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """sources.scratch.kept(), with batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return scratch.kept(df, tag)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
