@@ -9,7 +9,8 @@ best is the text's language set; the prediction is its largest member, and the s
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where nothing was
 learned; rows whose lang is null teach nothing; repeated rows get the same answer; ties go to the
-language that sorts first. Columns that clash with the output are replaced by it.
+language that sorts first; a very long text is read whole, by one task, in memory of some forty times
+its size. No rows, no rows. Columns that clash with the output are replaced by it; others pass.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _sample
 from ._spark import fold, fresh, table
 from ._words import Block, blocks
 
@@ -147,30 +149,38 @@ class MixtureModel:
         return langs, np.array(scores), sets
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 1500, max_chars: int = 3_000_000, usable=None, **options) -> MixtureModel:
-    """Fit on a bounded sample of labelled rows: at most max_docs texts a language, and max_chars of its text.
+def train(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 1500, max_chars: int = 3_000_000, max_langs: int = 256, max_chars_in_all: int = 48_000_000,
+    usable=None, **options,
+) -> MixtureModel:
+    """Fit on a bounded sample of labelled rows: at most max_docs texts a language, and max_chars of its text, or an equal share of max_chars_in_all where that is less.
 
-    The sample is the rows whose id hashes lowest, the same in every run. usable, a function of
-    the id column's name, tells which rows may be learnt from. At most 256 languages are learnt.
+    The sample is drawn by a hash of id and text, the same in every run and whatever a text's length; texts are
+    whole, and one longer than what is left for its language is passed over. Characters are counted
+    before texts are collected; copies with the same id count once. usable, a function of the id
+    column's name, tells which rows may be learnt from. Of more than max_langs languages the most frequent are learnt.
     """
     known = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     if usable is not None:
         known = known.where(usable(doc_id))
-    many = {r["lang"]: r["n"] for r in known.groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    many = {r["lang"]: r["n"] for r in known.groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not many:
         return MixtureModel(**options)
-    place = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(13)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for name, n in many.items():
-        share = F.when(F.col(f"`{lang}`") == name, F.lit(min(1.0, max_docs / n))).otherwise(share)
-    rows = known.where(place < share).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = sorted(rows.limit(2 * max_docs * len(many)).collect(), key=lambda r: (len(r["text"]), str(r["id"]), r["text"]))
-    size, used = dict.fromkeys(many, 0), []
-    for r in rows:
-        size[r["lang"]] += len(r["text"])
-        if size[r["lang"]] <= max_chars:
-            used.append(r)
-    return MixtureModel(**options).fit([r["text"] for r in used], [r["lang"] for r in used]) if used else MixtureModel(**options)
+    shares = docs.sparkSession.createDataFrame([(name, min(1.0, max_docs / n)) for name, n in many.items()], "lang string, share double")
+    rows = known.select(F.col(f"`{doc_id}`").cast("string").alias("id"), _sample.text_hash(text).alias("hash"), F.col(f"`{lang}`").cast("string").alias("lang"), F.length(f"`{text}`").alias("n"))
+    rows = rows.withColumn("at", _sample.place(F.col("id"), F.col("hash"), salt=13)).join(F.broadcast(shares), "lang").where("at < share")  # a row a language
+    # a hash's share of a language is near max_docs; the bound holds whatever the hash
+    found = rows.groupBy("id", "hash", "lang").agg(F.min("at").alias("at"), F.max("n").alias("n")).orderBy("at", "id", "hash", "lang").limit(2 * max_docs * len(many)).collect()
+    keys: list[tuple[str | None, int]] = []
+    of: dict[tuple[str | None, int], list[str]] = {}
+    for name in many:
+        own = [((r["id"], r["hash"]), r["n"]) for r in found if r["lang"] == name]
+        for key in _sample.within(own, min(max_chars, max_chars_in_all // len(many))):
+            keys.append(key)
+            of.setdefault(key, []).append(name)
+    texts = _sample.texts_of(docs, sorted(of, key=str), doc_id, text)
+    used = [(texts[k]["text"], name) for k in sorted(of, key=str) if k in texts for name in of[k]]
+    return MixtureModel(**options).fit([t for t, _ in used], [name for _, name in used]) if used else MixtureModel(**options)
 
 
 def identify(docs: DataFrame, model: MixtureModel, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", set_col: str | None = "lang_set") -> DataFrame:
