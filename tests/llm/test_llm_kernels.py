@@ -107,6 +107,55 @@ def test_classifier_learns_words_and_stems():
     assert np.array_equal(model.score(clean), again.score(clean))
 
 
+def word_pairs(n, seed):
+    """Texts of the same words: toxic ones have one of two pairs side by side in order, the others in the other order and apart."""
+    rng, names, bad = random.Random(seed), [f"word{i}" for i in range(40)], [("word0", "word1"), ("word2", "word3")]
+    texts = []
+    for k in range(n):
+        w = [rng.choice(names) for _ in range(30)]
+        for i in range(29):
+            if (w[i], w[i + 1]) in bad:
+                w[i + 1] = "word39"
+        a, b = rng.choice(bad)
+        if k % 2:
+            i = rng.randrange(29)
+            w[i], w[i + 1] = a, b
+        else:
+            i = rng.randrange(20)
+            w[i], w[i + 5] = b, a
+        texts.append(" ".join(w))
+    return texts, np.arange(n, dtype=np.float32) % 2
+
+
+def test_trained_filters_find_what_the_seeded_table_cannot():
+    texts, y = word_pairs(3000, 1)
+    held, z = word_pairs(600, 2)
+    sample = toxicity.Sample(texts, y, [None] * len(texts))
+    right = lambda model: ((model.score(held) >= 0.5) == (z > 0)).mean()
+    assert right(toxicity.ConvClassifier(buckets_log2=14).fit(sample, epochs=0)) < 0.6
+    assert right(toxicity.ConvClassifier(buckets_log2=14).fit(sample)) > 0.9
+
+
+def test_training_keeps_the_epoch_of_least_loss():
+    texts, y = word_pairs(400, 3)
+    sample = toxicity.Sample(texts, y, [None] * len(texts))
+    losses = []
+    kept = toxicity.ConvClassifier._loss
+
+    def seen(self, *args):
+        losses.append(kept(self, *args))
+        return losses[-1]
+
+    toxicity.ConvClassifier._loss = seen
+    try:
+        model = toxicity.ConvClassifier(buckets_log2=12).fit(sample, epochs=5, rate=0.2)  # so steep that it comes and goes
+    finally:
+        toxicity.ConvClassifier._loss = kept
+    order = np.random.default_rng(3).permutation(len(y))
+    held = np.flatnonzero(order % 4 == 0)
+    assert len(losses) == 6 and abs(model._loss(sample, held, y, np.ones(len(y), np.float32)) - min(losses)) < 0.1
+
+
 def test_untrained_classifier_scores_nothing():
     assert toxicity.ConvClassifier(buckets_log2=10).fit(toxicity.Sample(["a", "b"], np.zeros(2), [None, None])).score(["a", None]).tolist() == [0, 0]
 

@@ -237,6 +237,32 @@ def test_op1_odd_input(spark, odd, none):
     assert toxicity.score(odd, toxicity.train(odd, labels.where("toxic < 0"))).agg(F.max("score")).first()[0] == 0.0
 
 
+def test_samples_are_bounded_before_they_are_collected(spark, monkeypatch):
+    """Long texts are learnt from like short ones, an id that repeats teaches once, ids may be strings."""
+    rows = [(f"d{i}", ("bad " if i % 2 else "good ") * (2000 if i % 5 == 0 else 3) + str(i), "xx" if i % 2 else "yy") for i in range(200)]
+    rows += [("d0", f"again {i}", "yy") for i in range(300)] + [(None, "null id good", "yy")] * 40 + [("d1", None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(200)], "doc_id string, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity.ConvClassifier, "fit", lambda self, sample, **_: seen.setdefault("sample", sample) and self)
+    toxicity.train(docs, labels, max_toxic=50, max_other=60)
+    assert len(seen["sample"].texts) == 110 and sum(seen["sample"].toxic) == 50
+    assert 0.1 < np.mean([len(t) > 5000 for t in seen["sample"].texts]) < 0.35
+    seen.clear()
+    toxicity.train(docs, labels, max_chars=30_000)
+    assert sum(map(len, seen["sample"].texts)) <= 30_000 and any(len(t) > 5000 for t in seen["sample"].texts)
+    fitted = []
+    monkeypatch.setattr(lang_id.MixtureModel, "fit", lambda self, texts, langs: fitted.append((texts, langs)) or self)
+    lang_id.train(docs, max_chars=25_000)
+    (texts, langs), chars = fitted[0], collections.Counter()
+    for t, k in zip(texts, langs):
+        chars[k] += len(t)
+    assert set(chars) == {"xx", "yy"} and max(chars.values()) <= 25_000 and any(len(t) > 5000 for t in texts)
+    assert sum(t == "null id good" for t in texts) <= 1
+    lang_id.train(docs, max_chars_in_all=400, max_langs=1)
+    assert set(fitted[1][1]) == {"yy"} and sum(map(len, fitted[1][0])) <= 400
+
+
 def test_op4_held_out(spark, odd, none):
     got = registry.QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
