@@ -357,6 +357,72 @@ def test_op10_revises_row_by_row(spark, tmp_path):
     assert totals(ledger) == {("s", "en", "v1"): (1, 0, 0)}
 
 
+def test_op10_compaction_and_vacuum(spark, odd, tmp_path):
+    ledger = token_counts.Ledger(spark, f"{shared_folder(spark)}/ledger-{tmp_path.name}")
+    makers = {"v1": Letters()}
+    assert ledger.compact() and totals(ledger) == {} and ledger.batches() == []
+    ledger.insert("a", odd, makers)
+    ledger.delete("b", odd.where("doc_id in (7, 15)"))
+    before, state = totals(ledger), sorted(map(str, ledger.state().collect()))
+    assert ledger.compact() and ledger.vacuum() == 3
+    assert totals(ledger) == before and sorted(map(str, ledger.state().collect())) == state and ledger.batches() == ["a", "b"]
+    assert len(ledger.commits()) == 1
+    assert not ledger.insert("a", odd, makers) and totals(ledger) == before  # known from the snapshot
+    ledger.delete("c", odd.where("doc_id = 12"))
+    again = token_counts.Ledger(spark, ledger.path)
+    assert again.batches() == ["a", "b", "c"] and totals(again)["a", "en", "v1"][0] == before["a", "en", "v1"][0] - 1
+    few = token_counts.Ledger(spark, ledger.path, compact_every=1)
+    few.delete("d", odd.where("doc_id = 13"))
+    assert len(few.commits()) == 1 and few.batches() == ["a", "b", "c", "d"]
+
+
+def test_op10_batches_at_once_do_not_take_an_entry_away_twice(spark, tmp_path, monkeypatch):
+    """Another writer commits between a batch's reading of the state and its own commit."""
+    path, makers, schema = f"{shared_folder(spark)}/ledger-{tmp_path.name}", {"v1": Letters()}, "doc_id bigint, text string, lang string, source string"
+    docs = spark.createDataFrame([(i, "x" * i, "en", "s") for i in range(1, 7)], schema)
+    ledger, other = token_counts.Ledger(spark, path), token_counts.Ledger(spark, path)
+    ledger.insert("a", docs, makers)
+    begin, turns = token_counts.Ledger.state, []
+
+    def state(self, *args):
+        found = begin(self, *args)
+        if self is ledger and not turns:
+            turns.append(1)
+            assert other.delete("other", docs.where("doc_id in (1, 2)").select("doc_id"))
+        return found
+
+    monkeypatch.setattr(token_counts.Ledger, "state", state)
+    assert ledger.delete("mine", docs.where("doc_id in (2, 3)").select("doc_id"))
+    assert totals(ledger) == {("s", "en", "v1"): (3, 4 + 5 + 6, 15)}
+    turns.clear()
+    count = token_counts.counted
+
+    def counted(*args):
+        turns.append(1)
+        if len(turns) == 1:
+            assert other.delete("late", docs.where("doc_id = 4").select("doc_id"))
+        return count(*args)
+
+    monkeypatch.setattr(token_counts, "counted", counted)
+    assert ledger.insert("more", docs.where("doc_id = 1"), makers)  # an insert takes the next number
+    assert totals(ledger) == {("s", "en", "v1"): (3, 1 + 5 + 6, 12)} and len(turns) == 1
+    monkeypatch.undo()
+    busy = token_counts.Ledger(spark, path, tries=2)
+    n = []
+
+    def never_alone(*args):
+        n.append(1)
+        assert other.insert(f"busy{len(n)}", docs.where("doc_id = 6"), makers)
+        return begin(busy, *args)
+
+    monkeypatch.setattr(busy, "state", never_alone)
+    with pytest.raises(token_counts.Conflict):
+        busy.delete("never", docs.where("doc_id = 5").select("doc_id"))
+    assert "never" not in ledger.batches() and totals(ledger)["s", "en", "v1"][0] == 5
+    with pytest.raises(ValueError):
+        ledger.insert("a/b", docs, makers)
+
+
 def test_op10_query_on_repeated_ids(spark, tmp_path):
     at = f"{shared_folder(spark)}/tables-{tmp_path.name}"
     rows = [(1, "a  b", "en", "s"), (1, "one more text", "en", "s"), (2, "x", "en", "s"), (2, "x", "en", "s"), (3, "gone", "en", "s")]
