@@ -23,9 +23,11 @@ their lineage cut by written tables. Texts are never shuffled: a Bloom filter of
 need a second look picks the rows that are read again.
 
 Defined results: null text counts as empty; texts without words are copies of each other; a text
-of fewer than five words has one shingle, of all of them; repeated rows and ids belong to the
-class of their words; the class id is the least doc_id of the class (null only if all are), and
-one row of it is kept. No rows, no rows.
+of fewer than five words has one shingle, of all of them; a very long text is hashed whole, by one
+task, in memory of some forty times its size; repeated rows and ids belong to the class of their words;
+the class id is the least doc_id of the class (null only if all are), and one row of it is kept, of
+ties the first text by its key. No rows, no rows. Other columns pass with near_dedup() and play no
+part in near_classes(), whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bloom
-from ._spark import fresh, materialize, table, text_or_empty
+from ._spark import fresh, kept, materialize, scope, table, text_or_empty
 from ._words import Block, blocks, mix, shingles
 
 U = np.uint64
@@ -278,30 +280,49 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> li
 
 
 def _grouped(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, key; groups: key, class_id, kept_key, class_size) of docs (doc_id, text)."""
-    members = materialize(_sketched(docs.select("doc_id", text_or_empty().alias("text")), width, bands, rows), "op9-members")
+    """(members: doc_id, key; groups: key, class_id, kept_key, class_size, links) of docs (doc_id, text).
+
+    Only the two tables that these read stay; the others go as soon as those are written.
+    """
+    with scope(docs.sparkSession):
+        members = kept(_sketched(docs.select("doc_id", text_or_empty().alias("text")), width, bands, rows), "op9-members")
+        placed = kept(_placed(docs, members, threshold, width, block_rows), "op9-placed")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    whole = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("key", order).alias("kept_key"), F.sum("copies").alias("class_size"))
+    return members.select("doc_id", "key"), placed.join(whole, "class").select("key", "class_id", "kept_key", "class_size", "links")
+
+
+def _placed(docs: DataFrame, members: DataFrame, threshold: float, width: int, block_rows: int) -> DataFrame:
+    """(key, doc_id, copies, class, links): each different text's least id, number of rows, class, and links that were found."""
     groups = members.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     # numbered as they are written, so the numbers are unique and stay
     groups = materialize(groups.withColumn("rep", F.monotonically_increasing_id()), "op9-groups")
     signed = groups.select("rep", F.explode("bands").alias("bucket"))
     shared = signed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # written, so that both sides of the join are plain exchanges and a hot bucket can be split over tasks
-    bucketed = materialize(signed.join(materialize(shared, "op9-shared"), "bucket"), "op9-buckets")
-
-    looked_at = groups.join(bucketed.select("rep").distinct(), "rep").select("rep", "key", "doc_id")
-    looked_at = materialize(looked_at, "op9-candidates")
+    shared = materialize(shared, "op9-shared")
+    # few buckets are shared: a filter of them keeps the others' rows out of the shuffle. The result is written, so
+    # that both sides of later joins are plain exchanges and a hot bucket can be split over tasks
+    blocks_ = _bloom.block_count(shared.count(), 16, MAX_FILTER_BYTES)
+    flagged, maybe = _bloom.flag(signed, F.col("bucket"), _bloom.build(shared, F.col("bucket"), blocks_), blocks_)
+    bucketed = materialize(flagged.where(F.col(maybe)).select("rep", "bucket").join(shared, "bucket"), "op9-buckets")
+
+    looked_at = materialize(groups.join(bucketed.select("rep").distinct(), "rep").select("rep", "key", "doc_id"), "op9-candidates")
     blocks_ = _bloom.block_count(looked_at.count(), 16, MAX_FILTER_BYTES)
     bloom = _bloom.build(looked_at, F.xxhash64("doc_id"), blocks_)
     again, maybe = _bloom.flag(docs, F.xxhash64("doc_id"), bloom, blocks_)
     texts = _shingled(again.where(F.col(maybe)).select(text_or_empty().alias("text")), width)
-    sets = texts.join(looked_at.select("rep", "key"), "key").groupBy("rep").agg(F.any_value("set").alias("set"))
+    # one set a text leaves a task, and the join uses the exchange by key
+    sets = texts.groupBy("key").agg(F.any_value("set").alias("set")).join(looked_at.select("key", "rep"), "key").select("rep", "set")
     sets = materialize(sets, "op9-sets")
 
     pairs = bucketed.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     compared = materialize(_compared(pairs, sets), "op9-compared")
     comp = components(compared.where(F.col("similarity") >= threshold))
     left = materialize(_residual(bucketed, compared, comp), "op9-residual")
-    more = materialize(_residual_links(left, sets, threshold, block_rows), "op9-links")
+    open_ = left.select("rep").distinct()
+    blocks_ = _bloom.block_count(open_.count(), 16, MAX_FILTER_BYTES)
+    some, maybe = _bloom.flag(sets, F.xxhash64("rep"), _bloom.build(open_, F.xxhash64("rep"), blocks_), blocks_)
+    more = materialize(_residual_links(left, some.where(F.col(maybe)).select("rep", "set"), threshold, block_rows).distinct(), "op9-links")
     if not more.isEmpty():
         own = comp.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
         other = comp.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
@@ -310,23 +331,26 @@ def _grouped(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
         joined = joined.select(F.col("rep").alias("class"), F.col("class").alias("wider"))
         every = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(comp, "rep", "left_anti").select("rep", F.col("rep").alias("class")))
         comp = every.join(joined, "class", "left").select("rep", F.coalesce("wider", "class").alias("class"))
-    placed = groups.join(comp, "rep", "left").select("key", "doc_id", "copies", F.coalesce("class", "rep").alias("class"))
-    placed = materialize(placed, "op9-placed")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
-    whole = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("key", order).alias("kept_key"), F.sum("copies").alias("class_size"))
-    return members.select("doc_id", "key"), placed.join(whole, "class").select("key", "class_id", "kept_key", "class_size")
+    found = compared.where(F.col("similarity") >= threshold).select("a", "b").unionByName(more)
+    links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    out = groups.join(comp.join(links, "rep", "left"), "rep", "left")
+    return out.select("key", "doc_id", "copies", F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def near_classes(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5, block_rows: int = 512
 ) -> DataFrame:
-    """One row a document: doc_id, class_id, class_size.
+    """One row a document: doc_id, class_id, class_size, links.
+
+    links counts the other texts that the row's text was compared with and found to be at the threshold or
+    above. Such links connect every class; within it, not all pairs are compared. Copies of a text have no links
+    among each other.
 
     With 20 bands of 5 rows a pair of similarity 0.8 shares a bucket with probability 0.9996.
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     members, groups = _grouped(docs, threshold, width, bands, rows, block_rows)
-    return members.join(groups, "key").select("doc_id", "class_id", "class_size")
+    return members.join(groups, "key").select("doc_id", "class_id", "class_size", "links")
 
 
 def near_dedup(
@@ -355,8 +379,8 @@ def near_dedup(
     # one whole row for each text and task leaves the partial aggregate; of a class the kept text's rows pass
     order = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
     one = rows_.groupBy(F.col(key).alias("key")).agg(F.min_by(F.struct(*columns), order).alias("row"))
-    kept = one.join(shared.select("key", "kept_key"), "key", "left").where(F.col("kept_key").isNull() | (F.col("kept_key") == F.col("key")))
-    return flagged.where(~F.col(maybe)).select(*columns).unionByName(kept.select("row.*"))
+    stay = one.join(shared.select("key", "kept_key"), "key", "left").where(F.col("kept_key").isNull() | (F.col("kept_key") == F.col("key")))
+    return flagged.where(~F.col(maybe)).select(*columns).unionByName(stay.select("row.*"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
