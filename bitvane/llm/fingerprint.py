@@ -11,9 +11,12 @@ big-endian, without padding.
 
 Defined results: null text counts as empty; a text without words has the empty fingerprint, which
 is like another empty one to 1 and like any other to 0; a text of fewer than five words has one
-shingle, of all of them; equal texts have equal fingerprints. In edited_pairs() rows are ordered
-by id, then by text, null ids first; the last row's successor is the first, and a single row is its
-own. No rows, no rows.
+shingle, of all of them; equal texts have equal fingerprints; a very long text is sketched whole, by
+one task, in memory of some forty times its size. In edited_pairs() ids are integers, or cast to them;
+rows are ordered by id, then by a hash of the text, then by the text, null ids first, so that rows which
+repeat follow one another; the last row's successor is the first, and a single row is its own. No
+rows, no rows. Other columns play no part there, whatever their names; in fingerprints() they pass,
+and one of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from ._spark import table, text_or_empty
 from ._words import blocks, shingles
 
 K = 128
+#: Runs of documents at most: the list of where they end is the driver's. A run is streamed, whatever its size.
+MAX_RUNS = 100_000
 
 
 def sketches(texts: Sequence[str | None], k: int = K, width: int = 5) -> list[np.ndarray]:
@@ -144,42 +149,44 @@ def edited(text: str, after: str) -> str:
 def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, run_rows: int = 1000) -> DataFrame:
     """A row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt to runs of consecutive ids (integers), by quantiles of the id. The first
-    row of each run is also sent, marked, to the end of the run before it, so that a task meets
-    every row's successor. Runs are read row after row and never held as a whole.
+    Documents are dealt to runs of consecutive ids (integers), by quantiles of the id; many rows without an id,
+    or with the same one, to several by the hash of the text. The first row of each run is also sent, marked,
+    to the end of the run before it, so that a task meets every row's successor. Runs are read row
+    after row and never held as a whole.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
-    runs = min(max(1, -(-docs.count() // run_rows)), 10_000)
-    cuts = [i / runs for i in range(1, runs)]
-    ends = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 4 * runs)))).first()[0] if cuts else None
-    ends = np.array(sorted(set(ends or [])), np.int64)  # under 10,000 ids
+    docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    n = docs.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("known")).first()
+    wanted = min(max(1, -(-n["known"] // run_rows)), MAX_RUNS)
+    cuts = [i / wanted for i in range(1, wanted)]
+    found = docs.select(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 4 * wanted)))).first()[0] if cuts else None
+    # an id that is several quantiles has so many runs' rows: it is split by the hash of the text, as the null ids are
+    ends, split = np.unique(np.array(found or [], np.int64), return_counts=True)
+    unknown = min(max(1, -(-(n["all"] - n["known"]) // run_rows)), MAX_RUNS)
+    base = unknown + np.concatenate(([0], np.cumsum(split)))
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        """Run 0 has the null ids; ids up to ends[0], run 1; and so on."""
-        known = ids.notna().to_numpy()
-        return pd.Series(np.where(known, 1 + np.searchsorted(ends, ids.fillna(0).to_numpy(np.int64)), 0), dtype="int32")
-
-    firsts = {r["run"]: r["first"] for r in docs.select("doc_id").withColumn("run", run_of("doc_id")).groupBy("run").agg(F.min("doc_id").alias("first")).collect()}  # a row a run
-    order = sorted(firsts)
-    before = {run: order[i - 1] for i, run in enumerate(order)}
-    heads = np.array([firsts[r] for r in order if r], np.int64)
-    head_before = np.array([before[r] for r in order if r], np.int32)
-
-    @F.pandas_udf("int")
-    def also_to(ids: pd.Series) -> pd.Series:
-        """The run that must also see this row, or -1."""
+    def run_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """The first runs have the null ids; then come ids up to ends[0], and so on."""
         known, values = ids.notna().to_numpy(), ids.fillna(0).to_numpy(np.int64)
-        out = np.full(len(ids), -1, np.int32)
-        if len(heads):
-            at = np.minimum(np.searchsorted(heads, values), len(heads) - 1)
-            out = np.where(known & (heads[at] == values), head_before[at], -1)
-        return pd.Series(np.where(known, out, before.get(0, -1)), dtype="int32")
-
-    placed = docs.withColumn("run", run_of("doc_id")).withColumn("also", also_to("doc_id"))
-    to = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct(F.col("also").alias("run"), F.lit(True).alias("ahead")))
-    placed = placed.select("doc_id", "text", F.inline(F.filter(to, lambda x: x["run"] >= 0)))
-    dealt = placed.repartition("run").sortWithinPartitions("run", "ahead", "doc_id", F.xxhash64("text"), "text")
+        part = (hashes.to_numpy(np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+        at = np.searchsorted(ends, values)
+        own = np.zeros(len(at), np.int64)
+        if len(ends):
+            inside = np.minimum(at, len(ends) - 1)
+            own = np.where(ends[inside] == values, np.minimum((part * split[inside]).astype(np.int64), split[inside] - 1), 0)
+        return pd.Series(np.where(known, base[at] + own, np.minimum((part * unknown).astype(np.int64), unknown - 1)), dtype="int32")
+
+    placed = docs.withColumn("run", run_of("doc_id", "hash"))
+    order = F.struct("doc_id", "hash", "text")  # nulls first
+    firsts = {r["run"]: r["first"] for r in placed.groupBy("run").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect()}  # a row a run
+    runs = sorted(firsts)
+    before = {run: runs[i - 1] for i, run in enumerate(runs)}
+    # each run's first row is read again and sent to the end of the run before it
+    heads = docs.sparkSession.createDataFrame([(run, before[run], *firsts[run]) for run in runs], "run int, to int, id bigint, h bigint")
+    same = placed["run"].eqNullSafe(heads["run"]) & placed["doc_id"].eqNullSafe(heads["id"]) & (placed["hash"] == heads["h"])
+    ahead = placed.join(F.broadcast(heads), same).groupBy("to").agg(F.min(order).alias("row"))  # of rows that repeat, one
+    placed = placed.select("run", F.lit(False).alias("ahead"), "doc_id", "hash", "text").unionByName(ahead.select(F.col("to").alias("run"), F.lit(True).alias("ahead"), "row.doc_id", "row.hash", "row.text"))
+    dealt = placed.repartition("run").sortWithinPartitions("run", "ahead", "doc_id", "hash", "text").drop("hash")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None  # (run, ahead, id, text, sketch) of the row before
