@@ -133,6 +133,71 @@ def test_op9_residual_round_joins_what_pivots_miss(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in got) == want
 
 
+def pairs_by_hand(texts, threshold):
+    """{(i, j): similarity} of all pairs at the threshold or above: by the rarest shingles of each, one of which both must have."""
+    word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+    sets, seen = [], collections.Counter()
+    for text in texts:
+        w = word.findall((text or "").lower())
+        c = collections.Counter(hash(tuple(w[j : j + 5])) for j in range(max(1, len(w) - 4))) if w else {}
+        sets.append({(k, j) for k, n in c.items() for j in range(n)})
+        seen.update(sets[-1])
+    at, out = collections.defaultdict(list), {}
+    for i, own in enumerate(sets):
+        rare = sorted(own, key=lambda x: (seen[x], x))[: len(own) - int(np.ceil(threshold * len(own))) + 1]
+        for j in {j for x in rare for j in at[x]}:
+            both = len(own & sets[j])
+            if both >= threshold * (len(own) + len(sets[j]) - both):
+                out[j, i] = both / (len(own) + len(sets[j]) - both)
+        for x in rare:
+            at[x].append(i)
+    return out
+
+
+def test_op9_recall_by_similarity(spark):
+    """All pairs of the 10,000 documents of the larger table: the share of them in one class, and in one bucket, by similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng, planted = np.random.default_rng(12), []
+    for k in range(400):  # and copies of 400 texts with a few words changed, of every similarity
+        words = [f"p{x}" for x in rng.integers(0, 10**6, 300)]
+        planted.append((10**6 + 2 * k, " ".join(words)))
+        for at in rng.integers(0, 300, rng.integers(1, 9)):
+            words[at] = f"q{rng.integers(0, 10**9)}"
+        planted.append((10**6 + 2 * k + 1, " ".join(words)))
+    docs = docs.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    rows = docs.collect()
+    first = {}
+    for r in rows:
+        first.setdefault(" ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower())), r)
+    distinct = list(first.values())
+    pairs = pairs_by_hand([r["text"] for r in distinct], 0.8)
+    found = near_dedup.near_classes(docs).collect()
+    of, links = {r["doc_id"]: r["class_id"] for r in found}, {r["doc_id"]: r["links"] for r in found}
+    sketches = {r["doc_id"]: r["bands"] for r in near_dedup._sketched(docs, 5, 20, 5).collect()}
+    band = lambda s: min(int(s * 20), 19) / 20
+    count, together, met = collections.Counter(), collections.Counter(), collections.Counter()
+    for (i, j), s in pairs.items():
+        a, b = distinct[i]["doc_id"], distinct[j]["doc_id"]
+        count[band(s)] += 1
+        together[band(s)] += of[a] == of[b]
+        met[band(s)] += sketches[a] is not None and any(x == y for x, y in zip(sketches[a], sketches[b]))
+    assert len(pairs) > 200 and set(count) >= {0.8, 0.85, 0.9, 0.95}
+    assert together == count
+    assert all(met[k] >= 0.999 * count[k] for k in count)
+    linked = {distinct[k]["doc_id"] for pair in pairs for k in pair}
+    assert all((links[r["doc_id"]] > 0) == (r["doc_id"] in linked) for r in distinct)
+    # no class holds texts that no chain of such pairs joins
+    top = {}
+    find = lambda x: x if top.get(x, x) == x else find(top[x])
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        top[max(a, b)] = min(a, b)
+    classes = collections.defaultdict(set)
+    for i, r in enumerate(distinct):
+        classes[of[r["doc_id"]]].add(find(i))
+    assert all(len(x) == 1 for x in classes.values())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 100), (300, 300), (7, 100)]
     got = {r["rep"]: r["class"] for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -172,24 +237,56 @@ def test_op2_places_every_id_once(spark, docs, texts, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def resemblance_by_hand(a, b):
+    word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+    sets = []
+    for text in (a, b):
+        w = word.findall((text or "").lower())
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    whole = len(sets[0] | sets[1])
+    return len(sets[0] & sets[1]) / whole if whole else 1.0, whole
+
+
 def test_op6_equals_brute_force(docs, texts, odd, none):
+    """Exact where both texts' shingles all fit the sketch, within the estimate's error elsewhere."""
     got = {r["doc_id"]: r for r in fingerprint.edited_pairs(docs, run_rows=30).collect()}
     order = sorted(texts)
     assert sorted(got) == order
+    off = []
     for i, d in enumerate(order):
-        after = texts[order[(i + 1) % len(order)]]
-        new = fingerprint.edited(texts[d], after)
-        a, b, c = fingerprint.sketches([texts[d], new, after])
-        r = got[d]
-        assert r["n_chars"] == len(texts[d]) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint.to_text(a), fingerprint.to_text(b))
-        assert abs(r["near_edited"] - fingerprint.resemblance(a, b)) < 1e-12 and abs(r["near_next"] - fingerprint.resemblance(a, c)) < 1e-12
+        own, after, r = texts[d], texts[order[(i + 1) % len(order)]], got[d]
+        cut = len(own) // 4
+        new = own[: len(own) - cut] + after[:cut]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        for name, other in (("near_edited", new), ("near_next", after)):
+            want, whole = resemblance_by_hand(own, other)
+            off.append(abs(r[name] - want))
+            assert off[-1] < (1e-12 if whole <= fingerprint.K else 0.2)
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (fingerprint.sketches([own])[0].tolist() == fingerprint.sketches([new])[0].tolist())
+    assert np.mean(off) < 0.03
+    by = collections.defaultdict(set)
+    for d, r in got.items():
+        by[texts[d]].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by.values())
     assert fingerprint.edited_pairs(odd, run_rows=3).count() == len(ODD)
     assert fingerprint.edited_pairs(none).count() == 0
     one = fingerprint.edited_pairs(odd.where("doc_id = 12")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_op6_runs_of_one_id_and_of_none_are_split(spark):
+    """A third of the rows have no id, a third have the same one: every row still meets its successor, in any number of runs."""
+    rng = np.random.default_rng(2)
+    say = lambda: " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 30)))
+    rows = [(None, say()) for _ in range(40)] + [(7, say()) for _ in range(40)] + [(int(i), say()) for i in rng.integers(0, 30, 40)] + [(7, "same")] * 10 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    key = lambda r: tuple(str(x) for x in r)
+    whole = sorted(map(key, fingerprint.edited_pairs(df, run_rows=10_000).collect()))
+    assert len(whole) == len(rows)
+    for n in (3, 10, 50):
+        assert sorted(map(key, fingerprint.edited_pairs(df, run_rows=n).collect())) == whole
+
+
 def test_fingerprints_merge_by_key(docs):
     of = fingerprint.fingerprints(docs.select("doc_id", "lang", "text"))
     got = {r["lang"]: r["fingerprint"] for r in fingerprint.merged(of, ["lang"]).collect()}
@@ -297,6 +394,22 @@ def test_op7_on_frames(spark, sf_dir, tmp_path):
         for made in warc.derivatives(warc.response_of(r["page_id"], r["url"], r["html"], "2026-01-01T00:00:00Z")):
             want[made["record_id"]] = (r["page_id"], made["refers_to"], hashlib.sha256(made["block"]).hexdigest(), len(made["block"]))
     assert {r["record_id"]: (r["page_id"], r["refers_to"], r["block_sha256"], r["n_bytes"]) for r in got} == want and len(got) == len(want)
+    import base64
+
+    html = {r["page_id"]: (r["url"], r["html"]) for r in pages.collect()}
+    sha1 = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    sources = {r["page_id"]: r for r in warc.responses(pages, "2026-01-01T00:00:00Z").collect()}
+    kinds = collections.Counter()
+    for r in got:
+        url, page = html[r["page_id"]]
+        kinds[r["page_id"], r["warc_type"]] += 1
+        assert r["refers_to"] == sources[r["page_id"]]["record_id"] and r["target_uri"] == url and r["payload_digest"] == sha1(page.encode())
+        assert bytes(sources[r["page_id"]]["block"]).endswith(b"\r\n\r\n" + page.encode())
+        if r["warc_type"] == "conversion":
+            body = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->", " ", page)
+            seen = re.sub(r"\s+", "", re.sub(r"<[^>]*>", "", body).replace("&lt;", "<").replace("&gt;", ">").replace("&copy;", "\xa9").replace("&middot;", "\xb7").replace("&nbsp;", " ").replace("&quot;", '"').replace("&#39;", "'").replace("&amp;", "&"))
+            assert re.sub(r"\s+", "", r["text"]) == seen and r["block_digest"] == sha1(r["text"].encode()) and r["n_bytes"] == len(r["text"].encode())
+    assert set(kinds.values()) == {1} and len(kinds) == 2 * len(html)
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2)], "page_id bigint, url string, html string, block int")
     assert warc.derive(warc.responses(odd, "2026-01-01T00:00:00Z")).count() == 6
     assert warc.derive(warc.responses(odd.where("page_id < 0"), "2026-01-01T00:00:00Z")).count() == 0
@@ -445,6 +558,30 @@ def test_op10_query(spark, docs, sf_dir):
     assert {(r["source"], r["lang"]): [r["docs"], r["tokens"], r["chars"]] for r in got} == dict(want)
 
 
+def test_pipeline_equals_brute_force(spark, docs, sf_dir):
+    """Each stage on what its predecessor kept: classifiers row by row, copies by comparison, packing id by id."""
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    one = corpus_pipeline.drop_toxic(spark, docs, sf_dir).persist()
+    model, texts = toxicity.train(docs, labels), {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert ids(one) == sorted(d for d, t in texts.items() if model.score([t])[0] < 0.5)
+    two = corpus_pipeline.keep_languages(spark, one, sf_dir).persist()
+    spoken = lang_id.train(one)
+    said = {d: spoken.predict([texts[d]]) for d in ids(one)}
+    assert ids(two) == sorted(d for d, (langs, scores, _) in said.items() if langs[0] != "und" and scores[0] >= 0.4)
+    three = corpus_pipeline.drop_copies(spark, two, sf_dir).persist()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = {}
+    for d in ids(two):
+        last[(texts[d] or "").translate(lower)] = d
+    assert ids(three) == sorted(last.values())
+    four = corpus_pipeline.drop_near_copies(spark, three, sf_dir).persist()
+    assert [str(d) for d in ids(four)] == sorted({c for _, c in near_by_hand([(d, texts[d]) for d in ids(three)])}, key=int)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {d: t.encode(texts[d] or "", add_special_tokens=False).ids + [1] for d in ids(four)}
+    assert packed(corpus_pipeline.pack(spark, four, sf_dir), want) == {d: len(x) for d, x in want.items()}
+
+
 def test_pipeline(spark, docs, sf_dir, odd, none):
     out = docs
     for name, stage in corpus_pipeline.STAGES:
