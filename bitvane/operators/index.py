@@ -43,6 +43,7 @@ class Manifest:
     segments: tuple[str, ...]
     tombstones: str | None
     graphs: tuple[str, ...] = ()
+    applied: int = -1  # the last batch of a stream of changes
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__ | {"segments": list(self.segments), "graphs": list(self.graphs)})
@@ -74,8 +75,8 @@ def accepted_rows(df: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
 
 
 class VectorIndex:
-    def __init__(self, spark: SparkSession, path: str, manifest: Manifest):
-        self.spark, self.path, self.manifest = spark, path.rstrip("/"), manifest
+    def __init__(self, spark: SparkSession, path: str, manifest: Manifest, staged: bool = False):
+        self.spark, self.path, self.manifest, self.is_staged = spark, path.rstrip("/"), manifest, staged
         self.config = IndexConfig.from_json(manifest.config)
 
     # -- files -------------------------------------------------------------------------------
@@ -122,7 +123,17 @@ class VectorIndex:
         df.write.parquet(f"{self.path}/{name}")
         return name
 
+    def staged(self) -> VectorIndex:
+        """The index with mutations that write tables but no version, until publish()."""
+        return VectorIndex(self.spark, self.path, self.manifest, True)
+
+    def publish(self, **changes) -> VectorIndex:
+        """All mutations since staged(), as one version."""
+        return VectorIndex(self.spark, self.path, self.manifest)._next(**changes)
+
     def _next(self, **changes) -> VectorIndex:
+        if self.is_staged:
+            return VectorIndex(self.spark, self.path, replace(self.manifest, **changes), True)
         return self._publish(self.spark, self.path, replace(self.manifest, version=self.manifest.version + 1, **changes))
 
     # -- tables ------------------------------------------------------------------------------

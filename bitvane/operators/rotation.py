@@ -1,9 +1,10 @@
 """A learned orthogonal rotation that makes sign codes more informative (ITQ, Gong and Lazebnik, CVPR 2011).
 
 Training alternates: the signs B = sign(XW) and the cross moment X'B come from one distributed pass
-over the data, W is the polar factor of the moment, by a singular value decomposition on the driver.
-A pass sends one dim x dim matrix for each partition; the partitions are fixed by a hash of the row,
-and their sums are added in order, so training is repeatable. The matrix G = W' maps x to Gx, as
+over a sample, W is the polar factor of the moment, by a singular value decomposition on the driver. The
+sample is of at most some 100,000 rows by default, drawn by a hash of the vector. A pass sends one
+dim x dim matrix for each partition, of 4,096 rows on average; the partitions are fixed by a hash of the
+row, and their sums are added in order, so training is repeatable. The matrix G = W' maps x to Gx, as
 float32. A model that was never trained, or failed to, is the identity.
 """
 
@@ -157,22 +158,29 @@ def _passes(data: DataFrame, dim: int, partitions: int):
 class RotationEstimator:
     """Fits a RotationModel; fit() raises EngineError bad_input or not_converged."""
 
-    def __init__(self, iterations: int = 20, seed: int = 42, partitions: int | None = None):
-        self.iterations, self.seed, self.partitions = iterations, seed, partitions
+    def __init__(self, iterations: int = 20, seed: int = 42, partitions: int | None = None, sample_rows: int = 100_000):
+        self.iterations, self.seed, self.partitions, self.sample_rows = iterations, seed, partitions, sample_rows
 
     def fit(self, df: DataFrame, dim: int, vector: str = "embedding") -> RotationModel:
         data = df.select(F.col(vector).alias("embedding")).where(F.col(vector).isNotNull())
         facts = data.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
         if self.iterations < 1 or facts["n"] < dim or facts["low"] != dim or facts["high"] != dim:
             raise EngineError(RotationStatus.BAD_INPUT, "too few rows, no iterations, or rows of another length")
-        partitions = self.partitions or min(256, max(1, facts["n"] // 4096 + 1))
+        n = facts["n"]
+        if n > self.sample_rows:
+            place = F.pmod(F.xxhash64("embedding", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+            data = data.where(place < self.sample_rows / n)
+            n = data.count()
+            if n < dim:
+                raise EngineError(RotationStatus.BAD_INPUT, "too few rows in the sample")
+        partitions = self.partitions or n // 4096 + 1
         moment, dealt = _passes(data, dim, partitions)
         try:
             _, before = moment(np.eye(dim))
             w, objective = random_orthogonal(dim, self.seed), []
             for _ in range(self.iterations):
                 m, error = moment(w)
-                objective.append(error / (facts["n"] * dim))
+                objective.append(error / (n * dim))
                 w = polar_factor(m)
             g = w.T.astype(np.float32)
             _, after = moment(g.T.astype(np.float64))
@@ -181,7 +189,7 @@ class RotationEstimator:
         off = residual(g)
         if off >= 1e-3:
             raise EngineError(RotationStatus.NOT_CONVERGED, f"residual {off}")
-        scale = facts["n"] * dim
+        scale = n * dim
         return RotationModel(g, before / scale, after / scale, off, tuple(objective))
 
     def fit_or_identity(self, df: DataFrame, dim: int, vector: str = "embedding") -> tuple[RotationModel, RotationStatus]:

@@ -1,8 +1,9 @@
 """The binary files as Spark sources and sinks.
 
-register(spark) makes the formats "signcodes", "signgraph" and "rotation" known. Paths are read by
-each task by itself, so they must be ones that all executors see. Codes are read in record ranges,
-one partition each; graphs and rotations are parsed whole, one file a partition.
+register(spark) makes the formats "signcodes", "signgraph" and "rotation" known. Paths are local ones, or
+URIs of a file system that Arrow knows (file, hdfs, s3, gs), and are read by each task by itself, so
+they must be ones that all executors see. Codes are read in record ranges, one partition each;
+graphs and rotations are parsed whole, one file a partition.
 
 A signcodes sink writes one file: each task writes its sorted run of records beside it, and the
 commit puts header and runs together. Rows must be sorted by id over the partitions, as
@@ -11,14 +12,13 @@ repartitionByRange("id") and sortWithinPartitions("id") give them, and ids be 0.
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -32,18 +32,38 @@ GRAPH_SCHEMA = "kind string, id bigint, level int, layer int, pos int, dst bigin
 ROTATION_SCHEMA = "row int, coeffs array<float>"
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    if ":/" not in path:
+        return fs.LocalFileSystem(), path
+    scheme, rest = path.split(":", 1)
+    return fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else path)
 
 
 def _bytes(path: str, status) -> bytes:
     try:
-        with open(_local(path), "rb") as f:
+        where, name = _at(path)
+        with where.open_input_file(name) as f:
             return f.read()
     except OSError as e:
         raise EngineError(status, str(e)) from e
 
 
+def _put(path: str, raw: bytes) -> None:
+    """Write a file whole: beside its place, and then there."""
+    where, name = _at(path)
+    draft = f"{name}.draft-{uuid.uuid4().hex}"
+    with where.open_output_stream(draft) as f:
+        f.write(raw)
+    _replace(where, draft, name)
+
+
+def _replace(where: fs.FileSystem, draft: str, name: str) -> None:
+    if not isinstance(where, fs.LocalFileSystem) and where.get_file_info(name).type != fs.FileType.NotFound:
+        where.delete_file(name)  # other file systems don't move onto a file
+    where.move(draft, name)
+
+
 # -- codes -------------------------------------------------------------------------------------
 
 
@@ -60,9 +80,9 @@ class CodesReader(DataSourceReader):
 
     def header(self) -> B.CodesHeader:
         try:
-            with open(_local(self.path), "rb") as f:
-                head = f.read(B.CODES_HEADER)
-                size = os.fstat(f.fileno()).st_size
+            where, name = _at(self.path)
+            with where.open_input_file(name) as f:
+                head, size = f.read(B.CODES_HEADER), f.size()
         except OSError as e:
             raise EngineError(StorageStatus.IO_ERROR, str(e)) from e
         return B.read_codes_header(head, size)
@@ -75,26 +95,28 @@ class CodesReader(DataSourceReader):
         head = self.header()
         if partition.last == partition.first:
             return
-        shape = (head.count, head.record_bytes)
-        raw = np.memmap(_local(self.path), np.uint8, "r", B.CODES_HEADER, shape)
-        for a in range(partition.first, partition.last, 65536):
-            b = min(a + 65536, partition.last)
-            part = [x.tobytes() for x in raw[a:b]]
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(part, pa.binary())], names=["id", "code"])
+        where, name = _at(self.path)
+        with where.open_input_file(name) as f:
+            f.seek(B.CODES_HEADER + partition.first * head.record_bytes)
+            for a in range(partition.first, partition.last, 65536):
+                b = min(a + 65536, partition.last)
+                raw = np.frombuffer(f.read((b - a) * head.record_bytes), np.uint8).reshape(b - a, head.record_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array([x.tobytes() for x in raw], pa.binary())], names=["id", "code"])
 
 
 class CodesWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.dim, self.overwrite = options["path"], int(options["dim"]), overwrite
-        self.drafts = f"{_local(self.path)}.drafts-{uuid.uuid4().hex}"
+        self.drafts = f"{self.path}.drafts-{uuid.uuid4().hex}"
         B.codes_header(self.dim, 0)  # refuses a dimension of 0 before any task runs
 
     def write(self, rows) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.drafts, exist_ok=True)
-        name, first, last, n = f"{self.drafts}/{uuid.uuid4().hex}", None, None, 0
-        with open(name, "wb") as f:
+        where, folder = _at(self.drafts)
+        where.create_dir(folder)
+        name, first, last, n = f"{folder}/{uuid.uuid4().hex}", None, None, 0
+        with where.open_output_stream(name) as f:
             for row in rows:
                 if last is not None and row["id"] != last + 1:
                     raise EngineError(StorageStatus.CORRUPT_SIZE, f"id {row['id']} after {last}")
@@ -112,22 +134,29 @@ class CodesWriter(DataSourceWriter):
             if run.first != at:
                 raise EngineError(StorageStatus.CORRUPT_SIZE, f"id {at} is missing or repeated")
             at += run.count
-        if os.path.exists(_local(self.path)) and not self.overwrite:
-            raise EngineError(StorageStatus.IO_ERROR, "the file is there; use mode overwrite")
-        draft = f"{self.drafts}.file"
+        where, name = _at(self.path)
         try:
-            with open(draft, "wb") as f:
+            if where.get_file_info(name).type != fs.FileType.NotFound and not self.overwrite:
+                raise EngineError(StorageStatus.IO_ERROR, "the file is there; use mode overwrite")
+            draft = f"{name}.draft-{uuid.uuid4().hex}"
+            with where.open_output_stream(draft) as f:
                 f.write(B.codes_header(self.dim, at))
                 for run in runs:
-                    with open(run.name, "rb") as part:
-                        shutil.copyfileobj(part, f, 1 << 22)
-            os.replace(draft, _local(self.path))
+                    with where.open_input_stream(run.name) as part:
+                        while chunk := part.read(1 << 22):
+                            f.write(chunk)
+            _replace(where, draft, name)
         except OSError as e:
             raise EngineError(StorageStatus.IO_ERROR, str(e)) from e
-        shutil.rmtree(self.drafts, ignore_errors=True)
+        self._clear()
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.drafts, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        where, folder = _at(self.drafts)
+        if where.get_file_info(folder).type == fs.FileType.Directory:
+            where.delete_dir(folder)
 
 
 @dataclass
@@ -251,8 +280,7 @@ def write_graph(path: str, nodes: DataFrame, edges: DataFrame, config: IndexConf
     for r in edges.orderBy("src", "layer", "pos").toLocalIterator():
         links.setdefault((r["src"], r["layer"]), []).append(r["dst"])
     entry = min(levels, key=lambda i: (-levels[i], i), default=None)
-    with open(_local(path), "wb") as f:
-        f.write(B.graph_bytes(B.GraphFile(config.dim, capacity, config.m, entry, levels, links, gone)))
+    _put(path, B.graph_bytes(B.GraphFile(config.dim, capacity, config.m, entry, levels, links, gone)))
 
 
 def read_graph(spark: SparkSession, path: str, **wanted: int) -> tuple[DataFrame, DataFrame]:
@@ -266,5 +294,4 @@ def read_graph(spark: SparkSession, path: str, **wanted: int) -> tuple[DataFrame
 
 
 def write_rotation(path: str, matrix: np.ndarray) -> None:
-    with open(_local(path), "wb") as f:
-        f.write(B.rotation_bytes(matrix))
+    _put(path, B.rotation_bytes(matrix))

@@ -1,16 +1,16 @@
 """A stream of changes applied to a vector index, batch by batch.
 
 Changes are rows (op, id, embedding): insert, remove, restore, reinsert. Within a micro-batch they
-apply in that order, each as one index version. The last batch applied is kept beside the index, so
-a batch that is replayed after a failure is skipped once it was applied whole. No event-time
-semantics are claimed.
+apply in that order, and are published as one version of the index, which names the batch: readers see
+all of a batch or nothing, and one that is replayed after a failure is skipped if it was published. An
+index follows one stream, from one checkpoint. No event-time semantics are claimed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import VectorIndex
@@ -28,25 +28,19 @@ def apply_changes(index: VectorIndex, changes: DataFrame) -> tuple[dict[str, int
     return accepted, index
 
 
-def _marker(spark: SparkSession, path: str, batch: int):
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/applied/{batch:012d}")
-    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def writer(path: str, seen: Callable[[int, dict[str, int]], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that keeps the index at path up to date."""
 
     def apply(changes: DataFrame, batch: int) -> None:
-        spark = changes.sparkSession
-        marker, fs = _marker(spark, path, batch)
-        if fs.exists(marker):
+        index = VectorIndex.open(changes.sparkSession, path)
+        if batch <= index.manifest.applied:
             return
         changes = changes.persist()
         try:
-            accepted, _ = apply_changes(VectorIndex.open(spark, path), changes)
+            accepted, staged = apply_changes(index.staged(), changes)
+            staged.publish(applied=batch)
         finally:
             changes.unpersist()
-        fs.create(marker, True).close()
         if seen is not None:
             seen(batch, accepted)
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from bitvane.operators import evaluate
+from bitvane.operators import evaluate, graph
 from bitvane.operators import search as S
+from bitvane.plans.planner import IndexConfig
 
 
 def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) -> None:
@@ -25,6 +27,15 @@ def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) ->
     vectors, q = every.where(F.col("id") < n), every.where(F.col("id") >= n).withColumnRenamed("id", "qid")
     S.encode(vectors, dim).write.parquet(f"{folder}/codes")
     codes = spark.read.parquet(f"{folder}/codes")
+    codes.count()
+    config = IndexConfig(dim, shards=8, max_ef_search=512)
+    began = time.perf_counter()
+    graph.build_shards(codes, config).write.parquet(f"{folder}/graph")
+    print("graph build", round(time.perf_counter() - began, 2), "s", flush=True)
+    shards = spark.read.schema(graph.SHARD).parquet(f"{folder}/graph")
+    began = time.perf_counter()
+    shards.write.format("noop").mode("overwrite").save()
+    print("graph load", round(time.perf_counter() - began, 3), "s", flush=True)
     truth = S.cosine_top(vectors, q, k, method="blocks").persist()
     print("exact cosine", evaluate.timed(lambda: S.cosine_top(vectors, q, k, method="blocks"), queries, 2), flush=True)
     for ef in (10, 25, 50, 100, 200):
@@ -32,6 +43,9 @@ def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) ->
             "hamming": lambda: S.search(codes, q, dim, k, method="blocks"),
             "asymmetric": lambda e=ef: S.search_reranked(codes, q, dim, k, e, method="blocks"),
             "exact": lambda e=ef: S.search_exact_reranked(codes, vectors, q, dim, k, e, method="blocks"),
+            "graph": lambda e=ef: graph.search_shards(shards, q, config, e).where(F.col("rank") <= k),
+            "graph, asymmetric": lambda e=ef: S.search_reranked(codes, q, dim, k, e, found=graph.search_shards(shards, q, config, e)),
+            "graph, exact": lambda e=ef: S.search_exact_reranked(codes, vectors, q, dim, k, e, found=graph.search_shards(shards, q, config, e)),
         }
         for name, run in runs.items():
             if name == "hamming" and ef > 10:

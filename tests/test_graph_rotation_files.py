@@ -194,6 +194,15 @@ def test_rotation_helps_retrieval(spark):
     assert b > a + 0.05
 
 
+def test_training_on_a_sample(spark, skewed):
+    whole, part = RotationEstimator(iterations=8).fit(skewed, 64), RotationEstimator(iterations=8, sample_rows=600).fit(skewed, 64)
+    assert residual(part.matrix) < 1e-3 and not np.array_equal(part.matrix, whole.matrix)
+    error = part.rotate(skewed).agg(quantization_error(F.col("rotated")).alias("e")).first()["e"]
+    assert error < 0.97 * whole.error_before
+    assert np.array_equal(RotationEstimator(iterations=8, sample_rows=600).fit(skewed.repartition(5), 64).matrix, part.matrix)
+    assert RotationEstimator(iterations=8, sample_rows=20).fit_or_identity(skewed, 64)[1] is RotationStatus.BAD_INPUT
+
+
 def test_bad_input(spark, skewed):
     few = skewed.limit(10)
     for df, dim, iterations in ((few, 64, 5), (skewed, 32, 5), (skewed, 64, 0)):
@@ -228,6 +237,19 @@ def test_codes_round_trip(spark, tmp_path, n, dim):
     assert back.count() == n
     got = datasources.binary_to_codes(back, dim).exceptAll(codes)
     assert got.count() == 0
+    assert spark.read.format("signcodes").load(f"file://{path}").count() == n  # as a URI too
+    assert [x.name for x in tmp_path.iterdir()] == ["codes"]  # no drafts stay
+
+
+def test_files_are_replaced_whole(spark, tmp_path):
+    datasources.register(spark)
+    path = f"file:{tmp_path}/rotation"
+    for seed in (1, 2):
+        g = random_orthogonal(8, seed).astype(np.float32)
+        datasources.write_rotation(path, g)
+        back = spark.read.format("rotation").load(path).orderBy("row").collect()
+        assert np.array_equal(np.array([r["coeffs"] for r in back], np.float32), g)
+    assert [x.name for x in tmp_path.iterdir()] == ["rotation"]
 
 
 def status_of(f):
@@ -247,6 +269,9 @@ def test_codes_header_checks():
     assert check(good[:4] + b"\x02" + good[5:]) is StorageStatus.BAD_VERSION
     assert check(good, size - 1) is StorageStatus.CORRUPT_SIZE and check(good, size + 1) is StorageStatus.CORRUPT_SIZE
     assert check(good[:10], 10) is StorageStatus.CORRUPT_SIZE and check(b"", 0) is StorageStatus.IO_ERROR
+    huge = lambda dim, count: struct.pack("<4sIQQ40x", b"EVEC", 1, dim, count)
+    assert check(huge(64, 1 << 61)) is StorageStatus.IO_ERROR and check(huge(1 << 62, 1 << 60)) is StorageStatus.IO_ERROR
+    assert check(huge((1 << 64) - 1, 1)) is StorageStatus.CORRUPT_SIZE and check(huge(0, 1 << 62)) is StorageStatus.CORRUPT_SIZE
     assert status_of(lambda: formats.codes_header(0, 1)) is StorageStatus.CORRUPT_SIZE
     assert status_of(lambda: formats.codes_header(64, 1 << 62)) is StorageStatus.IO_ERROR
     assert status_of(lambda: datasources.CodesReader({"path": "/nowhere/x"}).header()) is StorageStatus.IO_ERROR

@@ -150,6 +150,7 @@ def test_change_stream(spark, tmp_path):
     changes.follow(spark.readStream.schema(changes.CHANGE).parquet(feed + "/*"), path, str(tmp_path / "c")).awaitTermination()
     got = VectorIndex.open(spark, path)
     assert got.counts().first()["live_size"] == 9
+    assert got.manifest.version == 2 and got.manifest.applied == 0  # one version for the whole batch
     # the same batch again changes nothing
     changes.writer(path)(spark.createDataFrame(rows, changes.CHANGE), 0)
     assert VectorIndex.open(spark, path).manifest == got.manifest
