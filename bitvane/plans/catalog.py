@@ -34,17 +34,25 @@ def _queries(v: DataFrame) -> DataFrame:
     return v.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "embedding")
 
 
-_ingested: dict[tuple[str, str], DataFrame] = {}
+_ingested: dict[tuple, DataFrame] = {}
 
 
-def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, w0..): packed once for a session and table, as an ingest would, and read from there."""
-    key = spark.sparkContext.applicationId, sf_dir
+def _once(spark: SparkSession, sf_dir: str, tag: str, make) -> DataFrame:
+    """What an ingest would write: made once for a session and state of the table, and read from there."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/embeddings.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = spark.sparkContext.applicationId, sf_dir, changed, tag
     if key not in _ingested:
-        _ingested[key] = materialize(S.encode(_vectors(spark, sf_dir), DIM), "codes")
+        _ingested[key] = materialize(make(), tag)
     return _ingested[key]
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, w0..), packed."""
+    return _once(spark, sf_dir, "codes", lambda: S.encode(_vectors(spark, sf_dir), DIM))
+
+
 def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = _vectors(spark, sf_dir)
     return v, _codes(spark, sf_dir), _queries(v)
@@ -356,10 +364,10 @@ def rotation_file(spark, sf_dir):
     return back.select("row", F.posexplode("coeffs").alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value")).where("value <> 0")
 
 
-def _graph(spark, sf_dir, shards: int = 8, **more):
+def _graph(spark, sf_dir, shards: int = 8):
     v, codes, q = _all(spark, sf_dir)
-    config = IndexConfig(DIM, shards=shards, **more)
-    return codes, q, materialize(graph.build_shards(codes, config), "graph"), config
+    config = IndexConfig(DIM, shards=shards)
+    return codes, q, _once(spark, sf_dir, f"graph-{shards}", lambda: graph.build_shards(codes, config)), config
 
 
 def graph_search(spark, sf_dir):

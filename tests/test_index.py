@@ -154,3 +154,18 @@ def test_change_stream(spark, tmp_path):
     # the same batch again changes nothing
     changes.writer(path)(spark.createDataFrame(rows, changes.CHANGE), 0)
     assert VectorIndex.open(spark, path).manifest == got.manifest
+
+
+def test_plans_of_walks(spark, tmp_path):
+    """Shards go from the file to the walk without an exchange; only what the walks found is dealt, by query."""
+    x = np.random.default_rng(7).standard_normal((50, 64)).astype(np.float32)
+    made = VectorIndex.create(spark, str(tmp_path / "p"), IndexConfig(64, shards=2), 50)
+    made = made.insert(vectors(spark, x))[1].build_graph()
+    q = vectors(spark, x[:3]).withColumnRenamed("id", "qid")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    walked = plan(made.pool(q, 10, method="graph")[1])
+    exchanges = [line for line in walked.splitlines() if "Exchange" in line]
+    assert exchanges and all("hashpartitioning(qid" in line for line in exchanges) and "MapInPandas" in walked
+    allowed = plan(made.pool(q, 10, spark.range(20), method="scan")[1])
+    assert "LeftSemi" in allowed and "embedding" not in [line for line in allowed.splitlines() if "FileScan" in line and "w0" in line][0].split("ReadSchema")[1]
+    assert "LeftAnti" in plan(made.remove(ids(spark, 1))[1].pool(q, 10, method="scan")[1])
