@@ -477,6 +477,18 @@ def graph_levels(spark, sf_dir):
     return graph.nodes_of(shards).groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def graph_links(spark, sf_dir):
+    """By layer: nodes that reach it, the most links that one has beyond its room, and links left to every seventh id once those are unlinked."""
+    _, _, shards, config = _graph(spark, sf_dir, shards=1)
+    nodes, edges = graph.nodes_of(shards), graph.edges_of(shards, config)
+    layers = nodes.select("id", F.explode(F.sequence(F.lit(0), "level")).alias("layer")).groupBy("layer").agg(F.count(F.lit(1)).alias("nodes"))
+    most = edges.groupBy("layer", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("layer").agg(F.max("n").alias("most"))
+    over = F.greatest(F.coalesce("most", F.lit(0)) - F.when(F.col("layer") == 0, 2 * config.m).otherwise(config.m), F.lit(0))
+    left = graph.unlink(edges, nodes.where("id % 7 = 0")).groupBy("layer").agg(F.count_if(F.col("dst") % 7 == 0).alias("left"))
+    both = layers.join(most, "layer", "left").join(left, "layer", "left")
+    return both.select("layer", "nodes", over.cast("bigint").alias("over"), F.coalesce("left", F.lit(0)).cast("bigint").alias("to_unlinked"))
+
+
 def graph_entry(spark, sf_dir):
     """Of the nodes that live: the least id of the highest level."""
     _, _, shards, _ = _graph(spark, sf_dir, shards=1)
@@ -569,7 +581,7 @@ QUERIES = {
         filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
         delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
         clamp_cases, scan_limits, itq_rotate_topk, itq_training, rotate_bits, rotate_sums, rotation_keeps_cosine, residual_cases, rotation_file,
-        graph_search, graph_filtered, graph_recall, graph_lifecycle, graph_valid, integrity_violations, graph_levels, graph_entry, graph_memory, graph_file,
+        graph_search, graph_filtered, graph_recall, graph_lifecycle, graph_valid, integrity_violations, graph_levels, graph_links, graph_entry, graph_memory, graph_file,
         codes_file, codes_header, vector_read, deleted_flags, sql_functions, knn_udtf,
     )
 }
@@ -692,6 +704,7 @@ ORACLE_SQL = {
     )
     + ") GROUP BY rule",
     "graph_levels": f"SELECT level, count(*) AS nodes FROM ({_levels_sql()}) GROUP BY level",
+    "graph_links": f"SELECT CAST(layer AS INT) AS layer, count(*) AS nodes, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS to_unlinked FROM (SELECT unnest(range(level + 1)) AS layer FROM ({_levels_sql()})) GROUP BY layer",
     "graph_entry": f"SELECT id, level FROM ({_levels_sql('vec_id % 7 <> 0')}) ORDER BY level DESC, id LIMIT 1",
     "graph_memory": f"SELECT CAST(sum((2 * {_M} + level * {_M}) * 4 + (level + 1) * 4 + 1) + ceil(count(*) / 8) AS BIGINT) AS bytes FROM ({_levels_sql()})",
     "graph_file": f"SELECT level, count(*) AS nodes, CAST(0 AS BIGINT) AS differences FROM ({_levels_sql()}) GROUP BY level",
