@@ -384,6 +384,9 @@ def test_op3_on_frames(spark, sf_dir):
         assert " ".join(html_text.plain_text(inner).split()) == " ".join(r["text"].split())
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x")], "page_id bigint, html string, text string")
     assert [r["text"] for r in html_text.extract(odd).collect()] == ["", "", ""]
+    assert html_text.extract(odd.where("page_id < 0")).columns == odd.columns and html_text.extract(odd.where("page_id < 0")).count() == 0
+    long = spark.createDataFrame([(1, "<article>" + "<p>One paragraph after another.</p>" * 50_000 + "</article>")], "page_id bigint, html string")
+    assert html_text.extract(long).select(F.length("text")).first()[0] == 50_000 * 29 - 1
 
 
 def test_op7_on_frames(spark, sf_dir, tmp_path):
@@ -413,6 +416,8 @@ def test_op7_on_frames(spark, sf_dir, tmp_path):
     odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2)], "page_id bigint, url string, html string, block int")
     assert warc.derive(warc.responses(odd, "2026-01-01T00:00:00Z")).count() == 6
     assert warc.derive(warc.responses(odd.where("page_id < 0"), "2026-01-01T00:00:00Z")).count() == 0
+    long = spark.createDataFrame([(1, "u", "<p>One paragraph after another.</p>" * 50_000)], "page_id bigint, url string, html string")
+    assert sorted(len(r["block"]) for r in warc.derive(warc.responses(long, "2026-01-01T00:00:00Z")).collect())[1] == 50_000 * 29 - 1
     records = warc.file_bytes(warc.responses(pages.where("page_id < 5"), "2026-01-01T00:00:00Z")).orderBy("page_id").collect()
     (tmp_path / "a.warc.gz").write_bytes(b"".join(bytes(r["bytes"]) for r in records))
     back = warc.read_warc(spark, str(tmp_path / "a.warc.gz"))
