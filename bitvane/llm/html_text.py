@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from ._spark import table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?:svg|math)(?=[\s/])(?:[^>\"'/]++|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
     r"|<(script|style|noscript|template|textarea|title|svg|iframe|object|math|select|canvas|audio|video)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
