@@ -228,17 +228,19 @@ def _residual_links(members: DataFrame, sets: DataFrame, threshold: float, block
     """Links (a, b) that join components of one bucket, among members as _residual() gives them.
 
     A bucket is cut into runs of block_rows members on average, and its members outside the main
-    component likewise; each pair of such runs is compared in one task.
+    component likewise; each pair of such runs is compared in one task. A bucket of one run goes to its
+    task once.
     """
     spread = F.xxhash64("rep", F.lit(17))
     runs, outs = (F.ceil(F.col(c) / block_rows).cast("int") for c in ("n", "out"))
+    single = (runs == 1) & (outs == 1)
     last = lambda count: F.sequence(F.lit(0), count - 1)
-    rights = members.select("*", F.lit(False).alias("left"), F.pmod(spread, runs).cast("int").alias("j"), F.explode(last(outs)).alias("i"))
-    lefts = members.where("not main").select("*", F.lit(True).alias("left"), F.explode(last(runs)).alias("j"), F.pmod(spread, outs).cast("int").alias("i"))
-    tasks = lefts.unionByName(rights).join(sets, "rep").select("bucket", "i", "j", "left", "rep", "class", "far", "set")
+    rights = members.select("*", F.lit(False).alias("left"), (single & ~F.col("main")).alias("both"), F.pmod(spread, runs).cast("int").alias("j"), F.explode(last(outs)).alias("i"))
+    lefts = members.where(~F.col("main") & ~single).select("*", F.lit(True).alias("left"), F.lit(False).alias("both"), F.explode(last(runs)).alias("j"), F.pmod(spread, outs).cast("int").alias("i"))
+    tasks = lefts.unionByName(rights).join(sets, "rep").select("bucket", "i", "j", "left", "both", "rep", "class", "far", "set")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["left"]], group[~group["left"]]
+        left, right = group[group["left"] | group["both"]], group[~group["left"]]
         return pd.DataFrame(block_links(left, right, threshold), columns=["a", "b"], dtype="int64")
 
     return tasks.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint")
