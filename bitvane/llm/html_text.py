@@ -12,7 +12,7 @@ the same element and class.
 Elements and names weigh in, and decide nothing by themselves:
 
 * Containers of a kind or name that holds no article text (menus, page headers, footers, sidebars,
-  notices, adverts, forms, reader comments) weigh a fiftieth, or a quarter where the name only has
+  notices, adverts, forms, reader comments) weigh a five-hundredth, or a quarter where the name only has
   such a word in it. Each is taken out of its parent's lines and judged as a distribution of its own, against
   the page's threshold: long prose under a chance word stays. A wrapper around the page's article, a form around most of
   the page, and a container of nearly all its text, count as any other container.
@@ -91,7 +91,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _THE_REST_IS_OF_ANOTHER = frozenset("has with without no not is".split())
 
 #: Weights of containers that hold no article text, by element or name, and by a name that has such a word in it.
-SURELY, MAYBE = 0.02, 0.25
+SURELY, MAYBE = 0.002, 0.25
 #: Characters of a line that count at most; weights in and out of an article, where there is one.
 LINE_CHARS, INSIDE, OUTSIDE = 240, 4.0, 0.04
 #: What link text weighs in an article, and which share of it makes a run one of links.
@@ -316,7 +316,7 @@ def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
             continue
         most = b.chars / (root.chars + b.chars) if b.chars else 0.0
         if article is not None:
-            around = b.holds(article) or article.holds(b) and most >= 0.85 and b.prose >= 3
+            around = b.holds(article) or article.holds(b) and most >= 0.85 and b.prose >= 3 and (b.title or b.weight > SURELY)
         elif b.name == "form":
             around = most >= 0.6
         else:
