@@ -439,6 +439,8 @@ def test_main_text_of_marked_pages_without_an_article(page, want):
         (f"<nav>{'<div>' * 5000}x{'</div>' * 5000}</nav><article><p>{A}</p></article>", [A]),
         (f"<main><div class=sidebar-layout><p>{A}</p><p>{B}</p><p>{D}</p></div></main>", [A, B, D]),
         ("<body><nav>Menu</nav><article><h1>T</h1><p>A.</p><p>B.</p></article><footer>" + prose(3) + "</footer></body>", ["T", "A.", "B."]),
+        (f"<article><h1>T</h1><p>Short text.</p><div class=notice><p>{A}<p>{B}<p>{D}</div></article>", ["T", "Short text."]),
+        (f"<body><div><h1>T</h1><p>Short text.</p></div><footer><p>{A}<p>{B}<p>{D}</footer></body>", ["T", "Short text."]),
     ],
 )
 def test_main_text_where_an_article_is_one_more_hint(page, want):
