@@ -114,7 +114,7 @@ class Box:
     inside: bool = False  # of an article or main element, or one
     weight: float = 1.0
     talk: bool = False
-    hard: bool = True  # whether blank lines lie between it and the next
+    home: Box | None = None  # the innermost container, itself counted, that blank lines lie between and the next
     chars: int = 0  # outside links, and outside containers that weigh less
     prose: int = 0  # lines of 80 such characters or more
     title: bool = False  # an h1 is in it
@@ -179,7 +179,8 @@ def _hint(name: str, attributes: str, inside: bool) -> tuple[float, bool, str]:
 def lines_of(page: str) -> tuple[list[Line], list[Box]]:
     """The page's lines, and its containers, both in order."""
     out: list[Line] = []
-    boxes = [Box(title=False)]
+    boxes = [Box()]
+    boxes[0].home = boxes[0]
     text: list[str] = []
     links = [0]
     stack: list[tuple[str, Box]] = []  # (element, the container that it is in)
@@ -208,8 +209,10 @@ def lines_of(page: str) -> tuple[list[Line], list[Box]]:
         weight, talk, shape = _hint(name, attributes, box.inside)
         inside = box.inside or name in ("article", "main")
         hard = name in ("div", "article", "main", "body") or name == "section" and box.name in ("", "body", "main", "html")
-        boxes.append(Box(len(boxes), len(boxes), box, name, shape, inside, weight, talk, hard))
-        return boxes[-1]
+        made = Box(len(boxes), len(boxes), box, name, shape, inside, weight, talk)
+        made.home = made if hard else box.home
+        boxes.append(made)
+        return made
 
     def close(depth: int) -> None:
         nonlocal box
@@ -283,6 +286,14 @@ def lines_of(page: str) -> tuple[list[Line], list[Box]]:
     return out, boxes
 
 
+def _plain(boxes: list[Box]) -> list[bool]:
+    """Of each container: whether neither it nor one around it weighs less."""
+    out = [boxes[0].weight == 1]
+    for b in boxes[1:]:
+        out.append(b.weight == 1 and out[b.up.first])
+    return out
+
+
 def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
     """Settle what containers and lines weigh; whether the page has an article."""
     for line in lines:
@@ -294,18 +305,11 @@ def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
         if b.weight == 1:
             b.up.chars += b.chars
             b.up.prose += b.prose
-    root = boxes[0]
-
-    def over(b: Box) -> Iterator[Box]:
-        while b.up is not None:
-            b = b.up
-            yield b
-
-    article = None
-    for b in sorted((b for b in boxes if b.name in ("article", "main") and b.weight == 1 and b.chars), key=lambda b: -b.chars):
-        if any(o.talk for o in over(b)):
-            continue
-        if all(o.weight == 1 for o in over(b)) or 2 * b.chars >= root.chars + b.chars:
+    root, article, plain, talked = boxes[0], None, _plain(boxes), [False] * len(boxes)
+    for b in boxes[1:]:
+        talked[b.first] = b.talk or talked[b.up.first]
+    for b in sorted((b for b in boxes if b.name in ("article", "main") and b.weight == 1 and b.chars and not talked[b.first]), key=lambda b: -b.chars):
+        if plain[b.first] or 2 * b.chars >= root.chars + b.chars:
             article = b
             break
     within = sum(max(len(x.text) - x.links, 0) for x in lines if x.box.inside and not x.box.talk)
@@ -323,11 +327,12 @@ def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
             around = b.name not in DROPPED and b.name != "header" and (most >= 0.5 and b.title or most >= 0.85 and b.prose >= 3)
         if around:
             b.weight = 1.0
+    plain = _plain(boxes)
     for line in lines:
         chars, inside = max(len(line.text) - line.links, 0), line.box.inside
         if article is not None and inside:
             chars += LINK * line.links
-            chars *= INSIDE if line.box.weight == 1 and all(o.weight == 1 for o in over(line.box)) else 1.0
+            chars *= INSIDE if plain[line.box.first] else 1.0
         line.weight = min(float(chars), LINE_CHARS) * (OUTSIDE if article is not None and not inside else 1.0)
     return article is not None
 
@@ -348,12 +353,6 @@ def _parts(lines: list[Line], boxes: list[Box]) -> tuple[list[Line], list[list[L
     return rest, list(apart.values())
 
 
-def _hard(box: Box) -> Box:
-    while not box.hard and box.up is not None:
-        box = box.up
-    return box
-
-
 def _of_links(lines: list[Line]) -> bool:
     return sum(x.links for x in lines) > MOST_LINKS * sum(len(x.text) for x in lines)
 
@@ -365,7 +364,7 @@ def blanked(lines: list[Line], window: int) -> list[Line | None]:
     """
     stretches: list[tuple[Box, list[Line]]] = []
     for line in lines:
-        own = _hard(line.box)
+        own = line.box.home
         if stretches and stretches[-1][0] is own:
             stretches[-1][1].append(line)
         else:
@@ -450,7 +449,7 @@ def _joined(lines: list[Line]) -> str:
 
 
 def _alike(a: list[Line], b: list[Line]) -> bool:
-    one, two = _hard(a[0].box), _hard(b[0].box)
+    one, two = a[0].box.home, b[0].box.home
     return bool(one.shape) and one.shape == two.shape and one.up is two.up and not _of_links(a)
 
 
