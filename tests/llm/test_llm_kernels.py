@@ -453,6 +453,13 @@ def test_density_decides(monkeypatch):
     assert sum(html_text.main_text(page).split("\n") != want for page, want in MARKED) >= 15
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<ul><li>x", "<article>x", "<div class=comment><article>x", "<div class=ad>x", "<span class=ad>x", "<table><tr><td>x", "<section hidden>x", "<![CDATA[>x", "<svg>x", "<p class=ad>x"])
+def test_deep_and_odd_pages_take_time_in_proportion(part):
+    start = time.process_time()
+    html_text.main_text(part * 30_000)
+    assert time.process_time() - start < 10
+
+
 def test_a_very_long_page():
     page = "<body><div>Site</div><div>" + f"<p>{A}</p>" * 30_000 + "</div><div>Imprint</div></body>"
     start = time.process_time()
