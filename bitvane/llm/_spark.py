@@ -11,7 +11,7 @@ from ..sources.scratch import scope, scratch_path, shared_folder
 __all__ = ["bound_batches", "fold", "fresh", "kept", "materialize", "scope", "scratch_path", "shared_folder", "table", "text_or_empty"]
 
 #: Rows and bytes that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
