@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources import scratch
 from ..sources.scratch import scope, scratch_path, shared_folder
 
-__all__ = ["bound_batches", "fold", "fresh", "kept", "materialize", "scope", "scratch_path", "shared_folder", "table", "text_or_empty"]
+__all__ = ["bound_batches", "fold", "fresh", "kept", "map_frames", "materialize", "or_none", "scope", "scratch_path", "shared_folder", "table", "text_or_empty"]
 
 #: Rows and bytes that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -62,3 +68,26 @@ def text_or_empty(name: str = "text"):
 def fold(name: str, parts: int):
     """crc32 of the id, as text, modulo parts; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas() that keeps integers integers: pandas' own would hand a column that holds a null over as
+    floats, which merges ids beyond 2**53. Such a column is of pandas' Int64 here, its nulls are pd.NA.
+    """
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        columns = zip(batch.schema.names, batch.columns)
+        return pd.DataFrame({n: c.to_pandas(types_mapper={c.type: pd.Int64Dtype()}.get) if c.null_count and pa.types.is_integer(c.type) else c.to_pandas() for n, c in columns})
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(frame(batch) for batch in batches):
+            yield pa.RecordBatch.from_pandas(out[kinds.names], kinds, preserve_index=False)
+
+    return df.mapInArrow(over, schema)
+
+
+def or_none(ids: pd.Series) -> list:
+    """The ids as plain values, None for null."""
+    return [None if x is None or x is pd.NA or x != x else x for x in ids.tolist()]

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table, text_or_empty
+from ._spark import map_frames, table, text_or_empty
 
 #: Bytes up to which a string is encoded by merging alone.
 LEAF = 12
@@ -258,7 +258,7 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
             made.insert(0, "doc_id", batch["doc_id"].array)
             yield made
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_frames(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table, text_or_empty
+from ._spark import map_frames, or_none, table, text_or_empty
 from ._words import blocks, shingles
 
 K = 128
@@ -165,9 +165,9 @@ def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     base = unknown + np.concatenate(([0], np.cumsum(split)))
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+    def run_of(ids: pd.Series, has_id: pd.Series, hashes: pd.Series) -> pd.Series:
         """The first runs have the null ids; then come ids up to ends[0], and so on."""
-        known, values = ids.notna().to_numpy(), ids.fillna(0).to_numpy(np.int64)
+        known, values = has_id.to_numpy(bool), ids.to_numpy(np.int64)  # no nulls here: they would make floats of the ids
         part = (hashes.to_numpy(np.int64).astype(np.float64) + 2.0**63) / 2.0**64
         at = np.searchsorted(ends, values)
         own = np.zeros(len(at), np.int64)
@@ -176,7 +176,7 @@ def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             own = np.where(ends[inside] == values, np.minimum((part * split[inside]).astype(np.int64), split[inside] - 1), 0)
         return pd.Series(np.where(known, base[at] + own, np.minimum((part * unknown).astype(np.int64), unknown - 1)), dtype="int32")
 
-    placed = docs.withColumn("run", run_of("doc_id", "hash"))
+    placed = docs.withColumn("run", run_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNotNull(), "hash"))
     order = F.struct("doc_id", "hash", "text")  # nulls first
     firsts = {r["run"]: r["first"] for r in placed.groupBy("run").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect()}  # a row a run
     runs = sorted(firsts)
@@ -191,8 +191,8 @@ def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None  # (run, ahead, id, text, sketch) of the row before
         for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            rows = list(zip(batch["run"].tolist(), batch["ahead"].tolist(), [None if x != x else x for x in ids], texts, sketches(texts, k)))
+            ids, texts = or_none(batch["doc_id"]), batch["text"].tolist()
+            rows = list(zip(batch["run"].tolist(), batch["ahead"].tolist(), ids, texts, sketches(texts, k)))
             if last is not None:
                 rows.insert(0, last)
             pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[0] == b[0] and not a[1]]
@@ -201,12 +201,13 @@ def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
             for (a, b), new, sketch in zip(pairs, changed, sketches(changed, k)):
                 out.append((a[2], len(a[3]), _sha(new), to_text(a[4]), to_text(sketch), resemblance(a[4], sketch, k), resemblance(a[4], b[4], k)))
             if out:
-                made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-                yield made.astype({"doc_id": "Int64"})
+                made = pd.DataFrame([row[1:] for row in out], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                made.insert(0, "doc_id", pd.array([row[0] for row in out], dtype="Int64"))
+                yield made
             if rows:
                 last = rows[-1]
 
-    return dealt.mapInPandas(walk, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_frames(dealt, walk, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bloom
-from ._spark import fresh, kept, materialize, scope, table, text_or_empty
+from ._spark import fresh, kept, map_frames, materialize, scope, table, text_or_empty
 from ._words import Block, blocks, mix, shingles
 
 U = np.uint64
@@ -142,7 +142,7 @@ def _sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 values = band_values(sigs, bands)
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].array, "key": word_keys(block), "bands": [v if x else None for v, x in zip(values, has)]})
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, bands array<bigint>")
+    return map_frames(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, bands array<bigint>")
 
 
 def _shingled(docs: DataFrame, width: int) -> DataFrame:

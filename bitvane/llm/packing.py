@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, table, text_or_empty
+from ._spark import map_frames, materialize, table, text_or_empty
 from ._tokens import TokenizerFile, WordTokenizer
 from ._words import give_back
 
@@ -249,7 +249,7 @@ def _tokenized(docs: DataFrame, file: TokenizerFile, end_id: int, window: int) -
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, doc_tokens bigint, whole array<bigint>, rest binary, left int, part int, rank bigint, before bigint")
+    return map_frames(docs, run, f"doc_id {kind}, doc_tokens bigint, whole array<bigint>, rest binary, left int, part int, rank bigint, before bigint")
 
 
 def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -292,7 +292,7 @@ def pack(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str =
             yield out.drop(columns="k")[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.mapInPandas(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return map_frames(placed, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def _running(by_part: DataFrame, block: int = 1000) -> DataFrame:

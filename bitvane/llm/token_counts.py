@@ -37,7 +37,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, scope, scratch_path, table
+from ._spark import map_frames, materialize, scope, scratch_path, table
 
 GROUP = ("source", "lang", "tokenizer_version")
 ENTRY = "doc_id bigint, text_hash bigint, source string, lang string, tokenizer_version string, docs bigint, tokens bigint, chars bigint"
@@ -86,7 +86,8 @@ def counted(docs: DataFrame, makers: dict[str, Callable[[], Counter]], old: str
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
     was = _hash(old) if old else F.lit(0).cast("bigint")
-    return docs.select(ids, "source", "lang", text.alias("text"), _hash("text").alias("text_hash"), was.alias("was")).mapInPandas(run, f"{ENTRY}, was bigint")
+    rows = docs.select(ids, "source", "lang", text.alias("text"), _hash("text").alias("text_hash"), was.alias("was"))
+    return map_frames(rows, run, f"{ENTRY}, was bigint")
 
 
 def _summed(entries: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import map_frames, or_none, table
 from .html_text import plain_text
 
 VERSION = "WARC/1.1"
@@ -142,10 +142,11 @@ def responses(pages: DataFrame, date: str, page_id: str = "page_id", url: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [response_of(p, u, h, date) for p, u, h in zip(batch["page_id"].tolist(), batch["url"].tolist(), batch["html"].tolist())]
+            rows = [response_of(p, u, h, date) for p, u, h in zip(or_none(batch["page_id"]), batch["url"].tolist(), batch["html"].tolist())]
             yield _frame(batch["page_id"], rows, range(len(rows)))
 
-    return pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).mapInPandas(run, RECORD)
+    known = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
+    return map_frames(known, run, RECORD)
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -160,13 +161,14 @@ def derive(records: DataFrame) -> DataFrame:
                 of += [i] * len(made)
             yield _frame(batch["page_id"], rows, of)
 
-    return records.mapInPandas(run, RECORD)
+    return map_frames(records, run, RECORD)
 
 
 def _frame(ids: pd.Series, rows: list[dict], of) -> pd.DataFrame:
     names = [part.split()[0] for part in ("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "headers", "block")]
     out = pd.DataFrame(rows, columns=names[1:])
-    out.insert(0, "page_id", pd.array([None if ids.iloc[i] != ids.iloc[i] else ids.iloc[i] for i in of], dtype="Int64"))
+    known = or_none(ids)
+    out.insert(0, "page_id", pd.array([known[i] for i in of], dtype="Int64"))
     return out
 
 
@@ -269,7 +271,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _frame(pd.Series([None], dtype="object"), rows, [0] * len(rows))
 
-    return files.mapInPandas(run, RECORD)
+    return map_frames(files, run, RECORD)
 
 
 def file_bytes(records: DataFrame, compress: bool = True, out: str = "bytes") -> DataFrame:
