@@ -48,16 +48,22 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Block:
-    """Some texts' bytes, with their words' places and prefix sums for hashing."""
+    """Some texts' bytes, with their words' places and prefix sums for hashing.
 
-    def __init__(self, texts: Sequence[str | None]):
+    in_word: for each byte whether words are of it; ascii_only: lower-case A-Z alone.
+    """
+
+    def __init__(self, texts: Sequence[str | None], in_word: np.ndarray = _WORD, ascii_only: bool = False):
         # each text ends in a line feed, which belongs to no word
-        parts = [(t or "").lower().encode("utf-8", "replace") + b"\n" for t in texts]
+        if ascii_only:
+            parts = [(t or "").encode("utf-8", "replace").lower() + b"\n" for t in texts]
+        else:
+            parts = [(t or "").lower().encode("utf-8", "replace") + b"\n" for t in texts]
         self.n = len(parts)
         self.sizes = np.fromiter(map(len, parts), np.int64, self.n)
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.ends_of_texts = np.cumsum(self.sizes)
-        word = _WORD[self.bytes]
+        word = in_word[self.bytes]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if len(word) and word[0]:
             edge = np.concatenate(([0], edge))
@@ -80,17 +86,17 @@ class Block:
         return self.hash(self.starts, np.minimum(self.starts + n, self.ends), salt)
 
 
-def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, int, Block]]:
+def blocks(texts: Sequence[str | None], in_word: np.ndarray = _WORD, ascii_only: bool = False) -> Iterator[tuple[int, int, Block]]:
     """(from, to, Block) for runs of texts of about BLOCK_BYTES."""
     at = size = 0
     for i, t in enumerate(texts):
         length = len(t or "")
         if size and size + length > BLOCK_BYTES:
-            yield at, i, Block(texts[at:i])
+            yield at, i, Block(texts[at:i], in_word, ascii_only)
             at, size = i, 0
         size += length
     if at < len(texts):
-        yield at, len(texts), Block(texts[at:])
+        yield at, len(texts), Block(texts[at:], in_word, ascii_only)
     give_back()
 
 

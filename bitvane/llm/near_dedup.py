@@ -32,7 +32,7 @@ part in near_classes(), whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -196,6 +196,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("a", F.col("next").alias("label"))
 
 
+def widened(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (rep, class) after further links (a, b), a written table."""
+    if more.isEmpty():
+        return comp
+    own = comp.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
+    other = comp.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
+    joined = more.join(own, "a", "left").join(other, "b", "left")
+    joined = components(joined.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
+    joined = joined.select(F.col("rep").alias("class"), F.col("class").alias("wider"))
+    every = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(comp, "rep", "left_anti").select("rep", F.col("rep").alias("class")))
+    return every.join(joined, "class", "left").select("rep", F.coalesce("wider", "class").alias("class"))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity."""
 
@@ -224,8 +237,8 @@ def _residual(bucketed: DataFrame, compared: DataFrame, comp: DataFrame) -> Data
     return rows.join(buckets, "bucket").select("bucket", "rep", "class", (F.col("class") == F.col("most")).alias("main"), "far", "n", "out")
 
 
-def _residual_links(members: DataFrame, sets: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Links (a, b) that join components of one bucket, among members as _residual() gives them.
+def _residual_links(members: DataFrame, sets: DataFrame, threshold: float, block_rows: int, compare: Callable | None = None) -> DataFrame:
+    """Links (a, b) that join components of one bucket, among members as _residual() gives them; compare is block_links(), or another such.
 
     A bucket is cut into runs of block_rows members on average, and its members outside the main
     component likewise; each pair of such runs is compared in one task. A bucket of one run goes to its
@@ -237,11 +250,12 @@ def _residual_links(members: DataFrame, sets: DataFrame, threshold: float, block
     last = lambda count: F.sequence(F.lit(0), count - 1)
     rights = members.select("*", F.lit(False).alias("left"), (single & ~F.col("main")).alias("both"), F.pmod(spread, runs).cast("int").alias("j"), F.explode(last(outs)).alias("i"))
     lefts = members.where(~F.col("main") & ~single).select("*", F.lit(True).alias("left"), F.lit(False).alias("both"), F.explode(last(runs)).alias("j"), F.pmod(spread, outs).cast("int").alias("i"))
-    tasks = lefts.unionByName(rights).join(sets, "rep").select("bucket", "i", "j", "left", "both", "rep", "class", "far", "set")
+    tasks = lefts.unionByName(rights).join(sets, "rep").select("bucket", "i", "j", "left", "both", "rep", "class", "far", *[c for c in sets.columns if c != "rep"])
+    compare = compare or block_links
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["left"] | group["both"]], group[~group["left"]]
-        return pd.DataFrame(block_links(left, right, threshold), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(compare(left, right, threshold), columns=["a", "b"], dtype="int64")
 
     return tasks.groupBy("bucket", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
@@ -325,14 +339,7 @@ def _placed(docs: DataFrame, members: DataFrame, threshold: float, width: int, b
     blocks_ = _bloom.block_count(open_.count(), 16, MAX_FILTER_BYTES)
     some, maybe = _bloom.flag(sets, F.xxhash64("rep"), _bloom.build(open_, F.xxhash64("rep"), blocks_), blocks_)
     more = materialize(_residual_links(left, some.where(F.col(maybe)).select("rep", "set"), threshold, block_rows).distinct(), "op9-links")
-    if not more.isEmpty():
-        own = comp.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
-        other = comp.select(F.col("rep").alias("b"), F.col("class").alias("class_b"))
-        joined = more.join(own, "a", "left").join(other, "b", "left")
-        joined = components(joined.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
-        joined = joined.select(F.col("rep").alias("class"), F.col("class").alias("wider"))
-        every = comp.unionByName(more.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(comp, "rep", "left_anti").select("rep", F.col("rep").alias("class")))
-        comp = every.join(joined, "class", "left").select("rep", F.coalesce("wider", "class").alias("class"))
+    comp = widened(comp, more)
     found = compared.where(F.col("similarity") >= threshold).select("a", "b").unionByName(more)
     links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     out = groups.join(comp.join(links, "rep", "left"), "rep", "left")
