@@ -2,9 +2,9 @@
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, fingerprint, html_text, jaccard_join, lang_id, near_dedup, packing, prefix_trie, token_counts, toxicity, warc
+from . import byte_bpe, exact_dedup, fingerprint, html_text, jaccard_join, lang_id, lexical_search, near_dedup, packing, prefix_trie, token_counts, toxicity, warc
 
-_MODULES = (toxicity, packing, html_text, lang_id, exact_dedup, fingerprint, warc, byte_bpe, near_dedup, token_counts, prefix_trie, jaccard_join)
+_MODULES = (toxicity, packing, html_text, lang_id, exact_dedup, fingerprint, warc, byte_bpe, near_dedup, token_counts, prefix_trie, jaccard_join, lexical_search)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
