@@ -177,10 +177,23 @@ class Index:
 
 
 def build(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> Index:
-    """The index of df's documents. Texts are read once, besides the sample; terms and frequencies are written, shuffled and written by shard."""
+    """The index of df's documents. Besides the sample texts are read twice: to count the leaves' documents, and
+    to write terms and frequencies by shard; writing them before they are dealt to shards would cost the input's size on disk."""
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
     tree = df.sparkSession.sparkContext.broadcast(sample_tree(docs))  # of a bounded sample
 
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaves = 1 << tree.value.depth
+        many, total = np.zeros(leaves, np.int64), np.zeros(leaves, np.int64)
+        for batch in batches:
+            for _, _, block in blocks(batch["text"].tolist(), ascii_only=True):
+                terms, _, offsets = counts(block)
+                leaf = tree.value.leaves(terms, offsets)
+                many += np.bincount(leaf[block.counts > 0], minlength=leaves)
+                np.add.at(total, leaf, block.counts)
+        at = np.flatnonzero(many)
+        yield pd.DataFrame({"leaf": at, "docs": many[at], "total": total[at]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b, block in blocks(batch["text"].tolist(), ascii_only=True):
@@ -192,18 +205,18 @@ def build(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_docs:
                     "terms": [terms[s].tobytes() for s in slices], "tfs": [tfs[s].astype(np.uint32).tobytes() for s in slices],
                 })
 
-    with scope(df.sparkSession):
-        counted = materialize(map_frames(docs, run, "doc_id bigint, n bigint, leaf int, terms binary, tfs binary"), "op13-counted")
-        leaves = sorted(counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")).collect())  # of a bounded tree
-        pieces, first = [], 0
-        for leaf, many, _ in leaves:
-            pieces.append((leaf, first, -(-many // shard_docs)))
-            first += pieces[-1][2]
-        cuts = df.sparkSession.createDataFrame(pieces, "leaf int, first int, pieces int")
-        placed = counted.join(F.broadcast(cuts), "leaf")  # a row a leaf
-        placed = placed.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("doc_id", F.length("terms"), F.crc32("terms")), F.col("pieces"))).cast("int"))
-        ordered = placed.select("shard", "doc_id", "n", "terms", "tfs").repartition("shard").sortWithinPartitions("shard")
-        return Index(kept(ordered, "op13-index"), sum(r["docs"] for r in leaves), sum(r["total"] for r in leaves), first)
+    found = docs.select("text").mapInPandas(sums, "leaf int, docs bigint, total bigint").groupBy("leaf").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
+    leaves = sorted(found.collect())  # of a bounded tree
+    pieces, first = [], 0
+    for leaf, many, _ in leaves:
+        pieces.append((leaf, first, -(-many // shard_docs)))
+        first += pieces[-1][2]
+    cuts = df.sparkSession.createDataFrame(pieces, "leaf int, first int, pieces int")
+    counted = map_frames(docs, run, "doc_id bigint, n bigint, leaf int, terms binary, tfs binary")
+    placed = counted.join(F.broadcast(cuts), "leaf")  # a row a leaf
+    placed = placed.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("doc_id", F.length("terms"), F.crc32("terms")), F.col("pieces"))).cast("int"))
+    ordered = placed.select("shard", "doc_id", "n", "terms", "tfs").repartition("shard").sortWithinPartitions("shard")
+    return Index(materialize(ordered, "op13-index"), sum(r["docs"] for r in leaves), sum(r["total"] for r in leaves), first)
 
 
 class Queries:
