@@ -10,7 +10,9 @@
 
 All but vs_rotate are SQL functions: the optimiser puts their expressions in the place of the call, so
 they run in the JVM. knn is too: called laterally for a set of queries, it becomes one join of the
-distinct queries with the table, a pool of the ef nearest codes for each, and their k best cosines.
+distinct queries with the table's codes, a pool of the ef nearest for each, to which floats are joined, and their k
+best cosines. The optimiser can't bound a lateral call's ranking below the shuffle, so each pair's id and distance is
+shuffled: knn is for a few queries; operators.search has batches.
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ KNN_VIEW = "vs_knn_table"
 KNN = f"""CREATE OR REPLACE TEMPORARY FUNCTION knn(q ARRAY<FLOAT>, k INT, ef INT) RETURNS TABLE(id BIGINT, score DOUBLE, rank INT) RETURN
     SELECT id, score, rank FROM (
       SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
-        SELECT id, round(nanvl(vs_cosine(knn.q, embedding), CAST('-infinity' AS DOUBLE)), 6) AS score FROM (
-          SELECT id, embedding, row_number() OVER (ORDER BY vs_hamming(code, vs_quantize(knn.q)), id) AS place FROM {KNN_VIEW})
-        WHERE place <= greatest(knn.k, knn.ef)))
+        SELECT p.id, round(nanvl(vs_cosine(knn.q, v.embedding), CAST('-infinity' AS DOUBLE)), 6) AS score FROM (
+          SELECT id FROM (
+            SELECT id, row_number() OVER (ORDER BY vs_hamming(code, vs_quantize(knn.q)), id) AS place FROM {KNN_VIEW})
+          WHERE place <= greatest(knn.k, knn.ef)) p
+        JOIN {KNN_VIEW} v ON p.id = v.id))
     WHERE rank <= knn.k"""
 
 

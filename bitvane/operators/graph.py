@@ -7,10 +7,15 @@ query asks every shard for its ef nearest and merges them by (distance, id). The
 finds is approximate; operators.search defines the answer. Shards bound what a task holds: choose so
 many that one fits its memory.
 
-Nothing is done node by node. Nodes are linked in batches, each at most as large as what is linked
-already: their candidates come from an exact scan of a small layer, and from a beam search of a large
-one, all of a batch at once; links are chosen, and chosen again where a node has too many, over
-whole matrices. A beam search walks for many queries side by side, a step of each at a time.
+Nothing is done node by node. A layer is linked as a whole: its nodes' candidates come from an exact scan
+where it is small; where it is large they are dealt to groups around pivots, each to a few, scanned there, and improved
+by the candidates of their candidates, so the work grows in proportion to the nodes. Later nodes are linked in
+batches, whose candidates come from a walk. Links are chosen, and chosen again where a node
+has too many, over whole matrices.
+
+A walk goes on for many queries side by side, a step of each at a time, and keeps no marks of what it has met:
+a node that is met again is in the beam, or too far to enter it. So a walk's memory is its beam, however
+many nodes there are. It starts at the nearest of a layer that is small enough to be scanned.
 
 Levels come from a hash of (id, seed), not from a stream of draws, so they do not depend on the
 order or the shard. Deleted nodes route but are not returned.
@@ -21,11 +26,11 @@ pos, dst), for files, checks and counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -35,13 +40,38 @@ from . import search as S
 SHARD = "shard int, n int, ids binary, codes binary, levels binary, nodes array<binary>, links array<binary>"
 POOL = "qid bigint, id bigint, distance int"
 U = np.uint64
+#: Of a struct of a row's attributes, whether a search may return the row.
+Predicate = Callable[[Column], Column]
 #: Nodes of a layer up to which candidates for links are found by an exact scan.
-SCANNED = 16_384
-#: The first batch of nodes that are linked, and the most at once.
-FIRST_BATCH, MOST_BATCH = 512, 16_384
-#: Marks of nodes that queries have met, which a walk holds at once: queries x nodes.
-WALK_MARKS = 64 << 20
+SCANNED = 8_192
+#: Most nodes that are linked at once into a graph that has others.
+MOST_BATCH = 16_384
+#: Candidates that links are chosen from: the nearest.
+CANDIDATES = 96
+#: Groups of a large layer: nodes for each pivot, pivots a node is dealt to, and a group's most nodes.
+GROUP_NODES, GROUPS_EACH, GROUP_MOST = 512, 3, 2_048
+#: A walk starts from a scan of the highest layer with so many nodes at most, at the nearest few.
+START_NODES, STARTS = 8_192, 8
+#: Nodes that each query follows in a step.
+STEP = 6
+#: A walk of a beam of ef costs about as much as a scan of so many times ef nodes (measured; README).
+WALK_COST = 300
 _NONE = np.iinfo(np.int64).max
+_PAIRS, _SUM = U(0x00FF00FF00FF00FF), U(0x0001000100010001)
+
+
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """Set bits of each row of words (the last axis)."""
+    counted = np.bitwise_count(words)
+    if words.shape[-1] % 8:
+        total = counted[..., 0].astype(np.int64)
+        for w in range(1, words.shape[-1]):
+            total += counted[..., w]
+        return total
+    # eight counts of up to 64 in a word: added in pairs, then all four by a product
+    eight = np.ascontiguousarray(counted).view(U)
+    four = (eight & _PAIRS) + (eight >> U(8) & _PAIRS)
+    return (four * _SUM >> U(48)).sum(axis=-1, dtype=np.int64)
 
 
 def levels(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
@@ -90,7 +120,7 @@ class ShardGraph:
 
     def far(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distances of codes (any shape, words last) to the nodes at positions of a shape that fits."""
-        return np.bitwise_count(self.codes[at] ^ codes).sum(axis=-1, dtype=np.int64)
+        return bits_of(self.codes[at] ^ codes)
 
     def keys(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.far(codes, at) << 32 | self.rank[at]
@@ -113,70 +143,83 @@ class ShardGraph:
 
     # -- walking -----------------------------------------------------------------------------
 
-    def _near(self, layer: int, at: np.ndarray) -> np.ndarray:
-        return self.links[layer][at if layer == 0 and len(self.nodes[0]) == len(self.ids) else np.searchsorted(self.nodes[layer], at)]
+    def _rows(self, layer: int, at: np.ndarray) -> np.ndarray:
+        return at if layer == 0 and len(self.nodes[0]) == len(self.ids) else np.searchsorted(self.nodes[layer], at)
 
     def beams(self, codes: np.ndarray, start: np.ndarray, ef: int, layer: int) -> np.ndarray:
-        """queries x ef keys of the nodes found nearest on the layer, ascending, from one start for each query."""
-        n = len(self.ids)
-        block = max(1, WALK_MARKS // max(1, n))
-        parts = [self._beams(codes[a : a + block], start[a : a + block], ef, layer) for a in range(0, len(codes), block)]
+        """queries x ef keys of the nodes found nearest on the layer, ascending, from keys to start at (queries x some)."""
+        shift = 33 + int(self.codes.shape[1] * C.WORD).bit_length()
+        block = max(1, min(1 << 62 - shift, 2_000_000 // max(1, ef)))
+        parts = [self._beams(codes[a : a + block], start[a : a + block], ef, layer, shift) for a in range(0, len(codes), block)]
         return np.concatenate(parts) if parts else np.zeros((0, ef), np.int64)
 
-    def _beams(self, codes: np.ndarray, start: np.ndarray, ef: int, layer: int) -> np.ndarray:
-        count, n = len(codes), len(self.ids)
-        met = np.zeros(count * n, bool)
-        met[np.arange(count) * n + start] = True
-        # the lowest bit tells whether a node's links have been followed
-        beam = np.full((count, ef), _NONE, np.int64)
-        beam[:, 0] = self.keys(codes, start) << 1
-        live = np.arange(count)  # queries that still have nodes to follow
+    def _beams(self, codes: np.ndarray, start: np.ndarray, ef: int, layer: int, shift: int) -> np.ndarray:
+        count, none = len(codes), (1 << shift) - 2
+        links = self.links[layer]
+        # a beam's entry is a key twice, and one more as long as its links are to be followed
+        beam = np.full((count, max(ef, start.shape[1])), none, np.int64)
+        beam[:, : start.shape[1]] = np.where(start == _NONE, none, start << 1 | 1)
+        beam.sort(axis=1)
+        beam = np.ascontiguousarray(beam[:, :ef])
+        live = np.arange(count)  # queries that have nodes to follow
         while len(live):
             own = beam[live]
-            ahead = ((own & 1) == 0) & (own != _NONE - 1)
-            ahead &= np.cumsum(ahead, axis=1) <= 2
-            row, col = np.nonzero(ahead)
-            keep = np.zeros(len(live), bool)
-            keep[row] = True
-            beam[live[row], col] |= 1
+            open_ = (own & 1).astype(bool)
+            open_ &= np.cumsum(open_, axis=1, dtype=np.int32) <= STEP
+            row, col = np.nonzero(open_)
+            if not len(row):
+                break
             from_ = self.at(own[row, col] >> 1)
-            near = self._near(layer, from_)
-            query = np.repeat(live[row], near.shape[1])
+            own[row, col] -= 1
+            near = links[self._rows(layer, from_)]
+            query = np.repeat(row, near.shape[1])
             near = near.ravel()
-            real = near >= 0
-            flat = query[real] * n + near[real]
-            flat = np.sort(flat[~met[flat]])
-            flat = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
-            met[flat] = True
-            query, near = flat // n, flat % n
-            found = self.keys(codes[query], near) << 1
-            closer = found < beam[query, -1]
-            query, found = query[closer], found[closer]
-            live = live[keep]
-            if len(query):
-                # a row of new keys for each query that met any
+            if near.min(initial=0) < 0:
+                real = near >= 0
+                near, query = near[real], query[real]
+            far = bits_of(self.codes[near] ^ codes[live][query])
+            # only those nearer than the beam's last are looked at further
+            closer = far <= (own[:, -1] >> 33)[query]
+            query, near, far = query[closer], near[closer], far[closer]
+            key = query << shift | far << 33 | self.rank[near] << 1 | 1
+            key.sort()
+            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+            # met before: in the beam already, which is in the order of the keys, query after query
+            held = (np.arange(len(own))[:, None] << shift | own | 1).ravel()
+            key = key[held[np.minimum(np.searchsorted(held, key), len(held) - 1)] != key]
+            if len(key):
+                query = key >> shift
                 some, first, many = np.unique(query, return_index=True, return_counts=True)
-                new = np.full((len(some), int(many.max())), _NONE, np.int64)
-                new[np.repeat(np.arange(len(some)), many), np.arange(len(query)) - np.repeat(first, many)] = found
-                both = np.concatenate((beam[some], new), axis=1)
+                wide = min(int(many.max()), ef)
+                nth = np.arange(len(key)) - np.repeat(first, many)
+                new = np.full((len(some), wide), none, np.int64)
+                fits = nth < wide  # ascending, so those beyond ef are too far
+                new[np.repeat(np.arange(len(some)), many)[fits], nth[fits]] = key[fits] & (1 << shift) - 1
+                both = np.concatenate((own[some], new), axis=1)
                 both.sort(axis=1)
-                beam[some] = both[:, :ef]
-            own = beam[live]
-            live = live[(((own & 1) == 0) & (own != _NONE - 1)).any(axis=1)]
-        return np.where(beam == _NONE, _NONE, beam >> 1)
-
-    def top_down(self, codes: np.ndarray, to_layer: int) -> np.ndarray:
-        """For each query the position that a greedy walk from the entry ends at, above to_layer."""
-        at = np.full(len(codes), self.entry)
-        for layer in range(len(self.nodes) - 1, to_layer, -1):
-            at = self.at(self.beams(codes, at, 1, layer)[:, 0])
-        return at
-
-    def pools(self, codes: np.ndarray, ef: int, admitted: np.ndarray | None = None) -> np.ndarray:
+                own[some] = both[:, :ef]
+            beam[live] = own
+            live = live[(own & 1).any(axis=1)]
+        return np.where(beam >> 1 == none >> 1, _NONE, beam >> 1)
+
+    def starts(self, codes: np.ndarray, layer: int) -> np.ndarray:
+        """queries x STARTS keys of nodes to start at on the layer: the nearest of a scanned layer above, walked down."""
+        top = len(self.nodes) - 1
+        while top > layer and top > 1 and len(self.nodes[top - 1]) <= START_NODES:
+            top -= 1
+        if top <= layer:  # no layer above: some of its nodes
+            own = self.nodes[layer]
+            return self.nearest(codes, own[np.linspace(0, len(own) - 1, min(len(own), 256)).astype(np.int64)], STARTS)
+        start = self.nearest(codes, self.nodes[top], STARTS)
+        for below in range(top - 1, layer, -1):
+            start = self.beams(codes, start, STARTS, below)
+        return start
+
+    def pools(self, codes: np.ndarray, ef: int, admitted: np.ndarray | None = None, walk: bool = False) -> np.ndarray:
         """queries x ef keys of admitted nodes, ascending; _NONE where there are fewer.
 
-        The fewer are admitted, the wider the beam; where half of the shard would be met, the admitted
-        are scanned.
+        The fewer are admitted, the wider the beam; where a scan of the admitted costs less than the walk, they
+        are scanned, unless walk insists.
         """
         none = np.full((len(codes), ef), _NONE, np.int64)
         if not len(self.ids) or ef < 1:
@@ -187,9 +230,9 @@ class ShardGraph:
             if not len(among):
                 return none
             wide = ef if len(among) == len(self.ids) else int(np.ceil(ef * len(self.ids) / len(among) * 1.2)) + 8
-        if 2 * wide >= len(self.ids):
+        if not walk and scan_pays(len(self.ids) if among is None else len(among), wide):
             return self.nearest(codes, np.arange(len(self.ids)) if among is None else among, ef)
-        found = self.beams(codes, self.top_down(codes, 0), wide, 0)
+        found = self.beams(codes, self.starts(codes, 0), min(max(wide, ef), max(len(self.ids), ef)), 0)
         if among is not None:
             ok = found != _NONE
             ok[ok] = admitted[self.at(found[ok])]
@@ -198,9 +241,9 @@ class ShardGraph:
             return none
         return found
 
-    def search(self, code: np.ndarray, ef: int, admitted: np.ndarray | None = None) -> list[tuple[int, int]]:
+    def search(self, code: np.ndarray, ef: int, admitted: np.ndarray | None = None, walk: bool = False) -> list[tuple[int, int]]:
         """Up to ef (distance, id), by (distance, id)."""
-        keys = self.pools(np.asarray(code, U)[None], ef, admitted)[0]
+        keys = self.pools(np.asarray(code, U)[None], ef, admitted, walk)[0]
         keys = keys[keys != _NONE]
         return list(zip((keys >> 32).tolist(), self.ids[self.at(keys)].tolist()))
 
@@ -211,66 +254,102 @@ class ShardGraph:
 
         Those no nearer to a chosen one than to the base, then the nearest of the others; -1 where there are fewer.
         """
-        out = np.full((len(found), most), -1, np.int64)
-        for a in range(0, len(found), 512):
-            out[a : a + 512] = self._choose(found[a : a + 512], most)
+        out = np.full((len(found), most), -1, np.int32)
+        for a in range(0, len(found), 256):
+            out[a : a + 256] = self._choose(found[a : a + 256], most)
         return out
 
     def _choose(self, found: np.ndarray, most: int) -> np.ndarray:
+        found = found[:, :CANDIDATES]
         count, width = found.shape
-        chosen = np.full((count, most), -1, np.int64)
-        n = np.zeros(count, np.int64)
-        taken = np.zeros((count, width), bool)
+        real = found != _NONE
+        at = self.at(np.where(real, found, 0))
+        far = np.where(real, found >> 32, np.iinfo(np.int32).max).astype(np.int32)
+        own = self.codes[at]
+        taken, n = np.zeros((count, width), bool), np.zeros(count, np.int64)
+        kept = np.zeros((count, most, own.shape[2]), U)
+        every = np.arange(count)
         for j in range(width):
-            open_ = np.flatnonzero((n < most) & (found[:, j] != _NONE))
-            if not len(open_):
+            fine = real[:, j] & (n < most)
+            high = int(n.max(initial=0))
+            if not fine.any():
                 break
-            at = self.at(found[open_, j])
-            most_now = int(n[open_].max())
-            if most_now:
-                others = chosen[open_, :most_now]
-                gap = np.bitwise_count(self.codes[others] ^ self.codes[at][:, None]).sum(axis=-1, dtype=np.int64)
-                fine = ~((gap < (found[open_, j] >> 32)[:, None]) & (others >= 0)).any(axis=1)
-            else:
-                fine = np.ones(len(open_), bool)
-            rows = open_[fine]
-            chosen[rows, n[rows]] = at[fine]
-            taken[rows, j] = True
-            n[rows] += 1
+            if high:
+                nearer = bits_of(kept[:, :high] ^ own[:, j, None]) < far[:, j, None]
+                fine &= ~(nearer & (np.arange(high) < n[:, None])).any(axis=1)
+            taken[:, j] = fine
+            kept[every[fine], n[fine]] = own[fine, j]
+            n += fine
         # fill up with the nearest of those passed over
-        rest = ~taken & (found != _NONE)
-        place = np.cumsum(rest, axis=1) - 1 + n[:, None]
-        row, col = np.nonzero(rest & (place < most))
-        chosen[row, place[row, col]] = self.at(found[row, col])
+        place = np.where(taken, np.cumsum(taken, axis=1) - 1, n[:, None] + np.cumsum(real & ~taken, axis=1) - 1)
+        row, col = np.nonzero(real & (place < most))
+        chosen = np.full((count, most), -1, np.int32)
+        chosen[row, place[row, col]] = at[row, col]
         return chosen
 
+    def _by_groups(self, nodes: np.ndarray, width: int) -> np.ndarray:
+        """nodes x width keys of near ones among the nodes of a large layer, ascending: found in groups around pivots, then among the candidates' candidates."""
+        pivots = nodes[np.argsort(_spread(self.ids[nodes] ^ 0x5DEECE66D), kind="stable")[: -(-len(nodes) // GROUP_NODES)]]
+        each = min(GROUPS_EACH, len(pivots))
+        dealt = self.nearest(self.codes[nodes], pivots, each)
+        # group by group, the nearest to its pivot first; large groups, of copies for one, are cut
+        group, far = np.searchsorted(np.sort(self.rank[pivots]), dealt & 0xFFFFFFFF).ravel(), (dealt >> 32).ravel()
+        order = np.lexsort((far, group))
+        member = np.repeat(np.arange(len(nodes)), each)[order]
+        edges = np.flatnonzero(np.diff(group[order])) + 1
+        found = np.full((len(nodes), each, width), _NONE, np.int64)
+        nth = np.zeros(len(nodes), np.int64)
+        for whole in np.split(member, edges):
+            for own in np.array_split(whole, -(-len(whole) // GROUP_MOST)):
+                at = nodes[own]
+                keys = C.hamming_numpy(self.codes[at], self.codes[at]) << 11 | np.arange(len(own), dtype=np.int32)
+                if len(own) > width:
+                    keys = np.partition(keys, width - 1, axis=1)[:, :width]
+                found[own, nth[own], : keys.shape[1]] = (keys >> 11).astype(np.int64) << 32 | self.rank[at[keys & 2047]]
+                nth[own] += 1
+        out = np.full((len(nodes), width), _NONE, np.int64)
+        for a in range(0, len(nodes), 4096):
+            out[a : a + 4096] = _nearest_different(found[a : a + 4096].reshape(-1, each * width), width)
+        del found
+        place = np.full(len(self.ids), -1, np.int64)
+        place[nodes] = np.arange(len(nodes))
+        own, near = 12, out[:, 1:25].copy()  # the first is the node itself
+        for a in range(0, len(nodes), 2048):
+            part = near[a : a + 2048, :own]
+            via = np.where(part == _NONE, -1, place[self.at(np.where(part == _NONE, 0, part))])
+            wider = np.where((via >= 0)[:, :, None], near[via, :own], _NONE).reshape(len(part), -1)
+            # each is measured once
+            wider = np.sort(np.where(wider == _NONE, _NONE, wider & 0xFFFFFFFF), axis=1)
+            wider[:, 1:][wider[:, 1:] == wider[:, :-1]] = _NONE
+            row, col = np.nonzero(wider != _NONE)
+            at = self.by_rank[wider[row, col]]
+            wider[row, col] = self.far(self.codes[nodes[a + row]], at) << 32 | wider[row, col]
+            out[a : a + 2048] = _nearest_different(np.concatenate((out[a : a + 2048], wider), axis=1), width)
+        return out
+
     def _link_layer(self, layer: int, new: np.ndarray) -> None:
         """Link nodes into the layer, whose arrays have rows for them already; nodes that have links are there."""
-        ef, most = self.config.ef_construction, capacity_of(layer, self.config.m)
+        width, most = min(self.config.ef_construction, CANDIDATES) + 1, capacity_of(layer, self.config.m)
         rows = np.searchsorted(self.nodes[layer], new)
         placed = np.ones(len(self.nodes[layer]), bool)
         placed[rows] = False
         there = self.nodes[layer][placed]
         codes = self.codes[new]
-        if len(there) + len(new) <= SCANNED or not len(there):
-            found = self.nearest(codes, np.concatenate((there, new)), ef + 1)
+        among = lambda nodes: self.nearest(self.codes[nodes], nodes, width) if len(nodes) <= SCANNED else self._by_groups(nodes, width)
+        if not len(there):
+            found = among(new)
+        elif len(there) + len(new) <= SCANNED:
+            found = self.nearest(codes, np.concatenate((there, new)), width)
         else:
-            found = self.beams(codes, self._start(codes, there), ef, layer)
-            found = np.concatenate((found, self.nearest(codes, new, ef + 1)), axis=1)
+            found = np.concatenate((self.beams(codes, self.starts(codes, layer), width - 1, layer), among(new)), axis=1)
             found.sort(axis=1)
         itself = (found != _NONE) & ((found & 0xFFFFFFFF) == self.rank[new][:, None])
-        found = np.sort(np.where(itself, _NONE, found), axis=1)[:, :ef]
+        found = np.sort(np.where(itself, _NONE, found), axis=1)[:, : width - 1]
         chosen = self.choose(found, most)
         self.links[layer][rows] = chosen
         # the other way: a node that has too many chooses again
         row, col = np.nonzero(chosen >= 0)
-        target, source = chosen[row, col], new[row]
-        self._link_back(layer, target, source, most)
-
-    def _start(self, codes: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Linked nodes of a layer to begin at: the nearest of some."""
-        some = there[np.linspace(0, len(there) - 1, min(len(there), 256)).astype(np.int64)]
-        return self.at(self.nearest(codes, some, 1)[:, 0])
+        self._link_back(layer, chosen[row, col].astype(np.int64), new[row], most)
 
     def _link_back(self, layer: int, target: np.ndarray, source: np.ndarray, most: int) -> None:
         order = np.lexsort((source, target))
@@ -302,39 +381,26 @@ class ShardGraph:
             every = np.concatenate((have[some], extra), axis=1)
             keys = np.where(every >= 0, self.keys(base[:, None], np.maximum(every, 0)), _NONE)
             keys.sort(axis=1)
-            have[some] = self.choose(keys[:, : 8 * most], most)
+            have[some] = self.choose(keys, most)
         self.links[layer][rows] = have
 
     def link(self, new: np.ndarray) -> ShardGraph:
         """Link nodes, given by position, that have no links yet, layer by layer from the top."""
-        top = int(self.level.max(initial=-1))
+        top = int(self.level[new].max(initial=-1))
+        while top >= len(self.nodes):
+            self.nodes.append(np.zeros(0, np.int64))
+            self.links.append(np.zeros((0, capacity_of(len(self.links), self.config.m)), np.int32))
         for layer in range(top, -1, -1):
             own = np.sort(new[self.level[new] >= layer])
-            while layer >= len(self.nodes):
-                self.nodes.append(np.zeros(0, np.int64))
-                self.links.append(np.zeros((0, capacity_of(len(self.links), self.config.m)), np.int64))
-            held = len(self.nodes[layer])
-            at = 0
-            while at < len(own):
-                batch = own[at : at + min(MOST_BATCH, max(FIRST_BATCH, held))]
-                every = np.concatenate((self.nodes[layer], batch))
-                order = np.argsort(every, kind="stable")
-                blank = np.full((len(batch), self.links[layer].shape[1]), -1, np.int64)
-                self.nodes[layer], self.links[layer] = every[order], np.concatenate((self.links[layer], blank))[order]
-                self._link_layer(layer, batch)
-                at += len(batch)
-                held += len(batch)
+            every = np.concatenate((self.nodes[layer], own))
+            order = np.argsort(every, kind="stable")
+            blank = np.full((len(own), self.links[layer].shape[1]), -1, np.int32)
+            self.nodes[layer], self.links[layer] = every[order], np.concatenate((self.links[layer], blank))[order]
+            self._link_layer(layer, own)
         return self
 
     def build(self) -> ShardGraph:
-        # in an order that a hash gives: ids may be sorted by what they stand for
-        order = np.argsort(_spread(self.ids), kind="stable")
-        at = 0
-        while at < len(order):
-            n = min(MOST_BATCH, max(FIRST_BATCH, at))
-            self.link(order[at : at + n])
-            at += n
-        return self
+        return self.link(np.arange(len(self.ids))) if len(self.ids) else self
 
     def add(self, ids: np.ndarray, codes: np.ndarray) -> ShardGraph:
         """Link further nodes into a built graph."""
@@ -342,12 +408,8 @@ class ShardGraph:
         self.ids, self.codes = np.concatenate((self.ids, ids)), np.concatenate((self.codes, codes))
         self.level = np.concatenate((self.level, levels(np.asarray(ids, np.int64), self.config.m, self.config.seed)))
         self._rank()
-        new = np.arange(old, len(self.ids))
-        at = 0
-        while at < len(new):
-            n = min(MOST_BATCH, max(FIRST_BATCH, old + at))
-            self.link(new[at : at + n])
-            at += n
+        for at in range(old, len(self.ids), MOST_BATCH):
+            self.link(np.arange(at, min(at + MOST_BATCH, len(self.ids))))
         return self
 
     # -- rows and tables ----------------------------------------------------------------------
@@ -364,7 +426,7 @@ class ShardGraph:
         codes = np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1) if len(ids) else np.zeros((0, C.word_count(config.dim)), U)
         g = cls(ids, codes, config, np.frombuffer(row["levels"], np.uint8))
         g.nodes = [np.frombuffer(x, "<i4").astype(np.int64) for x in row["nodes"]]
-        g.links = [np.frombuffer(x, "<i4").reshape(-1, capacity_of(layer, config.m)).astype(np.int64) for layer, x in enumerate(row["links"])]
+        g.links = [np.frombuffer(x, "<i4").reshape(-1, capacity_of(layer, config.m)) for layer, x in enumerate(row["links"])]
         return g
 
     @classmethod
@@ -383,7 +445,7 @@ class ShardGraph:
         layer = edges["layer"].to_numpy(np.int64)
         for k in range(int(node_levels.max(initial=-1)) + 1):
             nodes = np.flatnonzero(g.level >= k)
-            links = np.full((len(nodes), capacity_of(k, config.m)), -1, np.int64)
+            links = np.full((len(nodes), capacity_of(k, config.m)), -1, np.int32)
             own = has_src & has_dst & (layer == k)
             row = np.searchsorted(nodes, src[own])
             by = np.argsort(row, kind="stable")  # the rows' order is by src id, then by place
@@ -405,6 +467,21 @@ class ShardGraph:
         return list(zip(*(x.tolist() for x in self.edge_table())))
 
 
+def scan_pays(nodes: int, ef: int) -> bool:
+    """Whether an exact scan of so many nodes costs less than a walk of a beam of ef."""
+    return nodes <= WALK_COST * ef
+
+
+def _nearest_different(keys: np.ndarray, width: int) -> np.ndarray:
+    """Of each row the least different keys, ascending."""
+    keys = np.sort(keys, axis=1)
+    again = np.zeros(keys.shape, bool)
+    again[:, 1:] = keys[:, 1:] == keys[:, :-1]
+    keys[again] = _NONE
+    keys.sort(axis=1)
+    return keys[:, :width]
+
+
 def _spread(ids: np.ndarray) -> np.ndarray:
     h = ids.astype(np.int64).view(U) * U(0xD6E8FEB86659FD93)
     return (h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15)
@@ -435,22 +512,6 @@ def build_shards(codes: DataFrame, config: IndexConfig) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(run, SHARD)
 
 
-def link_shards(shards: DataFrame, codes: DataFrame, config: IndexConfig) -> DataFrame:
-    """The rows of the shards that new codes (id, w0..) fall into, with those linked in; others are left out."""
-    names = C.word_names(config.dim)
-    new = sharded(codes.select("id", *names), config.shards).withColumnRenamed("shard", "of")
-    touched = new.select(F.col("of").alias("shard")).distinct()
-
-    def run(old: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        ids, words = _matrix(part, names)
-        if len(old):
-            return pd.DataFrame([ShardGraph.from_row(old.iloc[0], config).add(ids, words).to_row(int(old["shard"].iloc[0]))])
-        return pd.DataFrame([ShardGraph(ids, words, config).build().to_row(int(part["of"].iloc[0]))])
-
-    left = shards.join(F.broadcast(touched), "shard", "left_semi")  # at most a row a shard
-    return left.repartition(config.shards, "shard").groupBy("shard").cogroup(new.repartition(config.shards, "of").groupBy("of")).applyInPandas(run, SHARD)
-
-
 def pack_shards(codes: DataFrame, nodes: DataFrame, edges: DataFrame, config: IndexConfig) -> DataFrame:
     """The shards' rows of a graph that is given as tables."""
     names = C.word_names(config.dim)
@@ -471,10 +532,12 @@ def nodes_of(shards: DataFrame, tombstones: DataFrame | None = None) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, ids, at in batch[["shard", "ids", "levels"]].itertuples(index=False):
-                yield pd.DataFrame({"shard": shard, "id": np.frombuffer(ids, "<i8"), "level": np.frombuffer(at, np.uint8).astype(np.int32)})
+            for shard, ids, at, stale in batch[["shard", "ids", "levels", "stale"]].itertuples(index=False):
+                out = pd.DataFrame({"shard": shard, "id": np.frombuffer(ids, "<i8"), "level": np.frombuffer(at, np.uint8).astype(np.int32)})
+                yield out if stale is None else out[~np.isin(out["id"], stale)]
 
-    nodes = shards.select("shard", "ids", "levels").mapInPandas(run, "shard int, id bigint, level int")
+    shards = shards if "stale" in shards.columns else shards.withColumn("stale", F.lit(None).cast("array<bigint>"))
+    nodes = shards.select("shard", "ids", "levels", "stale").mapInPandas(run, "shard int, id bigint, level int")
     if tombstones is None:
         return nodes.withColumn("deleted", F.lit(False))
     gone = tombstones.select("id").distinct().withColumn("gone", F.lit(True))
@@ -482,13 +545,14 @@ def nodes_of(shards: DataFrame, tombstones: DataFrame | None = None) -> DataFram
 
 
 def edges_of(shards: DataFrame, config: IndexConfig) -> DataFrame:
-    """(shard, src, layer, pos, dst)."""
+    """(shard, src, layer, pos, dst), without links of stale nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 src, layer, pos, dst = ShardGraph.from_row(row, config).edge_table()
-                yield pd.DataFrame({"shard": row["shard"], "src": src, "layer": layer.astype(np.int32), "pos": pos.astype(np.int32), "dst": dst})
+                out = pd.DataFrame({"shard": row["shard"], "src": src, "layer": layer.astype(np.int32), "pos": pos.astype(np.int32), "dst": dst})
+                yield out if row.get("stale") is None else out[~np.isin(src, row["stale"]) & ~np.isin(dst, row["stale"])]
 
     return shards.mapInPandas(run, "shard int, src bigint, layer int, pos int, dst bigint")
 
@@ -505,16 +569,25 @@ def _by_shard(ids: DataFrame, shards: int, out: str) -> DataFrame:
     return sharded(known, shards).groupBy("shard").agg(F.collect_list("id").alias(out))
 
 
-def search_shards(shards: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame:
+def search_shards(
+    shards: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None, tombstones: DataFrame | None = None, predicate: Predicate | None = None, walk: bool = False
+) -> DataFrame:
     """(qid, id, distance, rank): approximate pools of ef of queries (qid, embedding).
 
+    A shard may have several rows, of tiers; all are searched, and nodes that a row's stale array names are
+    passed over. predicate, a function of a struct of attributes, is evaluated on the shard's attributes, in the
+    JVM, so no list of ids is made. walk insists on walks; without it a shard is scanned where that costs less.
+
     Queries go to the workers in parts of operators.search.MAX_QUERIES. Where there are fewer
     shards than cores, several tasks read a shard and each walks for a share of the queries.
     """
     spark = shards.sparkSession
     rows = shards
+    for name in ("stale", "attributes"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("array<bigint>"))
     for ids, name in ((allow, "_allowed"), (tombstones, "_gone")):
         rows = rows.join(_by_shard(ids, config.shards, name), "shard", "left") if ids is not None else rows.withColumn(name, F.lit(None).cast("array<bigint>"))
+    rows = rows.withColumn("_admit", F.lit(None).cast("array<boolean>") if predicate is None else F.transform("attributes", lambda a: F.coalesce(predicate(a), F.lit(False)))).drop("attributes")
     filtered = allow is not None
     shares = max(1, spark.sparkContext.defaultParallelism // config.shards)
     out = []
@@ -532,11 +605,14 @@ def search_shards(shards: DataFrame, queries: DataFrame, config: IndexConfig, ef
                     own = slice(int(row["_share"]), None, shares)
                     g = ShardGraph.from_row(row, config)
                     admitted = None
-                    if filtered or row["_gone"] is not None:
+                    if filtered or any(row[c] is not None for c in ("_gone", "_admit", "stale")):
                         admitted = np.isin(g.ids, np.asarray(row["_allowed"] if row["_allowed"] is not None else [], np.int64)) if filtered else np.ones(len(g.ids), bool)
-                        if row["_gone"] is not None:
-                            admitted &= ~np.isin(g.ids, np.asarray(row["_gone"], np.int64))
-                    keys = g.pools(codes[own], ef, admitted)
+                        for name in ("_gone", "stale"):
+                            if row[name] is not None:
+                                admitted &= ~np.isin(g.ids, np.asarray(row[name], np.int64))
+                        if row["_admit"] is not None:
+                            admitted &= np.asarray(row["_admit"], bool)
+                    keys = g.pools(codes[own], ef, admitted, walk)
                     real = keys != _NONE
                     yield pd.DataFrame({"qid": np.repeat(qids[own], real.sum(axis=1)), "id": g.ids[g.at(keys[real])], "distance": (keys[real] >> 32).astype(np.int32)})
 
@@ -548,9 +624,39 @@ def search_shards(shards: DataFrame, queries: DataFrame, config: IndexConfig, ef
     return ranked.where(F.col("rank") <= ef)
 
 
-def search_graph(codes: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, config: IndexConfig, ef: int, allow: DataFrame | None = None) -> DataFrame:
-    """search_shards() of a graph that is given as tables; its deleted nodes are not returned."""
-    return search_shards(pack_shards(codes, nodes, edges, config), queries, config, ef, allow, nodes.where("deleted").select("id"))
+def ids_array(lists: str | Column) -> Column:
+    """The ids in arrays of shards' bytes, one after the other."""
+
+    @F.pandas_udf("array<bigint>")
+    def read(lists: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([np.frombuffer(x, "<i8") for x in parts]) if len(parts) else np.zeros(0, np.int64) for parts in lists], dtype=object)
+
+    return read(lists)
+
+
+def with_attributes(shards: DataFrame, rows: DataFrame, names: Sequence[str], count: int) -> DataFrame:
+    """Rows of built shards with an array of attributes (id, names) in the order of the nodes, which is by id."""
+    if not names:
+        return shards
+    listed = sharded(rows.select("id", *names), count).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", *names))).alias("attributes"))  # of one shard
+    return shards.join(listed, "shard").withColumn("attributes", F.transform("attributes", lambda a: F.struct(*[a[n].alias(n) for n in names])))
+
+
+def merge_tiers(shards: DataFrame, config: IndexConfig) -> DataFrame:
+    """A row a shard: one graph of the nodes of all its rows, less those that each row's stale array names."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = [], []
+        for row in group.to_dict("records"):
+            own = np.frombuffer(row["ids"], "<i8")
+            live = np.ones(len(own), bool) if row["stale"] is None else ~np.isin(own, np.asarray(row["stale"], np.int64))
+            ids.append(own[live])
+            codes.append(np.frombuffer(row["codes"], "<u8").reshape(len(own), -1)[live])
+        ids, codes = np.concatenate(ids), np.concatenate(codes)
+        order = np.argsort(ids, kind="stable")
+        return pd.DataFrame([ShardGraph(ids[order], codes[order], config).build().to_row(int(group["shard"].iloc[0]))])
+
+    return shards.select(*[c.split()[0] for c in SHARD.split(", ")], "stale").repartition(config.shards, "shard").groupBy("shard").applyInPandas(run, SHARD)
 
 
 def neighbours(edges: DataFrame, src: int, layer: int) -> DataFrame:
@@ -568,16 +674,6 @@ def entry_point(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("shard").agg(F.min_by(F.struct("id", "level"), F.struct(-F.col("level"), F.col("id"))).alias("e")).select("shard", "e.id", "e.level")
 
 
-def rebuild_shards(nodes: DataFrame, edges: DataFrame, codes: DataFrame, changed: DataFrame, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) after the ids of changed got new codes: only their shards are built again."""
-    touched = sharded(changed.select("id"), config.shards).select("shard").distinct()
-    again = sharded(codes, config.shards).join(F.broadcast(touched), "shard", "left_semi").drop("shard")  # at most a row a shard
-    new_nodes, new_edges = build_graph(again, config)
-    deleted = nodes.where("deleted").select("id", F.lit(True).alias("was")).join(changed.select("id"), "id", "left_anti")
-    new_nodes = new_nodes.drop("deleted").join(deleted, "id", "left").select("shard", "id", "level", F.coalesce("was", F.lit(False)).alias("deleted"))
-    return nodes.join(F.broadcast(touched), "shard", "left_anti").unionByName(new_nodes), edges.join(F.broadcast(touched), "shard", "left_anti").unionByName(new_edges)
-
-
 def memory_bytes(nodes: DataFrame, edges: DataFrame | None, config: IndexConfig) -> DataFrame:
     """One row, bytes: link slots, counts and levels of the nodes, and a tombstone bit each."""
     slots = (2 * config.m + F.col("level") * config.m) * 4 + (F.col("level") + 1) * 4 + 1

@@ -156,6 +156,12 @@ def search_exact_reranked(spark, sf_dir):
     return S.search_exact_reranked(codes, v, q, DIM, 10, EF)
 
 
+def asym_blocks_topk(spark, sf_dir):
+    """By blocks, scored in the same pass by each query's table of partial sums."""
+    _, codes, q = _all(spark, sf_dir)
+    return S.search_reranked(codes, q, DIM, 10, EF, method="blocks")
+
+
 def knn_join_labels(spark, sf_dir):
     v, codes, q = _all(spark, sf_dir)
     hits = S.search(codes, q, DIM, 10)
@@ -286,11 +292,15 @@ def quantization_error_identity(spark, sf_dir):
 
 
 def clamp_cases(spark, sf_dir):
-    rows = [(k, ef, limit, *clamp_kef(k, ef, limit)) for k, ef, limit in _CLAMPED]
-    return spark.createDataFrame(rows, "k int, ef int, ef_limit int, k_used int, ef_used int")
+    """k and ef as a search would use them, of a request for each row: by its id and label, within limits of 256 or, for one label, 200."""
 
+    def run(batches):
+        for batch in batches:
+            used = [clamp_kef(int(k), int(ef), int(limit)) for k, ef, limit in batch[["k", "ef", "ef_limit"]].itertuples(index=False)]
+            yield batch.assign(k_used=[k for k, _ in used], ef_used=[ef for _, ef in used])
 
-_CLAMPED = [(10, 5, 256), (10, 100, 256), (300, 10, 256), (10, 1000, 256), (0, 0, 256), (256, 256, 256), (10, 100, 200)]
+    asked = _vectors(spark, sf_dir).select("id", (F.col("id") * 7 % 400).cast("int").alias("k"), (F.col("id") % 31 * (F.col("label") + 1) * 5).cast("int").alias("ef"), F.when(F.col("label") == 2, 200).otherwise(256).alias("ef_limit"))
+    return asked.mapInPandas(run, "id bigint, k int, ef int, ef_limit int, k_used int, ef_used int")
 
 
 def scan_limits(spark, sf_dir):
@@ -347,19 +357,26 @@ def rotation_keeps_cosine(spark, sf_dir):
 
 
 def residual_cases(spark, sf_dir):
-    """max |G'G - I| of a rotation stretched by known factors."""
-    rows = [(f, round(residual(_turn().matrix * np.float32(f)), 6)) for f in _STRETCHED]
-    return spark.createDataFrame([(float(f), r) for f, r in rows], "factor double, residual double")
+    """max |G'G - I| of a rotation that is stretched by a factor from each label's number of vectors."""
+    turn = _turn().matrix
 
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(residual=[round(residual(turn * np.float32(f)), 6) for f in batch["factor"]])
 
-_STRETCHED = (1.0, 1.5, 0.5, 2.0, 0.0)
+    labels = _vectors(spark, sf_dir).groupBy("label").agg((F.count(F.lit(1)) % 16 / 8.0).alias("factor"))
+    return labels.mapInPandas(run, "label int, factor double, residual double")
 
 
 def rotation_file(spark, sf_dir):
-    """A rotation's entries, from its file."""
+    """A rotation's entries, from its file: the components in the order of their sums over all vectors, every third turned about."""
     datasources.register(spark)
+    sums = _vectors(spark, sf_dir).select(F.posexplode("embedding").alias("col", "x")).groupBy("col").agg(F.round(F.sum(F.col("x").cast("double")), 6).alias("sum"))
+    order = [r["col"] for r in sums.orderBy("sum", "col").collect()]  # a row a dimension
+    g = np.zeros((DIM, DIM), np.float32)
+    g[np.arange(DIM), order] = np.where(np.arange(DIM) % 3 == 0, -1.0, 1.0)
     path = scratch_path(spark, "rotation")
-    datasources.write_rotation(path, _turn().matrix)
+    datasources.write_rotation(path, g)
     back = spark.read.format("rotation").option("dim", DIM).load(path)
     return back.select("row", F.posexplode("coeffs").alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value")).where("value <> 0")
 
@@ -372,7 +389,7 @@ def _graph(spark, sf_dir, shards: int = 8):
 
 def graph_search(spark, sf_dir):
     codes, q, shards, config = _graph(spark, sf_dir)
-    return graph.search_shards(shards, q, config, EF).where("rank <= 10").select("qid", "rank", "id", "distance")
+    return graph.search_shards(shards, q, config, EF, walk=True).where("rank <= 10").select("qid", "rank", "id", "distance")
 
 
 def _graph_index(spark, sf_dir, tag: str, scan: int | None = None) -> tuple[VectorIndex, DataFrame]:
@@ -407,10 +424,10 @@ def graph_recall(spark, sf_dir):
     }
     rows = []
     for kind, run in pairs.items():
-        (path, found), (_, truth) = run("auto"), run("scan")
+        path, (_, found), (_, truth) = run("auto")[0], run("graph"), run("scan")  # insisted: shards of this size are scanned otherwise
         rows.append(evaluate.recall(found, truth, 10).select(F.lit(kind).alias("kind"), F.lit(path.value).alias("path"), "queries", (F.col("recall") >= 0.9).alias("enough")))
     for kind, run in (("asymmetric", index.search_reranked), ("cosine", index.search_exact_reranked)):
-        found = evaluate.recall(run(q, 10, EF), run(q, 10, EF, method="scan"), 10)
+        found = evaluate.recall(run(q, 10, EF, method="graph"), run(q, 10, EF, method="scan"), 10)
         rows.append(found.select(F.lit(kind).alias("kind"), F.lit("graph").alias("path"), "queries", (F.col("recall") >= 0.9).alias("enough")))
     return S._union(rows)
 
@@ -577,7 +594,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_exact_reranked, quantize_bits, hamming_pairs, approx_cosine, cosine_pairs, asym_score, hamming_topk, single_reranked, single_exact_reranked,
-        hamming_topk_batch, hamming_topk_blocks, cosine_topk, cosine_topk_blocks, search_reranked, knn_join_labels, bands_search, bands_topk,
+        hamming_topk_batch, hamming_topk_blocks, cosine_topk, cosine_topk_blocks, search_reranked, asym_blocks_topk, knn_join_labels, bands_search, bands_topk,
         filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
         delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
         clamp_cases, scan_limits, itq_rotate_topk, itq_training, rotate_bits, rotate_sums, rotation_keeps_cosine, residual_cases, rotation_file,
@@ -659,6 +676,7 @@ ORACLE_SQL = {
     "cosine_topk": f"WITH {_Q} SELECT qid, rank, id, score FROM ({_TRUTH})",
     "cosine_topk_blocks": f"WITH {_Q} SELECT qid, rank, id, score FROM ({_TRUTH})",
     "search_reranked": _reranked_sql(_ASYM),
+    "asym_blocks_topk": _reranked_sql(_ASYM),
     "search_exact_reranked": _reranked_sql(_COSINE),
     "knn_join_labels": f"WITH {_Q} SELECT t.qid, CAST(sum(CAST(v.label = q.own AS INT)) AS INT) AS agree FROM ({_top(_near())}) t JOIN embeddings v ON t.id = v.vec_id JOIN q ON t.qid = q.qid GROUP BY t.qid",
     "filtered_topk_allow": _hamming_sql("v.label = 3"),
@@ -677,16 +695,17 @@ ORACLE_SQL = {
     "recall_by_ef": _RECALL,
     "cosine_corr_mae": f"WITH {_Q}, p AS (SELECT list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s, cos(pi() * {_DISTANCE} / {DIM}) AS a FROM q, embeddings v) SELECT round(corr(s, a), 6) AS pearson, round(avg(abs(s - a)), 6) AS mae FROM p",
     "quantization_error_identity": "SELECT round(avg(list_avg(list_transform(embedding, lambda x: power((CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) - CAST(x AS DOUBLE), 2)))), 6) AS error FROM embeddings",
-    "clamp_cases": "SELECT k, ef, ef_limit, least(k, ef_limit) AS k_used, least(greatest(ef, least(k, ef_limit)), ef_limit) AS ef_used FROM (VALUES "
-    + ", ".join(f"(CAST({a} AS INT), CAST({b} AS INT), CAST({c} AS INT))" for a, b, c in _CLAMPED)
-    + ") t(k, ef, ef_limit)",
+    "clamp_cases": """SELECT id, k, ef, ef_limit, least(k, ef_limit) AS k_used, least(greatest(ef, least(k, ef_limit)), ef_limit) AS ef_used FROM (
+        SELECT vec_id AS id, CAST(vec_id * 7 % 400 AS INT) AS k, CAST(vec_id % 31 * (label + 1) * 5 AS INT) AS ef, CASE WHEN label = 2 THEN 200::INT ELSE 256::INT END AS ef_limit FROM embeddings)""",
     "scan_limits": "SELECT CAST(ef AS INT) AS ef, greatest(16 * ef, (SELECT count(*) FROM embeddings) // 8) AS scan_limit FROM (SELECT unnest([10, 25, 50, 100, 200]) AS ef)",
     "rotation_keeps_cosine": f"WITH {_Q} SELECT q.qid, round(avg(list_cosine_similarity(CAST(q.q AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 4) AS mean_cosine FROM q, embeddings v GROUP BY q.qid",
     "itq_training": "SELECT round(avg(list_avg(list_transform(embedding, lambda x: power((CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) - CAST(x AS DOUBLE), 2)))), 6) AS error_before, TRUE AS improves, TRUE AS orthogonal FROM embeddings",
     "rotate_bits": f"SELECT vec_id AS id, list_aggregate(list_transform({_TURNED}, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits FROM embeddings",
     "rotate_sums": f"SELECT vec_id AS id, {_WEIGHED.format(_TURNED)} AS weighed FROM embeddings",
-    "residual_cases": "SELECT CAST(f AS DOUBLE) AS factor, round(abs(f * f - 1.0), 6)::DOUBLE AS residual FROM (SELECT unnest([" + ", ".join(f"{f}::DOUBLE" for f in _STRETCHED) + "]) AS f)",
-    "rotation_file": f"SELECT CAST(i AS INT) AS row, CAST((5 * i + 3) % {DIM} AS INT) AS col, CASE WHEN i % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM range({DIM}) t(i)",
+    "residual_cases": "SELECT label, factor, round(abs(factor * factor - 1.0), 6)::DOUBLE AS residual FROM (SELECT label, (count(*) % 16 / 8.0)::DOUBLE AS factor FROM embeddings GROUP BY label)",
+    "rotation_file": f"""WITH x AS (SELECT unnest(range({DIM})) AS col, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        sums AS (SELECT col, round(sum(x), 6) AS sum FROM x GROUP BY col), ranked AS (SELECT col, row_number() OVER (ORDER BY sum, col) - 1 AS row FROM sums)
+        SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, CASE WHEN row % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM ranked""",
     "graph_recall": "SELECT kind, 'graph' AS path, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS queries, TRUE AS enough FROM (SELECT unnest(['plain', 'allowed', 'deleted', 'allowed, deleted', 'asymmetric', 'cosine']) AS kind)",
     "graph_lifecycle": """WITH s AS (SELECT unnest(['built', 'linked', 'removed', 'replaced', 'compacted']) AS step)
         SELECT step, CASE WHEN step = 'built' THEN (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) ELSE (SELECT count(*) FROM embeddings) END AS nodes,

@@ -29,13 +29,13 @@ def test_levels_fall_by_m():
     assert abs((found >= 1).mean() - 1 / 16) < 0.005 and found.max() <= 31 and (found == graph.levels(np.arange(100_000), 16, 42)).all()
 
 
-def recall_of(g, ids, codes, q, ef, admitted=None):
+def recall_of(g, ids, codes, q, ef, admitted=None, walk=True):
     hit = 0
     for c in q:
         d = C.hamming_numpy(c[None], codes)[0]
         order = np.lexsort((ids, d))
         want = ids[order[admitted[order]] if admitted is not None else order][:10].tolist()
-        got = g.search(c, ef, admitted)
+        got = g.search(c, ef, admitted, walk)
         assert got == sorted(got)
         hit += len(set(want) & {i for _, i in got[:10]})
     return hit / (10 * len(q))
@@ -92,7 +92,42 @@ def test_nodes_are_linked_into_a_graph_that_is_built(monkeypatch):
     assert recall_of(g, ids, codes, q, 100, half) >= 0.9
     few = np.zeros(3000, bool)
     few[::300] = True
-    assert recall_of(g, ids, codes, q, 100, few) == 1.0  # so few are scanned
+    assert recall_of(g, ids, codes, q, 100, few, walk=False) == 1.0  # so few are scanned
+
+
+def test_a_walk_measures_few_nodes(monkeypatch):
+    """In a layer that is linked by groups, of which a walk meets a small share; what it meets grows with the beam, not with the nodes."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((300, 128))
+    draw = lambda n: C.pack_numpy((centres[rng.integers(0, 300, n)] + 0.6 * rng.standard_normal((n, 128))).astype(np.float32))
+    measured, plain = [0], graph.bits_of
+    counted = lambda words: (measured.__setitem__(0, measured[0] + words[..., 0].size), plain(words))[1]
+    q, shares = draw(50), []
+    for n in (10_000, 30_000):
+        codes = draw(n)
+        g = graph.ShardGraph(np.arange(n), codes, IndexConfig(128)).build()
+        assert recall_of(g, np.arange(n), codes, q, 50) >= 0.95
+        monkeypatch.setattr(graph, "bits_of", counted)
+        measured[0] = 0
+        g.beams(q, g.starts(q, 0), 50, 0)
+        monkeypatch.setattr(graph, "bits_of", plain)
+        shares.append(measured[0] / len(q))
+    assert shares[0] < 0.45 * 10_000 and shares[1] < 1.4 * shares[0]
+
+
+def test_tiers_of_one_shard_are_searched_and_merged(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 64)).astype(np.float32)
+    codes = C.pack_numpy(x)
+    config = IndexConfig(64, ef_construction=60)
+    old, new = graph.ShardGraph(np.arange(700), codes[:700], config).build(), graph.ShardGraph(np.arange(690, 900), codes[690:], config).build()
+    rows = [{**old.to_row(0), "stale": list(range(690, 700))}, {**new.to_row(0), "stale": None}]
+    tiers = spark.createDataFrame([tuple(r[c] for c in (*[k.split()[0] for k in graph.SHARD.split(", ")], "stale")) for r in rows], graph.SHARD + ", stale array<bigint>")
+    q = frame(spark, x[680:710], "qid")
+    found = graph.search_shards(tiers, q, config, 40, walk=True).where("rank = 1")
+    assert {(r["qid"], r["distance"]) for r in found.collect()} == {(i, 0) for i in range(30)}
+    merged = graph.merge_tiers(tiers, config)
+    assert merged.select("n").collect()[0]["n"] == 900 and graph.nodes_of(merged).select("id").distinct().count() == 900 == graph.nodes_of(tiers).count()
 
 
 def test_odd_graphs():
@@ -114,13 +149,13 @@ def test_graph_tables(spark, tmp_path):
     assert integrity.violations(nodes, edges, codes, config, capacity=400).count() == 0
     again = graph.build_graph(codes, config)[1]
     assert again.exceptAll(edges).count() == 0
-    found = graph.search_graph(codes, nodes, edges, q, config, 60)
+    shards = graph.pack_shards(codes, nodes, edges, config).persist()
+    found = graph.search_shards(shards, q, config, 60, walk=True)
     truth = S.search(codes, q, 64, 10)
     assert evaluate.recall(found, truth, 10).first()["recall"] >= 0.9
     allow = v.where("id % 2 = 0").select("id")
-    assert graph.search_graph(codes, nodes, edges, q, config, 60, allow).where("id % 2 = 1").count() == 0
-    gone = nodes.withColumn("deleted", F.col("id") == 5)
-    assert graph.search_graph(codes, gone, edges, q, config, 60).where("id = 5").count() == 0
+    assert graph.search_shards(shards, q, config, 60, allow, walk=True).where("id % 2 = 1").count() == 0
+    assert graph.search_shards(shards, q, config, 60, tombstones=v.where("id = 5").select("id"), walk=True).where("id = 5").count() == 0
     assert graph.memory_bytes(nodes, edges, config).first()["bytes"] > 400 * 32 * 4
     assert graph.entry_point(nodes).count() == 3
     # broken tables are told
@@ -131,10 +166,6 @@ def test_graph_tables(spark, tmp_path):
     assert {"code without node", "tombstone without node", "id out of range"} <= rules
     assert graph.unlink(edges, v.where("id = 3").select("id")).where("dst = 3").count() == 0
     assert graph.neighbours(edges, 0, 0).count() > 0
-    # a slot's new code rebuilds its shard alone
-    new = codes.withColumn("w0", F.when(F.col("id") == 7, F.bitwise_not("w0")).otherwise(F.col("w0")))
-    n2, e2 = graph.rebuild_shards(nodes, edges, new, spark.createDataFrame([(7,)], "id bigint"), config)
-    assert integrity.violations(n2, e2, new, config).count() == 0 and n2.count() == 400
 
 
 def test_single_node_and_empty(spark):
@@ -142,7 +173,7 @@ def test_single_node_and_empty(spark):
     v = frame(spark, np.ones((1, 64)))
     codes = S.encode(v, 64)
     nodes, edges = graph.build_graph(codes, config)
-    got = graph.search_graph(codes, nodes, edges, v.withColumnRenamed("id", "qid"), config, 5).collect()
+    got = graph.search_shards(graph.pack_shards(codes, nodes, edges, config), v.withColumnRenamed("id", "qid"), config, 5, walk=True).collect()
     assert [(r["id"], r["distance"]) for r in got] == [(0, 0)]
     nodes, edges = graph.build_graph(codes.where("id < 0"), config)
     assert nodes.count() == 0 == edges.count()
