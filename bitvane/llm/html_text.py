@@ -9,15 +9,18 @@ weighted by itself). Kept is the text from the first dense run's surge to the la
 for runs of links; a run before that has the page's only heading; and runs that go on in containers of
 the same element and class.
 
-Elements and names weigh in, and decide nothing by themselves:
+Elements and names weigh in. On a page with an article element of some size they mostly decide: there the
+result is the text in it, less what stands in containers of the kinds below, as their weights are far below
+what the threshold asks. Only these cases are open to the text itself:
 
 * Containers of a kind or name that holds no article text (menus, page headers, footers, sidebars,
   notices, adverts, forms, reader comments) weigh a five-hundredth, or a quarter where the name only has
   such a word in it. Each is taken out of its parent's lines and judged as a distribution of its own, against
-  the page's threshold: long prose under a chance word stays. A wrapper around the page's article, a form around most of
+  the page's threshold. Where only a word that an article's own parts may have says so (related, share, banner, ...), or a
+  fieldset, three paragraphs of 240 characters outweigh it. A wrapper around the page's article, a form around most of
   the page, and a container of nearly all its text, count as any other container.
 * Where article and main elements have a tenth of the page's text or more, text in one weighs four times as
-  much and text outside a twenty-fifth. Where they have less, they are teasers, and count for nothing.
+  much and text outside a twenty-fifth, but for paragraphs of 240 characters that stand right in what the article is in. Where they have less, they are teasers, and count for nothing.
 
 Scripts, styles and the like hold no lines. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed and joined by a line feed.
@@ -82,6 +85,8 @@ DROPPED_NAMES = frozenset(
 TALK = frozenset("comment comments commentlist disqus respond replies reply discussion responses".split())
 #: Those that tell even of a few words inside a line.
 ADVERTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted".split())
+#: Those that may as well be on a part of the article: three long paragraphs outweigh them.
+CHANCE = frozenset("related recommended recommendations share sharing social search banner masthead topbar toolbar pager pagination promo promotion alert".split())
 #: Parts of names that say where or how, and not what.
 STRUCTURE = frozenset(
     "area bar block body bottom box button buttons c col column component container content desktop div el fixed global group holder id inner item items js large layout "
@@ -98,6 +103,8 @@ LINE_CHARS, INSIDE, OUTSIDE = 240, 4.0, 0.04
 LINK, MOST_LINKS = 0.03, 0.5
 #: The threshold, as a share of the typical sum: with an article, and without.
 DENSE_INSIDE, DENSE = 0.05, 0.15
+#: Long paragraphs that outweigh a name of CHANCE.
+LONG_PROSE = 3
 #: The share of the text in article and main elements from which on they count.
 LEAST_INSIDE = 0.1
 
@@ -117,7 +124,9 @@ class Box:
     home: Box | None = None  # the innermost container, itself counted, that blank lines lie between and the next
     chars: int = 0  # outside links, and outside containers that weigh less
     prose: int = 0  # lines of 80 such characters or more
+    long: int = 0  # lines of LINE_CHARS such characters or more
     title: bool = False  # an h1 is in it
+    chance: bool = False  # it weighs less by words of CHANCE, or as a fieldset, alone
 
     def holds(self, other: Box) -> bool:
         return self.first <= other.first <= self.last
@@ -176,6 +185,19 @@ def _hint(name: str, attributes: str, inside: bool) -> tuple[float, bool, str]:
     return weight, talk, shape
 
 
+def _by_chance(name: str, attributes: str, inside: bool) -> bool:
+    """Of a container that weighs less: whether nothing but words of CHANCE, or its being a fieldset, says so."""
+    if name in DROPPED and name != "fieldset" or name == "header" and not inside:
+        return False
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("hidden", "aria-hidden", "style") and _hint("div", f' {key}="{value}"', inside)[0] < 1:
+            return False
+        if key in ("class", "id", "role") and any(_named(w, inside)[0] < 1 and not CHANCE.intersection(p.lower() for p in _PART.findall(w)) for w in value.split()):
+            return False
+    return True
+
+
 def lines_of(page: str) -> tuple[list[Line], list[Box]]:
     """The page's lines, and its containers, both in order."""
     out: list[Line] = []
@@ -211,6 +233,7 @@ def lines_of(page: str) -> tuple[list[Line], list[Box]]:
         hard = name in ("div", "article", "main", "body") or name == "section" and box.name in ("", "body", "main", "html")
         made = Box(len(boxes), len(boxes), box, name, shape, inside, weight, talk)
         made.home = made if hard else box.home
+        made.chance = weight < 1 and not talk and _by_chance(name, attributes, box.inside)
         boxes.append(made)
         return made
 
@@ -300,11 +323,15 @@ def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
         chars = max(len(line.text) - line.links, 0)
         line.box.chars += chars
         line.box.prose += chars >= 80
+        line.box.long += chars >= LINE_CHARS
     for b in reversed(boxes[1:]):
         b.up.title = b.up.title or b.title
+        if b.chance and b.long >= LONG_PROSE:
+            b.weight = 1.0
         if b.weight == 1:
             b.up.chars += b.chars
             b.up.prose += b.prose
+            b.up.long += b.long
     root, article, plain, talked = boxes[0], None, _plain(boxes), [False] * len(boxes)
     for b in boxes[1:]:
         talked[b.first] = b.talk or talked[b.up.first]
@@ -330,6 +357,9 @@ def _weigh(lines: list[Line], boxes: list[Box]) -> bool:
     plain = _plain(boxes)
     for line in lines:
         chars, inside = max(len(line.text) - line.links, 0), line.box.inside
+        # a long paragraph right in what the article is in, and in nothing that weighs less, is part of it
+        inside = inside or article is not None and chars >= LINE_CHARS and line.box.holds(article) and plain[line.box.first]
+        line.inside = inside
         if article is not None and inside:
             chars += LINK * line.links
             chars *= INSIDE if plain[line.box.first] else 1.0
