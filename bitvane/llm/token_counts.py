@@ -7,7 +7,7 @@ adds up all commits so far and commits the result as a snapshot, which later rea
 a delete or revision reads the entries of its own documents, in the snapshot and the commits after it.
 
 A batch is written beside the ledger and committed by renaming its folder to the next number, which
-only one writer can do. A batch id that is committed already is not written again: commits are
+only one writer can do on a file system whose rename is atomic, as HDFS's is and most object stores' isn't. A batch id that is committed already is not written again: commits are
 idempotent, and a batch that fails leaves the totals as they were. A delete, revision or
 compaction that finds another commit between its reading and its own is computed again on what is there
 then, so that no two take the same entry away; an insert depends on nothing and takes the next number.
