@@ -420,6 +420,18 @@ class ShardGraph:
             self.link(np.arange(at, min(at + MOST_BATCH, len(self.ids))))
         return self
 
+    def by_id(self) -> ShardGraph:
+        """The same graph with its positions in the order of the ids."""
+        if (self.by_rank == np.arange(len(self.ids))).all():
+            return self
+        g = ShardGraph(self.ids[self.by_rank], self.codes[self.by_rank], self.config, self.level[self.by_rank])
+        for nodes, links in zip(self.nodes, self.links):
+            moved = self.rank[nodes]
+            order = np.argsort(moved)
+            g.nodes.append(moved[order])
+            g.links.append(np.where(links < 0, -1, self.rank[np.maximum(links, 0)]).astype(np.int32)[order])
+        return g
+
     # -- rows and tables ----------------------------------------------------------------------
 
     def to_row(self, shard: int) -> dict:
@@ -651,18 +663,28 @@ def with_attributes(shards: DataFrame, rows: DataFrame, names: Sequence[str], co
 
 
 def merge_tiers(shards: DataFrame, config: IndexConfig) -> DataFrame:
-    """A row a shard: one graph of the nodes of all its rows, less those that each row's stale array names."""
+    """A row a shard: one graph of the nodes of all its rows, less those that each row's stale array names.
+
+    Into a row that has four times the nodes of the others, and none that is stale, the others' nodes are linked; else
+    the graph is built anew.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(group.to_dict("records"), key=lambda r: -r["n"])
         ids, codes = [], []
-        for row in group.to_dict("records"):
+        for row in rows:
             own = np.frombuffer(row["ids"], "<i8")
             live = np.ones(len(own), bool) if row["stale"] is None else ~np.isin(own, np.asarray(row["stale"], np.int64))
             ids.append(own[live])
             codes.append(np.frombuffer(row["codes"], "<u8").reshape(len(own), -1)[live])
-        ids, codes = np.concatenate(ids), np.concatenate(codes)
-        order = np.argsort(ids, kind="stable")
-        return pd.DataFrame([ShardGraph(ids[order], codes[order], config).build().to_row(int(group["shard"].iloc[0]))])
+        if len(ids[0]) == rows[0]["n"] and len(ids[0]) >= 4 * sum(map(len, ids[1:])):
+            g = ShardGraph.from_row(rows[0], config)
+            g = g.add(np.concatenate(ids[1:]), np.concatenate(codes[1:])).by_id() if len(ids) > 1 else g
+        else:
+            every = np.concatenate(ids)
+            order = np.argsort(every, kind="stable")
+            g = ShardGraph(every[order], np.concatenate(codes)[order], config).build()
+        return pd.DataFrame([g.to_row(int(group["shard"].iloc[0]))])
 
     return shards.select(*[c.split()[0] for c in SHARD.split(", ")], "stale").repartition(config.shards, "shard").groupBy("shard").applyInPandas(run, SHARD)
 

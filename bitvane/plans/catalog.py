@@ -78,13 +78,13 @@ def quantize_bits(spark, sf_dir):
 def _pairs(spark, sf_dir) -> DataFrame:
     v, codes, q = _all(spark, sf_dir)
     qc = C.with_code(q.select("qid", F.col("embedding").alias("q")), DIM, "q", "q_w")
-    return v.join(codes, "id").crossJoin(F.broadcast(qc))  # the stated query set
+    return v.join(codes, "id").crossJoin(qc)  # the stated query set; broadcast if the optimiser finds it small
 
 
 def hamming_pairs(spark, sf_dir):
     _, codes, q = _all(spark, sf_dir)
     qc = C.with_code(q.select("qid", F.col("embedding").alias("q")), DIM, "q", "q_w").drop("q")
-    return codes.crossJoin(F.broadcast(qc)).select("qid", "id", C.hamming_words([F.col("w0")], [F.col("q_w0")]).alias("distance"))
+    return codes.crossJoin(qc).select("qid", "id", C.hamming_words([F.col("w0")], [F.col("q_w0")]).alias("distance"))
 
 
 def approx_cosine(spark, sf_dir):
@@ -93,13 +93,13 @@ def approx_cosine(spark, sf_dir):
 
 def cosine_pairs(spark, sf_dir):
     v, _, q = _all(spark, sf_dir)
-    pairs = v.crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q"))))
+    pairs = v.crossJoin(q.select("qid", F.col("embedding").alias("q")))
     return pairs.select("qid", "id", C.ranked_score(C.cosine(F.col("q"), F.col("embedding"))).alias("score"))
 
 
 def asym_score(spark, sf_dir):
     _, codes, q = _all(spark, sf_dir)
-    pairs = codes.crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q"))))
+    pairs = codes.crossJoin(q.select("qid", F.col("embedding").alias("q")))
     return pairs.select("qid", "id", C.ranked_score(C.asymmetric_words(F.col("q"), [F.col("w0")], DIM)).alias("score"))
 
 
@@ -352,7 +352,7 @@ def rotation_keeps_cosine(spark, sf_dir):
     v, _, q = _all(spark, sf_dir)
     model = RotationEstimator(iterations=5).fit(v, DIM)
     rv = model.rotate(v).select("id", F.col("rotated").alias("r"))
-    rq = F.broadcast(model.rotate(q).select("qid", F.col("rotated").alias("rq")))
+    rq = model.rotate(q).select("qid", F.col("rotated").alias("rq"))
     return rv.crossJoin(rq).groupBy("qid").agg(F.round(F.avg(C.cosine(F.col("rq"), F.col("r"))), 4).alias("mean_cosine"))
 
 
@@ -387,6 +387,16 @@ def _graph(spark, sf_dir, shards: int = 8):
     return codes, q, _once(spark, sf_dir, f"graph-{shards}", lambda: graph.build_shards(codes, config)), config
 
 
+def graph_build(spark, sf_dir):
+    """A graph built anew, of one shard: its nodes by level, and how many have as many links as they may at the lowest layer or fewer, but some."""
+    _, codes, _ = _all(spark, sf_dir)
+    config = IndexConfig(DIM)
+    shards = materialize(graph.build_shards(codes, config), "graph-build")
+    links = graph.edges_of(shards, config).where("layer = 0").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("links"))
+    linked = graph.nodes_of(shards).join(links, "id", "left").withColumn("linked", F.coalesce("links", F.lit(0)).between(1, 2 * config.m).cast("int"))
+    return linked.groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("linked").alias("linked"))
+
+
 def graph_search(spark, sf_dir):
     codes, q, shards, config = _graph(spark, sf_dir)
     return graph.search_shards(shards, q, config, EF, walk=True).where("rank <= 10").select("qid", "rank", "id", "distance")
@@ -575,7 +585,7 @@ def sql_functions(spark, sf_dir):
         """
         WITH x AS (SELECT id, embedding, vs_quantize(embedding) AS code FROM vs_vectors),
              y AS (SELECT qid, embedding AS q, vs_quantize(embedding) AS q_code FROM vs_queries)
-        SELECT /*+ BROADCAST(y) */ qid, id, vs_hamming(code, q_code) AS distance,
+        SELECT qid, id, vs_hamming(code, q_code) AS distance,
                round(vs_cosine(q, embedding), 6) AS score, round(vs_asym_score(q, code), 6) AS asym
         FROM x CROSS JOIN y
         """
@@ -598,7 +608,7 @@ QUERIES = {
         filtered_topk_allow, filtered_topk_predicate, filtered_topk_sparse, filtered_topk_empty, deleted_topk, filter_and_delete, allow_count,
         delete_restore, reinsert_topk, grow_topk, index_counts, change_stream, recall_by_ef, cosine_corr_mae, quantization_error_identity,
         clamp_cases, scan_limits, itq_rotate_topk, itq_training, rotate_bits, rotate_sums, rotation_keeps_cosine, residual_cases, rotation_file,
-        graph_search, graph_filtered, graph_recall, graph_lifecycle, graph_valid, integrity_violations, graph_levels, graph_links, graph_entry, graph_memory, graph_file,
+        graph_build, graph_search, graph_filtered, graph_recall, graph_lifecycle, graph_valid, integrity_violations, graph_levels, graph_links, graph_entry, graph_memory, graph_file,
         codes_file, codes_header, vector_read, deleted_flags, sql_functions, knn_udtf,
     )
 }
@@ -723,6 +733,7 @@ ORACLE_SQL = {
     )
     + ") GROUP BY rule",
     "graph_levels": f"SELECT level, count(*) AS nodes FROM ({_levels_sql()}) GROUP BY level",
+    "graph_build": f"SELECT level, count(*) AS nodes, count(*) AS linked FROM ({_levels_sql()}) GROUP BY level",
     "graph_links": f"SELECT CAST(layer AS INT) AS layer, count(*) AS nodes, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS to_unlinked FROM (SELECT unnest(range(level + 1)) AS layer FROM ({_levels_sql()})) GROUP BY layer",
     "graph_entry": f"SELECT id, level FROM ({_levels_sql('vec_id % 7 <> 0')}) ORDER BY level DESC, id LIMIT 1",
     "graph_memory": f"SELECT CAST(sum((2 * {_M} + level * {_M}) * 4 + (level + 1) * 4 + 1) + ceil(count(*) / 8) AS BIGINT) AS bytes FROM ({_levels_sql()})",

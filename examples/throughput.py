@@ -1,4 +1,4 @@
-"""Recall and throughput on clustered vectors: python examples/throughput.py [n] [dim] [queries].
+"""Recall and throughput on clustered vectors: python examples/throughput.py [n] [dim] [queries] [k] [shards].
 
 The data are synthetic (centres plus noise), as the published measurements' are: 100,000 vectors of
 512 dimensions, 1,000 queries, k = 10. Codes and vectors are written once and read from Parquet.
@@ -18,7 +18,7 @@ from bitvane.operators import search as S
 from bitvane.plans.planner import IndexConfig
 
 
-def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) -> None:
+def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10, shard_count: int = 1) -> None:
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     folder = tempfile.mkdtemp(prefix="bitvane-throughput-")
@@ -28,7 +28,7 @@ def main(n: int = 100_000, dim: int = 512, queries: int = 1_000, k: int = 10) ->
     S.encode(vectors, dim).write.parquet(f"{folder}/codes")
     codes = spark.read.parquet(f"{folder}/codes")
     codes.count()
-    config = IndexConfig(dim, shards=8, max_ef_search=512)
+    config = IndexConfig(dim, shards=shard_count, max_ef_search=512)
     began = time.perf_counter()
     graph.build_shards(codes, config).write.parquet(f"{folder}/graph")
     print("graph build", round(time.perf_counter() - began, 2), "s", flush=True)

@@ -85,6 +85,8 @@ def test_nodes_are_linked_into_a_graph_that_is_built(monkeypatch):
     ids, codes, config = rng.permutation(3000) * 3, C.pack_numpy(x), IndexConfig(128, ef_construction=100)
     g = graph.ShardGraph(ids[:2000], codes[:2000], config).build().add(ids[2000:], codes[2000:])
     assert len(g.nodes[0]) == 3000
+    same = g.by_id()
+    assert same.ids.tolist() == sorted(ids.tolist()) and sorted(same.edge_rows()) == sorted(g.edge_rows())
     q = C.pack_numpy((centres[rng.integers(0, 40, 40)] + 0.7 * rng.standard_normal((40, 128))).astype(np.float32))
     assert recall_of(g, ids, codes, q, 100) >= 0.9
     assert recall_of(g, ids, codes, codes[2000:2040], 100) >= 0.9
