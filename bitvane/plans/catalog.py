@@ -398,6 +398,7 @@ def graph_build(spark, sf_dir):
 
 
 def graph_search(spark, sf_dir):
+    """By walks of eight shards; a beam holds most of a shard of this table, so a walk in a graph that hangs together is exact here."""
     codes, q, shards, config = _graph(spark, sf_dir)
     return graph.search_shards(shards, q, config, EF, walk=True).where("rank <= 10").select("qid", "rank", "id", "distance")
 
@@ -690,6 +691,7 @@ ORACLE_SQL = {
     "search_exact_reranked": _reranked_sql(_COSINE),
     "knn_join_labels": f"WITH {_Q} SELECT t.qid, CAST(sum(CAST(v.label = q.own AS INT)) AS INT) AS agree FROM ({_top(_near())}) t JOIN embeddings v ON t.id = v.vec_id JOIN q ON t.qid = q.qid GROUP BY t.qid",
     "filtered_topk_allow": _hamming_sql("v.label = 3"),
+    "graph_search": _hamming_sql(),
     "graph_filtered": _hamming_sql("v.label = 3"),
     "filtered_topk_predicate": _hamming_sql("v.label IN (1, 2)"),
     "filtered_topk_sparse": _hamming_sql("v.vec_id % 17 = 4"),
