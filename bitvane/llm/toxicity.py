@@ -3,14 +3,19 @@
 A word's embedding is the sum of three hashed rows: of the whole word and of its first four and
 five bytes, so an unseen ending of a known stem still counts. Filters one, two and three words
 wide run over the embeddings; each keeps its maximum over the text; a linear layer gives the
-logit. The rows start from the log odds of a hash in toxic against other texts of the training
-sample, then all parameters are trained by Adam on the log loss, and kept as they were after the
-epoch of least loss on a quarter of the sample that isn't trained on. On that quarter, too, thresholds are
+logit. The rows start from the log odds of a hash in toxic against other texts that are trained
+on, then all parameters are trained by Adam on the log loss, and kept as they were after the
+epoch of least loss on a quarter of the texts that isn't trained on. On that quarter, too, thresholds are
 calibrated by language: a language's cut is drawn towards that of all languages together, which weighs
 as 20 examples of its rarer kind do; a language without examples of both kinds has that cut. The
 language is the text's own, as its words tell (naive Bayes over hashed words); no column but the text
 enters a score.
 
+All labelled texts are learnt from, where they lie: they are dealt into parts of some PART_ROWS by a hash of the id and
+written once. In each of the rounds every part is trained through from the same parameters, and what the parts
+changed is averaged (of a hash's row, over the parts that changed it). Counts and changes are added as integers, so a
+model is the same in every run. A task sends a matrix of the parameters' size, the driver gets one for each round.
+
 score = sigmoid(logit - the language's threshold), so 0.5 is the calibrated cut.
 
 Defined results: null and empty texts have no words and get the score of a text whose filters all
@@ -25,17 +30,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _sample
-from ._spark import fold, fresh, table
+from . import _bloom, _sample
+from ._spark import bound_batches, fold, fresh, materialize, scope, scratch_path, table
 from ._words import Block, blocks
 
 WIDTHS, FILTERS, DIM = (1, 2, 3), 8, 8
+BATCH, RATE, ROUNDS = 96, 0.01, 6
+#: Labelled texts of a part, on average, and the characters after which a step takes no more texts.
+PART_ROWS, STEP_CHARS = 8000, 2_000_000
+#: Languages with a threshold of their own: the most frequent ones.
+MAX_LANGS = 256
+#: Rows of parameters or counts that are added up together.
+SLICE = 1024
+#: Places to which logits are rounded before cuts are chosen.
+CUTS = 256
 
 
 @dataclass
@@ -116,7 +131,7 @@ class ConvClassifier:
 
     # -- training ---------------------------------------------------------------------------
 
-    def fit(self, sample: Sample, epochs: int = 6, batch: int = 96, rate: float = 0.01, seed: int = 3) -> ConvClassifier:
+    def fit(self, sample: Sample, epochs: int = ROUNDS, batch: int = BATCH, rate: float = RATE, seed: int = 3) -> ConvClassifier:
         """Train on three quarters of the sample; on the rest, choose the epoch of least log loss and calibrate."""
         y = np.asarray(sample.toxic, np.float32)
         if len(set(y.tolist())) < 2:
@@ -128,10 +143,7 @@ class ConvClassifier:
         self._start(sample, train, y)
         self._learn_langs(sample)
         rng = np.random.default_rng(seed)
-        names = ["bias", "out", "base"]
-        state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in names}
-        fstate = [[np.zeros_like(f), np.zeros_like(f)] for f in self.filters]
-        tstate, step = np.zeros(self.buckets, np.float32), 0
+        state, step = self._moments(), 0
         weight = np.where(y > 0, 0.5 / max(y[train].mean(), 1e-6), 0.5 / max(1 - y[train].mean(), 1e-6)).astype(np.float32)
         best, kept = self._loss(sample, held, y, weight), self._parameters()
         for _ in range(epochs):
@@ -139,7 +151,7 @@ class ConvClassifier:
             for i in range(0, len(train), batch):
                 step += 1
                 chosen = train[i : i + batch]
-                self._step(Block([sample.texts[j] for j in chosen]), y[chosen], weight[chosen], rate, step, state, fstate, tstate)
+                self._step(Block([sample.texts[j] for j in chosen]), y[chosen], weight[chosen], rate, step, *state)
             loss = self._loss(sample, held, y, weight)
             if loss < best:
                 best, kept = loss, self._parameters()
@@ -148,6 +160,11 @@ class ConvClassifier:
         self._calibrate(sample, held, y)
         return self
 
+    def _moments(self) -> tuple:
+        """What the optimisers remember, before the first step."""
+        state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in ("bias", "out", "base")}
+        return state, [[np.zeros_like(f), np.zeros_like(f)] for f in self.filters], np.zeros(self.buckets, np.float32)
+
     def _parameters(self) -> tuple:
         return self.table.copy(), [f.copy() for f in self.filters], self.bias.copy(), self.out.copy(), self.base
 
@@ -156,16 +173,22 @@ class ConvClassifier:
         return float((weight[held] * np.logaddexp(0, np.where(y[held] > 0, -logit, logit))).sum() / weight[held].sum())
 
     def _start(self, sample: Sample, train: np.ndarray, y: np.ndarray) -> None:
-        """Rows' first coordinate: log odds of the hash in toxic texts; one filter of each width reads it."""
         seen = np.zeros((2, self.buckets), np.float32)
-        for a, b, block in blocks([sample.texts[j] for j in train]):
+        self._count([sample.texts[j] for j in train], y[train], seen)
+        self._begin(seen, np.array([(y[train] == 0).sum(), (y[train] > 0).sum()], np.float32))
+
+    def _count(self, texts: list[str], y: np.ndarray, seen: np.ndarray) -> None:
+        """Add to seen, kinds x hashes, the texts of each kind that hold the hash."""
+        for a, b, block in blocks(texts):
             text = np.repeat(np.arange(block.n), block.counts)
             for rows in self._rows(block):
                 once = np.unique(text.astype(np.int64) * self.buckets + rows)
-                labels = y[train[a:b]][once // self.buckets] > 0
+                labels = y[a:b][once // self.buckets] > 0
                 for k in (0, 1):
                     np.add.at(seen[k], once[labels == bool(k)] % self.buckets, 1)
-        n = np.array([(y[train] == 0).sum(), (y[train] > 0).sum()], np.float32)
+
+    def _begin(self, seen: np.ndarray, n: np.ndarray) -> None:
+        """Rows' first coordinate: log odds of the hash in toxic texts; one filter of each width reads it."""
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
         few = seen.sum(axis=0) < 3
         self.table[:, 0] = np.where(few, 0, np.clip(odds, -2, 6) / 3)
@@ -223,11 +246,17 @@ class ConvClassifier:
         seen = np.zeros((self.lang_buckets, len(self.langs)), np.float64)
         of = {x: i for i, x in enumerate(self.langs)}
         known = [i for i, x in enumerate(sample.lang) if x is not None]
-        lang = np.array([of[sample.lang[i]] for i in known])
-        for a, b, block in blocks([sample.texts[i] for i in known]):
+        self._count_langs([sample.texts[i] for i in known], np.array([of[sample.lang[i]] for i in known]), seen)
+        self._set_langs(seen)
+
+    def _count_langs(self, texts: list[str], lang: np.ndarray, seen: np.ndarray) -> None:
+        """Add to seen, hashes x languages, the words of texts in the languages of these indices."""
+        for a, b, block in blocks(texts):
             rows = (block.words(5) & np.uint64(self.lang_buckets - 1)).astype(np.int64)
             label = np.repeat(lang[a:b], block.counts)
             np.add.at(seen, (rows, label), 1)
+
+    def _set_langs(self, seen: np.ndarray) -> None:
         p = (seen + 0.1) / (seen + 0.1).sum(axis=0)
         self.lang_table = np.log(p / p.mean(axis=1, keepdims=True)).astype(np.float32)
 
@@ -240,29 +269,48 @@ class ConvClassifier:
         for _, _, block in blocks([sample.texts[j] for j in held]):
             logits.append(self._forward(block))
             langs.append(self._lang_of(block))
-        logit, lang = np.concatenate(logits), np.concatenate(langs)
-        general = self._cut(logit, y[held], 0.0)
+        self._set_thresholds(np.concatenate(logits), np.concatenate(langs), y[held], None, drawn)
+
+    def _set_thresholds(self, logit: np.ndarray, lang: np.ndarray, y: np.ndarray, times: np.ndarray | None, drawn: float = 20.0) -> None:
+        """_calibrate() of logits, their languages and labels; times, how often each is met, if not once."""
+        times = np.ones(len(y), np.int64) if times is None else times
+        general = self._cut(logit, y, 0.0, times)
         self.thresholds = np.full(max(1, len(self.langs)), general, np.float32)
         for k in range(len(self.langs)):
             own = lang == k
-            toxic = int((y[held][own] > 0).sum())
-            n = min(toxic, int(own.sum()) - toxic)
+            toxic = int(times[own & (y > 0)].sum())
+            n = min(toxic, int(times[own].sum()) - toxic)
             if n:
-                self.thresholds[k] = (n * self._cut(logit[own], y[held][own], general) + drawn * general) / (n + drawn)
+                self.thresholds[k] = (n * self._cut(logit[own], y[own], general, times[own]) + drawn * general) / (n + drawn)
 
     @staticmethod
-    def _cut(logit: np.ndarray, y: np.ndarray, otherwise: float) -> float:
+    def _cut(logit: np.ndarray, y: np.ndarray, otherwise: float, times: np.ndarray | None = None) -> float:
         if len(set(y.tolist())) < 2:
             return otherwise
         order = np.argsort(logit, kind="stable")
-        a, t = logit[order], y[order] > 0
+        a, t, n = logit[order], y[order] > 0, np.ones(len(y), np.int64) if times is None else times[order]
         # a cut before place i calls i.. toxic: errors are the toxic before it and the others after it
-        errors = np.concatenate(([0], np.cumsum(t))) + np.concatenate((np.cumsum(~t[::-1])[::-1], [0]))
+        errors = np.concatenate(([0], np.cumsum(t * n))) + np.concatenate((np.cumsum((~t * n)[::-1])[::-1], [0]))
         edge = np.concatenate(([a[0] - 1], a, [a[-1] + 1])).astype(np.float64)
         gap = np.where(errors == errors.min(), edge[1:] - edge[:-1], -1)
         i = int(np.argmax(gap))
         return float((edge[i] + edge[i + 1]) / 2)
 
+    # -- parameters as one matrix -------------------------------------------------------------
+
+    def _flat(self) -> np.ndarray:
+        """All parameters as rows of DIM: the hashed rows, then the others."""
+        others = np.concatenate([*[f.ravel() for f in self.filters], self.bias, self.out, [self.base]]).astype(np.float32)
+        return np.concatenate((self.table, np.pad(others, (0, -len(others) % DIM)).reshape(-1, DIM)))
+
+    def _from_flat(self, flat: np.ndarray) -> None:
+        self.table, others, at = flat[: self.buckets].copy(), flat[self.buckets :].ravel(), 0
+        taken = []
+        for like in (*self.filters, self.bias, self.out, np.zeros(1)):
+            taken.append(others[at : at + like.size].reshape(like.shape).astype(np.float32))
+            at += like.size
+        self.filters, self.bias, self.out, self.base = taken[: len(self.filters)], taken[-3], taken[-2], np.float32(taken[-1][0])
+
     # -- scoring ----------------------------------------------------------------------------
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -282,23 +330,228 @@ def train(
     text: str = "text",
     label: str = "toxic",
     lang: str | None = "lang",
-    max_toxic: int = 2000,
-    max_other: int = 4000,
-    max_chars: int = 24_000_000,
+    max_toxic: int | None = None,
+    max_other: int | None = None,
+    max_chars: int | None = None,
     usable=None,
 ) -> ConvClassifier:
-    """Fit on a bounded sample: at most max_toxic and max_other labelled documents, of max_chars in all.
+    """Fit on all labelled documents, in the workers. Any of max_toxic, max_other and max_chars asks for a sample, which is fitted on the driver.
 
-    The sample is drawn by a hash of the id, the same in every run and whatever a text's length; texts are whole,
-    and one longer than what is left of max_chars is passed over. Characters are counted before texts
-    are collected. Of rows that repeat an id one is learnt from, that of the least text hash. Ids of any type are compared as text.
+    Of rows that repeat an id one is learnt from, that of the least text hash. Ids of any type are compared as text.
     usable, a function of the id column's name, tells which labelled rows may be learnt from.
     """
     name = F.col(f"`{doc_id}`")
-    known = labels.where(name.isNotNull() & F.col(f"`{label}`").isNotNull())
+    known, rows = labels.where(name.isNotNull() & F.col(f"`{label}`").isNotNull()), docs.where(name.isNotNull())
     if usable is not None:
-        known = known.where(usable(doc_id))
+        known, rows = known.where(usable(doc_id)), rows.where(usable(doc_id))
     known = known.groupBy(name.cast("string").alias("id")).agg((F.max(f"`{label}`") > 0).alias("toxic"))
+    if max_toxic is not None or max_other is not None or max_chars is not None:
+        bounds = [default if x is None else x for x, default in ((max_toxic, 2000), (max_other, 4000), (max_chars, 24_000_000))]
+        return _train_sample(docs, known, doc_id, text, lang, *bounds)
+    language = F.col(f"`{lang}`").cast("string") if lang and lang in docs.columns else F.lit(None).cast("string")
+    rows = rows.select(name.cast("string").alias("id"), F.col(f"`{text}`").alias("text"), language.alias("lang"))
+    bound_batches(docs.sparkSession)
+    with scope(docs.sparkSession):
+        return _train_parts(_written_parts(rows, known))
+
+
+def _written_parts(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(part, aside, toxic, text, lang) of labelled rows (id, text, lang), a file a part, in the order of a hash."""
+    spark, n = rows.sparkSession, known.count()
+    parts, h = max(1, -(-n // PART_ROWS)), F.xxhash64("id")
+    # only texts that may have a label are shuffled
+    filters = _bloom.block_count(n, 16, 64 << 20)
+    rows, maybe = _bloom.flag(rows, h, _bloom.build(known, h, filters), filters)
+    dealt = rows.where(F.col(maybe)).drop(maybe).repartition(parts, "id")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text", "lang"))
+    dealt = dealt.withColumn("_first", first).where("_first = 1").join(known.repartition(parts, "id"), "id")
+    placed = dealt.withColumn("part", F.pmod(F.hash("id"), F.lit(parts))).withColumn("at", _sample.place(F.col("id"), salt=11))
+    path = scratch_path(spark, "toxicity")
+    ordered = placed.sortWithinPartitions("part", "at", "id").select("part", (_sample.place(F.col("id"), salt=13) < 0.25).alias("aside"), "toxic", "text", "lang")
+    ordered.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("part int, aside boolean, toxic boolean, text string, lang string").parquet(path)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[Iterator[pd.DataFrame]]:
+    """The batches of a task by part, cut where one ends and the next begins."""
+    pieces = (piece for batch in batches if len(batch) for _, piece in batch.groupby("part", sort=False))
+    for _, run in groupby(pieces, lambda piece: piece["part"].iloc[0]):
+        yield run
+
+
+def _steps(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of at most BATCH texts, that end where their characters pass STEP_CHARS."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if i + 1 - at == BATCH or size > STEP_CHARS:
+            yield slice(at, i + 1)
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _slices(kind: int, matrix: np.ndarray) -> pd.DataFrame:
+    """(kind, slice, data) of a matrix' rows, SLICE rows at a time; those of zeros alone are left out."""
+    matrix = np.ascontiguousarray(np.pad(matrix, ((0, -len(matrix) % SLICE), (0, 0))))
+    cut = matrix.reshape(-1, SLICE * matrix.shape[1])
+    used = np.flatnonzero(cut.any(axis=1))
+    return pd.DataFrame({"kind": np.full(len(used), kind, np.int32), "slice": used.astype(np.int32), "data": [cut[i].tobytes() for i in used]})
+
+
+SLICES = "kind int, slice int, data binary"
+
+
+def _added(sent: DataFrame, kind: str, out) -> dict[tuple[int, int], np.ndarray]:
+    """By kind and slice: out(sum, parts that aren't zero) of the tasks' data, added as integers, so in any order."""
+
+    def total(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
+        sums = used = None
+        for data in frames["data"]:
+            x = np.frombuffer(data, kind)
+            x = np.rint(x.astype(np.float64) * (1 << 24)).astype(np.int64) if kind == "<f2" else x.astype(np.int64)
+            any_ = x.reshape(-1, DIM).any(axis=1) if kind == "<f2" else np.zeros(0)
+            sums, used = (x, any_.astype(np.int64)) if sums is None else (sums + x, used + any_)
+        return pd.DataFrame({"kind": [key[0]], "slice": [key[1]], "data": [out(sums, used).tobytes()]})
+
+    return {(r["kind"], r["slice"]): r["data"] for r in sent.groupBy("kind", "slice").applyInPandas(total, SLICES).collect()}  # a matrix of parameters or counts
+
+
+def _whole(found: dict, kind: int, shape: tuple[int, int], dtype) -> np.ndarray:
+    rows, width = shape
+    out = np.zeros((-(-rows // SLICE), SLICE * width), dtype)
+    for (k, at), data in found.items():
+        if k == kind:
+            out[at] = np.frombuffer(data, dtype)
+    return out.reshape(-1, width)[:rows]
+
+
+def _train_parts(data: DataFrame) -> ConvClassifier:
+    """Rounds over the parts that _written_parts() wrote; what is counted, trained and calibrated is all their rows."""
+    spark, model = data.sparkSession, ConvClassifier()
+    share = {(r["aside"], r["toxic"]): r["n"] for r in data.groupBy("aside", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    both = lambda asides: [sum(share.get((a, k), 0) for a in asides) for k in (False, True)]
+    if min(both((False, True))) == 0:
+        return model
+    # too few to set a quarter aside: all are trained on
+    trained = (False,) if min(both((False,))) else (False, True)
+    held = (True,) if sum(both((True,))) else (False, True)
+    n = np.array(both(trained), np.float32)
+    most = data.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    model.langs = sorted(r["lang"] for r in most.collect())
+    _count_parts(data, model, trained, n)
+    weight = 0.5 / np.maximum(n / n.sum(), 1e-6)
+    best, kept = np.inf, None
+    for r in range(ROUNDS + 1):
+        flat = model._flat()
+        loss, changed = _round(data, model, trained, held, weight, r)
+        if loss < best:
+            best, kept = loss, flat
+        if changed is not None:
+            model._from_flat(flat + changed)
+    model._from_flat(kept)
+    model.trained = True
+    _calibrate_parts(data, model, held)
+    return model
+
+
+def _chosen(piece: pd.DataFrame, asides: tuple) -> pd.DataFrame:
+    return piece[piece["aside"].isin(asides)]
+
+
+def _count_parts(data: DataFrame, model: ConvClassifier, trained: tuple, n: np.ndarray) -> None:
+    """Start the model from counts over all texts that are trained on, and languages from all texts."""
+    sent = _sent(data, model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        of = {x: i for i, x in enumerate(m.langs)}
+        seen, spoken = np.zeros((2, m.buckets), np.int32), np.zeros((m.lang_buckets, len(of)), np.int32)
+        for batch in batches:
+            own = _chosen(batch, trained)
+            m._count(own["text"].tolist(), own["toxic"].to_numpy(np.float32), seen)
+            if len(of) > 1:
+                own = batch[batch["lang"].isin(m.langs)]
+                m._count_langs(own["text"].tolist(), own["lang"].map(of).to_numpy(np.int64), spoken)
+        yield _slices(0, seen.T)
+        for i in range(len(of)):
+            yield _slices(1 + i, spoken[:, i : i + 1])
+
+    found = _added(data.mapInPandas(run, SLICES), "<i4", lambda sums, _: sums)
+    model._begin(_whole(found, 0, (model.buckets, 2), np.int64).T.astype(np.float32), n)
+    if len(model.langs) > 1:
+        model._set_langs(np.concatenate([_whole(found, 1 + i, (model.lang_buckets, 1), np.int64) for i in range(len(model.langs))], axis=1).astype(np.float64))
+
+
+def _sent(data: DataFrame, model: ConvClassifier):
+    return data.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the corpus
+
+
+def _round(data: DataFrame, model: ConvClassifier, trained: tuple, held: tuple, weight: np.ndarray, r: int) -> tuple[float, np.ndarray | None]:
+    """(loss on the texts held out, the change that the parts make on average) from the model; after the last round the loss alone."""
+    sent, rate = _sent(data, model), RATE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        start, loss = m._flat(), 0
+        for part in _runs(batches):
+            own = ConvClassifier()
+            own._from_flat(start)
+            state, step = own._moments(), 0
+            for piece in part:
+                aside = _chosen(piece, held)
+                y = aside["toxic"].to_numpy(np.float32)
+                for a, b, block in blocks(aside["text"].tolist()):
+                    logit = m._forward(block).astype(np.float64)
+                    # millionths, as they are added in any order
+                    loss += int(np.rint(1e6 * weight[y[a:b].astype(int)] * np.logaddexp(0, np.where(y[a:b] > 0, -logit, logit))).sum())
+                if r == ROUNDS:
+                    continue
+                piece = _chosen(piece, trained)
+                texts, y = piece["text"].tolist(), piece["toxic"].to_numpy(np.float32)
+                w = weight[y.astype(int)].astype(np.float32)
+                for at in _steps(texts):
+                    step += 1
+                    own._step(Block(texts[at]), y[at], w[at], rate, step, *state)
+            if step:
+                change = np.clip(own._flat() - start, -1000, 1000).astype("<f2")
+                yield _slices(0, change)
+        yield pd.DataFrame({"kind": np.array([1], np.int32), "slice": np.array([0], np.int32), "data": [np.array([loss], "<i8").tobytes()]})
+
+    rows = data.mapInPandas(run, SLICES)
+    rows = materialize(rows, f"toxicity-round-{r}")
+    loss = sum(int(np.frombuffer(x["data"], "<i8")[0]) for x in rows.where("kind = 1").collect())  # a number a task
+    if r == ROUNDS:
+        return loss, None
+    found = _added(rows.where("kind = 0"), "<f2", lambda sums, used: (sums.reshape(-1, DIM) / (1 << 24) / np.maximum(used, 1)[:, None]).astype(np.float32))
+    return loss, _whole(found, 0, model._flat().shape, np.float32)
+
+
+def _calibrate_parts(data: DataFrame, model: ConvClassifier, held: tuple) -> None:
+    """Thresholds from all texts held out, of logits that are rounded to 1 / CUTS."""
+    sent = _sent(data, model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = _chosen(batch, held)
+            toxic = own["toxic"].to_numpy(bool)
+            for a, b, block in blocks(own["text"].tolist()):
+                place = np.rint(np.clip(sent.value._forward(block).astype(np.float64), -1000, 1000) * CUTS).astype(np.int64)
+                yield pd.DataFrame({"lang": sent.value._lang_of(block), "place": place, "toxic": toxic[a:b]})
+
+    counts = data.mapInPandas(run, "lang long, place long, toxic boolean").groupBy("lang", "place", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.orderBy("lang", "place", "toxic").toPandas()  # of bounded places
+    model._set_thresholds(found["place"].to_numpy() / CUTS, found["lang"].to_numpy(), found["toxic"].to_numpy(np.float32), found["n"].to_numpy())
+
+
+def _train_sample(docs: DataFrame, known: DataFrame, doc_id: str, text: str, lang: str | None, max_toxic: int, max_other: int, max_chars: int) -> ConvClassifier:
+    """Fit on a bounded sample: at most max_toxic and max_other labelled documents, of max_chars in all.
+
+    The sample is drawn by a hash of the id, the same in every run and whatever a text's length; texts are whole,
+    and one longer than what is left of max_chars is passed over. Characters are counted before texts
+    are collected.
+    """
+    name = F.col(f"`{doc_id}`")
     many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = _sample.place(F.col("id"), salt=11)
     ids: dict[str, tuple[float, bool]] = {}

@@ -604,3 +604,26 @@ def test_pipeline(spark, docs, sf_dir, odd, none):
             assert stage(spark, rows, sf_dir).count() >= 0
     stages = [name for name, _ in corpus_pipeline.STAGES]
     assert stages == ["toxicity", "language_id", "exact_dedup", "near_dedup", "packing"]
+
+
+def test_all_labelled_texts_are_learnt_from(spark, monkeypatch):
+    """In several parts, every labelled text once, whatever its place or length; the same model however the rows lie."""
+    rows = [(i, ("scum " if i % 3 == 0 else "fine ") + f"word{i} " * (1 + i % 4), "xx" if i % 2 else "yy") for i in range(900)]
+    rows += [(5, "again", "xx"), (None, "null id", "yy"), (2000, "unlabelled", "xx"), (901, "scum long " * 20_000, None), (902, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)] + [(901, 1), (902, 0)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "PART_ROWS", 300)
+    written = toxicity._written_parts
+    seen = []
+    monkeypatch.setattr(toxicity, "_written_parts", lambda *a: seen.append(written(*a).persist()) or seen[-1])
+    model = toxicity.train(docs, labels)
+    learnt = seen[0].collect()
+    one = {t for d, t, _ in rows if d == 5} & {r["text"] for r in learnt}
+    assert len(one) == 1 and collections.Counter(r["text"] for r in learnt) == collections.Counter([t for d, t, _ in rows if d not in (5, None, 2000)] + list(one))
+    assert len({r["part"] for r in learnt}) == 4 and 0.15 < np.mean([r["aside"] for r in learnt]) < 0.35
+    again = toxicity.train(docs.repartition(7, "text"), labels.repartition(5, "toxic"))
+    texts = ["scum of words", "fine words", "", None, "scum long " * 1000]
+    assert np.array_equal(model.score(texts), again.score(texts))
+    assert (model.score(texts) >= 0.5).tolist() == [True, False, False, False, True]
+    held = toxicity.train(docs, labels, usable=lambda name: F.col(name) % 3 == 0)  # of one kind
+    assert not held.trained and not held.score(texts).any()
